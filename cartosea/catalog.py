@@ -1,0 +1,15 @@
+"""Registry of the engine's own queries and their SQL oracles."""
+
+from __future__ import annotations
+
+from cartosea.plans import registry
+
+
+def queries():
+    """All queries by name."""
+    return registry.queries()
+
+
+def oracle_sql():
+    """All oracle statements by query name."""
+    return registry.oracle_sql()
