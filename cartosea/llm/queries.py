@@ -19,7 +19,14 @@ def op1_substring_dedup(spark, sf_dir):
     return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept_sha256").alias("kept_sha256"), F.col("_longest").alias("longest_repeat"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op7_bpe(spark, sf_dir):
+    """Encode all documents, decode the ids, digest both."""
+    from cartosea.llm import bpe
+
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_bpe": op7_bpe}
 SQL: dict[str, str] = {}
 
 
