@@ -26,7 +26,16 @@ def op7_bpe(spark, sf_dir):
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_bpe": op7_bpe}
+def op8_quality_rules(spark, sf_dir):
+    """Base rules and fertility bands over all documents."""
+    from cartosea.llm.quality import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), ["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_pieces", "n_tokens", "n_byte_pieces", F.round("entropy", 6).alias("entropy")
+    )
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules}
 SQL: dict[str, str] = {}
 
 

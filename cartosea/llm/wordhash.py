@@ -47,6 +47,7 @@ class Words:
         self.start, self.end = edge[0::2], edge[1::2]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         begin = np.concatenate([[0], np.cumsum(sizes + 1)])
+        self.begin = begin  # first byte of each text, and the end
         self.first = np.searchsorted(self.start, begin)
         self.n = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(texts)), self.n)

@@ -28,3 +28,13 @@ def substring_dedup(rows, size=35):
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
+
+
+def base_measures(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    t = text or ""
+    w = words(t)
+    lines = [x for x in t.split("\n") if words(x)]
+    grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    hit = {i + j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(5)}
+    return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w)
