@@ -42,7 +42,16 @@ def op10_warc(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op10_warc": op10_warc}
+def op6_chat_formatting(spark, sf_dir):
+    """Format all conversations and one of control strings, read the tree back."""
+    from cartosea.llm.chat import format_tree, read_back
+
+    own = spark.createDataFrame([(-1, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(*format_tree(turns.unionByName(own)))
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op10_warc": op10_warc, "op6_chat_formatting": op6_chat_formatting}
 SQL: dict[str, str] = {
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
