@@ -51,7 +51,14 @@ def op6_chat_formatting(spark, sf_dir):
     return read_back(*format_tree(turns.unionByName(own)))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op10_warc": op10_warc, "op6_chat_formatting": op6_chat_formatting}
+def op4_html_extraction(spark, sf_dir):
+    """Main text of all pages."""
+    from cartosea.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op10_warc": op10_warc, "op6_chat_formatting": op6_chat_formatting, "op4_html_extraction": op4_html_extraction}
 SQL: dict[str, str] = {
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
