@@ -58,7 +58,14 @@ def op4_html_extraction(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op10_warc": op10_warc, "op6_chat_formatting": op6_chat_formatting, "op4_html_extraction": op4_html_extraction}
+def op9_minhash_near_dedup(spark, sf_dir):
+    """Components of near-duplicate documents."""
+    from cartosea.llm.near_dedup import mark_documents
+
+    return mark_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op10_warc": op10_warc, "op6_chat_formatting": op6_chat_formatting, "op4_html_extraction": op4_html_extraction, "op9_minhash_near_dedup": op9_minhash_near_dedup}
 SQL: dict[str, str] = {
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

@@ -38,3 +38,27 @@ def base_measures(text):
     grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
     hit = {i + j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(5)}
     return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w)
+
+
+def near_components(rows, size=3, percent=85):
+    """{index: (n_shingles, component's smallest id)} by comparing everything."""
+    sets = []
+    for _, t in rows:
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set()))
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                up[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low[find(i)] = min(low.get(find(i), d), d)
+    return [(d, len(sets[i]), low[find(i)], d == low[find(i)]) for i, (d, _) in enumerate(rows)]
