@@ -23,7 +23,7 @@ def op7_bpe(spark, sf_dir):
     """Encode all documents, decode the ids, digest both."""
     from cartosea.llm import bpe
 
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
 
 
 def op8_quality_rules(spark, sf_dir):
@@ -65,7 +65,17 @@ def op9_minhash_near_dedup(spark, sf_dir):
     return mark_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op10_warc": op10_warc, "op6_chat_formatting": op6_chat_formatting, "op4_html_extraction": op4_html_extraction, "op9_minhash_near_dedup": op9_minhash_near_dedup}
+def op5_toxicity(spark, sf_dir):
+    """Learn on labelled rows that are not held out, score all documents."""
+    from cartosea.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score_documents(docs, model, ["doc_id"])
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op10_warc": op10_warc, "op6_chat_formatting": op6_chat_formatting, "op4_html_extraction": op4_html_extraction, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_toxicity": op5_toxicity}
 SQL: dict[str, str] = {
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
