@@ -154,6 +154,8 @@ def fit(texts: list[bytes], labels: list[int], base: float | None = None) -> Mod
     hot = pick([w for d in part(toxic, True) for w in d if bad(w)], SAMPLES)
     cold = pick([w for d in part(ordinary, True) for w in d], 3 * SAMPLES)
     words = hot + cold
+    if not hot or not cold:
+        return Model(one, two, [0.0] * 13, [0.0] * (TOP + 2), len(toxic) / len(docs))
     y = np.r_[np.ones(len(hot)), np.zeros(len(cold))]
     w = _logistic(_features(lengths(words, dicts[0]), lengths(words, dicts[1]), words), y, np.ones(len(words)))
     model = Model(one, two, w.tolist(), [0.0] * (TOP + 2), len(toxic) / len(docs))
