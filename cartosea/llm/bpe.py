@@ -1,15 +1,17 @@
 """Byte-level BPE encoding and decoding through one global shuffle of distinct pre-tokens.
 
-Texts are cut into pre-tokens and exploded: a row for each distinct pre-token of a slice of texts (about 2 MB), with
-its positions in the slice as gap-coded bytes. The distinct pre-tokens of all texts are encoded once each; their ids
-come back by a join on the pre-token, and each slice is put together again by position. A very common pre-token has a
-row for each slice, dealt over `SALTS` keys; a group to reassemble is one slice, so it is bounded. Decoding joins ids
-with the token-byte table, whose size is the vocabulary's.
+Texts are cut into pre-tokens and exploded by slice of texts (about 4 MB): the slice's positions, as one packed
+sequence of word numbers, and its distinct pre-tokens, packed into a row for each of many buckets by hash. The rows of
+a bucket meet, where each distinct pre-token of all texts is encoded once; its ids go back to every slice that asked,
+and the slice is put together again by position. A very common pre-token is one entry of each slice, so no key is hot;
+what a task holds is one bucket's vocabulary or one slice. Decoding joins ids with the token-byte table, whose size is
+the vocabulary's.
 """
 
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +19,16 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartosea.llm.common import sliced, stage, utf8
+from cartosea.llm.common import sliced
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Keys over which one pre-token's rows are dealt.
-SALTS = 16
+SLICE = 4 << 20
 # tiktoken's \s is Unicode's White_Space; Python's also holds 0x1C-0x1F.
 _CUT = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s", r"\p{White_Space}"))
 
@@ -41,64 +43,72 @@ def _vpath(path: str | None) -> str:
     return path or public_tokenizers.path(VOCABULARY)
 
 
-def pack_gaps(positions: np.ndarray, edges: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """LEB128 gaps of ascending positions, restarting at each edge; also the byte edges."""
-    gaps = np.diff(positions, prepend=0)
-    heads = edges[:-1][edges[:-1] < edges[1:]]
-    gaps[heads] = positions[heads]
-    size = 1 + (gaps >= 1 << 7).astype(np.int64) + (gaps >= 1 << 14) + (gaps >= 1 << 21) + (gaps >= 1 << 28)
-    end = np.concatenate([[0], np.cumsum(size)])
-    out = np.zeros(end[-1], np.uint8)
+def pack(numbers: np.ndarray) -> bytes:
+    """LEB128 of numbers below 2**35, then zstandard."""
+    numbers = np.asarray(numbers, np.int64)
+    size = 1 + (numbers >= 1 << 7).astype(np.int64) + (numbers >= 1 << 14) + (numbers >= 1 << 21) + (numbers >= 1 << 28)
+    end = np.cumsum(size)
+    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
     for i in range(5):
         has = size > i
-        out[end[:-1][has] + i] = ((gaps[has] >> (7 * i)) & 127) | np.where(size[has] > i + 1, 128, 0)
-    return out.tobytes(), end[edges]
+        out[(end - size)[has] + i] = ((numbers[has] >> (7 * i)) & 127) | np.where(size[has] > i + 1, 128, 0)
+    return zstandard.ZstdCompressor(level=3).compress(out.tobytes())
 
 
-def unpack_gaps(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all blobs, and which blob each is of."""
-    data = np.frombuffer(b"".join(blobs), np.uint8)
+def unpack(blob: bytes) -> np.ndarray:
+    """The numbers of pack()."""
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     last = np.flatnonzero(data < 128)
     first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
     size = last - first + 1
-    gaps = np.zeros(len(last), np.int64)
+    out = np.zeros(len(last), np.int64)
     for i in range(5):
         has = size > i
-        gaps[has] |= (data[first[has] + i].astype(np.int64) & 127) << (7 * i)
-    byte_end = np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)))
-    owner = np.searchsorted(byte_end, first, side="right")
-    run = np.cumsum(gaps)
-    head = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
-    base = (run - gaps)[head]
-    return run - np.repeat(base, np.diff(np.concatenate([np.flatnonzero(head), [len(owner)]]))) if len(owner) else run, owner
-
-
-_PIECES = "slice long, word binary, n int, at binary"
-
-
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct pre-token of a slice; the row without a word has the slice's row ids and lengths."""
-    part, seq = TaskContext.get().partitionId(), 0
-    for b in sliced(batches, "_text"):
-        index: dict[str, int] = {}
-        put, which, lengths = index.setdefault, [], []
-        for t in b.column("_text").to_pylist():
-            toks = _CUT.findall(t) if t else []
-            lengths.append(len(toks))
-            which += [put(x, len(index)) for x in toks]
-        key = (part << 32) | seq
-        seq += 1
-        arr = np.asarray(which, np.int64)
-        order = np.argsort(arr, kind="stable")
-        edges = np.searchsorted(arr[order], np.arange(len(index) + 1))
-        blob, cuts = pack_gaps(order, edges)
-        at = [blob[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        head = np.asarray([b.column("_row").to_numpy(), np.asarray(lengths, np.int64)], np.int64).tobytes()
-        words = [w.encode() for w in index]
-        yield pa.record_batch(
-            [pa.array(np.full(len(words) + 1, key)), pa.array([None, *words], pa.binary()), pa.array([b.num_rows, *np.diff(edges).tolist()], pa.int32()), pa.array([head, *at], pa.binary())],
-            names=["slice", "word", "n", "at"],
-        )
+        out[has] |= (data[first[has] + i].astype(np.int64) & 127) << (7 * i)
+    return out
+
+
+_ROWS = "slice long, bucket int, sizes binary, body binary"
+_ROWS_ARROW = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _ROWS_ARROW)], names=["slice", "bucket", "sizes", "body"])
+
+
+def _explode(buckets: int):
+    """Rows of a slice: its words by bucket; bucket -1 has the positions, -2 the row ids and lengths in words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        zip_ = zstandard.ZstdCompressor(level=3).compress
+        for b in sliced(batches, "_text", SLICE):
+            index: dict[str, int] = {}
+            put, which, lengths = index.setdefault, [], []
+            for t in b.column("_text").to_pylist():
+                toks = _CUT.findall(t) if t else []
+                lengths.append(len(toks))
+                which += [put(x, len(index)) for x in toks]
+            key = (part << 32) | seq
+            seq += 1
+            words = [w.encode() for w in index]
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+            # positions hold ranks by frequency, so that most need a byte; a bucket has its words in order of rank
+            which = np.asarray(which, np.int64)
+            often = np.argsort(-np.bincount(which, minlength=len(words)), kind="stable") if len(words) else np.zeros(0, np.int64)
+            rank = np.empty(len(words), np.int64)
+            rank[often] = np.arange(len(words))
+            order = often[np.argsort(bucket[often], kind="stable")]
+            rows = [(key, -2, pack(lengths), b.column("_row").to_numpy().tobytes()), (key, -1, pack(rank[which]), pack(bucket[often]))]
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+            order = order.tolist()
+            for i in range(buckets):
+                if edges[i] < edges[i + 1]:
+                    own = [words[j] for j in order[edges[i] : edges[i + 1]]]
+                    rows.append((key, i, pack(np.fromiter(map(len, own), np.int64, len(own))), zip_(b"".join(own))))
+            yield _batch(rows)
+
+    return run
 
 
 _CODERS: dict[str, tiktoken.Encoding] = {}
@@ -112,59 +122,75 @@ def coder(path: str) -> tiktoken.Encoding:
 
 
 def _encode_words(path: str):
+    """Rows of words, in order of their bucket, become rows of ids; a word is encoded once for its bucket."""
+
     def run(batches):
         one = coder(path)._core_bpe.encode_single_piece
+        unzip, now, known = zstandard.ZstdDecompressor().decompress, None, {}
         for b in batches:
-            ids = [np.asarray(one(w), np.uint32).tobytes() for w in b.column("word").to_pylist()]
-            yield pa.record_batch([b.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"])
+            rows = []
+            for key, bucket, sizes, body in zip(*[b.column(c).to_pylist() for c in ("slice", "bucket", "sizes", "body")]):
+                if bucket != now:
+                    now, known = bucket, {}
+                ends = np.cumsum(unpack(sizes)).tolist()
+                body, ids = unzip(body), []
+                for a, z in zip([0, *ends], ends):
+                    w = body[a:z]
+                    got = known.get(w)
+                    if got is None:
+                        got = known[w] = one(w)
+                    ids.append(got)
+                rows.append((key, bucket, pack(np.fromiter(map(len, ids), np.int64, len(ids))), pack(np.fromiter((x for y in ids for x in y), np.int64))))
+            if rows:
+                yield _batch(rows)
 
     return run
 
 
-def _assemble(group: pa.Table) -> pa.Table:
-    words, at, ids = group.column("word"), group.column("at").to_pylist(), group.column("ids").to_pylist()
-    empty = words.is_null().to_pylist()
-    i = empty.index(True)
-    rows, lengths = np.frombuffer(at[i], np.int64).reshape(2, -1)
-    at, ids = at[:i] + at[i + 1 :], ids[:i] + ids[i + 1 :]
-    pos, owner = unpack_gaps(at)
-    size = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-    flat, begin = np.frombuffer(b"".join(ids), np.uint32), np.concatenate([[0], np.cumsum(size)])
-    source = np.zeros(int(lengths.sum()), np.int64)
-    source[pos] = owner
+def _words_only(batches):
+    for b in batches:
+        yield b.filter(pa.compute.greater_equal(b.column("bucket"), 0))
+
+
+def _assemble(pieces: pa.Table, ids: pa.Table) -> pa.Table:
+    """One slice's documents from its positions (pieces also has its words) and its words' ids."""
+    pieces = pieces.filter(pa.compute.less(pieces.column("bucket"), 0)).sort_by("bucket")
+    (lengths, row), (ranks_, buckets) = zip(pieces.column("sizes").to_pylist(), pieces.column("body").to_pylist())
+    words = sorted(zip(*[ids.column(c).to_pylist() for c in ("bucket", "sizes", "body")]))
+    row, lengths = np.frombuffer(row, np.int64), unpack(lengths)
+    size = np.concatenate([unpack(w[1]) for w in words]) if words else np.zeros(0, np.int64)
+    flat = np.concatenate([unpack(w[2]) for w in words]) if words else np.zeros(0, np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    place = np.empty(len(size), np.int64)
+    place[np.argsort(unpack(buckets), kind="stable")] = np.arange(len(size))
+    source = place[unpack(ranks_)]
     n = size[source]
     stop = np.cumsum(n)
     total = int(stop[-1]) if len(stop) else 0
     out = flat[np.repeat(begin[source] - (stop - n), n) + np.arange(total)].astype(np.int32)
     word_end = np.concatenate([[0], np.cumsum(lengths)])
     offsets = np.concatenate([[0], stop])[word_end].astype(np.int32)
-    return pa.table({"_row": pa.array(rows), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))})
+    return pa.table({"_row": pa.array(row), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))})
 
 
 def encode(docs: DataFrame, row: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(row, ids array<int>) for each row of docs: the ids of its whole text, each pattern match encoded separately.
 
     A null or empty text has no ids. row must be an integer column; repeated values stay repeated rows; null ones
-    come back null. Other columns are ignored.
+    come back null. Other columns are ignored. docs is read once, but may be read again if an executor is lost, so it
+    should be a table rather than a random draw.
     """
     path = _vpath(vocabulary)
     low = -(2**63)
+    buckets = max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     slim = docs.select(F.coalesce(F.col(row).cast("long"), F.lit(low)).alias("_row"), F.col(text).alias("_text"))
-    pieces = stage(slim.mapInArrow(_explode, _PIECES), "bpe-pieces")
-    vocab = pieces.where("word is not null").select("word").distinct().mapInArrow(_encode_words(path), "word binary, ids binary")
-    words = stage(vocab, "bpe-words")
-    salted = pieces.where("word is not null").withColumn("salt", F.pmod(F.hash("slice"), F.lit(SALTS)))
-    keyed = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = salted.join(keyed, ["word", "salt"]).select("slice", "word", "at", "ids")
-    heads = pieces.where("word is null").select("slice", "word", "at", F.lit(None).cast("binary").alias("ids"))
-    done = joined.unionByName(heads).groupBy("slice").applyInArrow(_assemble_for, "_row long, ids array<int>")
+    # both sides start from one exchange by slice: positions wait there while the words go round
+    pieces = slim.mapInArrow(_explode(buckets), _ROWS).repartition("slice")
+    words = pieces.mapInArrow(_words_only, _ROWS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(path), _ROWS)
+    done = pieces.groupBy("slice").cogroup(words.groupBy("slice")).applyInArrow(_assemble, "_row long, ids array<int>")
     return done.select(F.when(F.col("_row") != low, F.col("_row")).alias(row), "ids")
 
 
-def _assemble_for(group: pa.Table) -> pa.Table:
-    return _assemble(group)
-
-
 def _decode(table: list[bytes], fields: list[str]):
     def run(batches):
         for b in batches:
@@ -212,6 +238,7 @@ def _digest(batches):
         yield pa.record_batch([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(sums), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded and decoded documents."""
-    return decoded.mapInArrow(_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: encoded documents, decoded by the token-byte table."""
+    decoder = _decode_lazy(_vpath(vocabulary), encoded.columns)
+    return encoded.mapInArrow(lambda batches: _digest(decoder(batches)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
