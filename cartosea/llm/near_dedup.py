@@ -7,10 +7,12 @@ some chunk but for `ERRORS` symbols; enumerating those errors (a key for each ch
 finds every pair within the limit. Candidates then pass the distance over all symbols and the sizes' ratio, and the
 full shingle sets decide.
 
-Exact copies are one entry. In a bucket of equal keys nothing is paired with everything: every entry's best pairing
-with its buckets' smallest entries is verified, links are merged, and only entries that are still in different
-components of a shared bucket are compared, which loses no component. Components come from alternating large-star and
-small-star steps over tables in the shared folder.
+Exact copies are one entry. Each bucket of equal keys goes to its most popular entry, the one that shares most keys
+with others: a group of near copies then has one or few such centres, whatever number of buckets it fills. Every entry
+is compared with its centres and the closest one is verified, which merges most of the group. Entries that are still in
+another component than most of their centre's group are a query set against that group, in blocks of bounded size that
+compare signatures and then full sets and return links only; so no component is lost, and pairs are never listed.
+Components come from alternating large-star and small-star steps over tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -139,6 +141,39 @@ def _verify(size: int, percent: int):
     return run
 
 
+def _blocks(size: int, percent: int):
+    """Links between asking entries of a block and the others in it that are of another component."""
+    joined, whole = limit(JOINED, percent / 100), limit(SYMBOLS, percent / 100)
+
+    def run(group: pa.Table) -> pa.Table:
+        asks = np.asarray(group.column("asks").to_pylist(), bool)
+        ids, comps = group.column("id").to_pylist(), group.column("comp").to_pylist()
+        number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+        comp = np.array([number[c] for c in comps])
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        doc, code = shingle_sets(Words([t.encode() for t in group.column("text").to_pylist()], lower=True), size)
+        _, code = np.unique(code, return_inverse=True)
+        edge = np.searchsorted(doc, np.arange(len(ids) + 1))
+        n = np.diff(edge)
+        mark = np.zeros(int(code.max(initial=0)) + 1, np.int64)
+        others, out = np.flatnonzero(~asks), []
+        for r in np.flatnonzero(asks):
+            near = others[(comp[others] != comp[r]) & (100 * np.minimum(n[others], n[r]) >= percent * np.maximum(n[others], n[r]))]
+            off = sig[near] != sig[r]
+            near = near[(off.sum(1) <= whole) & (off[:, :JOINED].sum(1) <= joined)]
+            if not len(near):
+                continue
+            mark[code[edge[r] : edge[r + 1]]] = 1
+            both = np.array([mark[code[edge[x] : edge[x + 1]]].sum() for x in near])
+            mark[code[edge[r] : edge[r + 1]]] = 0
+            good = near[(100 * both >= percent * (n[near] + n[r] - both)) & (both > 0)]
+            _, one = np.unique(comp[good], return_index=True)  # a link to each other component is enough
+            out += [(ids[r], ids[x]) for x in good[one]]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) for every end of links (a, b): comp is the smallest id that it reaches."""
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "cc-edges")
@@ -170,8 +205,11 @@ def link_documents(docs: DataFrame, keep: list[str], text: str = "text", shingle
     slim = docs.select(text_key(body).alias("id"), body.alias("text"))
     sigs = stage(slim.mapInArrow(_signatures(shingle), "id binary, n long, sig binary").dropDuplicates(["id"]), "near-signatures")
     keys = sigs.where("sig is not null").select("id", "sig").mapInArrow(_keys(similarity), "id binary, keys array<long>").select("id", F.explode("keys").alias("key"))
-    shared = stage(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("low")).where("m > 1").select("key", "low"), "near-shared")
+    shared = stage(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "near-shared")
     buckets = stage(keys.join(shared, "key"), "near-buckets")
+    popular = buckets.groupBy("id").agg(F.sum("m").alias("pop"))
+    centre = buckets.join(popular, "id").groupBy("key").agg(F.max(F.struct("pop", "id")).alias("x")).select("key", F.col("x.id").alias("centre"))
+    routed = stage(buckets.join(stage(centre, "near-centres"), "key").select("centre", "id").distinct(), "near-routed")
 
     def close(pairs: DataFrame) -> DataFrame:
         x = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
@@ -185,17 +223,27 @@ def link_documents(docs: DataFrame, keep: list[str], text: str = "text", shingle
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return stage(both.select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, percent), "a binary, b binary"), "near-links")
 
-    first = buckets.where("id != low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    first = routed.where("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b"))
     best = close(first).groupBy("a").agg(F.min(F.struct("dist", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     links = verified(stage(best, "near-best"))
     comps = components(links)
-    placed = buckets.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = stage(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key"), "near-mixed")
-    placed = stage(placed.join(mixed, "key", "left_semi"), "near-placed")
-    left, right = placed.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), placed.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    rest = left.join(right, "key").where("a < b and ca != cb").select("a", "b").distinct()
-    more = verified(stage(close(stage(rest, "near-rest")).select("a", "b"), "near-close"))
-    comps = components(links.unionByName(more))
+    # in each centre's group, entries outside its largest component against all of the group
+    sizes = sigs.select("id", "n")
+    placed = stage(routed.join(comps, "id", "left").join(sizes, "id").select("centre", "id", F.coalesce("comp", "id").alias("comp"), "n"), "near-placed")
+    parts = placed.groupBy("centre", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    main = parts.groupBy("centre").agg(F.max(F.struct("c", "comp")).alias("x"), F.count("*").alias("k"), F.sum("w").alias("all"), F.sum("c").alias("total"))
+    main = stage(main.where("k > 1").select("centre", F.col("x.comp").alias("main"), "all", "total", F.col("x.c").alias("c")), "near-main")
+    blocks = lambda words, count, most_words, most: F.greatest(F.ceil(words / most_words), F.ceil(count / most), F.lit(1)).cast("int")
+    here = placed.join(main, "centre").withColumns({"nx": blocks(F.col("all"), F.col("total"), 1_000_000, 4096), "nr": blocks(F.col("all"), F.col("total") - F.col("c"), 500_000, 512)})
+    of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = here.where("comp != main").select("centre", of("nr").alias("rb"), over("nx").alias("xb"), F.lit(True).alias("asks"), "id", "comp")
+    rest = here.select("centre", over("nr").alias("rb"), of("nx").alias("xb"), F.lit(False).alias("asks"), "id", "comp")
+    both = stage(asks.unionByName(rest), "near-blocks")
+    needed = both.select("id").distinct()
+    texts = stage(slim.join(needed, "id", "left_semi").dropDuplicates(["id"]).join(sigs.select("id", "sig"), "id"), "near-texts")
+    found = both.join(texts, "id").groupBy("centre", "rb", "xb").applyInArrow(_blocks(shingle, percent), "a binary, b binary")
+    comps = components(links.unionByName(stage(found.distinct(), "near-more")))
     names = [f"_c{i}" for i in range(len(keep))]
     rows = docs.select(*[column(docs, c).alias(f) for c, f in zip(keep, names)], text_key(body).alias("id"))
     known = stage(sigs.select("id", "n").join(comps, "id", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "id")).alias("comp")), "near-known")

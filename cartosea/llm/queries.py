@@ -75,7 +75,14 @@ def op5_toxicity(spark, sf_dir):
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op10_warc": op10_warc, "op6_chat_formatting": op6_chat_formatting, "op4_html_extraction": op4_html_extraction, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_toxicity": op5_toxicity}
+def op3_decontamination(spark, sf_dir):
+    """Documents and the benchmark items that they leak."""
+    from cartosea.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op10_warc": op10_warc, "op6_chat_formatting": op6_chat_formatting, "op4_html_extraction": op4_html_extraction, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_toxicity": op5_toxicity, "op3_decontamination": op3_decontamination}
 SQL: dict[str, str] = {
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
