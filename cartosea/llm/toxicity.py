@@ -29,10 +29,9 @@ SPREAD, GRAM, LEVEL = 8, 6, 19
 TOP = 6
 #: The fit takes at most so many labelled rows of each kind, in order of a hash of the id, none longer than LONGEST.
 FIT_TOXIC, FIT_ORDINARY, LONGEST = 2500, 5000, 20_000
-TOXIC_BYTES, TOXIC_SHARE, ORDINARY_BYTES, SAMPLES, CACHE = (2 << 10, 24 << 10), 8, 112 << 10, 40_000, 800_000
+TOXIC_BYTES, TOXIC_SHARE, ORDINARY_BYTES, SAMPLES, CACHE = (2 << 10, 24 << 10), 8, 112 << 10, 40_000, 2_000_000
 _CODE = np.random.default_rng(20).integers(0, 256, (256, SPREAD), dtype=np.uint8)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
 @dataclass
@@ -47,8 +46,8 @@ class Model:
 
 
 def windows(text: bytes) -> list[bytes]:
-    """The words of a text, lower case, without the punctuation around them."""
-    return [x for w in text.translate(_LOWER.tobytes()).split() if (x := w.strip(b".,;:!?\"'()[]{}<>*#$%&|-_")) or (x := w)]
+    """The words of a text, lower case, parted at ASCII punctuation."""
+    return text.translate(_PLAIN).split()
 
 
 def spread(words: list[bytes]) -> tuple[bytes, np.ndarray]:
@@ -237,11 +236,13 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     one says so; null labels and ids are left out."""
     marks = labels.where(F.col(id).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id).alias("_i")).agg(F.max("toxic").alias("_y"))
     marks = marks.where(~held_out(F.col("_i")))
-    rows = docs.select(column(docs, id).alias("_i"), column(docs, text).alias("_t")).join(marks, "_i").where(F.length("_t") <= LONGEST)
     share = marks.agg(F.avg(F.col("_y").cast("double"))).first()[0]
     got = []
     for y, n in ((1, FIT_TOXIC), (0, FIT_ORDINARY)):
-        got += rows.where(F.col("_y") == y).orderBy(F.xxhash64("_i"), "_i", "_t").limit(n).collect()
+        some = F.broadcast(marks.where(F.col("_y") == y).orderBy(F.xxhash64("_i"), "_i").limit(n))  # n ids at most
+        rows = docs.select(column(docs, id).alias("_i"), column(docs, text).alias("_t")).join(some, "_i").where(F.length("_t") <= LONGEST).withColumn("_h", F.xxhash64("_i"))
+        got += rows.collect()
+    got.sort(key=lambda r: (-r["_y"], r["_h"], r["_i"], r["_t"]))
     return fit([r["_t"].encode() for r in got], [r["_y"] for r in got], share)
 
 
