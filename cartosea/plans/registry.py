@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Family modules in this package; each has QUERIES and SQL.
-FAMILIES: tuple[str, ...] = ()
+FAMILIES: tuple[str, ...] = ("scalar",)
 
 
 def _families():
