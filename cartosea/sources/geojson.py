@@ -1,0 +1,57 @@
+"""GeoJSON and configuration files in and out."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_ZONES = "user_no_go_zones array<struct<id: string, name: string, zoneType: string, coordinates: array<array<double>>>>"
+_ROUTES = "user_routes array<struct<id: string, name: string, start: struct<lon: double, lat: double>, end: struct<lon: double, lat: double>, type: string>>"
+
+
+def config(spark: SparkSession, path: str) -> DataFrame:
+    """A configuration file, parsed whole."""
+    return spark.read.option("multiLine", True).schema(f"{_ZONES}, {_ROUTES}").json(path)
+
+
+def user_zones(conf: DataFrame) -> DataFrame:
+    """(zone_id, name, zone_type, restriction, ring): rings of three places or more, closed; attributes stay with their
+    ring. A missing id is numbered by the place in the file."""
+    z = conf.select(F.posexplode("user_no_go_zones").alias("i", "z")).where(F.size("z.coordinates") >= 3)
+    ring = F.transform("z.coordinates", lambda c: F.struct(c[0].alias("lon"), c[1].alias("lat")))
+    closed = F.when(ring[0] != F.element_at(ring, -1), F.concat(ring, F.array(ring[0]))).otherwise(ring)
+    return z.select(F.coalesce("z.id", F.concat(F.lit("user_zone_"), F.col("i").cast("string"))).alias("zone_id"), F.col("z.name").alias("name"), F.coalesce("z.zoneType", F.lit("mpa")).alias("zone_type"), F.lit("no-go").alias("restriction"), closed.alias("ring"))
+
+
+def user_routes(conf: DataFrame) -> DataFrame:
+    """(route_id, name, type, slon, slat, elon, elat): routes with both ends; the type is irregular if none is given."""
+    r = conf.select(F.posexplode("user_routes").alias("i", "r")).where("r.start.lon is not null and r.start.lat is not null and r.end.lon is not null and r.end.lat is not null")
+    n = F.col("i").cast("string")
+    return r.select(F.coalesce("r.id", F.concat(F.lit("user_route_"), n)).alias("route_id"), F.coalesce("r.name", F.concat(F.lit("Route "), n)).alias("name"), F.coalesce("r.type", F.lit("irregular")).alias("type"), F.col("r.start.lon").alias("slon"), F.col("r.start.lat").alias("slat"), F.col("r.end.lon").alias("elon"), F.col("r.end.lat").alias("elat"))
+
+
+def features(frame: DataFrame, kind: str, geometry: str, properties: list[str]) -> DataFrame:
+    """(feature): one GeoJSON feature as text for each row. geometry names the column: (lon, lat) struct for Point, an
+    array of them for LineString, a closed ring for Polygon."""
+    pair = lambda p: F.array(p["lon"], p["lat"])
+    at = pair(F.col(geometry)) if kind == "Point" else F.transform(geometry, pair)
+    at = F.array(at) if kind == "Polygon" else at
+    return frame.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), F.struct(F.lit(kind).alias("type"), at.alias("coordinates")).alias("geometry"))).alias("feature"))
+
+
+def write(feature_rows: DataFrame, path: str) -> None:
+    """Write features as text, a feature to a line, in as many files as there are partitions."""
+    feature_rows.select(F.col("feature").alias("value")).write.mode("overwrite").text(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, properties, coordinates): features of a collection file, or of a folder with a feature to a line; geometry
+    and properties as JSON text. A file without features is an error."""
+    text = spark.read.text(path, wholetext=False)
+    if text.select("value").limit(1).isEmpty():
+        raise ValueError(f"no features in {path}")
+    first = text.select("value").limit(1).first()["value"].strip()
+    whole = text if first.startswith('{"type":"Feature",') else spark.read.text(path, wholetext=True)
+    rows = whole.select(F.from_json("value", "type string, features array<string>").alias("j"), "value")
+    each = rows.select(F.explode(F.coalesce("j.features", F.array("value"))).alias("f"))
+    return each.select(F.get_json_object("f", "$.geometry.type").alias("kind"), F.get_json_object("f", "$.properties").alias("properties"), F.get_json_object("f", "$.geometry.coordinates").alias("coordinates"))
