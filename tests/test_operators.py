@@ -145,3 +145,15 @@ def test_entry_points_import():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "traj_length_km" in e.queries()
+
+
+def test_raster_files(spark, z, tmp_path):
+    from cartosea.sources import rasters
+
+    holes = _cells(spark, z).withColumn("z", F.when(F.col("x") == 3, float("nan")).otherwise(F.col("z")))
+    for name in ("dem", "slope"):
+        rasters.write(holes, "z", str(tmp_path), name, "1m", 1.0, 500.0, 900.0, "m")
+    back = rasters.read(spark, str(tmp_path), "dem", "1m")
+    assert back.count() == z.size and back.where("value is null").count() == z.shape[0]
+    about = spark.read.parquet(f"{tmp_path}/layers").where("layer = 'dem'").first()
+    assert (about["height"], about["width"], about["min_zoom"], about["transform"]["f"]) == (9, 11, 14, 900.0)
