@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding through one global shuffle of distinct pre-tokens.
 
-Texts are cut into pre-tokens and exploded by slice of texts (about 4 MB): the slice's positions, as one packed
+Texts are cut into pre-tokens and exploded by slice of texts (about 3 MB): the slice's positions, as one packed
 sequence of word numbers, and its distinct pre-tokens, packed into a row for each of many buckets by hash. The rows of
 a bucket meet, where each distinct pre-token of all texts is encoded once; its ids go back to every slice that asked,
 and the slice is put together again by position. A very common pre-token is one entry of each slice, so no key is hot;
@@ -28,7 +28,9 @@ from pyspark.sql import types as T
 from cartosea.llm.common import sliced
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-SLICE = 4 << 20
+SLICE = 3 << 20
+_NULL = -(2**63)
+_TABLES: dict[str, list[bytes]] = {}
 # tiktoken's \s is Unicode's White_Space; Python's also holds 0x1C-0x1F.
 _CUT = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s", r"\p{White_Space}"))
 
@@ -173,6 +175,16 @@ def _assemble(pieces: pa.Table, ids: pa.Table) -> pa.Table:
     return pa.table({"_row": pa.array(row), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))})
 
 
+def _encoded(docs: DataFrame, row: str, text: str, path: str, finish, schema: str) -> DataFrame:
+    """finish(slice's rows as a table of _row and ids) for every slice."""
+    buckets = max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slim = docs.select(F.coalesce(F.col(row).cast("long"), F.lit(_NULL)).alias("_row"), F.col(text).alias("_text"))
+    # both sides start from one exchange by slice: positions wait there while the words go round
+    pieces = slim.mapInArrow(_explode(buckets), _ROWS).repartition("slice")
+    words = pieces.mapInArrow(_words_only, _ROWS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(path), _ROWS)
+    return pieces.groupBy("slice").cogroup(words.groupBy("slice")).applyInArrow(lambda a, b: finish(_assemble(a, b)), schema)
+
+
 def encode(docs: DataFrame, row: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(row, ids array<int>) for each row of docs: the ids of its whole text, each pattern match encoded separately.
 
@@ -180,15 +192,8 @@ def encode(docs: DataFrame, row: str = "doc_id", text: str = "text", vocabulary:
     come back null. Other columns are ignored. docs is read once, but may be read again if an executor is lost, so it
     should be a table rather than a random draw.
     """
-    path = _vpath(vocabulary)
-    low = -(2**63)
-    buckets = max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    slim = docs.select(F.coalesce(F.col(row).cast("long"), F.lit(low)).alias("_row"), F.col(text).alias("_text"))
-    # both sides start from one exchange by slice: positions wait there while the words go round
-    pieces = slim.mapInArrow(_explode(buckets), _ROWS).repartition("slice")
-    words = pieces.mapInArrow(_words_only, _ROWS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(path), _ROWS)
-    done = pieces.groupBy("slice").cogroup(words.groupBy("slice")).applyInArrow(_assemble, "_row long, ids array<int>")
-    return done.select(F.when(F.col("_row") != low, F.col("_row")).alias(row), "ids")
+    done = _encoded(docs, row, text, _vpath(vocabulary), lambda t: t, "_row long, ids array<int>")
+    return done.select(F.when(F.col("_row") != _NULL, F.col("_row")).alias(row), "ids")
 
 
 def _decode(table: list[bytes], fields: list[str]):
@@ -216,8 +221,10 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 def _decode_lazy(path: str, fields: list[str]):
     def run(batches):
-        table = {i: t for t, i in ranks(path).items()}
-        yield from _decode([table.get(i, b"") for i in range(max(table) + 1)], fields)(batches)
+        if path not in _TABLES:
+            table = {i: t for t, i in ranks(path).items()}
+            _TABLES[path] = [table.get(i, b"") for i in range(max(table) + 1)]
+        yield from _decode(_TABLES[path], fields)(batches)
 
     return run
 
@@ -235,10 +242,17 @@ def _digest(batches):
         for x in ids:
             sums.append(hashlib.sha256(" ".join(map(get, x.tolist())).encode()).hexdigest())
         back = [hashlib.sha256(x).hexdigest() for x in b.column("bytes").to_pylist()]
-        yield pa.record_batch([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(sums), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        yield pa.record_batch([b.column("_row"), pa.array([len(x) for x in ids], pa.int64()), pa.array(sums), pa.array(back)], names=["_row", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: docs encoded, then decoded by the token-byte table, in the worker
+    that puts a slice together."""
+    path = _vpath(vocabulary)
+    decoder = _decode_lazy(path, ["_row", "ids"])
 
+    def finish(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(_digest(decoder(table.combine_chunks().to_batches())), pa.schema([("_row", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
 
-def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: encoded documents, decoded by the token-byte table."""
-    decoder = _decode_lazy(_vpath(vocabulary), encoded.columns)
-    return encoded.mapInArrow(lambda batches: _digest(decoder(batches)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = _encoded(docs, "doc_id", "text", path, finish, "_row long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.select(F.when(F.col("_row") != _NULL, F.col("_row")).alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -51,6 +52,21 @@ def text_key(text):
     return F.unhex(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 24))
 
 
+def tune(spark: SparkSession) -> None:
+    """Arrow batches of so few rows that even long texts fit beside an executor's heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def tidy() -> None:
+    """Give a worker's freed memory back to the machine; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # other C libraries have no such call
+        pass
+
+
 def column(df: DataFrame, name: str):
     """df's own column, however odd the names of the others are."""
     return df["`" + name.replace("`", "``") + "`"]
@@ -67,6 +83,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         for a, b in zip(edges, edges[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    tidy()
 
 
 def utf8(col: pa.Array) -> list[bytes]:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from cartosea.llm.common import column, sliced, stage, text_key, utf8
 from cartosea.llm.wordhash import Words, mix
 
-SYMBOLS, JOINED, BITS, ERRORS, MISS = 128, 64, 16, 1, 1e-5
+SYMBOLS, JOINED, BITS, ERRORS, MISS = 128, 48, 16, 1, 1e-5
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -218,11 +218,11 @@ def link_documents(docs: DataFrame, keep: list[str], text: str = "text", shingle
         return both.select("a", "b", "sa", "sb").mapInArrow(_near(similarity), "a binary, b binary, dist int")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = stage(slim.join(ends, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return stage(both.select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, percent), "a binary, b binary"), "near-links")
 
+    # the only texts that are looked at again: those that share a key with another
+    texts = stage(slim.join(routed.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "near-texts")
     first = routed.where("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b"))
     best = close(first).groupBy("a").agg(F.min(F.struct("dist", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     links = verified(stage(best, "near-best"))
@@ -240,9 +240,7 @@ def link_documents(docs: DataFrame, keep: list[str], text: str = "text", shingle
     asks = here.where("comp != main").select("centre", of("nr").alias("rb"), over("nx").alias("xb"), F.lit(True).alias("asks"), "id", "comp")
     rest = here.select("centre", over("nr").alias("rb"), of("nx").alias("xb"), F.lit(False).alias("asks"), "id", "comp")
     both = stage(asks.unionByName(rest), "near-blocks")
-    needed = both.select("id").distinct()
-    texts = stage(slim.join(needed, "id", "left_semi").dropDuplicates(["id"]).join(sigs.select("id", "sig"), "id"), "near-texts")
-    found = both.join(texts, "id").groupBy("centre", "rb", "xb").applyInArrow(_blocks(shingle, percent), "a binary, b binary")
+    found = both.join(texts, "id").join(sigs.select("id", "sig"), "id").groupBy("centre", "rb", "xb").applyInArrow(_blocks(shingle, percent), "a binary, b binary")
     comps = components(links.unionByName(stage(found.distinct(), "near-more")))
     names = [f"_c{i}" for i in range(len(keep))]
     rows = docs.select(*[column(docs, c).alias(f) for c, f in zip(keep, names)], text_key(body).alias("id"))

@@ -17,8 +17,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartosea.llm.bpe import coder
-from cartosea.llm.common import column, sliced, stage, text_key, utf8
+from cartosea.llm.bpe import _CUT, coder
+from cartosea.llm.common import column, sliced, stage, text_key, tidy, utf8
 from cartosea.llm.wordhash import Words, covered
 
 MIN_WORDS, REPEAT_PERCENT, RUN = 10, 20, 5
@@ -30,7 +30,7 @@ LEAST = 0.01
 #: Pieces that may fall back to bytes above the median share, and the least entropy against log2 of the number of pieces.
 BYTE_SHARE, LEAST_ENTROPY = 0.25, 0.35
 #: Distinct words that a worker keeps measured.
-CACHE = 400_000
+CACHE = 150_000
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_pieces long, n_byte_pieces long, n_tokens long, entropy double, script string"
 _SYMBOL = np.zeros(256, np.int64)
@@ -42,7 +42,7 @@ class _Vocabularies:
 
     def __init__(self, pieces: str, tokens: str):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self.one = coder(tokens).encode_ordinary
+        self.one = coder(tokens)._core_bpe.encode_single_piece
         self.is_byte = np.array([self.sp.is_byte(i) for i in range(self.sp.get_piece_size())])
         self.known: dict[bytes, tuple[bytes, int]] = {}
 
@@ -54,7 +54,7 @@ class _Vocabularies:
         if new:
             texts = [w.decode() for w in new]
             for w, t, ids in zip(new, texts, self.sp.encode(texts, num_threads=1)):
-                self.known[w] = np.asarray(ids, np.int32).tobytes(), len(self.one(" " + t))
+                self.known[w] = np.asarray(ids, np.int32).tobytes(), sum(len(self.one(x.encode())) for x in _CUT.findall(" " + t))
         got = [self.known[w] for w in words]
         return [g[0] for g in got], np.fromiter((g[1] for g in got), np.int64, len(got))
 
@@ -125,6 +125,8 @@ def _measure(fields: list[str], pieces: str, tokens: str):
             out = [w.n.astype(np.int64), per(chars), per(symbols), np.asarray([_dup_lines(t) for t in texts], np.int64), _repeats(w, n), n_pieces, total(bytes_of), total(toks), np.maximum(entropy, 0.0)]
             names = [x.split()[0] for x in MEASURES.split(", ")]
             yield pa.record_batch([*[b.column(f) for f in fields], *[pa.array(x) for x in out], pa.array(_script(w.buf, w.begin))], names=[*fields, *names])
+        v.known.clear()
+        tidy()
 
     return run
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartosea.llm.common import tune
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,7 +26,7 @@ def op7_bpe(spark, sf_dir):
     """Encode all documents, decode the ids, digest both."""
     from cartosea.llm import bpe
 
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+    return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 def op8_quality_rules(spark, sf_dir):

@@ -34,7 +34,7 @@ VOCABULARY, END = "word_bpe_49k.json", 2
 MAGIC = b"CMRC0001"
 BLOCK, REFRESH, TABLE = 4096, 128, 12
 #: Ids in a file, about: bounds what a worker holds.
-FILE_IDS, CACHE = 1 << 21, 400_000
+FILE_IDS, CACHE = 1 << 20, 200_000
 _TOP = 16
 _INT = np.int64
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cartosea.llm import bpe, decontaminate, near_dedup, quality, substring_dedup
-from cartosea.llm.common import stage
+from cartosea.llm.common import stage, tune
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    tune(spark)
     return quality.keep_good(docs)
 
 
@@ -34,7 +35,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the bytes that they decode to."""
-    return bpe.digests(bpe.encode(docs))
+    return bpe.digests(docs)
 
 
 STAGES = [

@@ -14,7 +14,7 @@ def test_against_the_library(spark):
     rows = [(1, None), (2, ""), (3, " "), (4, "a"), (4, "a"), (None, "b c"), (7, "word " * 30000)]
     rows += [(i, "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 80)))) for i in range(10, 200)]
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, word string").repartition(3)
-    out = bpe.digests(bpe.encode(df)).collect()
+    out = bpe.digests(df).collect()
     key = lambda x: tuple((v is None, v or 0) if not isinstance(v, str) else (False, v) for v in x)
     want = []
     for d, t in rows:
@@ -24,7 +24,7 @@ def test_against_the_library(spark):
 
 
 def test_empty(spark):
-    assert bpe.digests(bpe.encode(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+    assert bpe.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_decode_and_one_scan(spark):

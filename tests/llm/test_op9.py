@@ -1,6 +1,6 @@
 import random
 
-from cartosea.llm.near_dedup import chunks, keep_one, limit, mark_documents
+from cartosea.llm.near_dedup import JOINED, chunks, keep_one, limit, mark_documents
 from tests.llm.brute import near_components
 
 
@@ -43,4 +43,4 @@ def test_keep_one_keeps_columns_and_one_of_each(spark):
 
 def test_pigeonhole():
     for s in (0.8, 0.85):
-        assert len(chunks(s)) * 2 > limit(64, s) and sum(map(len, chunks(s))) == 64
+        assert len(chunks(s)) * 2 > limit(JOINED, s) and sum(map(len, chunks(s))) == JOINED
