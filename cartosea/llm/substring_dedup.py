@@ -174,7 +174,9 @@ def _finish(window: int, fields: list[str], schema: pa.Schema):
 def _longest(done: DataFrame) -> DataFrame:
     """Largest doubled length at which a text has a repeated window; levels end when none survives."""
     spark = done.sparkSession
-    at = done.select("_k", F.explode(F.arrays_zip("_level", "_code")).alias("x")).select("_k", F.col("x._level").alias("size"), F.col("x._code").alias("h"))
+    each = done.select("_k", F.explode(F.arrays_zip("_level", "_code")).alias("x"))
+    # copies of a text are one entry with a count
+    at = stage(each.groupBy("_k", F.col("x._level").alias("size"), F.col("x._code").alias("h")).agg(F.count("*").alias("n")), "dedup-long")
     biggest = done.agg(F.max(F.array_max("_level")).alias("m")).first()["m"] or 0
     size, alive = 2 * WINDOW, None
     sizes = sorted(r["s"] for r in done.select(F.explode("_level").alias("s")).distinct().collect()) if biggest else []
@@ -183,7 +185,7 @@ def _longest(done: DataFrame) -> DataFrame:
         here = at.where(F.col("size") == size)
         if alive is not None:
             here = here.join(alive.select("_k").distinct(), "_k", "left_semi")
-        twice = here.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+        twice = stage(here.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "dedup-twice")
         alive = stage(here.join(twice, "h", "left_semi").select("_k", "size").distinct(), "dedup-level")
         if alive.isEmpty():
             break
