@@ -147,15 +147,20 @@ def measures(docs: DataFrame, keep: list[str], text: str = "text", pieces: str |
     })
 
 
+def _small(bands: DataFrame) -> DataFrame:
+    """Bands of so few groups that every executor can hold them; more are joined by shuffle."""
+    return F.broadcast(bands) if bands.count() <= 10_000 else bands
+
+
 def judge(measured: DataFrame) -> DataFrame:
     """measured (with `_group`, the language or script) plus base_failed and kept, by the corpus's own bands."""
     mid = measured.groupBy(F.col("_group").alias("_g1")).agg(
         *[F.percentile_approx(c, 0.5, 10_000).alias(f"_mid_{c}") for c in (*SPREAD, "byte_share")],
         F.percentile_approx("n_words", 0.5, 10_000).alias("_mid_words"),
     )
-    near = measured.join(mid, F.col("_group").eqNullSafe(F.col("_g1")))
+    near = measured.join(_small(stage(mid, "quality-bands")), F.col("_group").eqNullSafe(F.col("_g1")))
     off = near.groupBy(F.col("_group").alias("_g2")).agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"_mid_{c}")), 0.5, 10_000).alias(f"_mad_{c}") for c in SPREAD])
-    full = near.join(off, F.col("_group").eqNullSafe(F.col("_g2")))
+    full = near.join(_small(stage(off, "quality-bands")), F.col("_group").eqNullSafe(F.col("_g2")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     widen = F.sqrt(F.greatest(F.lit(1.0), F.col("_mid_words") / F.greatest(F.col("n_words"), F.lit(1))))
     good = (F.col("byte_share") <= F.col("_mid_byte_share") + BYTE_SHARE) & (F.col("relative_entropy") >= LEAST_ENTROPY)
