@@ -30,6 +30,8 @@ from cartosea.llm.common import column, sliced, stage, text_key, utf8
 from cartosea.llm.wordhash import Words, mix
 
 SYMBOLS, JOINED, BITS, ERRORS, MISS = 128, 48, 16, 1, 1e-5
+#: Keys of 12 bytes that executors may hold.
+BROADCAST_IDS = 400_000
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -141,6 +143,11 @@ def _verify(size: int, percent: int):
     return run
 
 
+def _checked(ids: DataFrame) -> DataFrame:
+    """A set of keys for a semi-join: held by every executor if it has BROADCAST_IDS rows at most, else shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _blocks(size: int, percent: int):
     """Links between asking entries of a block and the others in it that are of another component."""
     joined, whole = limit(JOINED, percent / 100), limit(SYMBOLS, percent / 100)
@@ -180,10 +187,10 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(large.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "cc-large")
-        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = stage(small.where("u != v").distinct(), "cc-edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -222,7 +229,7 @@ def link_documents(docs: DataFrame, keep: list[str], text: str = "text", shingle
         return stage(both.select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, percent), "a binary, b binary"), "near-links")
 
     # the only texts that are looked at again: those that share a key with another
-    texts = stage(slim.join(routed.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "near-texts")
+    texts = stage(slim.join(_checked(stage(routed.select("id").distinct(), "near-members")), "id", "left_semi").dropDuplicates(["id"]), "near-texts")
     first = routed.where("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b"))
     best = close(first).groupBy("a").agg(F.min(F.struct("dist", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     links = verified(stage(best, "near-best"))
