@@ -1,6 +1,6 @@
 import random
 
-from cartosea.llm.decontaminate import edit_within, find_leaks, keep_clean, words_of
+from cartosea.llm.decontaminate import Index, edit_within, find_leaks, keep_clean, words_of
 from cartosea.llm.wordhash import Words
 
 
@@ -68,3 +68,38 @@ def test_odd_rows_and_filter(spark):
     kept = keep_clean(docs, items)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5]
     assert find_leaks(docs.limit(0), items).count() == 0 and keep_clean(docs, items.limit(0)).count() == 6
+
+
+def _leaks(index, text, percent=80):
+    w = Words([text.encode()])
+    hits = set()
+    for _, at, i in zip(*(x.tolist() for x in index.candidates(w))):
+        most = (100 - percent) * len(index.codes[i]) // 100
+        x, y = max(0, at - 2 * most - 16), at + len(index.codes[i]) + 2 * most + 16
+        if edit_within(w.hash[x:y], index.codes[i], most)[0] <= most:
+            hits.add(index.ids[i])
+    return hits
+
+
+def test_unedited_items_at_all_offsets(spark):
+    sizes = [*range(1, 41), 60, 100]
+    items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in sizes]
+    docs = [(100 * n + o, " ".join(["x"] * o + [t] + ["y"] * (o % 5))) for n, t in items for o in range(17)]
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in got.collect()) == sorted((d, d // 100, 0) for d, _ in docs)
+
+
+def test_edited_short_items_are_all_found():
+    rnd = random.Random(11)
+    vocab = [f"v{i}" for i in range(200)]
+    for n in range(1, 30):
+        item = [rnd.choice(vocab) for _ in range(n)]
+        index = Index([n], [" ".join(item)])
+        for _ in range(20):
+            w = list(item)
+            for _ in range(n // 5):
+                q = rnd.randrange(len(w))
+                w[q : q + 1] = rnd.choice([[], ["new"], [w[q], "new"]]) if len(w) > 1 else w
+            around = [rnd.choice(vocab) for _ in range(20)]
+            cut = rnd.randrange(20)
+            assert _leaks(index, " ".join(around[:cut] + w + around[cut:])) == {n}
