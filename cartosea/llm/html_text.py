@@ -2,9 +2,10 @@
 
 Every element gets its characters per tag, adjusted for links: with C characters, T tags, LC characters and LT tags in
 links (each 1 at least, of its whole subtree), its density is C / T times the logarithm of (C / LC) * (T / LT) to the
-base ln(C * LC / (C - LC) + C * LC_body / C_body + e). An element's score is the sum of its children's densities; the
-element of the largest score among those at least as dense as the thinnest element on its path from the body is the
-main one. What a page declares as no part of its text (menus, headers and footers, asides, forms, scripts, adverts,
+base ln(C * LC / (C - LC) + C * LC_body / C_body + e). An element's score is the sum of its children's densities; that
+of the largest score is the main one. If it stands in an article or main element, that is the text. Otherwise the
+thinnest element on its path from the body gives the threshold: the main element and every other subtree that is at
+least as dense are the text, each with the headings right before it. What a page declares as no part of its text (menus, headers and footers, asides, forms, scripts, adverts,
 notices, reader comments) is taken out first and counts nowhere.
 """
 
@@ -38,6 +39,7 @@ _OUT_NAME = re.compile(
     re.I,
 )
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "thead": {"tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SCOPE = frozenset("table ul ol dl article section div main body html blockquote figure".split())
 
 
@@ -181,20 +183,13 @@ def extract(page: str | None) -> str:
     for n in order:
         score = sum(k.density for k in n.kids if not k.out)
         if score > top and n is not root or n is body and top < 0:
-            path, p = [], n
-            while p is not None and p is not root:
-                path.append(p.density)
-                if p is body:
-                    break
-                p = p.up
-            if path and n.density >= min(path):
-                best, top = n, score
+            best, top = n, score
     home = best
     while home is not None and home.tag not in ("article", "main"):
         home = home.up
-    best = home or _with_heading(best, body)
+    parts = [home] if home else _dense(best, body)
     blocks, now = [], []
-    for s, n in [*flow[best.span[0] : best.span[1]], ("", None)]:
+    for s, n in [x for part in parts for x in [*flow[part.span[0] : part.span[1]], ("", None)]]:
         if n is not None:
             now.append(s)
         elif now:
@@ -205,6 +200,31 @@ def extract(page: str | None) -> str:
     return "\n".join(blocks)
 
 
+def _dense(best: _Node, body: _Node) -> list[_Node]:
+    """In page order, the main element and the subtrees beside its path that are as dense as the path's thinnest."""
+    path, p = [best], best
+    while p is not body and p.up is not None:
+        p = p.up
+        path.append(p)
+    least = min(n.density for n in path)
+    parts = [_with_heading(best, body)]
+    while parts[-1] is not body and parts[-1].up is not None:
+        parts.append(parts[-1].up)
+    kept, above = parts[:1], parts[1:]
+    for n, on in zip(above, parts):
+        kids = [k for k in n.kids if not k.out and k.chars]
+        after = False
+        for k in reversed(kids):
+            heading = k.tag in _HEADINGS
+            if k is not on:
+                after = after if heading else k.density >= least
+                if after:
+                    kept.append(k)
+            else:
+                after = True
+    return sorted(kept, key=lambda n: n.span)
+
+
 def _with_heading(node: _Node, body: _Node) -> _Node:
     """The highest ancestor below the body that adds nothing but headings and text that is mostly no links."""
     while node is not body and node.up is not None and node.tag != "html":

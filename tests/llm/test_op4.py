@@ -36,3 +36,13 @@ def test_given_pages(spark, sf):
     assert {k: v["text"] for k, v in got.items()} == want
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert extract_text(spark.createDataFrame([(1, "u", None, "t")], "page_id long, url string, html string, text string")).first()["text"] == ""
+
+
+def test_article_split_over_siblings():
+    part = lambda c, n: f"<section><h2>Part {c}</h2>" + "".join(f"<p>{c}{i} {LONG}</p>" for i in range(n)) + "</section>"
+    want = lambda c, n: [f"Part {c}", *[f"{c}{i} {H.unescape(LONG)}" for i in range(n)]]
+    links = "<div>" + "".join(f"<a href={i}>Go {i}</a> " for i in range(40)) + "</div>"
+    page = f"<body>{links}<div>{part('a', 20)}{part('b', 20)}</div>{links}</body>"
+    assert extract(page).split("\n") == want("a", 20) + want("b", 20)
+    page = f"<body>{links}<div>{part('a', 12)}{links}{part('b', 20)}</div><div><h3>More</h3><div>{part('c', 15)}</div></div></body>"
+    assert extract(page).split("\n") == want("a", 12) + want("b", 20) + ["More"] + want("c", 15)
