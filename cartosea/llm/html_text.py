@@ -6,7 +6,8 @@ base ln(C * LC / (C - LC) + C * LC_body / C_body + e). An element's score is the
 of the largest score is the main one. If it stands in an article or main element, that is the text. Otherwise the
 thinnest element on its path from the body gives the threshold: the main element and every other subtree that is at
 least as dense are the text, each with the headings right before it. What a page declares as no part of its text (menus, headers and footers, asides, forms, scripts, adverts,
-notices, reader comments) is taken out first and counts nowhere.
+notices, reader comments) is taken out first and counts nowhere; a class or id declares it only by whole names, and
+never for article, main or an element that holds most of the body's text.
 """
 
 from __future__ import annotations
@@ -33,23 +34,32 @@ _BLOCK = frozenset(
 #: Elements that never hold a page's own text.
 _OUT = frozenset("script style textarea title noscript template iframe head nav aside footer form button select option svg canvas object math menu dialog audio video map noembed noframes".split())
 _OUT_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog note".split())
-#: Words of class and id that mark what isn't the article.
-_OUT_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|side-bar|rail|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|footer|masthead|site-header|page-header|topbar|skip-link|copyright|hidden)(?=$|[\s_-]|\d)",
+#: Words of class and id that mark what isn't the article, and whole names that do.
+_OUT_WORD = re.compile(
+    r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|rail|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|footer|masthead|topbar|copyright|hidden)\d*",
     re.I,
 )
+_OUT_WHOLE = frozenset("side-bar site-header page-header skip-link".split())
+#: Words that may stand beside them in a name for furniture; with any other word (has-sidebar, comments-open) it is a
+#: state or a topic.
+_BESIDE = re.compile(
+    r"(?:site|page|main|global|top|bottom|left|right|primary|secondary|header|bar|box|block|container|wrapper|wrap|inner|outer|area|section|list|links?|buttons?|btn|icons?|posts?|articles?|stories|story|items?|form|unit|slot|space|google|text|mobile|desktop|sticky|fixed|floating|group|row|column|col|panel|zone|thread|media|bars?|the|and|by|on|us|follow|blog|user|reader|email|mail|accept|policy|\d+)\d*",
+    re.I,
+)
+#: Readers' comments often outgrow the article; they count as the page's text only if next to nothing else does.
+_COMMENTS = re.compile(r"comments?|commentlist|disqus|replies|respond", re.I)
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "thead": {"tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SCOPE = frozenset("table ul ol dl article section div main body html blockquote figure".split())
 
 
 class _Node:
-    __slots__ = ("tag", "up", "kids", "out", "chars", "tags", "link_chars", "link_tags", "density", "span")
+    __slots__ = ("tag", "up", "kids", "out", "chars", "tags", "link_chars", "link_tags", "density", "span", "named")
 
     def __init__(self, tag: str, up: _Node | None, out: bool, at: int):
         self.tag, self.up, self.out, self.kids = tag, up, out, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density, self.span = 0.0, [at, at]
+        self.density, self.span, self.named = 0.0, [at, at], 0.0
 
 
 def _is_out(tag: str, attributes: str, inside: bool) -> bool:
@@ -59,13 +69,48 @@ def _is_out(tag: str, attributes: str, inside: bool) -> bool:
         return bool(re.search(r"\bhidden\b", attributes)) if attributes.strip() and tag not in ("body", "html") else False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "role" and value.strip().lower() in _OUT_ROLE or name in ("class", "id") and _OUT_NAME.search(value) or name == "aria-hidden" and value == "true":
+        if name == "role" and value.strip().lower() in _OUT_ROLE or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"""=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", attributes), re.I))
 
 
+def _named(tag: str, attributes: str) -> float:
+    """The share of the body's text up to which class or id mark the element as no part of the article; 0: they don't."""
+    share = 0.0
+    if tag in ("body", "html", "article", "main") or not attributes.strip():
+        return share
+    for name, value in _ATTRIBUTE.findall(attributes):
+        for token in value.strip("\"'").split() if name.lower() in ("class", "id") else ():
+            parts = [x for x in re.split(r"[-_]+", token) if x]
+            marks = [x for x in parts if _OUT_WORD.fullmatch(x)]
+            if token.lower() in _OUT_WHOLE or marks and all(_OUT_WORD.fullmatch(x) or _BESIDE.fullmatch(x) for x in parts):
+                share = max(share, 0.9 if any(_COMMENTS.fullmatch(x) for x in marks) else 0.5)
+    return share
+
+
+def _drop_named(root: _Node, flow: list[tuple[str, _Node | None]]) -> None:
+    """Take out the elements that a name marks, unless most of the body's text is theirs."""
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += n.kids
+    if not any(n.named for n in order):
+        return
+    size = dict.fromkeys(order, 0)
+    for s, n in flow:
+        if n is not None:
+            size[n] += len("".join(s.split()))
+    for n in reversed(order):
+        if n.up is not None:
+            size[n.up] += size[n]
+    body = size[next((k for k in root.kids if k.tag == "body"), root)]
+    for n in order:
+        n.out = n.out or n.up is not None and n.up.out or 0 < n.named and size[n] <= n.named * body
+
+
 def _parse(page: str) -> tuple[_Node, list[tuple[str, _Node | None]]]:
     """The element tree, and the page's flow: texts with their element, or a block edge ("", None)."""
     root = _Node("html", None, False, 0)
@@ -122,6 +167,7 @@ def _parse(page: str) -> tuple[_Node, list[tuple[str, _Node | None]]]:
         up = stack[-1]
         inside = any(n.tag in ("article", "main") for n in stack)
         node = _Node(tag, up, up.out or _is_out(tag, m[3], inside), len(flow))
+        node.named = 0.0 if node.out else _named(tag, m[3])
         up.kids.append(node)
         if tag in _VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path", "use"):
             continue
@@ -133,7 +179,8 @@ def _parse(page: str) -> tuple[_Node, list[tuple[str, _Node | None]]]:
         stack.append(node)
     pop(1)
     root.span[1] = len(flow)
-    return root, flow
+    _drop_named(root, flow)
+    return root, [("" if n is not None and n.out else s, n) for s, n in flow]
 
 
 def _measure(root: _Node, flow: list[tuple[str, _Node | None]]) -> list[_Node]:

@@ -46,3 +46,19 @@ def test_article_split_over_siblings():
     assert extract(page).split("\n") == want("a", 20) + want("b", 20)
     page = f"<body>{links}<div>{part('a', 12)}{links}{part('b', 20)}</div><div><h3>More</h3><div>{part('c', 15)}</div></div></body>"
     assert extract(page).split("\n") == want("a", 12) + want("b", 20) + ["More"] + want("c", 15)
+
+
+def test_names_of_states_and_topics():
+    body, t = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>", H.unescape(LONG)
+    wraps = ["main class='has-sidebar'", "div id='content' class='no-sidebar'", "article class='post category-social'", "article class='post comments-open'"]
+    wraps += ["div class='notice-board'", "div class='related-yes'", "main class=sidebar", "article id=hidden-nav class=widget", "div class='sidebar-right'", "div class=widget"]
+    for w in wraps:
+        page = f"<body><div class=cookie-notice>We use cookies.</div><{w}>{body}</{w.split()[0]}><div class='site-footer'>{LONG}</div></body>"
+        assert extract(page) == f"Title\n{t}\n{t}", w
+
+
+def test_names_of_furniture():
+    for name in ("sidebar", "ad", "ad-1", "ads2", "post-comments", "comment_list", "share-buttons", "related-posts", "side-bar", "x main-nav", "site__footer", "cookie-consent-banner"):
+        for attribute in ("class", "id"):
+            assert extract(f"<body><div><p>{LONG}</p><p>{LONG}</p></div><div {attribute}='{name}'><p>{LONG}</p></div></body>") == "\n".join([H.unescape(LONG)] * 2), name
+    assert extract(f"<body><div><p>{LONG}</p></div><div id=comments>{f'<p>{LONG}</p>' * 4}</div></body>") == H.unescape(LONG)
