@@ -3,7 +3,8 @@
 Public vocabularies tell ordinary text of a language from junk: a document is measured by its characters per token in
 two vocabularies, the share of its pieces that fall back to bytes, and the entropy of its pieces in bits. For each
 language (column `lang`; the dominant script where there is none) the corpus gives each measure's median and median
-absolute deviation over all documents, and a document outside the band around the median is rejected. Texts that are too short or repeat themselves fail beforehand.
+absolute deviation over all documents, and a document outside the band around the median is rejected. Entropy grows
+with length, so its medians and deviations are those of the language's documents of like length. Texts that are too short or repeat themselves fail beforehand.
 """
 
 from __future__ import annotations
@@ -25,10 +26,15 @@ MIN_WORDS, REPEAT_PERCENT, RUN = 10, 20, 5
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 #: Median absolute deviations that each measure may be off its language's median; a deviation counts as LEAST of the
 #: median at least, and the band widens as 1/sqrt for texts shorter than the language's median length.
-SPREAD = {"chars_per_token": 5.0, "chars_per_piece": 7.0}
+SPREAD = {"chars_per_token": 5.0, "chars_per_piece": 7.0, "byte_share": 5.0}
 LEAST = 0.01
-#: Pieces that may fall back to bytes above the median share, and the least entropy against log2 of the number of pieces.
-BYTE_SHARE, LEAST_ENTROPY = 0.25, 0.35
+#: The least deviation of the share of pieces that fall back to bytes; its median is mostly 0.
+LEAST_SHARE = 0.05
+#: Deviations that entropy may be off, the least one in bits, and the documents that a doubling of lengths needs for a
+#: median of its own; fewer are held against the nearest one that has them.
+ENTROPY_SPREAD, LEAST_BITS, ENOUGH = 7.0, 0.1, 20
+#: The least entropy against log2 of the number of pieces, whatever the language.
+LEAST_ENTROPY = 0.35
 #: Distinct words that a worker keeps measured.
 CACHE = 150_000
 
@@ -152,22 +158,46 @@ def _small(bands: DataFrame) -> DataFrame:
     return F.broadcast(bands) if bands.count() <= 10_000 else bands
 
 
+def _by_length(measured: DataFrame) -> DataFrame:
+    """measured with `_bits` (log2 of the number of pieces) and medians of it and of entropy, and entropy's median
+    absolute deviation, over the group's documents of like length."""
+    bits = F.log2(F.greatest(F.col("n_pieces"), F.lit(1)))
+    sized = measured.withColumns({"_bits": bits, "_octave": F.floor(bits)})
+    many = sized.where("n_words > 0").groupBy(F.col("_group").alias("_g3"), "_octave").count().where(F.col("count") >= ENOUGH)
+    dense = many.groupBy("_g3").agg(F.sort_array(F.collect_list("_octave")).alias("_dense"))
+    with_dense = sized.join(_small(stage(dense, "quality-lengths")), F.col("_group").eqNullSafe(F.col("_g3")), "left")
+    nearest = F.array_min(F.transform("_dense", lambda x: F.struct(F.abs(x - F.col("_octave")).alias("off"), x.alias("at"))))["at"]
+    near = with_dense.withColumn("_like", F.coalesce(nearest, F.lit(-1)))
+    same = lambda g, k: F.col("_group").eqNullSafe(F.col(g)) & (F.col("_like") == F.col(k))
+    mid = near.where("n_words > 0").groupBy(F.col("_group").alias("_g4"), F.col("_like").alias("_k4")).agg(
+        F.percentile_approx("_bits", 0.5, 10_000).alias("_mid_bits"), F.percentile_approx("entropy", 0.5, 10_000).alias("_mid_entropy")
+    )
+    near = near.join(_small(stage(mid, "quality-lengths")), same("_g4", "_k4"), "left")
+    off = near.where("n_words > 0").groupBy(F.col("_group").alias("_g5"), F.col("_like").alias("_k5")).agg(F.percentile_approx(F.abs(F.col("entropy") - F.col("_mid_entropy")), 0.5, 10_000).alias("_mad_entropy"))
+    return near.join(_small(stage(off, "quality-lengths")), same("_g5", "_k5"), "left")
+
+
 def judge(measured: DataFrame) -> DataFrame:
     """measured (with `_group`, the language or script) plus base_failed and kept, by the corpus's own bands."""
     mid = measured.groupBy(F.col("_group").alias("_g1")).agg(
-        *[F.percentile_approx(c, 0.5, 10_000).alias(f"_mid_{c}") for c in (*SPREAD, "byte_share")],
+        *[F.percentile_approx(c, 0.5, 10_000).alias(f"_mid_{c}") for c in SPREAD],
         F.percentile_approx("n_words", 0.5, 10_000).alias("_mid_words"),
     )
     near = measured.join(_small(stage(mid, "quality-bands")), F.col("_group").eqNullSafe(F.col("_g1")))
     off = near.groupBy(F.col("_group").alias("_g2")).agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"_mid_{c}")), 0.5, 10_000).alias(f"_mad_{c}") for c in SPREAD])
-    full = near.join(_small(stage(off, "quality-bands")), F.col("_group").eqNullSafe(F.col("_g2")))
+    full = _by_length(near.join(_small(stage(off, "quality-bands")), F.col("_group").eqNullSafe(F.col("_g2"))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     widen = F.sqrt(F.greatest(F.lit(1.0), F.col("_mid_words") / F.greatest(F.col("n_words"), F.lit(1))))
-    good = (F.col("byte_share") <= F.col("_mid_byte_share") + BYTE_SHARE) & (F.col("relative_entropy") >= LEAST_ENTROPY)
+    good = F.col("relative_entropy") >= LEAST_ENTROPY
     for c, times in SPREAD.items():
-        half = times * widen * F.greatest(F.col(f"_mad_{c}"), LEAST * F.col(f"_mid_{c}"))
+        least = F.lit(LEAST_SHARE) if c == "byte_share" else LEAST * F.col(f"_mid_{c}")
+        half = times * widen * F.greatest(F.col(f"_mad_{c}"), least)
         good &= F.abs(F.col(c) - F.col(f"_mid_{c}")) <= half
-    return full.withColumns({"base_failed": failed, "kept": ~failed & good}).select(*measured.columns, "base_failed", "kept")
+    # a longer text has at least the entropy of a shorter one of its kind, and at most what the added length allows
+    longer, bits = F.col("_bits") - F.col("_mid_bits"), F.col("entropy") - F.col("_mid_entropy")
+    half = ENTROPY_SPREAD * F.greatest(F.col("_mad_entropy"), F.lit(LEAST_BITS))
+    good &= (bits >= F.least(longer, F.lit(0.0)) - half) & (bits <= F.greatest(longer, F.lit(0.0)) + half)
+    return full.withColumns({"base_failed": failed, "kept": ~failed & F.coalesce(good, F.lit(False))}).select(*measured.columns, "base_failed", "kept")
 
 
 def score_documents(docs: DataFrame, keep: list[str], text: str = "text", lang: str | None = "lang") -> DataFrame:

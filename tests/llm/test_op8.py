@@ -29,3 +29,14 @@ def test_filter_keeps_columns(spark):
     df = spark.createDataFrame([(1, "short", "en", "c0")], "doc_id long, text string, lang string, _c0 string")
     assert keep_good(df).columns == df.columns and keep_good(df).count() == 0
     assert keep_good(spark.createDataFrame([], df.schema)).count() == 0
+
+
+def test_entropy_bands_by_language(spark):
+    rnd = random.Random(9)
+    vocab = ["".join(rnd.choice("abcdefghijklmnoprstuvwyz") for _ in range(6)) for _ in range(1800)]
+    prose = lambda n, v: " ".join(rnd.choice(v) for _ in range(n))
+    rows = [(i, prose(rnd.randint(300, 800), vocab), "en") for i in range(60)] + [(100 + i, prose(500, vocab[::90]), "en") for i in range(3)]
+    rows += [(200 + i, prose(rnd.randint(300, 800), vocab[::90]), "xx") for i in range(60)] + [(300 + i, prose(500, vocab), "xx") for i in range(3)]
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["doc_id"]).collect()}
+    assert all(got[100 + i] == (False, False) and got[300 + i] == (False, False) for i in range(3))
+    assert all(got[i][1] and got[200 + i][1] for i in range(60))
