@@ -3,8 +3,9 @@
 Level 0 looks at short windows (`ANCHOR` words). Only those picked as the leftmost smallest hash of some full window
 are looked at: equal full windows pick the same one, so nothing is lost and a twelfth of the rows is shuffled. Around
 short windows that occur twice or more, and only there, the full windows (`window` words) are compared; their words
-go. From then on every level doubles the length and looks only at windows inside what was repeated one level before,
-until none survives; that yields each document's longest repeated length.
+go. From then on every level doubles the length and compares every window inside what was repeated before, until none
+survives; that yields each document's longest repeated length. A text with copies repeats as a whole, so its own windows
+are compared only where they stand elsewhere too.
 
 Copies of whole texts share one key, so a group of copies is one entry, and every count is aggregated map-side first:
 no group of equal windows ever meets in one task. Window hashes have 64 bits and are only looked at where a repeated
@@ -110,27 +111,31 @@ def _emit_candidates(window: int):
 
 def _count_candidates(batches):
     for b in batches:
-        doc, h = _flat(b.column("ws"))
+        _, h = _flat(b.column("ws"))
         if not len(h):
             continue
-        weight = np.asarray(b.column("copies").to_numpy(zero_copy_only=False))[doc]
-        u, inv = np.unique(h, return_inverse=True)
-        n = np.minimum(np.bincount(inv, np.minimum(weight, 2)), 2).astype(np.int32)
-        yield pa.record_batch([pa.array(u), pa.array(n)], names=["h", "n"])
+        u, n = np.unique(h, return_counts=True)
+        yield pa.record_batch([pa.array(u), pa.array(np.minimum(n, 2).astype(np.int32))], names=["h", "n"])
 
 
 def _finish(window: int, fields: list[str], schema: pa.Schema):
-    """Remove covered words; also hash sparse longer windows inside repeated stretches for the levels above."""
+    """Remove covered words; also hash all longer windows inside repeated stretches for the levels above."""
 
     def run(batches):
         for b in sliced(batches):
             texts = utf8(b.column("text"))
             w = Words(texts)
             at = np.flatnonzero(w.inside(window))
-            hit = _is_member(w.doc[at], w.windows(window)[at].view(np.int64), *_flat(b.column("repeated")))
+            shared = _is_member(w.doc[at], w.windows(window)[at].view(np.int64), *_flat(b.column("repeated")))
             many = np.asarray(b.column("copies").to_numpy(zero_copy_only=False)) > 1
-            hit |= many[w.doc[at]]
-            gone = covered(len(w.hash), at[hit], window)
+            gone = covered(len(w.hash), at[shared | many[w.doc[at]]], window)
+            # the largest doubled length of a text with copies is known from its own
+            whole = np.where(many & (w.n >= window), window, 0)
+            while (more := (whole > 0) & (2 * whole <= w.n)).any():
+                whole[more] *= 2
+            run_of = np.zeros(len(w.hash) + 1, np.int64)
+            run_of[at[shared] + 1] = 1
+            run_of = np.cumsum(run_of)
             raw, kept, digest = w.raw, [], []
             for i in range(b.num_rows):
                 a, z = w.first[i], w.first[i + 1]
@@ -147,24 +152,19 @@ def _finish(window: int, fields: list[str], schema: pa.Schema):
             level, owner, code = [], [], []
             size = 2 * window
             while size <= w.n.max(initial=0):
-                # a window of `size` words is a candidate only if all shorter ones in it are repeated
-                run_of = np.concatenate([[0], np.cumsum(gone)])
-                inside = w.inside(size) & (run_of[size:] - run_of[:-size] == size) if len(gone) >= size else np.zeros(0, bool)
-                where = np.flatnonzero(inside)
+                # a window of `size` words is a candidate only if all windows in it are repeated
+                inside, n = w.inside(size), size - window + 1
+                where = np.flatnonzero(inside & (run_of[n:] - run_of[:-n] == n)[: len(inside)])
                 if not len(where):
                     break
-                short = w.windows(_short(window))
-                pick = np.unique(sliding_argmin(short, size // 2)[where])
-                pick = pick[pick <= len(inside) - 1]
-                pick = pick[inside[pick]]
-                full = w.windows(size)[pick].view(np.int64)
-                level.append(np.full(len(pick), size, np.int64)), owner.append(w.doc[pick]), code.append(full)
+                full = w.windows(size)[where].view(np.int64)
+                level.append(np.full(len(where), size, np.int64)), owner.append(w.doc[where]), code.append(full)
                 size *= 2
             owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
             order = np.argsort(owner, kind="stable")
             flat = [(np.concatenate(x) if x else np.zeros(0, np.int64))[order] for x in (level, code)]
             out = {f: b.column(f) for f in fields}
-            out |= {"_text": pa.array(kept, pa.binary()).cast(pa.string()), "_n_words": pa.array(w.n.astype(np.int64)), "_n_removed": pa.array(dropped), "_kept_sha256": pa.array(digest)}
+            out |= {"_text": pa.array(kept, pa.binary()).cast(pa.string()), "_n_words": pa.array(w.n.astype(np.int64)), "_n_removed": pa.array(dropped), "_kept_sha256": pa.array(digest), "_whole": pa.array(whole.astype(np.int64))}
             out |= {"_level": _lists(owner[order], flat[0], b.num_rows), "_code": _lists(owner[order], flat[1], b.num_rows), "_k": b.column("k")}
             yield pa.record_batch([out[n].cast(t) if out[n].type != t else out[n] for n, t in zip(schema.names, schema.types)], names=schema.names)
 
@@ -216,7 +216,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "text")
     texts = slim.join(known, "k")
     cand = stage(texts.select("k", "text", "anchors", "copies").mapInArrow(_emit_candidates(window), "k binary, copies long, ws array<long>"), "dedup-windows")
     repeated = stage(cand.mapInArrow(_count_candidates, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "dedup-repeated")
-    back = cand.where("copies = 1").select("k", F.explode("ws").alias("h")).join(repeated, "h", "left_semi")
+    back = cand.select("k", F.explode("ws").alias("h")).join(repeated, "h", "left_semi")
     marks = stage(
         back.groupBy("k").agg(F.collect_set("h").alias("repeated"))
         .join(copies.where("copies > 1"), "k", "full").select("k", "repeated", F.coalesce("copies", F.lit(1)).alias("copies")),
@@ -228,7 +228,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "text")
     keep = [f for c, f in zip(docs.columns, fields) if c != text]
     done_type = whole.select(*keep).schema
     longs = T.ArrayType(T.LongType())
-    for name, kind in (("_text", T.StringType()), ("_n_words", T.LongType()), ("_n_removed", T.LongType()), ("_kept_sha256", T.StringType()), ("_level", longs), ("_code", longs), ("_k", T.BinaryType())):
+    for name, kind in (("_text", T.StringType()), ("_n_words", T.LongType()), ("_n_removed", T.LongType()), ("_kept_sha256", T.StringType()), ("_whole", T.LongType()), ("_level", longs), ("_code", longs), ("_k", T.BinaryType())):
         done_type = done_type.add(name, kind)
     done = stage(whole.mapInArrow(_finish(window, keep, to_arrow_schema(done_type)), done_type), "dedup-done")
     longest = _longest(done)
@@ -237,5 +237,5 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "text")
     base = F.when(F.col("_n_removed") > 0, F.lit(window)).otherwise(F.lit(0))
     return full.select(
         *[(F.col("_text").alias(text) if c == text else F.col(f).alias(c)) for f, c in names.items()],
-        "_n_words", "_n_removed", "_kept_sha256", F.coalesce("_longest", base).cast("long").alias("_longest"),
+        "_n_words", "_n_removed", "_kept_sha256", F.greatest(F.coalesce("_longest", base), "_whole").cast("long").alias("_longest"),
     )

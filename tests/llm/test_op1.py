@@ -38,3 +38,33 @@ def test_levels_double(spark):
     rows = [(1, base), (2, "q " + base), (3, "alone " + base[:20])]
     got = {r["doc_id"]: r["_longest"] for r in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] >= 140 and got[2] >= 140 and got[3] == 0
+
+
+def _longest(rows, size):
+    """The largest doubled length at which each text has a window that stands anywhere else."""
+    words, best = [(t or "").split() for _, t in rows], [0] * len(rows)
+    while True:
+        count = {}
+        for w in words:
+            for i in range(len(w) - size + 1):
+                count[tuple(w[i : i + size])] = count.get(tuple(w[i : i + size]), 0) + 1
+        hit = [any(count[tuple(w[i : i + size])] > 1 for i in range(len(w) - size + 1)) for w in words]
+        if not any(hit):
+            return sorted((d, n) for (d, _), n in zip(rows, best))
+        best = [size if h else n for h, n in zip(hit, best)]
+        size *= 2
+
+
+def test_longest_against_brute_force(spark):
+    rnd = random.Random(4)
+    fresh = lambda n: [f"u{rnd.random()}" for _ in range(n)]
+    rows, d = [(1, "same " * 400), (2, None), (3, " ".join(fresh(90)))], 10
+    for n in (34, 35, 36, 69, 70, 71, 80, 104, 105, 139, 140, 150, 279, 280, 281, 300, 560):
+        part = fresh(n)
+        for _ in range(2):
+            rows.append((d, " ".join(fresh(rnd.randint(0, 40)) + part + fresh(rnd.randint(1, 40)))))
+            d += 1
+    copied = fresh(320)
+    rows += [(d, " ".join(copied)), (d + 1, " ".join(copied)), (d + 2, " ".join(fresh(9) + copied[100:175] + fresh(9))), (d + 3, " ".join(fresh(5) + (p := fresh(70)) + p))]
+    got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["_longest"]) for r in got.collect()) == _longest(rows, 35)
