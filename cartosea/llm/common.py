@@ -11,18 +11,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartosea.llm import files
+
 #: UTF-8 bytes of text that a Python worker handles at a time.
 SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; an own one only where that is unset (local runs)."""
+    """The folder named by spark.checkpoint.dir. Where that is unset a local run gets one of its own; a cluster, whose
+    machines share no other folder, is refused."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("cartosea.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='cartosea-')}"
         spark.conf.set("cartosea.shared.dir", found)
     return found if "://" in found or found.startswith("file:") else f"file://{found}"
@@ -33,18 +39,31 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Shuffle files of a finished write go with it, instead of when the driver next collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = workspace(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = workspace(spark, name), spark.conf.get(_CLEANUP)
+    tune(spark)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.staged_at = path
+    return back
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps now, not when the driver next happens to collect."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*staged: DataFrame) -> None:
+    """Delete what stage() wrote, once nothing reads it any more."""
+    for df in staged:
+        f, p = files.at(df.staged_at)
+        if f.get_file_info(p).type != fs.FileType.NotFound:
+            f.delete_dir(p)
 
 
 def text_key(text):
@@ -53,8 +72,9 @@ def text_key(text):
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of so few rows that even long texts fit beside an executor's heap."""
+    """Arrow batches bounded by rows and by bytes, so that long texts too fit beside an executor's heap."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def tidy() -> None:

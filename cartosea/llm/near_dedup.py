@@ -10,8 +10,11 @@ full shingle sets decide.
 Exact copies are one entry. Each bucket of equal keys goes to its most popular entry, the one that shares most keys
 with others: a group of near copies then has one or few such centres, whatever number of buckets it fills. Every entry
 is compared with its centres and the closest one is verified, which merges most of the group. Entries that are still in
-another component than most of their centre's group are a query set against that group, in blocks of bounded size that
-compare signatures and then full sets and return links only; so no component is lost, and pairs are never listed.
+another component than most of their centre's group are a query set against that group: group and queries are cut by
+set size (a partner's is within the similarity), then into blocks of bounded size that compare signatures only. What
+has a near signature there, and nothing else, meets again with its text; full sets decide, and links come out. So no
+component is lost, pairs are never listed, and unlike texts that share a bucket never move their texts. The plan is
+the same at every size: texts of entries that share a key are shuffled once.
 Components come from alternating large-star and small-star steps over tables in the shared folder.
 """
 
@@ -26,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartosea.llm.common import column, sliced, stage, text_key, utf8
+from cartosea.llm.common import column, discard, sliced, stage, text_key, utf8
 from cartosea.llm.wordhash import Words, mix
 
 SYMBOLS, JOINED, BITS, ERRORS, MISS = 128, 48, 16, 1, 1e-5
-#: Keys of 12 bytes that executors may hold.
-BROADCAST_IDS = 400_000
+#: Entries and queries of a block of signatures; words of both kinds of a block of texts.
+BLOCK, ASKING, WORDS, ASKING_WORDS = 8192, 2048, 1_000_000, 500_000
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -143,9 +146,29 @@ def _verify(size: int, percent: int):
     return run
 
 
-def _checked(ids: DataFrame) -> DataFrame:
-    """A set of keys for a semi-join: held by every executor if it has BROADCAST_IDS rows at most, else shuffled."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _near_blocks(percent: int):
+    """A block's entries that have a near signature of another component: the asking ones, and those that they meet."""
+    joined, whole = limit(JOINED, percent / 100), limit(SYMBOLS, percent / 100)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("n")
+        asks = np.asarray(group.column("asks").to_pylist(), bool)
+        n = group.column("n").to_numpy()
+        _, comp = np.unique(np.asarray(group.column("comp").to_pylist(), "S12"), return_inverse=True)
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        others, hot = np.flatnonzero(~asks), np.zeros(len(n), bool)
+        low, size = sig[others, :JOINED], n[others]
+        for r in np.flatnonzero(asks):
+            a, z = np.searchsorted(size, -(-percent * n[r] // 100)), np.searchsorted(size, 100 * n[r] // percent, "right")
+            near = np.flatnonzero((low[a:z] != sig[r, :JOINED]).sum(1) <= joined)
+            near = others[a + near]
+            near = near[comp[near] != comp[r]]
+            near = near[(sig[near] != sig[r]).sum(1) <= whole]
+            hot[near] = True
+            hot[r] |= len(near) > 0
+        return group.select(["centre", "band", "rb", "xb", "asks", "id", "comp", "n"]).filter(pa.array(hot))
+
+    return run
 
 
 def _blocks(size: int, percent: int):
@@ -192,13 +215,47 @@ def components(links: DataFrame) -> DataFrame:
         large = stage(large.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "cc-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = stage(small.where("u != v").distinct(), "cc-edges")
+        last, edges = edges, stage(small.where("u != v").distinct(), "cc-edges")
+        discard(last, large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
     heads = edges.select(F.col("v").alias("u"), F.col("v").alias("m")).distinct()
-    return stage(edges.select("u", F.col("v").alias("m")).unionByName(heads).groupBy("u").agg(F.min("m").alias("m")).select(F.col("u").alias("id"), F.col("m").alias("comp")), "cc-comps")
+    comps = stage(edges.select("u", F.col("v").alias("m")).unionByName(heads).groupBy("u").agg(F.min("m").alias("m")).select(F.col("u").alias("id"), F.col("m").alias("comp")), "cc-comps")
+    discard(edges)
+    return comps
+
+
+def _of(count: str, salt: int = 0):
+    """The part, of as many as a column says, that an entry belongs to."""
+    return F.pmod(F.xxhash64("id", F.lit(salt)), F.col(count)).cast("int")
+
+
+def _over(count: str):
+    """Every part."""
+    return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+
+def _parts(amount, most: int):
+    """Parts that hold most each."""
+    return F.greatest(F.ceil(amount / most), F.lit(1)).cast("int")
+
+
+def _signature_blocks(here: DataFrame, percent: int) -> DataFrame:
+    """Blocks (centre, band, rb, xb) of entries and of those that ask; here has centre, id, comp, n and main.
+
+    A pair's sizes are within the similarity, so its size bands are equal or neighbours: entries stand in their own
+    band, queries in theirs and both beside it.
+    """
+    width = math.log(100 / percent) * 1.0001
+    here = here.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+    asking = here.where("comp != main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    count = lambda df, name, most: df.groupBy("centre", "band").agg(F.count("*").alias("c")).select("centre", "band", _parts(F.col("c"), most).alias(name))
+    grid = stage(count(here, "nx", BLOCK).join(count(asking, "nr", ASKING), ["centre", "band"]), "near-grid")
+    asks = asking.join(grid, ["centre", "band"]).select("centre", "band", _of("nr").alias("rb"), _over("nx").alias("xb"), F.lit(True).alias("asks"), "id", "comp")
+    rest = here.join(grid, ["centre", "band"]).select("centre", "band", _over("nr").alias("rb"), _of("nx").alias("xb"), F.lit(False).alias("asks"), "id", "comp")
+    return asks.unionByName(rest)
 
 
 def link_documents(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = 3, percent: int = 85) -> DataFrame:
@@ -228,8 +285,9 @@ def link_documents(docs: DataFrame, keep: list[str], text: str = "text", shingle
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return stage(both.select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, percent), "a binary, b binary"), "near-links")
 
-    # the only texts that are looked at again: those that share a key with another
-    texts = stage(slim.join(_checked(stage(routed.select("id").distinct(), "near-members")), "id", "left_semi").dropDuplicates(["id"]), "near-texts")
+    # the only texts that are looked at again: those that share a key with another. The hint keeps one plan at all sizes
+    members = stage(routed.select("id").distinct(), "near-members")
+    texts = stage(slim.dropDuplicates(["id"]).join(members.hint("merge"), "id", "left_semi"), "near-texts")
     first = routed.where("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b"))
     best = close(first).groupBy("a").agg(F.min(F.struct("dist", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     links = verified(stage(best, "near-best"))
@@ -237,18 +295,20 @@ def link_documents(docs: DataFrame, keep: list[str], text: str = "text", shingle
     # in each centre's group, entries outside its largest component against all of the group
     sizes = sigs.select("id", "n")
     placed = stage(routed.join(comps, "id", "left").join(sizes, "id").select("centre", "id", F.coalesce("comp", "id").alias("comp"), "n"), "near-placed")
-    parts = placed.groupBy("centre", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
-    main = parts.groupBy("centre").agg(F.max(F.struct("c", "comp")).alias("x"), F.count("*").alias("k"), F.sum("w").alias("all"), F.sum("c").alias("total"))
-    main = stage(main.where("k > 1").select("centre", F.col("x.comp").alias("main"), "all", "total", F.col("x.c").alias("c")), "near-main")
-    blocks = lambda words, count, most_words, most: F.greatest(F.ceil(words / most_words), F.ceil(count / most), F.lit(1)).cast("int")
-    here = placed.join(main, "centre").withColumns({"nx": blocks(F.col("all"), F.col("total"), 1_000_000, 4096), "nr": blocks(F.col("all"), F.col("total") - F.col("c"), 500_000, 512)})
-    of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asks = here.where("comp != main").select("centre", of("nr").alias("rb"), over("nx").alias("xb"), F.lit(True).alias("asks"), "id", "comp")
-    rest = here.select("centre", over("nr").alias("rb"), of("nx").alias("xb"), F.lit(False).alias("asks"), "id", "comp")
-    both = stage(asks.unionByName(rest), "near-blocks")
-    found = both.join(texts, "id").join(sigs.select("id", "sig"), "id").groupBy("centre", "rb", "xb").applyInArrow(_blocks(shingle, percent), "a binary, b binary")
+    parts = placed.groupBy("centre", "comp").agg(F.count("*").alias("c"))
+    main = parts.groupBy("centre").agg(F.max(F.struct("c", "comp")).alias("x"), F.count("*").alias("k"))
+    main = stage(main.where("k > 1").select("centre", F.col("x.comp").alias("main")), "near-main")
+    block = ["centre", "band", "rb", "xb"]
+    both = stage(_signature_blocks(placed.join(main, "centre"), percent), "near-blocks")
+    near = both.join(sigs.select("id", "n", "sig"), "id").groupBy(*block).applyInArrow(_near_blocks(percent), "centre binary, band int, rb int, xb int, asks boolean, id binary, comp binary, n long")
+    near = stage(near, "near-hot")
+    words = near.groupBy(*block).agg(F.sum(F.when(F.col("asks"), F.col("n"))).alias("a"), F.sum(F.when(~F.col("asks"), F.col("n"))).alias("x"))
+    near = near.join(words.select(*block, _parts(F.col("a"), ASKING_WORDS).alias("nr"), _parts(F.col("x"), WORDS).alias("nx")), block)
+    asks = near.where("asks").select(*block, _of("nr", 1).alias("r2"), _over("nx").alias("x2"), "asks", "id", "comp")
+    rest = near.where("not asks").select(*block, _over("nr").alias("r2"), _of("nx", 1).alias("x2"), "asks", "id", "comp")
+    found = asks.unionByName(rest).join(texts, "id").join(sigs.select("id", "sig"), "id").groupBy(*block, "r2", "x2").applyInArrow(_blocks(shingle, percent), "a binary, b binary")
     comps = components(links.unionByName(stage(found.distinct(), "near-more")))
+    discard(texts, shared, buckets, routed, members, placed, both)
     names = [f"_c{i}" for i in range(len(keep))]
     rows = docs.select(*[column(docs, c).alias(f) for c, f in zip(keep, names)], text_key(body).alias("id"))
     known = stage(sigs.select("id", "n").join(comps, "id", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "id")).alias("comp")), "near-known")

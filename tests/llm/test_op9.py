@@ -44,3 +44,19 @@ def test_keep_one_keeps_columns_and_one_of_each(spark):
 def test_pigeonhole():
     for s in (0.8, 0.85):
         assert len(chunks(s)) * 2 > limit(JOINED, s) and sum(map(len, chunks(s))) == JOINED
+
+
+def test_one_bucket_of_many_unlike_texts(spark):
+    """Texts that share so much that their keys meet, yet not enough to be linked; some pairs among them are."""
+    rnd = random.Random(8)
+    common, rows = " ".join(f"c{i}" for i in range(24)), []
+    for i in range(20_000):
+        rows.append((i, common + " " + " ".join(f"u{i}x{j}" for j in range(rnd.randint(14, 20)))))
+    for i in range(40):
+        rows.append((20_000 + i, rows[rnd.randrange(20_000)][1] + f" end{i}"))
+    got = {r["doc_id"]: r["component_id"] for r in mark_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = {}
+    by = {t: i for i, t in rows[:20_000]}
+    for i, t in rows[20_000:]:
+        want[i] = by[t.rsplit(" ", 1)[0]]
+    assert all(got[i] == want.get(i, i) for i, _ in rows)
