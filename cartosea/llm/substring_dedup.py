@@ -1,241 +1,288 @@
 """Substring dedup by level-wise doubling over word windows.
 
-Level 0 looks at short windows (`ANCHOR` words). Only those picked as the leftmost smallest hash of some full window
-are looked at: equal full windows pick the same one, so nothing is lost and a twelfth of the rows is shuffled. Around
-short windows that occur twice or more, and only there, the full windows (`window` words) are compared; their words
-go. From then on every level doubles the length and compares every window inside what was repeated before, until none
-survives; that yields each document's longest repeated length. A text with copies repeats as a whole, so its own windows
-are compared only where they stand elsewhere too.
-
-Copies of whole texts share one key, so a group of copies is one entry, and every count is aggregated map-side first:
-no group of equal windows ever meets in one task. Window hashes have 64 bits and are only looked at where a repeated
-short window (64 further bits) stands, so a false match needs both to collide.
+Level 0 compares every window of half the asked length (18 words for 35). From then on a window is a candidate only where
+both of its halves were repeated one level before: two overlapping windows of 18 words give 35, two of 35 give 70, then
+140, and so on, until no candidate is repeated. A window's hash is made of its halves' hashes, so texts are read once
+for level 0 and once more at the end, to take out the words that repeated windows of the asked length cover.
+
+A level is one round trip of packed arrays (`_survivors`): a piece of the table (some two million windows) sends each
+of its distinct hashes once, dealt by value to buckets of bounded size; a bucket counts in how many places each hash
+stands, and its verdicts go back to the pieces that asked. Hashes that stand twice within a piece are known there, so a
+window that millions of documents share is one entry of each piece and no bucket grows with it. Copies of a text are
+one row from level 1 on, which counts as two places.
+
+Level 0's hashes have 48 bits and the number of their bucket (64 or more); they only choose candidates. Later ones have 64
+bits over two such halves, so a false match needs both halves to collide.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cartosea.llm.common import column, sliced, stage, text_key, utf8
-from cartosea.llm.wordhash import Words, covered, sliding_argmin
+from cartosea.llm.common import column, discard, sliced, stage, text_key, utf8
+from cartosea.llm.wordhash import Words, covered, mix
 
-WINDOW, ANCHOR = 35, 12
+WINDOW = 35
+#: Windows of a piece and of a bucket, about.
+PIECE, BUCKET, BUCKETS = 2_000_000, 2_000_000, 64
+#: Bytes of a hash that level 0 sends, and later levels.
+NARROW, WIDE = 6, 8
+KEY = 12
+_HALVES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_ROWS = "piece long, bucket int, body binary, more binary"
+_KINDS = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+_FOUND = "k binary, copies long, at binary, h binary"
+OUT = ("_n_words", "_n_removed", "_kept_sha256", "_longest")
 
 
-def _short(window: int) -> int:
-    return max(1, min(ANCHOR, window - 1))
+def _table(rows: list[tuple], spec: str, kinds) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in kinds]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in spec.split(", ")])
 
 
-def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of full windows, the short window that each picks, and all short windows' hashes."""
-    k = _short(window)
-    short = w.windows(k)
-    pick = sliding_argmin(short, window - k + 1)
-    at = np.flatnonzero(w.inside(window))
-    return at, pick[at] if len(at) else at, short
+def _of_texts(size: int):
+    """Keys, copies and number of windows of each row; place and hash of all windows, of rows of texts."""
 
-
-def _emit_anchor_counts(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches):
         for b in sliced(batches):
             w = Words(utf8(b.column("text")))
-            _, pick, short = _anchors(w, window)
-            h, n = np.unique(short[np.unique(pick)].view(np.int64), return_counts=True)
-            yield pa.record_batch([pa.array(h), pa.array(np.minimum(n, 2).astype(np.int32))], names=["h", "n"])
+            at = np.flatnonzero(w.inside(size))
+            doc = w.doc[at]
+            yield b.column("k").to_pylist(), np.ones(b.num_rows, np.int64), np.bincount(doc, minlength=b.num_rows), (at - w.first[doc]).astype(np.int32), w.windows(size)[at]
 
     return run
 
 
-def _emit_anchor_keys(window: int):
+def _of_halves(gap: int):
+    """The same of a level's rows: windows whose second half starts gap words after the first, where both survived."""
+
     def run(batches):
-        for b in sliced(batches):
-            keys = b.column("k").to_pylist()
-            w = Words(utf8(b.column("text")))
-            _, pick, short = _anchors(w, window)
-            pick = np.unique(pick)
-            pairs = np.unique(np.stack([w.doc[pick], short[pick].view(np.int64)], 1), axis=0) if len(pick) else np.zeros((0, 2), np.int64)
-            yield pa.record_batch([pa.array([keys[i] for i in pairs[:, 0]], pa.binary()), pa.array(pairs[:, 1])], names=["k", "h"])
+        for b in sliced(batches, "h"):
+            at = np.frombuffer(b"".join(b.column("at").to_pylist()), np.int32)
+            h = np.frombuffer(b"".join(b.column("h").to_pylist()), np.uint64)
+            doc = np.repeat(np.arange(b.num_rows), pc.binary_length(b.column("at")).to_numpy() // 4)
+            place = (doc << 32) + at
+            other = np.searchsorted(place, place + gap)
+            one = np.flatnonzero(place[np.minimum(other, len(place) - 1)] == place + gap) if len(place) else other
+            both = mix(h[one] * _HALVES[0] + h[other[one]] * _HALVES[1] + np.uint64(1))
+            yield b.column("k").to_pylist(), b.column("copies").to_numpy(), np.bincount(doc[one], minlength=b.num_rows), at[one], both
 
     return run
 
 
-def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
-    """values grouped by owner (ascending) as one list for each of n owners."""
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values))
-
-
-def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and value of every list element."""
-    sizes = np.asarray([0 if v is None else v for v in pa.compute.list_value_length(col).to_pylist()], np.int64)
-    return np.repeat(np.arange(len(col)), sizes), pa.compute.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.int64)
+def _scatter(windows, buckets: int, width: int):
+    """Rows of a piece: its distinct hashes by bucket; bucket -1 has its keys, places and the hashes it has twice."""
+
+    def piece(key: int, held: list[tuple]) -> pa.RecordBatch:
+        keys = [k for x in held for k in x[0]]
+        copies, count, at, h = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3, 4))
+        some = np.flatnonzero(count)
+        if not len(some):
+            return _table([], _ROWS, _KINDS)
+        many = np.repeat(copies > 1, count)
+        order = np.argsort(h)
+        sorted_ = h[order]
+        new = np.r_[True, sorted_[1:] != sorted_[:-1]]
+        heads = np.flatnonzero(new)
+        first = order[heads].astype(np.uint32)
+        twice = (np.diff(np.r_[heads, len(h)]) > 1) | np.logical_or.reduceat(many[order], heads)
+        again = order[~new].astype(np.uint32)
+        of = first[np.cumsum(new)[~new] - 1]
+        value = sorted_[heads]
+        bucket = (value >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        edges = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+        low = value.view(np.uint8).reshape(-1, 8)[:, :width]
+        own = pickle.dumps((copies[some], count[some].astype(np.int32), np.diff(at, prepend=np.int32(0)), again, of))
+        rows = [(key, -1, b"".join(keys[i] for i in some.tolist()), zstandard.ZstdCompressor(level=3).compress(own))]
+        short = first.view(np.uint8).reshape(-1, 4)[:, : 3 if len(h) < 1 << 24 else 4]
+        for i in range(buckets):
+            a, z = edges[i], edges[i + 1]
+            if a < z:
+                rows.append((key, i, low[a:z].tobytes(), np.packbits(twice[a:z]).tobytes() + short[a:z].tobytes()))
+        return _table(rows, _ROWS, _KINDS)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, n = TaskContext.get().partitionId() << 32, [], 0
+        for x in windows(batches):
+            held.append(x)
+            n += len(x[3])
+            if n >= PIECE:
+                yield piece(key, held)
+                key, held, n = key + 1, [], 0
+        if held:
+            yield piece(key, held)
 
-def _is_member(doc: np.ndarray, value: np.ndarray, own_doc: np.ndarray, own_value: np.ndarray) -> np.ndarray:
-    """Whether (doc, value) is among (own_doc, own_value)."""
-    if not len(own_doc) or not len(doc):
-        return np.zeros(len(doc), bool)
-    salt = np.uint64(0x9E3779B97F4A7C15)
-    code = lambda d, v: v.view(np.uint64) ^ ((d.astype(np.uint64) + np.uint64(1)) * salt)
-    return np.isin(code(doc, np.ascontiguousarray(value)), code(own_doc, np.ascontiguousarray(own_value)))
+    return run
 
 
-def _emit_candidates(window: int):
-    """For each distinct text with a repeated short window: hashes of the full windows that picked one."""
+def _wider(raw: bytes, width: int, kind) -> np.ndarray:
+    """Little-endian numbers of width bytes."""
+    size = np.dtype(kind).itemsize
+    out = np.zeros((len(raw) // width, size), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view(kind).ravel()
+
+
+def _decide(width: int):
+    """Rows in order of bucket become the places and hashes that are repeated; rows of bucket -1 pass."""
+
+    def verdicts(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
+        low = [_wider(r[2], width, np.uint64) for r in rows]
+        n = [len(x) for x in low]
+        twice = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=m).astype(bool) for r, m in zip(rows, n)])
+        value = np.concatenate(low)
+        order = np.argsort(value)
+        sorted_ = value[order]
+        heads = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+        size = np.diff(np.r_[heads, len(value)])
+        hit = np.empty(len(value), bool)
+        hit[order] = np.repeat((size > 1) | np.logical_or.reduceat(twice[order], heads), size)
+        out, start = [], 0
+        top = np.uint64(bucket % (1 << 16)) << np.uint64(48) if width == NARROW else np.uint64(0)
+        for r, m in zip(rows, n):
+            mine = hit[start : start + m]
+            if mine.any():
+                flags = -(-m // 8)
+                place = _wider(r[3][flags:], (len(r[3]) - flags) // m, np.uint32)
+                out.append((r[0], bucket, place[mine].tobytes(), (value[start : start + m][mine] | top).tobytes()))
+            start += m
+        return _table(out, _ROWS, _KINDS)
 
     def run(batches):
-        last = None
-        for b in sliced(batches):
-            keys = b.column("k").to_pylist()
-            fresh = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else last)]
-            last = keys[-1]
-            if not fresh:
-                continue
-            b = b.take(pa.array(fresh))
-            w = Words(utf8(b.column("text")))
-            at, pick, short = _anchors(w, window)
-            own = _flat(b.column("anchors"))
-            at = at[_is_member(w.doc[at], short[pick].view(np.int64), *own)]
-            full = w.windows(window)[at].view(np.int64)
-            yield pa.record_batch([b.column("k"), b.column("copies"), _lists(w.doc[at], full, b.num_rows)], names=["k", "copies", "ws"])
+        held = []
+        for b in batches:
+            for r in zip(*[b.column(c).to_pylist() for c in ("piece", "bucket", "body", "more")]):
+                if r[1] < 0:
+                    yield _table([r], _ROWS, _KINDS)
+                    continue
+                if held and held[0][1] != r[1]:
+                    yield verdicts(held[0][1], held)
+                    held = []
+                held.append(r)
+        if held:
+            yield verdicts(held[0][1], held)
 
     return run
 
 
-def _count_candidates(batches):
-    for b in batches:
-        _, h = _flat(b.column("ws"))
-        if not len(h):
-            continue
-        u, n = np.unique(h, return_counts=True)
-        yield pa.record_batch([pa.array(u), pa.array(np.minimum(n, 2).astype(np.int32))], names=["h", "n"])
+def _assemble(piece: pa.Table) -> pa.Table:
+    """A piece's rows with repeated windows: key, copies, places and hashes."""
+    own, told = [], []
+    for r in zip(*[piece.column(c).to_pylist() for c in ("bucket", "body", "more")]):
+        (own if r[0] < 0 else told).append(r)
+    if len(own) != 1:
+        raise ValueError("a piece's windows and its keys don't belong together: the input changed between two reads")
+    keys = own[0][1]
+    copies, count, step, again, of = pickle.loads(zstandard.ZstdDecompressor().decompress(own[0][2]))
+    place = np.frombuffer(b"".join(r[1] for r in told), np.uint32)
+    value = np.frombuffer(b"".join(r[2] for r in told), np.uint64)
+    order = np.argsort(place)
+    place, value = place[order], value[order]
+    if len(again):
+        value = np.concatenate([value, value[np.searchsorted(place, of)]])
+        place = np.concatenate([place, again])
+        order = np.argsort(place)
+        place, value = place[order], value[order]
+    doc = np.searchsorted(np.cumsum(count), place, "right")
+    at = np.cumsum(step, dtype=np.int32)[place].tobytes()
+    value = value.tobytes()
+    heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    edges = [*heads.tolist(), len(doc)]
+    rows = [(keys[KEY * d : KEY * d + KEY], int(copies[d]), at[4 * a : 4 * z], value[8 * a : 8 * z]) for d, a, z in zip(doc[heads].tolist(), edges, edges[1:])]
+    return pa.Table.from_batches([_table(rows, _FOUND, (pa.binary(), pa.int64(), pa.binary(), pa.binary()))])
+
+
+def _survivors(rows: DataFrame, windows, n: int, width: int) -> DataFrame:
+    """(k, copies, at, h) of the rows with repeated windows among some n."""
+    buckets = max(BUCKETS, -(-n // BUCKET))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = rows.mapInArrow(_scatter(windows, buckets, width), _ROWS)
+    dealt = sent.repartitionById(parts, F.pmod(F.when(F.col("bucket") < 0, F.hash("piece")).otherwise(F.col("bucket")), F.lit(parts)).cast("int"))
+    return dealt.sortWithinPartitions("bucket").mapInArrow(_decide(width), _ROWS).groupBy("piece").applyInArrow(_assemble, _FOUND)
+
+
+def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Of rows (k, text): each distinct text with a repeated window as (k, at, longest): the places of all its repeated
+    windows as packed 32-bit integers, and the largest doubled length at which it has one."""
+    half = max(1, window - window // 2)
+    n = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    alive = _survivors(texts, _of_texts(half), n // 6, NARROW)
+    alive = stage(alive.groupBy("k").agg(F.sum("copies").alias("copies"), F.first("at").alias("at"), F.first("h").alias("h")), "dedup-level")
+    levels, gap = [(half, alive)], window - half or window
+    while n := alive.agg(F.sum(F.length("h") / WIDE).cast("long")).first()[0] or 0:
+        alive = stage(_survivors(alive, _of_halves(gap), n, WIDE), "dedup-level")
+        gap += levels[-1][0]
+        levels.append((gap, alive))
+    asked = [x for x in levels if x[0] >= window] or levels[-1:]
+    longest = asked[0][1].select("k", F.lit(asked[0][0]).alias("size"))
+    for size, level in asked[1:]:
+        longest = longest.unionByName(level.select("k", F.lit(size).alias("size")))
+    longest = longest.groupBy("k").agg(F.max("size").cast("long").alias("longest"))
+    marks = stage(asked[0][1].select("k", "at").join(longest, "k"), "dedup-marks")
+    discard(*[level for _, level in levels])
+    return marks
 
 
 def _finish(window: int, fields: list[str], schema: pa.Schema):
-    """Remove covered words; also hash all longer windows inside repeated stretches for the levels above."""
+    """Take out the words that repeated windows cover."""
 
     def run(batches):
         for b in sliced(batches):
             texts = utf8(b.column("text"))
             w = Words(texts)
-            at = np.flatnonzero(w.inside(window))
-            shared = _is_member(w.doc[at], w.windows(window)[at].view(np.int64), *_flat(b.column("repeated")))
-            many = np.asarray(b.column("copies").to_numpy(zero_copy_only=False)) > 1
-            gone = covered(len(w.hash), at[shared | many[w.doc[at]]], window)
-            # the largest doubled length of a text with copies is known from its own
-            whole = np.where(many & (w.n >= window), window, 0)
-            while (more := (whole > 0) & (2 * whole <= w.n)).any():
-                whole[more] *= 2
-            run_of = np.zeros(len(w.hash) + 1, np.int64)
-            run_of[at[shared] + 1] = 1
-            run_of = np.cumsum(run_of)
+            marks = utf8(b.column("at"))
+            doc = np.repeat(np.arange(len(texts)), [len(x) // 4 for x in marks])
+            gone = covered(len(w.hash), np.frombuffer(b"".join(marks), np.int32) + w.first[doc], window)
             raw, kept, digest = w.raw, [], []
             for i in range(b.num_rows):
                 a, z = w.first[i], w.first[i + 1]
                 if gone[a:z].any():
                     stay = np.flatnonzero(~gone[a:z]) + a
-                    words = [raw[s:e] for s, e in zip(w.start[stay].tolist(), w.end[stay].tolist())]
-                    text = b" ".join(words)
+                    text = b" ".join([raw[s:e] for s, e in zip(w.start[stay].tolist(), w.end[stay].tolist())])
                     kept.append(text)
                 else:
                     text = b" ".join(texts[i].split())
                     kept.append(texts[i])
                 digest.append(hashlib.sha256(text).hexdigest())
             dropped = np.bincount(w.doc, gone, len(texts)).astype(np.int64)
-            level, owner, code = [], [], []
-            size = 2 * window
-            while size <= w.n.max(initial=0):
-                # a window of `size` words is a candidate only if all windows in it are repeated
-                inside, n = w.inside(size), size - window + 1
-                where = np.flatnonzero(inside & (run_of[n:] - run_of[:-n] == n)[: len(inside)])
-                if not len(where):
-                    break
-                full = w.windows(size)[where].view(np.int64)
-                level.append(np.full(len(where), size, np.int64)), owner.append(w.doc[where]), code.append(full)
-                size *= 2
-            owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-            order = np.argsort(owner, kind="stable")
-            flat = [(np.concatenate(x) if x else np.zeros(0, np.int64))[order] for x in (level, code)]
-            out = {f: b.column(f) for f in fields}
-            out |= {"_text": pa.array(kept, pa.binary()).cast(pa.string()), "_n_words": pa.array(w.n.astype(np.int64)), "_n_removed": pa.array(dropped), "_kept_sha256": pa.array(digest), "_whole": pa.array(whole.astype(np.int64))}
-            out |= {"_level": _lists(owner[order], flat[0], b.num_rows), "_code": _lists(owner[order], flat[1], b.num_rows), "_k": b.column("k")}
+            longest = pc.fill_null(b.column("longest"), 0)
+            out = {f: b.column(f) for f in fields} | dict(zip(("_text", *OUT), (pa.array(kept, pa.binary()).cast(pa.string()), pa.array(w.n.astype(np.int64)), pa.array(dropped), pa.array(digest), longest)))
             yield pa.record_batch([out[n].cast(t) if out[n].type != t else out[n] for n, t in zip(schema.names, schema.types)], names=schema.names)
 
     return run
 
 
-def _longest(done: DataFrame) -> DataFrame:
-    """Largest doubled length at which a text has a repeated window; levels end when none survives."""
-    spark = done.sparkSession
-    each = done.select("_k", F.explode(F.arrays_zip("_level", "_code")).alias("x"))
-    # copies of a text are one entry with a count
-    at = stage(each.groupBy("_k", F.col("x._level").alias("size"), F.col("x._code").alias("h")).agg(F.count("*").alias("n")), "dedup-long")
-    biggest = done.agg(F.max(F.array_max("_level")).alias("m")).first()["m"] or 0
-    size, alive = 2 * WINDOW, None
-    sizes = sorted(r["s"] for r in done.select(F.explode("_level").alias("s")).distinct().collect()) if biggest else []
-    best = None
-    for size in sizes:
-        here = at.where(F.col("size") == size)
-        if alive is not None:
-            here = here.join(alive.select("_k").distinct(), "_k", "left_semi")
-        twice = stage(here.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "dedup-twice")
-        alive = stage(here.join(twice, "h", "left_semi").select("_k", "size").distinct(), "dedup-level")
-        if alive.isEmpty():
-            break
-        best = alive if best is None else best.unionByName(alive)
-    if best is None:
-        return spark.createDataFrame([], "_k binary, _longest bigint")
-    return best.groupBy("_k").agg(F.max("size").alias("_longest"))
-
-
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """docs with repeated windows' words removed from the text column.
 
     Adds _n_words, _n_removed, _kept_sha256 (kept words joined by one space) and _longest, the largest doubled length
     with a repeated window (window itself if only that; 0 if none). Untouched texts stay as they are; others become
     their kept words joined by a space. Null and empty texts, and texts under `window` words, lose nothing. Equal rows
-    count as copies and lose every window. Other columns pass through under any name but those that start with an
-    underscore and are used here.
+    count as copies and lose every window. An empty table stays empty. Other columns pass through under any name; those
+    named like the four added ones are replaced. docs is read twice, and again if an executor is lost, so it should be a
+    table rather than a random draw.
     """
-    spark = docs.sparkSession
     body = column(docs, text)
-    slim = docs.select(text_key(body).alias("k"), body.alias("text"))
-    counts = docs.select(body.alias("text")).mapInArrow(_emit_anchor_counts(window), "h long, n int")
-    anchors = stage(counts.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "dedup-anchors")
-    owned = slim.mapInArrow(_emit_anchor_keys(window), "k binary, h long").join(anchors, "h", "left_semi")
-    of_text = owned.groupBy("k").agg(F.collect_set("h").alias("anchors"))
-    copies = slim.groupBy("k").agg(F.count("*").alias("copies"))
-    known = stage(of_text.join(copies, "k"), "dedup-known")
-    texts = slim.join(known, "k")
-    cand = stage(texts.select("k", "text", "anchors", "copies").mapInArrow(_emit_candidates(window), "k binary, copies long, ws array<long>"), "dedup-windows")
-    repeated = stage(cand.mapInArrow(_count_candidates, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "dedup-repeated")
-    back = cand.select("k", F.explode("ws").alias("h")).join(repeated, "h", "left_semi")
-    marks = stage(
-        back.groupBy("k").agg(F.collect_set("h").alias("repeated"))
-        .join(copies.where("copies > 1"), "k", "full").select("k", "repeated", F.coalesce("copies", F.lit(1)).alias("copies")),
-        "dedup-marks",
-    )
-    fields = [f"c{i}" for i in range(len(docs.columns))]
-    wide = docs.select(*[column(docs, c).alias(f) for c, f in zip(docs.columns, fields)], text_key(body).alias("k"), body.alias("text"))
-    whole = wide.join(marks, "k", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    keep = [f for c, f in zip(docs.columns, fields) if c != text]
+    marks = repeated_windows(docs.select(text_key(body).alias("k"), body.alias("text")), window)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in OUT}
+    keep = [f for c, f in names.items() if c != text]
+    wide = docs.select(*[column(docs, c).alias(f) for c, f in names.items()], text_key(body).alias("k"), body.alias("text"))
+    # the hint keeps one plan at all sizes; a text with very many copies is split by AQE's skew join
+    whole = wide.join(marks.hint("merge"), "k", "left").select(*keep, "text", "at", "longest")
     done_type = whole.select(*keep).schema
-    longs = T.ArrayType(T.LongType())
-    for name, kind in (("_text", T.StringType()), ("_n_words", T.LongType()), ("_n_removed", T.LongType()), ("_kept_sha256", T.StringType()), ("_whole", T.LongType()), ("_level", longs), ("_code", longs), ("_k", T.BinaryType())):
+    for name, kind in zip(("_text", *OUT), (T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.LongType())):
         done_type = done_type.add(name, kind)
-    done = stage(whole.mapInArrow(_finish(window, keep, to_arrow_schema(done_type)), done_type), "dedup-done")
-    longest = _longest(done)
-    names = {f: c for c, f in zip(docs.columns, fields)}
-    full = done.join(longest, "_k", "left")
-    base = F.when(F.col("_n_removed") > 0, F.lit(window)).otherwise(F.lit(0))
-    return full.select(
-        *[(F.col("_text").alias(text) if c == text else F.col(f).alias(c)) for f, c in names.items()],
-        "_n_words", "_n_removed", "_kept_sha256", F.greatest(F.coalesce("_longest", base), "_whole").cast("long").alias("_longest"),
-    )
+    done = whole.mapInArrow(_finish(window, keep, to_arrow_schema(done_type)), done_type)
+    return done.select(*[(F.col("_text") if c == text else F.col(f)).alias(c) for c, f in names.items()], *OUT)

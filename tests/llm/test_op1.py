@@ -28,16 +28,26 @@ def test_random_against_brute_force(spark):
 def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, k long, h string")
     assert dedup_substrings(df).count() == 0
-    df = spark.createDataFrame([(1, "a b", 5, "z", 1)], "doc_id long, text string, k long, h string, copies int")
-    r = dedup_substrings(df).first()
-    assert (r["k"], r["h"], r["copies"], r["text"]) == (5, "z", 1, "a b")
+    df = spark.createDataFrame([(1, "a b", 5, "z", 1, 7, "y")], "doc_id long, text string, k long, h string, copies int, _n_words int, c0 string")
+    out = dedup_substrings(df)
+    r = out.first()
+    assert (r["k"], r["h"], r["copies"], r["text"], r["_n_words"], r["c0"]) == (5, "z", 1, "a b", 2, "y")
+    assert out.columns == ["doc_id", "text", "k", "h", "copies", "c0", "_n_words", "_n_removed", "_kept_sha256", "_longest"]
 
 
-def test_levels_double(spark):
-    base = " ".join(f"w{i}" for i in range(300))
-    rows = [(1, base), (2, "q " + base), (3, "alone " + base[:20])]
-    got = {r["doc_id"]: r["_longest"] for r in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1] >= 140 and got[2] >= 140 and got[3] == 0
+def test_many_pieces_and_very_long_texts(spark, monkeypatch):
+    from cartosea.llm import substring_dedup as S
+
+    rnd = random.Random(3)
+    shared = [" ".join(f"s{i}x{j}" for j in range(60)) for i in range(5)]
+    rows = [(i, " ".join([f"u{i}", rnd.choice(shared), *(f"v{i}x{j}" for j in range(rnd.randint(0, 30)))])) for i in range(400)]
+    long = " ".join(f"w{i % 70_000}" for i in range(100_000))
+    rows += [(1000, long), (1001, long[5000:400_000]), (1002, "")]
+    monkeypatch.setattr(S, "PIECE", 3000)
+    monkeypatch.setattr(S, "BUCKET", 1500)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    got = sorted((r["doc_id"], r["_n_words"], r["_n_removed"], r["_kept_sha256"]) for r in S.dedup_substrings(df).collect())
+    assert got == sorted(substring_dedup(rows))
 
 
 def _longest(rows, size):
