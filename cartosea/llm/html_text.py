@@ -3,11 +3,16 @@
 Every element gets its characters per tag, adjusted for links: with C characters, T tags, LC characters and LT tags in
 links (each 1 at least, of its whole subtree), its density is C / T times the logarithm of (C / LC) * (T / LT) to the
 base ln(C * LC / (C - LC) + C * LC_body / C_body + e). An element's score is the sum of its children's densities; that
-of the largest score is the main one. If it stands in an article or main element, that is the text. Otherwise the
-thinnest element on its path from the body gives the threshold: the main element and every other subtree that is at
-least as dense are the text, each with the headings right before it. What a page declares as no part of its text (menus, headers and footers, asides, forms, scripts, adverts,
-notices, reader comments) is taken out first and counts nowhere; a class or id declares it only by whole names, and
-never for article, main or an element that holds most of the body's text.
+of the largest score (the first of equals) is the main one. The thinnest element on the path from the body down to it
+gives the threshold: the main element and every subtree beside that path that is at least as dense are the text, each
+with the headings right before it; what is thinner goes. Tags decide nothing here: an article element wins by its
+densities or not at all.
+
+What a page declares as no part of its text (menus, headers and footers of the page, asides, forms, scripts, adverts,
+notices, reader comments) is taken out first and counts nowhere. A class or id declares it only by whole names, and
+never for article, main or an element that holds most of the body's text. A header stays where it heads a part of the
+page: in article or main, or below another element with a heading, without menu or form and not mostly links.
+Every step is linear in the page, whatever its nesting.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,16 +30,16 @@ from pyspark.sql import types as T
 
 from cartosea.llm.common import column, sliced
 
-_TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z>][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+_TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z>][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*)?)*+)(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])([^\s=>"'/]++)\s*+=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that never hold a page's own text.
-_OUT = frozenset("script style textarea title noscript template iframe head nav aside footer form button select option svg canvas object math menu dialog audio video map noembed noframes".split())
-_OUT_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog note".split())
+_OUT = frozenset("script style textarea title noscript template iframe head nav aside footer form button select option svg canvas object menu dialog audio video map noembed noframes".split())
+_OUT_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 #: Words of class and id that mark what isn't the article, and whole names that do.
 _OUT_WORD = re.compile(
     r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|rail|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|footer|masthead|topbar|copyright|hidden)\d*",
@@ -46,24 +52,30 @@ _BESIDE = re.compile(
     r"(?:site|page|main|global|top|bottom|left|right|primary|secondary|header|bar|box|block|container|wrapper|wrap|inner|outer|area|section|list|links?|buttons?|btn|icons?|posts?|articles?|stories|story|items?|form|unit|slot|space|google|text|mobile|desktop|sticky|fixed|floating|group|row|column|col|panel|zone|thread|media|bars?|the|and|by|on|us|follow|blog|user|reader|email|mail|accept|policy|\d+)\d*",
     re.I,
 )
-#: Readers' comments often outgrow the article; they count as the page's text only if next to nothing else does.
-_COMMENTS = re.compile(r"comments?|commentlist|disqus|replies|respond", re.I)
+#: Those that name no layout: they may outgrow a short article, and count as the page's text only if next to nothing else does.
+_NEVER = re.compile(r"comments?|commentlist|disqus|replies|respond|ads?|advert\w*|adsense|sponsor\w*|cookies?|consent|gdpr|newsletter|breadcrumbs?|pagination|pager|copyright", re.I)
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "thead": {"tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SCOPE = frozenset("table ul ol dl article section div main body html blockquote figure".split())
+#: Open elements that a start tag may close, or that keep it from closing others.
+_EDGE = _SCOPE.union(*_CLOSES.values())
 
 
 class _Node:
-    __slots__ = ("tag", "up", "kids", "out", "chars", "tags", "link_chars", "link_tags", "density", "span", "named")
+    __slots__ = ("tag", "up", "kids", "out", "chars", "tags", "link_chars", "link_tags", "density", "span", "named", "inside", "para", "edge")
 
-    def __init__(self, tag: str, up: _Node | None, out: bool, at: int):
+    def __init__(self, tag: str, up: _Node | None, out: bool, at: int, depth: int = 0):
         self.tag, self.up, self.out, self.kids = tag, up, out, []
+        # whether an article or main holds it; depths of the nearest p or scope, and of the nearest edge, itself included
+        self.inside = tag in ("article", "main") or up is not None and up.inside
+        self.para = depth if tag == "p" or tag in _SCOPE or up is None else up.para
+        self.edge = depth if tag in _EDGE or up is None else up.edge
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density, self.span, self.named = 0.0, [at, at], 0.0
 
 
-def _is_out(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in _OUT or (tag == "header" and not inside):
+def _is_out(tag: str, attributes: str) -> bool:
+    if tag in _OUT:
         return True
     if not attributes.strip() or tag in ("body", "html"):
         return bool(re.search(r"\bhidden\b", attributes)) if attributes.strip() and tag not in ("body", "html") else False
@@ -86,35 +98,43 @@ def _named(tag: str, attributes: str) -> float:
             parts = [x for x in re.split(r"[-_]+", token) if x]
             marks = [x for x in parts if _OUT_WORD.fullmatch(x)]
             if token.lower() in _OUT_WHOLE or marks and all(_OUT_WORD.fullmatch(x) or _BESIDE.fullmatch(x) for x in parts):
-                share = max(share, 0.9 if any(_COMMENTS.fullmatch(x) for x in marks) else 0.5)
+                share = max(share, 0.98 if any(_NEVER.fullmatch(x) for x in marks) else 0.5)
     return share
 
 
-def _drop_named(root: _Node, flow: list[tuple[str, _Node | None]]) -> None:
-    """Take out the elements that a name marks, unless most of the body's text is theirs."""
+def _drop_declared(root: _Node, flow: list[tuple[str, _Node | None]]) -> None:
+    """Take out headers of the page, and the elements that a name marks unless most of the body's text is theirs."""
     order, todo = [], [root]
     while todo:
         n = todo.pop()
         order.append(n)
         todo += n.kids
-    if not any(n.named for n in order):
+    if not any(n.named or n.tag == "header" for n in order):
         return
-    size = dict.fromkeys(order, 0)
+    size, links, titled, menus = dict.fromkeys(order, 0), dict.fromkeys(order, 0), set(), set()
     for s, n in flow:
         if n is not None:
             size[n] += len("".join(s.split()))
     for n in reversed(order):
+        if n.tag == "a":
+            links[n] = size[n]
         if n.up is not None:
             size[n.up] += size[n]
+            links[n.up] += links[n]
+            if n.tag in _HEADINGS or n in titled:
+                titled.add(n.up)
+            if n.tag in ("nav", "menu", "form") or n in menus:
+                menus.add(n.up)
     body = size[next((k for k in root.kids if k.tag == "body"), root)]
     for n in order:
-        n.out = n.out or n.up is not None and n.up.out or 0 < n.named and size[n] <= n.named * body
+        head = n.tag == "header" and not n.inside and (n.up.tag in ("html", "body") or n not in titled or n in menus or 2 * links[n] > size[n])
+        n.out = n.out or n.up is not None and n.up.out or head or 0 < n.named and size[n] <= n.named * body
 
 
 def _parse(page: str) -> tuple[_Node, list[tuple[str, _Node | None]]]:
     """The element tree, and the page's flow: texts with their element, or a block edge ("", None)."""
     root = _Node("html", None, False, 0)
-    stack, flow, at, size = [root], [], 0, len(page)
+    stack, flow, at, size, opened = [root], [], 0, len(page), Counter(["html"])
 
     def text(s: str) -> None:
         if s and not stack[-1].out:
@@ -123,6 +143,7 @@ def _parse(page: str) -> tuple[_Node, list[tuple[str, _Node | None]]]:
     def pop(n: int) -> None:
         for node in stack[n:]:
             node.span[1] = len(flow)
+            opened[node.tag] -= 1
             if node.tag in _BLOCK:
                 flow.append(("", None))
         del stack[n:]
@@ -140,33 +161,33 @@ def _parse(page: str) -> tuple[_Node, list[tuple[str, _Node | None]]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0) if opened[tag] else 0
             if found:
                 pop(found)
             elif tag == "p" or tag == "br":
                 flow.append(("", None))
             continue
         if tag in ("html", "body"):
-            if tag == "body" and not any(n.tag == "body" for n in stack):
-                pop(1)
-            elif tag == "html" or any(n.tag == "body" for n in stack):
+            if tag == "html" or opened["body"]:
                 continue
+            pop(1)
         if tag in _BLOCK:
             flow.append(("", None))
         if tag in _BLOCK and tag != "br":
-            p = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in _SCOPE), 0)
-            if p and stack[p].tag == "p":
+            p = stack[-1].para
+            if stack[p].tag == "p":
                 pop(p)
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in _CLOSES.get(tag, ()):
+        i = stack[-1].edge if tag in _CLOSES else 0
+        while i > 0:
+            if stack[i].tag in _CLOSES[tag]:
                 pop(i)
                 if tag in ("li", "dt", "dd", "option"):
                     break
             elif stack[i].tag in _SCOPE and not (tag in ("li", "dt", "dd") and stack[i].tag == "div"):
                 break
+            i = stack[i - 1].edge
         up = stack[-1]
-        inside = any(n.tag in ("article", "main") for n in stack)
-        node = _Node(tag, up, up.out or _is_out(tag, m[3], inside), len(flow))
+        node = _Node(tag, up, up.out or _is_out(tag, m[3]), len(flow), len(stack))
         node.named = 0.0 if node.out else _named(tag, m[3])
         up.kids.append(node)
         if tag in _VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path", "use"):
@@ -177,9 +198,10 @@ def _parse(page: str) -> tuple[_Node, list[tuple[str, _Node | None]]]:
             node.span[1] = len(flow)
             continue
         stack.append(node)
+        opened[tag] += 1
     pop(1)
     root.span[1] = len(flow)
-    _drop_named(root, flow)
+    _drop_declared(root, flow)
     return root, [("" if n is not None and n.out else s, n) for s, n in flow]
 
 
@@ -231,10 +253,7 @@ def extract(page: str | None) -> str:
         score = sum(k.density for k in n.kids if not k.out)
         if score > top and n is not root or n is body and top < 0:
             best, top = n, score
-    home = best
-    while home is not None and home.tag not in ("article", "main"):
-        home = home.up
-    parts = [home] if home else _dense(best, body)
+    parts = _dense(best, body)
     blocks, now = [], []
     for s, n in [x for part in parts for x in [*flow[part.span[0] : part.span[1]], ("", None)]]:
         if n is not None:
@@ -279,7 +298,7 @@ def _with_heading(node: _Node, body: _Node) -> _Node:
         rest = up.chars - node.chars
         if node.tag in _BLOCK and (rest == 0 or any(k.tag in ("h1", "h2") for k in up.kids if not k.out)) and up.link_chars - node.link_chars <= 0.5 * rest:
             node = up
-        elif node.tag not in _BLOCK or node.tag in ("p", "li", "td", "tr", "tbody", "h1", "h2", "h3"):
+        elif node.tag not in _BLOCK or node.tag in ("p", "li", "h1", "h2", "h3"):
             node = up
         else:
             break

@@ -62,3 +62,45 @@ def test_names_of_furniture():
         for attribute in ("class", "id"):
             assert extract(f"<body><div><p>{LONG}</p><p>{LONG}</p></div><div {attribute}='{name}'><p>{LONG}</p></div></body>") == "\n".join([H.unescape(LONG)] * 2), name
     assert extract(f"<body><div><p>{LONG}</p></div><div id=comments>{f'<p>{LONG}</p>' * 4}</div></body>") == H.unescape(LONG)
+
+
+def test_without_article_or_main():
+    t, links = H.unescape(LONG), "".join(f"<li><a href={i}>Go {i}</a></li>" for i in range(30))
+    paras = "".join(f"<p>{c} {LONG} <i>and</i> {LONG}</p>" for c in "abc")
+    want = "\n".join(f"{c} {t} and {t}" for c in "abc")
+    page = f"<body><div><ul>{links}</ul></div><table><tr><td>{paras}</td><td><div>short</div><div>bits</div><ul>{links}</ul></td></tr></table></body>"
+    assert extract(page) == want
+    # an article element wins by its densities or not at all
+    page = f"<body><div><h2>Story</h2>{paras}</div><article><ul>{links}</ul></article></body>"
+    assert extract(page) == "Story\n" + want
+
+
+def test_names_and_headers_inside_the_text():
+    t = H.unescape(LONG)
+    assert extract(f'<body><div class="post hidden-xs"><p>{LONG}</p></div></body>') == t
+    assert extract(f"<body><div><header><h1>Title</h1></header><p>{LONG}</p><p>{LONG}</p></div></body>") == f"Title\n{t}\n{t}"
+    assert extract(f"<body><header><h1>Site</h1><nav><a href=/>Home</a></nav></header><div><p>{LONG}</p><p>{LONG}</p></div></body>") == f"{t}\n{t}"
+    assert extract(f"<body><div><header><h1>Site</h1><nav>x</nav></header><div><p>{LONG}</p><p>{LONG}</p></div></div></body>") == f"{t}\n{t}"
+    for inner in ('section class="related-work"', "section role=note", "div class=menu-of-the-day", "section class=share-prices"):
+        page = f"<body><article><h1>T</h1><p>{LONG}</p><{inner}><p>more {LONG}</p></{inner.split()[0]}><p>x<math><mi>y</mi></math></p></article></body>"
+        assert extract(page) == f"T\n{t}\nmore {t}\nxy", inner
+
+
+def test_ties_and_hostile_pages():
+    import time
+
+    t = H.unescape(LONG)
+    half = f"<div><p>{LONG}</p><p>{LONG}</p></div>"
+    assert extract(f"<body>{half}{half}</body>") == "\n".join([t] * 4)
+    n, began = 100_000, time.time()
+    for page, want in (("<b>" * n + "deep", "deep"), ("<div>" * n + "deep", "deep"), ("<b>" * n + "</i>" * n + "x", "x"), ("<b>" * n + "<hr>" * n + "x", "x"), ('<a "' * n, ""), ("<p>x</p>" + "<li>" * n, "x"), ("<a " + "b" * n + ">x", "x")):
+        assert extract(page) == want
+    assert time.time() - began < 120  # quadratic steps would take hours
+
+
+def test_tables_empty_repeated_and_clashing(spark):
+    schema = "page_id long, url string, html string, text string, _html string, n_chars string, _c0 int"
+    assert extract_text(spark.createDataFrame([], schema)).count() == 0
+    page = f"<p>{LONG}</p>"
+    rows = extract_text(spark.createDataFrame([(None, None, page, "a", "b", "c", 7)] * 3 + [(1, "u", "<p>" + "long " * 400_000, "a", "b", "c", 7)], schema)).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"], r["_html"], r["_c0"]) for r in rows) == [(0, len(H.unescape(LONG)), "b", 7)] * 3 + [(1, 1_999_999, "b", 7)]
