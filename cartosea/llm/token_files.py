@@ -3,11 +3,13 @@
 A shard file holds the ids of a range of documents in blocks of `BLOCK` ids that can each be read alone: a block starts
 with empty statistics and has its own CRC-32. Each id is coded in two steps. First: is it what the order-2 context (the
 two ids before) or the order-1 context saw last, or neither? The two predictions have adaptive confidences, which are
-mixed into one distribution over the three answers. Then, if neither was right, the id itself by the block's order-0
-counts, which are brought up to date every `REFRESH` steps. All blocks of a file are coded side by side, one array lane
-each, by a carrying range coder of 48 bits.
+mixed into one distribution over those answers and, where both are wrong, over the id's order-0 group, by the block's own
+counts, which are brought up to date every `REFRESH` steps. Then the id within its group. The groups are as heavy as
+each other in the file, and its header has the weights within them; so a block's state is some hundred numbers beside
+its context tables, whatever the vocabulary's size, and a thousand blocks are coded side by side, one array lane each,
+by a carrying range coder of 48 bits.
 
-File: magic, a zstandard-packed JSON header (documents, sizes, alphabet, blocks), then the blocks' bytes.
+File: magic, a zstandard-packed JSON header (documents, sizes, alphabet, weights, blocks), then the blocks' bytes.
 """
 
 from __future__ import annotations
@@ -27,120 +29,151 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cartosea.llm import files
-from cartosea.llm.common import column, sliced, stage, workspace
+from cartosea.llm import files, shards
+from cartosea.llm.common import column, discard, sliced, stage, workspace
 
 VOCABULARY, END = "word_bpe_49k.json", 2
-MAGIC = b"CMRC0001"
-BLOCK, REFRESH, TABLE = 4096, 128, 12
-#: Ids in a file, about: bounds what a worker holds.
-FILE_IDS, CACHE = 1 << 20, 200_000
+MAGIC = b"CMRC0002"
+#: Ids of a block, steps between two updates of group frequencies, bits of a context table, groups, their least share.
+BLOCK, REFRESH, TABLE, GROUPS, LEAST = 1024, 32, 11, 64, 16
+#: Ids in a file and bytes of text in a shard, about: bound what a worker holds and what a task does.
+FILE_IDS, SHARD_BYTES, CACHE = 1 << 20, 24 << 20, 200_000
 _TOP = 16
+_ONE = 1 << _TOP
 _INT = np.int64
 
 
+class _Letters:
+    """A file's ids in groups of about equal weight: the static part of order 0."""
+
+    def __init__(self, alphabet: np.ndarray, weight: np.ndarray):
+        """weight holds quarters of a binary logarithm of each id's count."""
+        order = np.lexsort((alphabet, -weight))
+        self.ids = alphabet[order]
+        count = np.rint(2.0 ** (weight[order] / 4)).astype(_INT)
+        before = np.cumsum(count) - count
+        _, self.group = np.unique(before * GROUPS // max(1, int(count.sum())), return_inverse=True)
+        self.groups = int(self.group.max(initial=-1)) + 1
+        self.low, self.width = np.zeros(len(count), _INT), np.zeros(len(count), _INT)
+        edge = np.searchsorted(self.group, np.arange(self.groups + 1)).tolist()
+        self.mass = np.zeros(self.groups, _INT)
+        for g, (x, z) in enumerate(zip(edge, edge[1:])):
+            c = count[x:z]
+            self.mass[g] = c.sum()
+            wide = 1 + c * (_ONE - len(c)) // self.mass[g]
+            wide[-1] += _ONE - wide.sum()
+            self.width[x:z] = wide
+            self.low[x:z] = np.cumsum(wide) - wide
+        self.place = (self.group.astype(_INT) << _TOP) + self.low
+
+
 class _Model:
-    """Statistics of some blocks, one lane each."""
-
-    def __init__(self, lanes: int, letters: int):
-        self.k = letters
-        self.t2 = np.full((lanes, 1 << TABLE), -1, np.int32)
-        self.t1 = np.full((lanes, letters + 1), -1, np.int32)
-        self.c2, self.c1 = np.zeros((lanes, 1 << TABLE), np.int8), np.zeros((lanes, letters + 1), np.int8)
-        # hits and tries by confidence of either context
-        self.seen2, self.seen1 = np.full((lanes, 8, 2), 1, np.int32), np.full((lanes, 8, 2), 1, np.int32)
-        self.seen2[:, :, 1] = self.seen1[:, :, 1] = 3
-        self.count = np.ones((lanes, letters), np.int32)
-        self.low = None
+    """Statistics of some blocks, one lane each; row 0 is order 2, row 1 order 1. A table's entry is
+    (letter + 1) * 8 + confidence, or 0."""
+
+    def __init__(self, lanes: int, letters: _Letters):
+        size, both = 1 << TABLE, np.arange(2, dtype=_INT)[:, None]
+        self.table = np.zeros(2 * lanes * size, np.int32)
+        self.at = (np.arange(lanes, dtype=_INT) + both * lanes) * size
+        self.odds = np.tile(np.array([_ONE * (c + 1) // (c + 4) for c in range(8)], np.int32), 4 * lanes)
+        self.own = (np.arange(lanes, dtype=_INT) + both * lanes) * 16
+        self.a, self.b = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        mass = letters.mass
+        self.count = np.tile(1 + 128 * mass // max(1, int(mass.sum())), (lanes, 1)).astype(np.int32)
+        self.groups = letters.groups
+        self.row = np.arange(lanes, dtype=_INT) * (self.groups + 1)
+        self.low = np.zeros((lanes, self.groups + 1), np.int32)
+        self.flat = self.low.ravel()
         self.refresh()
 
     def refresh(self) -> None:
-        """Order-0 frequencies to a total of 2**_TOP; every letter keeps 1 at least."""
-        total = self.count.sum(1, dtype=_INT)[:, None]
-        scaled = 1 + self.count.astype(_INT) * ((1 << _TOP) - self.k) // total
-        edge = np.zeros((len(self.count), self.k + 1), np.int32)
-        np.cumsum(scaled, axis=1, out=edge[:, 1:])
-        self.low = edge
-        self.low[:, -1] = 1 << _TOP
-
-    def take(self, keep: np.ndarray) -> None:
-        """Drop lanes that have ended."""
-        for name in ("t2", "t1", "c2", "c1", "seen2", "seen1", "count", "low"):
-            setattr(self, name, getattr(self, name)[keep])
-
-    def predict(self, lane, a, b):
-        """Both contexts' ids and places, and the edges between the three answers."""
-        h = ((b.astype(_INT) * 40503 + a.astype(_INT) * 2654435761) >> 7) & ((1 << TABLE) - 1)
-        p2, p1 = self.t2[lane, h], self.t1[lane, a]
-        k2, k1 = self.c2[lane, h], self.c1[lane, a]
-        s2, s1 = self.seen2[lane, k2], self.seen1[lane, k1]
-        one = 1 << _TOP
-        x = np.where(p2 >= 0, s2[:, 0].astype(_INT) * (one - 64) // s2[:, 1], 0)
-        y = np.where((p1 >= 0) & (p1 != p2), (one - 32 - x) * s1[:, 0].astype(_INT) // s1[:, 1] * 15 // 16, 0)
-        return h, p2, p1, k2, k1, x, x + y
-
-    def learn(self, lane, a, h, p2, p1, k2, k1, sym) -> None:
-        """Count the outcome and remember the id."""
-        for seen, table, sure, key, p, k in ((self.seen2, self.t2, self.c2, h, p2, k2), (self.seen1, self.t1, self.c1, a, p1, k1)):
-            hit, had = p == sym, p >= 0
-            seen[lane, k, 0] += (24 * (hit & had)).astype(np.int32)
-            seen[lane, k, 1] += (24 * had).astype(np.int32)
-            big = np.flatnonzero(seen[lane, k, 1] > 6000)
-            if len(big):
-                seen[lane[big], k[big]] = seen[lane[big], k[big]] // 2 + 1
-            sure[lane, key] = np.where(hit, np.minimum(k + 1, 7), np.where(k > 1, k // 2, 0)).astype(np.int8)
-            table[lane, key] = np.where(hit | (k > 1), p, sym)
+        """Group frequencies to a total of 4096; every group keeps LEAST at least."""
+        total = self.count.sum(1, dtype=np.int32)[:, None]
+        np.cumsum(LEAST + self.count * (4096 - LEAST * self.groups) // total, axis=1, out=self.low[:, 1:])
+        self.low[:, -1] = 4096
+
+    def predict(self, n: int):
+        """Of the first n lanes: the entries of both contexts, and the edges x and y between the three answers."""
+        i = np.empty((2, n), np.uint32)
+        np.multiply(self.a[:n], np.uint32(2654435761), out=i[1])
+        np.add(i[1], self.b[:n] * np.uint32(2246822519), out=i[0])
+        i = (i >> np.uint32(32 - TABLE)) + self.at[:, :n]
+        e = self.table.take(i)
+        s, k = e >> 3, e & 7
+        old = s > 0
+        j = self.own[:, :n] + k
+        same = s[0] == s[1]
+        j[0] += same << 3
+        j[1] += old[0].astype(np.int32) << 3
+        q = self.odds.take(j)
+        x = np.clip(q[0], 64, _ONE - 2048).astype(_INT) * old[0]
+        y = x + np.maximum((_ONE - 512 - x) * q[1] >> _TOP, 16) * (old[1] & ~same)
+        return (i, e, s, k, old, j, q), x, y
+
+    def learn(self, n: int, seen, sym) -> None:
+        """Count the outcome (letter + 1) and remember it."""
+        i, e, s, k, old, j, q = seen
+        hit = s == sym
+        self.odds[j] = q + ((((hit.astype(np.int32) << _TOP) - q) >> 5) * old)
+        self.table[i] = np.where(hit, e + (k < 7), np.where(k > 1, e - k + (k >> 1), sym << 3))
+        self.b[:n], self.a[:n] = self.a[:n], sym
 
 
 _LOW, _RANGE = (1 << 32) - 1, 1 << 48
 
 
-def encode_blocks(ids: np.ndarray, sizes: np.ndarray, letters: int) -> list[bytes]:
-    """Code each block of ids (letters below `letters`; sizes ascending order not needed) to bytes."""
+def encode_blocks(ids: np.ndarray, sizes: np.ndarray, letters: _Letters) -> list[bytes]:
+    """Code each block of letter numbers to bytes."""
     order = np.argsort(-sizes, kind="stable")
     n = sizes[order]
+    lanes, steps = len(n), int(n[0]) if len(n) else 0
     begin = (np.cumsum(sizes) - sizes)[order]
-    lanes = len(n)
     model = _Model(lanes, letters)
     low, span = np.zeros(lanes, _INT), np.full(lanes, _RANGE, _INT)
-    out = np.zeros((lanes, 2 * (int(n[0]) if lanes else 0) + 8), _INT)
+    out = np.zeros((lanes, 2 * steps + 8), _INT)
     used = np.zeros(lanes, _INT)
-    a, b = np.full(lanes, letters, np.int32), np.full(lanes, letters, np.int32)
+    group, inner, width, counts = letters.group.astype(_INT), letters.low, letters.width, model.count.ravel()
 
-    def put(lane, start, width):
-        r = span[lane] >> _TOP
-        low[lane] += r * start
-        span[lane] = r * width
-        small = lane[span[lane] <= _LOW]
-        if len(small):
-            out[small, used[small]] = low[small] >> 32
-            used[small] += 1
-            low[small] = (low[small] & _LOW) << 16
-            span[small] <<= 16
+    def spill(lane):
+        out[lane, used[lane]] = low[lane] >> 32
+        used[lane] += 1
+        low[lane] = (low[lane] & _LOW) << 16
+        span[lane] <<= 16
 
     live = lanes
-    for t in range(int(n[0]) if lanes else 0):
-        while live and n[live - 1] <= t:
+    for t in range(steps):
+        while n[live - 1] <= t:
             live -= 1
-        lane = np.arange(live)
-        sym = ids[begin[:live] + t].astype(np.int32)
-        h, p2, p1, k2, k1, x, y = model.predict(lane, a[:live], b[:live])
-        is2 = p2 == sym
-        is1 = ~is2 & (p1 == sym) & (y > x)
-        put(lane, np.where(is2, 0, np.where(is1, x, y)), np.where(is2, x, np.where(is1, y - x, (1 << _TOP) - y)))
-        miss = np.flatnonzero(~is2 & ~is1)
+        sym = ids.take(begin[:live] + t)
+        seen, x, y = model.predict(live)
+        hit = seen[2] == sym + 1
+        is1 = hit[1] > hit[0]
+        miss = np.flatnonzero(~(hit[0] | hit[1]))
+        a, z = np.where(is1, x, 0), np.where(is1, y, x)
         s = sym[miss]
-        put(miss, model.low[miss, s].astype(_INT), (model.low[miss, s + 1] - model.low[miss, s]).astype(_INT))
-        model.learn(lane, a[:live], h, p2, p1, k2, k1, sym)
-        model.count[miss, s] += 32
-        b[:live], a[:live] = a[:live], sym
+        g = group.take(s)
+        edges, start, flat = model.row.take(miss) + g, y.take(miss), model.flat
+        rest = _ONE - start
+        a[miss], z[miss] = start + (rest * flat.take(edges) >> 12), start + (rest * flat.take(edges + 1) >> 12)
+        r = span[:live] >> _TOP
+        low[:live] += r * a
+        span[:live] = r * (z - a)
+        small = np.flatnonzero(span[:live] <= _LOW)
+        if len(small):
+            spill(small)
+        r = span.take(miss) >> _TOP
+        low[miss] += r * inner.take(s)
+        r *= width.take(s)
+        span[miss] = r
+        small = miss[r <= _LOW]
+        if len(small):
+            spill(small)
+        counts[edges - miss] += 4
+        model.learn(live, seen, sym + 1)
         if (t + 1) % REFRESH == 0:
             model.refresh()
     for _ in range(3):  # the rest of low
-        lane = np.arange(lanes)
-        out[lane, used] = low >> 32
-        used += 1
-        low = (low & _LOW) << 16
+        spill(np.arange(lanes))
     # carries: words above 16 bits pass their top on to the word before
     carry = np.zeros(lanes, _INT)
     for i in range(int(used.max(initial=0)) - 1, -1, -1):
@@ -153,12 +186,12 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray, letters: int) -> list[byte
     return done
 
 
-def decode_blocks(blocks: list[bytes], sizes: np.ndarray, letters: int) -> np.ndarray:
-    """The ids of all blocks, in order."""
+def decode_blocks(blocks: list[bytes], sizes: np.ndarray, letters: _Letters) -> np.ndarray:
+    """The letter numbers of all blocks, in order."""
     order = np.argsort(-sizes, kind="stable")
     n = sizes[order]
+    lanes, steps = len(n), int(n[0]) if len(n) else 0
     begin = (np.cumsum(sizes) - sizes)[order]
-    lanes = len(n)
     words = np.zeros((lanes, max((len(x) for x in blocks), default=0) // 2 + 8), _INT)
     for i, at in enumerate(order.tolist()):
         w = np.frombuffer(blocks[at], ">u2")
@@ -166,45 +199,48 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray, letters: int) -> np.nd
     model = _Model(lanes, letters)
     code = (words[:, 0] << 32) | (words[:, 1] << 16) | words[:, 2]
     used, span = np.full(lanes, 3, _INT), np.full(lanes, _RANGE, _INT)
-    a, b = np.full(lanes, letters, np.int32), np.full(lanes, letters, np.int32)
     ids = np.zeros(int(sizes.sum()), np.int32)
+    inner, width, place, counts = letters.low, letters.width, letters.place, model.count.ravel()
 
-    def drop(lane, start, width, r):
-        code[lane] -= r * start
-        span[lane] = r * width
-        small = lane[span[lane] <= _LOW]
-        if len(small):
-            code[small] = (code[small] << 16) | words[small, used[small]]
-            used[small] += 1
-            span[small] <<= 16
+    def fill(lane):
+        code[lane] = (code[lane] << 16) | words[lane, used[lane]]
+        used[lane] += 1
+        span[lane] <<= 16
 
-    live, rounds = lanes, max(1, int(np.ceil(np.log2(letters + 1))))
-    for t in range(int(n[0]) if lanes else 0):
-        while live and n[live - 1] <= t:
+    live = lanes
+    for t in range(steps):
+        while n[live - 1] <= t:
             live -= 1
-        lane = np.arange(live)
-        h, p2, p1, k2, k1, x, y = model.predict(lane, a[:live], b[:live])
+        seen, x, y = model.predict(live)
         r = span[:live] >> _TOP
-        at = np.minimum(code[:live] // r, (1 << _TOP) - 1)
-        is2 = at < x
-        is1 = ~is2 & (at < y)
-        drop(lane, np.where(is2, 0, np.where(is1, x, y)), np.where(is2, x, np.where(is1, y - x, (1 << _TOP) - y)), r)
-        sym = np.where(is2, p2, p1)
-        miss = np.flatnonzero(~is2 & ~is1)
-        if len(miss):
-            r = span[miss] >> _TOP
-            at = np.minimum(code[miss] // r, (1 << _TOP) - 1)
-            lo, hi = np.zeros(len(miss), _INT), np.full(len(miss), letters, _INT)
-            for _ in range(rounds):
-                mid = (lo + hi) >> 1
-                up = model.low[miss, mid] <= at
-                lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
-            drop(miss, model.low[miss, lo].astype(_INT), (model.low[miss, lo + 1] - model.low[miss, lo]).astype(_INT), r)
-            sym[miss] = lo
-        model.learn(lane, a[:live], h, p2, p1, k2, k1, sym)
-        model.count[miss, sym[miss]] += 32
+        at = np.minimum(code[:live] // r, _ONE - 1)
+        is1, escape = at >= x, at >= y
+        sym = np.where(is1, seen[2][1], seen[2][0]) - 1
+        a, z = np.where(is1, x, 0), np.where(is1, y, x)
+        miss = np.flatnonzero(escape)
+        start, flat = y.take(miss), model.flat
+        rest = _ONE - start
+        q = ((at.take(miss) - start) * 4096 + 4095) // rest
+        g = np.count_nonzero(model.low[:, 1:].take(miss, 0) <= q.astype(np.int32)[:, None], axis=1)
+        edges = model.row.take(miss) + g
+        a[miss], z[miss] = start + (rest * flat.take(edges) >> 12), start + (rest * flat.take(edges + 1) >> 12)
+        code[:live] -= r * a
+        span[:live] = r * (z - a)
+        small = np.flatnonzero(span[:live] <= _LOW)
+        if len(small):
+            fill(small)
+        r, held = span.take(miss) >> _TOP, code.take(miss)
+        s = np.searchsorted(place, (g << _TOP) + np.minimum(held // r, _ONE - 1), "right") - 1
+        code[miss] = held - r * inner.take(s)
+        r *= width.take(s)
+        span[miss] = r
+        small = miss[r <= _LOW]
+        if len(small):
+            fill(small)
+        sym[miss] = s
+        counts[edges - miss] += 4
+        model.learn(live, seen, sym + 1)
         ids[begin[:live] + t] = sym
-        b[:live], a[:live] = a[:live], sym
         if (t + 1) % REFRESH == 0:
             model.refresh()
     return ids
@@ -212,14 +248,18 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray, letters: int) -> np.nd
 
 def dump(docs: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
     """A file of documents with `sizes` ids each."""
-    alphabet, coded = np.unique(ids, return_inverse=True)
+    alphabet, coded, count = np.unique(ids, return_inverse=True, return_counts=True)
+    weight = np.rint(4 * np.log2(count)).astype(_INT)
+    letters = _Letters(alphabet.astype(_INT), weight)
+    number = np.empty(len(alphabet), _INT)
+    number[np.searchsorted(alphabet, letters.ids)] = np.arange(len(alphabet))
     cut = np.full(-(-len(ids) // BLOCK), BLOCK, _INT)
     if len(cut):
         cut[-1] = len(ids) - BLOCK * (len(cut) - 1)
-    blocks = encode_blocks(coded.astype(np.int32), cut, len(alphabet)) if len(ids) else []
+    blocks = encode_blocks(number[coded].astype(np.int32), cut, letters)
     edge = np.r_[0, np.cumsum(cut)]
     crc = [zlib.crc32(ids[a:z].astype("<u4").tobytes()) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist())]
-    head = {"docs": docs, "sizes": sizes.tolist(), "alphabet": np.diff(alphabet, prepend=0).tolist(), "blocks": [[len(x), int(c), y] for x, c, y in zip(blocks, cut, crc)]}
+    head = {"docs": docs, "sizes": sizes.tolist(), "alphabet": np.diff(alphabet.astype(_INT), prepend=0).tolist(), "weight": weight.tolist(), "blocks": [[len(x), int(c), y] for x, c, y in zip(blocks, cut, crc)]}
     packed = zstandard.ZstdCompressor(level=6).compress(json.dumps(head, separators=(",", ":")).encode())
     return MAGIC + struct.pack("<I", len(packed)) + packed + b"".join(blocks)
 
@@ -234,10 +274,12 @@ def load(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     for size, _, _ in head["blocks"]:
         blocks.append(data[at : at + size])
         at += size
-    alphabet = np.cumsum(np.asarray(head["alphabet"], _INT))
+    letters = _Letters(np.cumsum(np.asarray(head["alphabet"], _INT)), np.asarray(head["weight"], _INT))
     cut = np.asarray([x[1] for x in head["blocks"]], _INT)
-    coded = decode_blocks(blocks, cut, len(alphabet)) if len(cut) else np.zeros(0, np.int32)
-    ids = alphabet[coded] if len(coded) else np.zeros(0, _INT)
+    try:
+        ids = letters.ids[decode_blocks(blocks, cut, letters)] if len(cut) else np.zeros(0, _INT)
+    except IndexError as e:  # a damaged block may run past its end
+        raise ValueError("a block is damaged") from e
     edge = np.r_[0, np.cumsum(cut)].tolist()
     for (_, _, crc), a, z in zip(head["blocks"], edge[:-1], edge[1:]):
         if zlib.crc32(ids[a:z].astype("<u4").tobytes()) != crc:
@@ -311,32 +353,23 @@ def _commit(batches):
 def write(docs: DataFrame, base: str, id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Encode docs, append END to each, write them under base in ascending order of id, and return the manifest.
 
-    A null or empty text has END only; a null id sorts first; rows of one id are ordered by text. Files of failed
-    attempts never get a final name.
+    A null or empty text has END only; a null id sorts first; rows of one id are ordered by a hash of their text, equal
+    rows stay equal rows. Other columns are ignored, under any name. An empty table gives an empty manifest. Files of
+    failed attempts never get a final name.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    spark = docs.sparkSession
     rows = docs.select(column(docs, id).cast("long").alias("doc"), F.coalesce(column(docs, text), F.lit("")).alias("text"))
-    low, high, total = rows.agg(F.min("doc"), F.max("doc"), F.sum(F.length("text") + 1)).first()
-    low, span = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // 4096))
-    cell = F.floor((F.coalesce("doc", F.lit(low)) - low) / span).cast("int")
-    sizes = sorted((r["c"], r["s"]) for r in rows.groupBy(cell.alias("c")).agg(F.sum(F.length("text") + 1).alias("s")).collect())  # 4096 rows at most
-    most = max(1 << 22, (total or 0) // max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    starts, held = [0], 0
-    for c, s in sizes:
-        if held and held + s > most:
-            starts.append(c)
-            held = 0
-        held += s
-    shard = F.size(F.filter(F.array(*[F.lit(c) for c in starts]), lambda x: x <= F.col("cell"))) - 1
-    dealt = rows.withColumn("cell", cell).withColumn("shard", shard.cast("int")).select("shard", "doc", "text")
-    dealt = dealt.repartition(len(starts), "shard").sortWithinPartitions("shard", F.col("doc").asc_nulls_first(), "text")
+    tie = F.xxhash64("text")
+    found = shards.cuts(rows, F.col("doc"), tie, F.octet_length("text") + 20, SHARD_BYTES)
+    sharded = rows.select(shards.shard_of(found)(F.col("doc"), tie).alias("shard"), "doc", tie.alias("tie"), "text")
+    ready = shards.dealt(sharded, len(found[0]) + 1, [F.col("doc").asc_nulls_first(), "tie", "text"]).select("shard", "doc", "text")
     files.make(f"{base}/_temporary")
-    accepted = stage(dealt.mapInArrow(_writer(path, base), _ROWS), "tokens-accepted")
+    accepted = stage(ready.mapInArrow(_writer(path, base), _ROWS), "tokens-accepted")
     accepted.mapInArrow(_commit, _ROWS).write.mode("overwrite").parquet(f"{base}/manifest")
+    discard(accepted)
     f, p = files.at(f"{base}/_temporary")
     f.delete_dir(p)
-    return spark.read.parquet(f"{base}/manifest")
+    return docs.sparkSession.read.parquet(f"{base}/manifest")
 
 
 _READ = "shard int, seq int, at long, doc_id long, n_tokens long, ids binary"
