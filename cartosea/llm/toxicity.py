@@ -1,18 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text; a window (a word with its borders) is
-compressed with each, and the lengths are compared. Bytes are spread to `SPREAD` fixed pseudo-random bytes before, so
-that what a dictionary doesn't know costs its length and what it knows costs one match. A logistic threshold over both
-lengths, calibrated on labelled documents that trained no dictionary, turns a window's lengths into a log-odds; a
-document's score is a calibrated function of its two largest ones and its number of windows.
-
-A toxic document is mostly ordinary text. The toxic dictionary is therefore trained on its windows that hold a byte
-`GRAM`-gram which stands in far more toxic than ordinary documents.
+Two zstandard dictionaries are trained, one on the text of documents labelled toxic and one on that of ordinary ones;
+nothing but the labels says which text goes where. A window (a word with its borders) is compressed with each, and the
+lengths are compared. Bytes are spread to `SPREAD` fixed pseudo-random bytes before, so that what a dictionary doesn't know
+costs its length and what it knows costs one match. The thresholds are calibrated on labelled documents that trained no
+dictionary: a logistic one over both lengths of a window, and one over a document's largest log-odds and its number of
+windows. A toxic document is mostly ordinary text, and labels mark documents, not windows; so the window's threshold
+is found in rounds, each against the windows that stand out most in toxic documents by the round before.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,12 +22,14 @@ from pyspark.sql import functions as F
 
 from cartosea.llm.common import column, sliced, utf8
 
-SPREAD, GRAM, LEVEL = 8, 6, 19
+SPREAD, LEVEL = 8, 19
 #: Windows of a document that its score looks at.
 TOP = 6
 #: The fit takes at most so many labelled rows of each kind, in order of a hash of the id, none longer than LONGEST.
 FIT_TOXIC, FIT_ORDINARY, LONGEST = 2500, 5000, 20_000
-TOXIC_BYTES, TOXIC_SHARE, ORDINARY_BYTES, SAMPLES, CACHE = (2 << 10, 24 << 10), 8, 112 << 10, 40_000, 2_000_000
+#: Dictionaries: bytes at most, segment and smallest piece of training. Calibration: ordinary windows, rounds, and windows of a
+#: toxic document that count as toxic. Windows that a worker remembers.
+TOXIC_BYTES, ORDINARY_BYTES, SEGMENT, PIECE, SAMPLES, ROUNDS, STANDING, CACHE = 8 << 10, 64 << 10, 16, 6, 120_000, 4, 3, 2_000_000
 _CODE = np.random.default_rng(20).integers(0, 256, (256, SPREAD), dtype=np.uint8)
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -67,15 +67,20 @@ def lengths(words: list[bytes], dictionary: zstandard.ZstdCompressionDict) -> np
     return np.fromiter(map(len, made), np.float64, len(made))
 
 
-def _train(words: list[bytes], size: int) -> bytes:
-    data, segments = spread(words)
-    samples = [data[a : a + n] for a, n in segments.tolist()]
+def _train(docs: list[list[bytes]], size: int) -> bytes:
+    """A dictionary of some documents' text."""
+    samples = [b" " + b" ".join(d) + b" " for d in docs if d]
+    size = max(256, min(size, sum(map(len, samples)) // 4))
     try:
-        return zstandard.train_dictionary(size, samples, k=80, d=8).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=PIECE).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their text is the dictionary
         return b"".join(samples)[-size:] or bytes(8)
 
 
+def _dictionaries(*raw: bytes) -> list[zstandard.ZstdCompressionDict]:
+    return [zstandard.ZstdCompressionDict(_CODE[np.frombuffer(x, np.uint8)].tobytes(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for x in raw]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights of a logistic regression, bias last, by damped Newton steps on standardised columns."""
     mid, scale = x.mean(0), x.std(0) + 1e-9
@@ -104,67 +109,40 @@ def _features(toxic: np.ndarray, ordinary: np.ndarray, words: list[bytes]) -> np
     return np.stack([d, np.maximum(d, 0) ** 2, t, o, t * t, o * o, t * o, toxic / (SPREAD * size), ordinary / (SPREAD * size), size / 8, d * size / 8, t * size / 8], 1)
 
 
-def _strong(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
-    def grams(doc):
-        out = set()
-        for w in set(doc):
-            w = b" " + w + b" "
-            out.update(w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1)))
-        return out
-
-    a, b = Counter(), Counter()
-    for d in toxic:
-        a.update(grams(d))
-    for d in ordinary:
-        b.update(grams(d))
-    least = max(2, 0.004 * len(toxic))
-    return {g for g, n in a.items() if n >= least and (n + 0.5) / (len(toxic) + 1) > 12 * (b[g] + 0.5) / (len(ordinary) + 1)}
+def _window_threshold(toxic: list[list[bytes]], ordinary: list[list[bytes]], dicts: list[zstandard.ZstdCompressionDict]) -> np.ndarray:
+    """Weights over a window's lengths that part what stands out in toxic documents from ordinary windows."""
+    known = list(dict.fromkeys(w for d in toxic + ordinary for w in d))
+    number = dict(zip(known, range(len(known))))
+    x = _features(lengths(known, dicts[0]), lengths(known, dicts[1]), known)
+    own = [np.unique(np.fromiter(map(number.__getitem__, d), np.int64, len(d))) for d in toxic if d]
+    rest = np.concatenate([np.fromiter(map(number.__getitem__, d), np.int64, len(d)) for d in ordinary if d])
+    some = np.random.default_rng(1).permutation(len(rest))[:SAMPLES]
+    score, weights = x[:, 0], np.zeros(x.shape[1] + 1)
+    for _ in range(ROUNDS):
+        # what stands out in ordinary documents too is no sign, however often toxic ones have it
+        high = rest[np.argsort(-score[rest], kind="stable")[: len(some) // 4]]
+        top = np.concatenate([d[np.argsort(-score[d], kind="stable")[:STANDING]] for d in own])
+        rows = np.concatenate([top, rest[some], high])
+        weights = _logistic(x[rows], np.r_[np.ones(len(top)), np.zeros(len(rows) - len(top))], np.ones(len(rows)))
+        score = x @ weights[:-1] + weights[-1]
+    return weights
 
 
 def fit(texts: list[bytes], labels: list[int], base: float | None = None) -> Model:
     """Train on labelled texts: even ones train the dictionaries, odd ones calibrate (all do both if they are few)."""
     docs = [windows(t) for t in texts]
     toxic, ordinary = ([d for d, y in zip(docs, labels) if y == k] for k in (1, 0))
-    if not toxic or not ordinary:
-        return Model(bytes(8), bytes(8), [0.0] * 13, [0.0] * (TOP + 2), float(bool(toxic)) if docs else 0.0)
-    strong = _strong(toxic, ordinary)
-
-    def bad(w: bytes) -> bool:
-        w = b" " + w + b" "
-        return any(w[i : i + GRAM] in strong for i in range(max(1, len(w) - GRAM + 1)))
-
-    def core(w: bytes) -> bytes:
-        w = b" " + w + b" "
-        hit = [i for i in range(max(1, len(w) - GRAM + 1)) if w[i : i + GRAM] in strong]
-        return w[hit[0] : hit[-1] + GRAM].strip() if hit else w.strip()
-
+    share = float(np.mean(labels)) if labels else 0.0
     part = lambda x, k: x[k::2] if len(x) > 20 else x
-    rng = np.random.default_rng(1)
-    pick = lambda words, n: [words[i] for i in rng.permutation(len(words))[:n]]
-
-    def dictionaries(toxic, ordinary) -> tuple[bytes, bytes]:
-        hot = [core(w) for d in toxic for w in d if bad(w)] or [w for d in toxic for w in d]
-        size = SPREAD * sum(len(w) + 2 for w in hot) // TOXIC_SHARE
-        cold = [w for d in ordinary for w in d] or [b""]
-        return _train(pick(hot, SAMPLES), min(TOXIC_BYTES[1], max(TOXIC_BYTES[0], size))), _train(pick(cold, SAMPLES), ORDINARY_BYTES)
-
-    one, two = dictionaries(part(toxic, False), part(ordinary, False))
-    dicts = [zstandard.ZstdCompressionDict(x) for x in (one, two)]
-    hot = pick([w for d in part(toxic, True) for w in d if bad(w)], SAMPLES)
-    cold = pick([w for d in part(ordinary, True) for w in d], 3 * SAMPLES)
-    words = hot + cold
-    if not hot or not cold:
-        return Model(one, two, [0.0] * 13, [0.0] * (TOP + 2), len(toxic) / len(docs))
-    y = np.r_[np.ones(len(hot)), np.zeros(len(cold))]
-    w = _logistic(_features(lengths(words, dicts[0]), lengths(words, dicts[1]), words), y, np.ones(len(words)))
-    model = Model(one, two, w.tolist(), [0.0] * (TOP + 2), len(toxic) / len(docs))
-    rows, marks = part(toxic, True) + part(ordinary, True), np.r_[np.ones(len(part(toxic, True))), np.zeros(len(part(ordinary, True)))]
-    x = _document_rows(model, rows)
+    hot, cold = part(toxic, True), part(ordinary, True)
+    if not any(hot) or not any(cold):
+        return Model(bytes(8), bytes(8), [0.0] * 13, [0.0] * (TOP + 2), share)
+    raw = _train(part(toxic, False), TOXIC_BYTES), _train(part(ordinary, False), ORDINARY_BYTES)
+    model = Model(*raw, _window_threshold(hot, cold, _dictionaries(*raw)).tolist(), [0.0] * (TOP + 2), share if base is None else base)
+    marks = np.r_[np.ones(len(hot)), np.zeros(len(cold))]
     # the sample's kinds are weighted as they stand among all labelled rows
-    share = model.base if base is None else base
-    weight = np.where(marks == 1, share / max(1, marks.sum()), (1 - share) / max(1, (1 - marks).sum())) * len(marks)
-    model.document = _logistic(x, marks, weight).tolist()
-    model.base = share
+    weight = np.where(marks == 1, model.base / len(hot), (1 - model.base) / len(cold)) * len(marks)
+    model.document = _logistic(_document_rows(model, hot + cold), marks, weight).tolist()
     return model
 
 
@@ -173,7 +151,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.dicts = [zstandard.ZstdCompressionDict(x) for x in (model.toxic, model.ordinary)]
+        self.dicts = _dictionaries(model.toxic, model.ordinary)
         self.known: dict[bytes, float] = {}
 
     def odds(self, words: list[bytes]) -> np.ndarray:
