@@ -137,6 +137,10 @@ def _measure(fields: list[str], pieces: str, tokens: str):
     return run
 
 
+#: What score_documents adds.
+OUT = (*(x.split()[0] for x in MEASURES.split(", ")), "chars_per_piece", "chars_per_token", "byte_share", "relative_entropy", "base_failed", "kept")
+
+
 def measures(docs: DataFrame, keep: list[str], text: str = "text", pieces: str | None = None, tokens: str | None = None) -> DataFrame:
     """keep's columns and, for each row, MEASURES and the ratios that the bands look at. Null and empty texts: zeros."""
     kept = docs.select(*[column(docs, c) for c in keep])
@@ -153,6 +157,12 @@ def measures(docs: DataFrame, keep: list[str], text: str = "text", pieces: str |
     })
 
 
+def _median(value):
+    """The exact median of values rounded to 1/1024: the same whatever the order in which parts are merged, and counted
+    by at most as many distinct values as the measures have steps (some ten thousands)."""
+    return F.percentile(F.round(value * 1024) / 1024, 0.5)
+
+
 def _small(bands: DataFrame) -> DataFrame:
     """Bands of so few groups that every executor can hold them; more are joined by shuffle."""
     return F.broadcast(bands) if bands.count() <= 10_000 else bands
@@ -170,21 +180,21 @@ def _by_length(measured: DataFrame) -> DataFrame:
     near = with_dense.withColumn("_like", F.coalesce(nearest, F.lit(-1)))
     same = lambda g, k: F.col("_group").eqNullSafe(F.col(g)) & (F.col("_like") == F.col(k))
     mid = near.where("n_words > 0").groupBy(F.col("_group").alias("_g4"), F.col("_like").alias("_k4")).agg(
-        F.percentile_approx("_bits", 0.5, 10_000).alias("_mid_bits"), F.percentile_approx("entropy", 0.5, 10_000).alias("_mid_entropy")
+        _median(F.col("_bits")).alias("_mid_bits"), _median(F.col("entropy")).alias("_mid_entropy")
     )
     near = near.join(_small(stage(mid, "quality-lengths")), same("_g4", "_k4"), "left")
-    off = near.where("n_words > 0").groupBy(F.col("_group").alias("_g5"), F.col("_like").alias("_k5")).agg(F.percentile_approx(F.abs(F.col("entropy") - F.col("_mid_entropy")), 0.5, 10_000).alias("_mad_entropy"))
+    off = near.where("n_words > 0").groupBy(F.col("_group").alias("_g5"), F.col("_like").alias("_k5")).agg(_median(F.abs(F.col("entropy") - F.col("_mid_entropy"))).alias("_mad_entropy"))
     return near.join(_small(stage(off, "quality-lengths")), same("_g5", "_k5"), "left")
 
 
 def judge(measured: DataFrame) -> DataFrame:
     """measured (with `_group`, the language or script) plus base_failed and kept, by the corpus's own bands."""
     mid = measured.groupBy(F.col("_group").alias("_g1")).agg(
-        *[F.percentile_approx(c, 0.5, 10_000).alias(f"_mid_{c}") for c in SPREAD],
-        F.percentile_approx("n_words", 0.5, 10_000).alias("_mid_words"),
+        *[_median(F.col(c)).alias(f"_mid_{c}") for c in SPREAD],
+        F.pow(F.lit(2.0), _median(F.log2(F.greatest(F.col("n_words"), F.lit(1))))).alias("_mid_words"),
     )
     near = measured.join(_small(stage(mid, "quality-bands")), F.col("_group").eqNullSafe(F.col("_g1")))
-    off = near.groupBy(F.col("_group").alias("_g2")).agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"_mid_{c}")), 0.5, 10_000).alias(f"_mad_{c}") for c in SPREAD])
+    off = near.groupBy(F.col("_group").alias("_g2")).agg(*[_median(F.abs(F.col(c) - F.col(f"_mid_{c}"))).alias(f"_mad_{c}") for c in SPREAD])
     full = _by_length(near.join(_small(stage(off, "quality-bands")), F.col("_group").eqNullSafe(F.col("_g2"))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     widen = F.sqrt(F.greatest(F.lit(1.0), F.col("_mid_words") / F.greatest(F.col("n_words"), F.lit(1))))
@@ -204,8 +214,10 @@ def score_documents(docs: DataFrame, keep: list[str], text: str = "text", lang:
     """keep's columns with all measures, base_failed and kept.
 
     Null, empty and blank texts have no words and fail the base rule; a null language is a group of its own; documents
-    without a language column are grouped by script. Equal rows get equal verdicts. An empty table gives no rows.
+    without a language column are grouped by script. Equal rows get equal verdicts, and so does every run. An empty
+    table gives no rows. A column of docs that is named like a measure or a verdict gives way to it.
     """
+    keep = [c for c in keep if c not in OUT]
     has = lang is not None and lang in docs.columns
     names = [f"_c{i}" for i in range(len(keep))]
     cols = [column(docs, c).alias(n) for c, n in zip(keep, names)]

@@ -40,3 +40,54 @@ def test_entropy_bands_by_language(spark):
     got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["doc_id"]).collect()}
     assert all(got[100 + i] == (False, False) and got[300 + i] == (False, False) for i in range(3))
     assert all(got[i][1] and got[200 + i][1] for i in range(60))
+
+
+def _verdicts(rows, group):
+    """kept of measured rows, restated with plain lists."""
+    import math
+    import statistics as st
+
+    from cartosea.llm import quality as Q
+
+    grid = lambda x: math.floor(abs(x) * 1024 + 0.5) / 1024 * (1 if x >= 0 else -1)
+    median = lambda xs: st.median(map(grid, xs))
+    out, by = {}, {}
+    for r in rows:
+        by.setdefault(r[group], []).append(r)
+    bits = lambda r: math.log2(max(1, r["n_pieces"]))
+    for own in by.values():
+        mid = {c: median(r[c] for r in own) for c in Q.SPREAD}
+        mad = {c: median(abs(r[c] - mid[c]) for r in own) for c in Q.SPREAD}
+        words = 2 ** median(math.log2(max(1, r["n_words"])) for r in own)
+        some = [r for r in own if r["n_words"] > 0]
+        octaves = [math.floor(bits(r)) for r in some]
+        dense = sorted({o for o in octaves if octaves.count(o) >= Q.ENOUGH})
+        like = lambda r: min(dense, key=lambda o: (abs(o - math.floor(bits(r))), o)) if dense else -1
+        classes = {}
+        for r in some:
+            classes.setdefault(like(r), []).append(r)
+        mids = {k: (median(map(bits, rs)), median(r["entropy"] for r in rs)) for k, rs in classes.items()}
+        mads = {k: median(abs(r["entropy"] - mids[k][1]) for r in rs) for k, rs in classes.items()}
+        for r in own:
+            good = not r["base_failed"] and r["relative_entropy"] >= Q.LEAST_ENTROPY
+            widen = math.sqrt(max(1.0, words / max(1, r["n_words"])))
+            for c, times in Q.SPREAD.items():
+                least = Q.LEAST_SHARE if c == "byte_share" else Q.LEAST * mid[c]
+                good = good and abs(r[c] - mid[c]) <= times * widen * max(mad[c], least)
+            if good:
+                k = like(r)
+                longer, off = bits(r) - mids[k][0], r["entropy"] - mids[k][1]
+                half = Q.ENTROPY_SPREAD * max(mads[k], Q.LEAST_BITS)
+                good = min(longer, 0.0) - half <= off <= max(longer, 0.0) + half
+            out[r["doc_id"]] = good
+    return out
+
+
+def test_verdicts_against_plain_lists_in_any_order(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").selectExpr("*", "0 as entropy", "'x' as kept")
+    got = score_documents(docs, ["doc_id", "lang", "entropy", "kept"]).collect()
+    assert got[0].__fields__.count("entropy") == got[0].__fields__.count("kept") == 1
+    want = _verdicts(got, "lang")
+    assert {r["doc_id"]: r["kept"] for r in got} == want and 0 < sum(want.values()) < len(want)
+    again = score_documents(docs.repartition(7, "text"), ["doc_id", "lang"]).collect()
+    assert {r["doc_id"]: r["kept"] for r in again} == want
