@@ -11,8 +11,9 @@ stands, and its verdicts go back to the pieces that asked. Hashes that stand twi
 window that millions of documents share is one entry of each piece and no bucket grows with it. Copies of a text are
 one row from level 1 on, which counts as two places.
 
-Level 0's hashes have 48 bits and the number of their bucket (64 or more); they only choose candidates. Later ones have 64
-bits over two such halves, so a false match needs both halves to collide.
+Level 0's hashes have 40 bits and the number of their bucket (64 buckets or more, more with the table); they only choose
+candidates. Later ones have 64 bits. Two different windows of 35 words would be taken as equal if one half were the same
+and the other's level 0 hashes collided (1 in 2**46 or less for each such pair), or both did.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ WINDOW = 35
 #: Windows of a piece and of a bucket, about.
 PIECE, BUCKET, BUCKETS = 2_000_000, 2_000_000, 64
 #: Bytes of a hash that level 0 sends, and later levels.
-NARROW, WIDE = 6, 8
+NARROW, WIDE = 5, 8
 KEY = 12
 _HALVES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _ROWS = "piece long, bucket int, body binary, more binary"
@@ -150,7 +151,7 @@ def _decide(width: int):
         hit = np.empty(len(value), bool)
         hit[order] = np.repeat((size > 1) | np.logical_or.reduceat(twice[order], heads), size)
         out, start = [], 0
-        top = np.uint64(bucket % (1 << 16)) << np.uint64(48) if width == NARROW else np.uint64(0)
+        top = np.uint64(bucket % (1 << 16)) << np.uint64(8 * NARROW) if width == NARROW else np.uint64(0)
         for r, m in zip(rows, n):
             mine = hit[start : start + m]
             if mine.any():
@@ -205,12 +206,18 @@ def _assemble(piece: pa.Table) -> pa.Table:
 
 
 def _survivors(rows: DataFrame, windows, n: int, width: int) -> DataFrame:
-    """(k, copies, at, h) of the rows with repeated windows among some n."""
+    """(k, copies, at, h) of the texts with repeated windows among some n; rows of texts (NARROW) may be copies."""
     buckets = max(BUCKETS, -(-n // BUCKET))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = rows.mapInArrow(_scatter(windows, buckets, width), _ROWS)
     dealt = sent.repartitionById(parts, F.pmod(F.when(F.col("bucket") < 0, F.hash("piece")).otherwise(F.col("bucket")), F.lit(parts)).cast("int"))
-    return dealt.sortWithinPartitions("bucket").mapInArrow(_decide(width), _ROWS).groupBy("piece").applyInArrow(_assemble, _FOUND)
+    # written here, so that the large exchange is gone before what comes back is dealt by piece
+    told = stage(dealt.sortWithinPartitions("bucket").mapInArrow(_decide(width), _ROWS), "dedup-told")
+    found = told.groupBy("piece").applyInArrow(_assemble, _FOUND)
+    found = found.groupBy("k").agg(F.sum("copies").alias("copies"), F.first("at").alias("at"), F.first("h").alias("h")) if width == NARROW else found
+    alive = stage(found, "dedup-level")
+    discard(told)
+    return alive
 
 
 def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -219,10 +226,9 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     half = max(1, window - window // 2)
     n = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     alive = _survivors(texts, _of_texts(half), n // 6, NARROW)
-    alive = stage(alive.groupBy("k").agg(F.sum("copies").alias("copies"), F.first("at").alias("at"), F.first("h").alias("h")), "dedup-level")
     levels, gap = [(half, alive)], window - half or window
     while n := alive.agg(F.sum(F.length("h") / WIDE).cast("long")).first()[0] or 0:
-        alive = stage(_survivors(alive, _of_halves(gap), n, WIDE), "dedup-level")
+        alive = _survivors(alive, _of_halves(gap), n, WIDE)
         gap += levels[-1][0]
         levels.append((gap, alive))
     asked = [x for x in levels if x[0] >= window] or levels[-1:]
