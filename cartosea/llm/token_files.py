@@ -6,7 +6,7 @@ two ids before) or the order-1 context saw last, or neither? The two predictions
 mixed into one distribution over those answers and, where both are wrong, over the id's order-0 group, by the block's own
 counts, which are brought up to date every `REFRESH` steps. Then the id within its group. The groups are as heavy as
 each other in the file, and its header has the weights within them; so a block's state is some hundred numbers beside
-its context tables, whatever the vocabulary's size, and a thousand blocks are coded side by side, one array lane each,
+its context tables, whatever the vocabulary's size, and some thousand blocks are coded side by side, one array lane each,
 by a carrying range coder of 48 bits.
 
 File: magic, a zstandard-packed JSON header (documents, sizes, alphabet, weights, blocks), then the blocks' bytes.
@@ -19,6 +19,7 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +36,9 @@ from cartosea.llm.common import column, discard, sliced, stage, workspace
 VOCABULARY, END = "word_bpe_49k.json", 2
 MAGIC = b"CMRC0002"
 #: Ids of a block, steps between two updates of group frequencies, bits of a context table, groups, their least share.
-BLOCK, REFRESH, TABLE, GROUPS, LEAST = 1024, 32, 11, 64, 16
+BLOCK, REFRESH, TABLE, GROUPS, LEAST = 512, 32, 10, 64, 16
 #: Ids in a file and bytes of text in a shard, about: bound what a worker holds and what a task does.
-FILE_IDS, SHARD_BYTES, CACHE = 1 << 20, 24 << 20, 200_000
+FILE_IDS, SHARD_BYTES, CACHE = 1 << 20, 24 << 20, 250_000
 _TOP = 16
 _ONE = 1 << _TOP
 _INT = np.int64
@@ -288,32 +289,53 @@ def load(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 class _Words:
-    """A worker's tokenizer with the ids of the chunks between blanks that it has seen; blanks never join tokens."""
+    """A worker's tokenizer with the ids of the chunks between blanks that it has seen; blanks never join tokens.
+
+    Chunks are remembered in two generations: when the young one is full it becomes the old one, and chunks that are
+    met again move up, so common ones are never encoded twice.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit integers."""
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        new = [p for p in dict.fromkeys(x for y in parts for x in y) if p not in known]
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = []
+        for p in dict.fromkeys(x for y in parts for x in y):
+            if p not in young:
+                if p in old:
+                    young[p] = old[p]
+                else:
+                    new.append(p)
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[p] = np.asarray(e.ids, "<u4").tobytes()
-        get = known.__getitem__
+            young[p] = array("I", e.ids).tobytes()
+        get = young.__getitem__
         return [b"".join(map(get, x)) for x in parts]
 
 
+_LOADED: dict[str, _Words] = {}
+
+
+def _words(path: str) -> _Words:
+    """The worker's own, kept from task to task."""
+    if path not in _LOADED:
+        _LOADED[path] = _Words(path)
+    return _LOADED[path]
+
+
 _ROWS = "shard int, seq int, temp string, file string, n long, bytes long, sha256 string"
 _KINDS = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
 
 
 def _writer(path: str, base: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, attempt, end = _Words(path), uuid.uuid4().hex[:12], np.asarray([END], "<u4").tobytes()
+        coder, attempt, end = _words(path), uuid.uuid4().hex[:12], np.asarray([END], "<u4").tobytes()
         docs, parts, held, now = [], [], 0, None
 
         def close():
