@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartosea.operators.stencil import CROSS, neighbours
+from cartosea.operators.ranks import quantiles
+from cartosea.operators.stencil import CROSS, blur, neighbours, open_close, stretch
 
 #: East, then counter-clockwise; the lowest index wins ties.
 D8 = [(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)]
@@ -19,11 +20,22 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("cartosea.shared.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='cartosea-')}"
         spark.conf.set("cartosea.shared.dir", base)
     path = f"{base.rstrip('/')}/loop-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.staged_at = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what staged() wrote, once nothing reads it any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def d8_direction(cells: DataFrame, value: str = "z") -> DataFrame:
@@ -38,17 +50,20 @@ def flow_accumulation(directions: DataFrame) -> DataFrame:
     """(y, x, acc): cells whose water passes each cell, itself included.
 
     Pointer doubling: sums move along pointers that double their reach each round, so a forest of depth d takes about
-    log2(d) rounds of two joins.
+    log2(d) rounds. Only cells with a pointer go on to the next round; what others have or get is left where it was
+    written and added up at the end.
     """
     dy, dx = (F.element_at(F.array(*[F.lit(d[i]) for d in D8]), F.col("dir") + 1) for i in (0, 1))
     has = F.col("dir") >= 0
     state = staged(directions.select("y", "x", F.when(has, F.col("y") + dy).alias("ty"), F.when(has, F.col("x") + dx).alias("tx"), F.lit(1).cast("bigint").alias("acc")))
-    while not state.where("ty is not null").isEmpty():
-        got = state.where("ty is not null").groupBy(F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.sum("acc").alias("more"))
-        on = state.select(F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("ty").alias("ny"), F.col("tx").alias("nx"))
-        moved = state.join(on, ["ty", "tx"], "left").select("y", "x", F.col("ny").alias("ty"), F.col("nx").alias("tx"), "acc")
-        state = staged(moved.join(got, ["y", "x"], "left").select("y", "x", "ty", "tx", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")))
-    return state.select("y", "x", "acc")
+    parts = state.where("ty is null").select("y", "x", "acc")
+    while not (active := state.where("ty is not null")).isEmpty():
+        got = active.groupBy(F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.sum("acc").alias("more"))
+        on = active.select(F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("ty").alias("ny"), F.col("tx").alias("nx"))
+        moved = active.join(on, ["ty", "tx"], "left").select("y", "x", F.col("ny").alias("ty"), F.col("nx").alias("tx"), "acc")
+        state = staged(moved.join(got, ["y", "x"], "full").select("y", "x", "ty", "tx", (F.coalesce("acc", F.lit(0)) + F.coalesce("more", F.lit(0))).cast("bigint").alias("acc")))
+        parts = parts.unionByName(state.where("ty is null").select("y", "x", "acc"))
+    return parts.groupBy("y", "x").agg(F.sum("acc").alias("acc"))
 
 
 def components(cells: DataFrame, mask: str) -> DataFrame:
@@ -63,6 +78,7 @@ def components(cells: DataFrame, mask: str) -> DataFrame:
         heads = near.select(at("y", "x").alias("low"), F.col("low").alias("jump"))
         new = staged(near.join(heads, "low", "left").select("y", "x", F.least("low", F.coalesce("jump", "low")).alias("label")))
         same = new.join(on.withColumnRenamed("label", "old"), ["y", "x"]).where("label <> old").isEmpty()
+        discard(on)
         on = new
         if same:
             return on
@@ -73,3 +89,23 @@ def drop_small(cells: DataFrame, mask: str, least: int) -> DataFrame:
     labels = components(cells, mask)
     big = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return labels.join(big, "label", "left_semi").select("y", "x")
+
+
+def clean_mask(cells: DataFrame, mask: str, least: int = 200) -> DataFrame:
+    """(y, x, m): a mask opened and closed, without regions of fewer than `least` cells."""
+    smooth = staged(open_close(cells, mask))
+    kept = drop_small(smooth, "m", least).select("y", "x", F.lit(True).alias("k"))
+    return smooth.join(kept, ["y", "x"], "left").select("y", "x", F.coalesce("k", F.lit(False)).alias("m"))
+
+
+def rivers_and_flood(cells: DataFrame, value: str = "n", density: float = 0.004) -> DataFrame:
+    """(y, x, river, flood) from the accumulation of D8 flow over an elevation in 0..1: the cells of the largest
+    accumulations below 0.92, and the land around large ones that isn't high."""
+    acc = cells.select("y", "x", F.col(value).alias("n")).join(flow_accumulation(d8_direction(cells, value)), ["y", "x"])
+    acc = staged(stretch(acc, F.col("acc").cast("double"), "a").select("y", "x", "n", F.col("a").alias("acc")))
+    (least,) = quantiles(acc, "acc", [1.0 - density])
+    wet = acc.select("y", "x", "n", ((F.col("acc") >= least) & (F.col("n") < 0.92)).cast("double").alias("a"), F.least(F.greatest((F.col("acc") - least) / (1.0 - least + 1e-6), F.lit(0.0)), F.lit(1.0)).alias("b"))
+    dry = F.least(F.greatest(F.col("n") * 1.3 - 0.5, F.lit(0.0)), F.lit(1.0))
+    river, flood = (blur(wet, c, 2).withColumnRenamed("v", c) for c in "ab")
+    out = wet.select("y", "x", "n").join(river, ["y", "x"]).join(flood, ["y", "x"])
+    return out.select("y", "x", (F.col("a") > 0.30).alias("river"), (F.col("b") * (1.0 - dry) > 0.35).alias("flood"))

@@ -1,7 +1,9 @@
-"""Neighbourhood operators over cells (y, x, ...): scatter-gather and windows along rows and columns.
+"""Neighbourhood operators over cells (y, x, ...): square tiles with a halo, and scatter-gather.
 
-Border policies are those of each operator: blur and Laplacian wrap around, gradients are one-sided at edges. A window
-runs along one row or column, so its partitions are as many as the grid has of them.
+Border policies are those of each operator: blur and Laplacian wrap around, gradients are one-sided at edges. Operators
+that look at nearby cells deal the grid to tiles, each with copies of the cells around it (the halo); windows then run
+along a tile's rows and columns only, so one shuffle serves all of them, tasks are as many as tiles, and none grows with
+the grid.
 """
 
 from __future__ import annotations
@@ -11,8 +13,37 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Weights of k rounds of a 3-mean, folded.
-FOLDED = {1: [1.0], 2: [1.0, 2.0, 3.0, 2.0, 1.0], 3: [1.0, 3.0, 6.0, 7.0, 6.0, 3.0, 1.0]}
+#: Cells of a tile's side.
+TILE = 256
+
+
+def folded(k: int) -> list[float]:
+    """Weights of k rounds of a 3-mean along one axis, times 3**k; one round or none changes nothing."""
+    w = [1.0]
+    for _ in range(k if k > 1 else 0):
+        w = [sum(w[max(0, i - 2) : i + 1]) for i in range(len(w) + 2)]
+    return w
+
+
+def tiles(cells: DataFrame, halo: int, size: int = TILE) -> DataFrame:
+    """cells by tile (_ty, _tx), with copies of those within halo of a tile that isn't theirs (_own tells)."""
+    at = lambda v: F.floor(v / float(size)).cast("int")
+    spread = lambda c: F.explode(F.sequence(at(F.col(c) - halo), at(F.col(c) + halo)))
+    dealt = cells.withColumn("_ty", spread("y")).withColumn("_tx", spread("x"))
+    return dealt.withColumn("_own", (F.col("_ty") == at(F.col("y"))) & (F.col("_tx") == at(F.col("x")))).repartition("_ty", "_tx")
+
+
+def _column():
+    return Window.partitionBy("_ty", "_tx", "x").orderBy("y")
+
+
+def _row():
+    return Window.partitionBy("_ty", "_tx", "y").orderBy("x")
+
+
+def own(dealt: DataFrame, *drop: str) -> DataFrame:
+    """The cells that are their tile's own."""
+    return dealt.where("_own").drop("_ty", "_tx", "_own", *drop)
 
 
 def extent(cells: DataFrame) -> DataFrame:
@@ -37,7 +68,7 @@ def blur(cells: DataFrame, value: str, k: int = 3) -> DataFrame:
     if k <= 1:
         return plain
     sized = plain.crossJoin(F.broadcast(extent(cells)))
-    w = FOLDED[k]
+    w = folded(k)
     down = _wrap(sized.withColumn("keep", F.col("w")), "v", "y", "h", w)
     return _wrap(down.select("y", "x", "v", F.col("keep").alias("w"), F.lit(0).alias("keep")), "v", "x", "w", w).select("y", "x", "v")
 
@@ -45,13 +76,12 @@ def blur(cells: DataFrame, value: str, k: int = 3) -> DataFrame:
 def gradient(cells: DataFrame, value: str = "z", pixel: float = 1.0) -> DataFrame:
     """cells with gy and gx: central differences, one-sided at edges."""
 
-    def along(axis, other):
-        w = Window.partitionBy(other).orderBy(axis)
+    def along(w):
         before, after, here = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
         step = F.when(before.isNotNull() & after.isNotNull(), 2.0).when(before.isNotNull() | after.isNotNull(), 1.0)
         return F.coalesce((F.coalesce(after, here) - F.coalesce(before, here)) / step, F.lit(0.0)) / pixel
 
-    return cells.withColumn("gy", along("y", "x")).withColumn("gx", along("x", "y"))
+    return own(tiles(cells, 1).withColumn("gy", along(_column())).withColumn("gx", along(_row())))
 
 
 def hillshade(gy, gx, azimuth: float = 315.0, altitude: float = 45.0):
@@ -89,20 +119,19 @@ def neighbours(cells: DataFrame, offsets: list[tuple[int, int]], value: str) ->
 CROSS = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
 
 
-def morph(cells: DataFrame, mask: str, grow: bool) -> DataFrame:
-    """(y, x, m): dilation (grow) or erosion by a cross; what is outside the grid never decides."""
-    near = neighbours(cells, CROSS, mask)
-    own = cells.select("y", "x")
-    best = (F.bool_or if grow else F.bool_and)("v")
-    return near.join(own, ["y", "x"], "left_semi").groupBy("y", "x").agg(best.alias("m"))
+def morph(dealt: DataFrame, mask: str, grow: bool) -> DataFrame:
+    """Tiles with mask dilated (grow) or eroded by a cross; what is outside the grid never decides."""
+    best = F.greatest if grow else F.least  # both pass over nulls
+    near = [f(mask).over(w) for w in (_column(), _row()) for f in (F.lag, F.lead)]
+    return dealt.withColumn(mask, best(F.col(mask), *near))
 
 
 def open_close(cells: DataFrame, mask: str) -> DataFrame:
-    """(y, x, m): opening, then closing."""
-    out = cells.select("y", "x", F.col(mask).alias("m"))
+    """(y, x, m): opening, then closing; every round spends one cell of the halo."""
+    out = tiles(cells.select("y", "x", F.col(mask).alias("m")), 4)
     for grow in (False, True, True, False):
         out = morph(out, "m", grow)
-    return out
+    return own(out)
 
 
 def boundaries(cells: DataFrame, field: str) -> DataFrame:
@@ -126,9 +155,9 @@ def sobel(cells: DataFrame, value: str) -> DataFrame:
 
 def half_shift(cells: DataFrame, value: str) -> DataFrame:
     """(y, x, v): mean of a cell and those before it in both directions, reflected at the border."""
-    row, column = Window.partitionBy("y").orderBy("x"), Window.partitionBy("x").orderBy("y")
-    left = cells.withColumn("_l", F.coalesce(F.lag(value).over(row), F.lead(value).over(row), F.col(value))).withColumn("_s", F.col(value) + F.col("_l"))
-    return left.select("y", "x", ((F.col("_s") + F.coalesce(F.lag("_s").over(column), F.lead("_s").over(column), F.col("_s"))) / 4.0).alias("v"))
+    before = lambda c, w: F.coalesce(F.lag(c).over(w), F.lead(c).over(w), F.col(c))
+    pairs = tiles(cells.select("y", "x", F.col(value).alias("_v")), 1).withColumn("_s", F.col("_v") + before("_v", _row()))
+    return own(pairs.withColumn("v", (F.col("_s") + before("_s", _column())) / 4.0), "_v", "_s")
 
 
 def gather(cells: DataFrame, value: str, dy, dx) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from cartosea.functions import noise
 from cartosea.operators import stencil as st
+from cartosea.operators.graph import staged
+from cartosea.operators.ranks import quantiles
 from cartosea.sources import tables as t
 
 r6 = lambda c: F.round(c, 6)
@@ -29,8 +31,8 @@ def minmax_norm(spark, sf):
 def quantile_mask(spark, sf):
     """Cells at or above the exact 98.5 % quantile."""
     g = _grid(spark, sf)
-    thr = g.agg(F.percentile("z", F.lit(0.985)).alias("thr"))
-    return g.crossJoin(F.broadcast(thr)).select("y", "x", (F.col("z") >= F.col("thr")).alias("top"), r6("thr").alias("thr"))
+    (thr,) = quantiles(g, "z", [0.985])
+    return g.select("y", "x", (F.col("z") >= thr).alias("top"), r6(F.lit(thr).cast("double")).alias("thr"))
 
 
 def block_mean(spark, sf):
@@ -153,13 +155,15 @@ def field_attributes(spark, sf):
 
 
 def rivers_fast(spark, sf):
-    """River and flood cells by a curvature score, before smoothing."""
+    """River and flood cells by a curvature score, smoothed."""
     g = st.gradient(_norm(spark, sf).select("y", "x", "n"), "n")
     lap = st.laplacian(g.select("y", "x", F.col("n").alias("z")))
     score = (1.0 - F.col("n")) * 0.7 + F.col("lap") * 0.6 - F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) * 0.4
-    s = st.stretch(g.join(lap, ["y", "x"]), score, "s", eps=1e-6)
-    thr = s.agg(F.percentile("s", F.lit(0.995)).alias("hi"), F.percentile("s", F.lit(0.985)).alias("lo"))
-    return s.crossJoin(F.broadcast(thr)).select("y", "x", (F.col("s") >= F.col("hi")).alias("river"), ((F.col("s") > F.col("lo")) & (F.col("n") < 0.55)).alias("flood"))
+    s = staged(st.stretch(g.join(lap, ["y", "x"]), score, "s", eps=1e-6).select("y", "x", "n", F.round("s", 9).alias("s")))
+    high, low = quantiles(s, "s", [0.995, 0.985])
+    masks = s.select("y", "x", (F.col("s") >= high).cast("double").alias("a"), ((F.col("s") > low) & (F.col("n") < 0.55)).cast("double").alias("b"))
+    river, flood = st.blur(masks, "a", 2).select("y", "x", (F.col("v") > 0.30).alias("river")), st.blur(masks, "b", 3).select("y", "x", (F.col("v") > 0.25).alias("flood"))
+    return river.join(flood, ["y", "x"])
 
 
 def moisture(spark, sf):
@@ -190,10 +194,10 @@ def _grad_sql(source, v, name="gr", px="1e0"):
 
 
 def _blur_sql(source, v, k, name="bl"):
-    w = st.FOLDED[k]
+    w = st.folded(k)
     half, tot = len(w) // 2, sum(w)
     vals = ",".join(f"({d},{x!r}e0)" for d, x in zip(range(-half, half + 1), w))
-    return f"wt(d,wgt) AS (VALUES {vals}), {name}1 AS (SELECT ((y+d)%h+h)%h AS y, x, sum({v}*wgt)/{tot!r}e0 AS v FROM {source}, wt, s GROUP BY 1,2), {name} AS (SELECT y, ((x+d)%w+w)%w AS x, sum(v*wgt)/{tot!r}e0 AS v FROM {name}1, wt, s GROUP BY 1,2)"
+    return f"{name}w(d,wgt) AS (VALUES {vals}), {name}1 AS (SELECT ((y+d)%h+h)%h AS y, x, sum({v}*wgt)/{tot!r}e0 AS v FROM {source}, {name}w, s GROUP BY 1,2), {name} AS (SELECT y, ((x+d)%w+w)%w AS x, sum(v*wgt)/{tot!r}e0 AS v FROM {name}1, {name}w, s GROUP BY 1,2)"
 
 
 def _lap_sql(source, v, name="lp"):
@@ -244,6 +248,6 @@ SQL = {
     "ridged": f"{_G}, q AS (SELECT y, x, 6e-1*(1e0-abs(2e0*{_fbm_sql(2, 24, 3)}-1e0))+4e-1*(1e0-abs(2e0*{_fbm_sql(4, 12, 102)}-1e0)) AS v FROM grid) {_STR}",
     "dunes": f"{_G}, q AS (SELECT y, x, (cos((x*cos(radians(25e0))+y*sin(radians(25e0)))/(24*6e-1)+{_vn_sql('x', 'y', 24, 5)}*3.14159e0)+1e0)*5e-1 AS v FROM grid) {_STR}",
     "field_attributes": f"WITH h AS (SELECT p_partkey, (p_partkey*2654435761)%2147483648 AS h FROM part) SELECT p_partkey, {_r('(h%1000)/1000e0')} AS greenness, {_r('((h//1000)%1000)/1000e0')} AS variation FROM h",
-    "rivers_fast": f"{_G}, {_HW}, {_NORM}, {_grad_sql('nn', 'n')}, {_lap_sql('nn', 'n')}, q AS (SELECT g.y, g.x, n, (1e0-n)*7e-1+lap*6e-1-sqrt(gx*gx+gy*gy)*4e-1 AS v FROM gr g JOIN lp ON lp.y=g.y AND lp.x=g.x), p AS (SELECT y, x, n, (v-min(v) OVER ())/(max(v) OVER ()-min(v) OVER ()+1e-6) AS sc FROM q), th AS (SELECT quantile_cont(sc,0.995) AS hi, quantile_cont(sc,0.985) AS lo FROM p) SELECT y, x, sc>=hi AS river, sc>lo AND n<55e-2 AS flood FROM p, th",
+    "rivers_fast": f"{_G}, {_HW}, {_NORM}, {_grad_sql('nn', 'n')}, {_lap_sql('nn', 'n')}, q AS (SELECT g.y, g.x, n, (1e0-n)*7e-1+lap*6e-1-sqrt(gx*gx+gy*gy)*4e-1 AS v FROM gr g JOIN lp ON lp.y=g.y AND lp.x=g.x), p AS (SELECT y, x, n, round((v-min(v) OVER ())/(max(v) OVER ()-min(v) OVER ()+1e-6),9) AS sc FROM q), th AS (SELECT quantile_cont(sc,0.995) AS hi, quantile_cont(sc,0.985) AS lo FROM p), mk AS (SELECT y, x, CAST(sc>=hi AS DOUBLE) AS a, CAST(sc>lo AND n<55e-2 AS DOUBLE) AS b FROM p, th), {_blur_sql('mk', 'a', 2, 'ba')}, {_blur_sql('mk', 'b', 3, 'bb')} SELECT ba.y, ba.x, ba.v>3e-1 AS river, bb.v>25e-2 AS flood FROM ba JOIN bb ON ba.y=bb.y AND ba.x=bb.x",
     "moisture": f"{_G}, {_HW}, {_NORM}, {_grad_sql('nn', 'n')}, mm AS (SELECT y, x, CAST(n<2e-1 AS DOUBLE) AS m FROM nn), {_blur_sql('mm', 'm', 3)}, u AS (SELECT y, x, n, greatest(-gx,0e0) AS up FROM gr), q AS (SELECT y, x, n, (up-min(up) OVER ())/(max(up) OVER ()-min(up) OVER ()) AS u FROM u) SELECT q.y, q.x, {_r('6e-1*v+4e-1*u')} AS moisture, n<15e-2 OR v>5e-1 AS water FROM q JOIN bl ON bl.y=q.y AND bl.x=q.x",
 }
