@@ -12,10 +12,10 @@ def _long(v):
     return v.cast("bigint") if hasattr(v, "cast") else F.lit(int(v)).cast("bigint")
 
 
-def hash_lattice(x, y, seed: int):
+def hash_lattice(x, y, seed):
     """Hash of a lattice point to 0..1; products are split so that nothing leaves 64 bits."""
     and_ = lambda a, m: a.bitwiseAND(F.lit(m).cast("bigint"))
-    h = (_long(x) * _A).bitwiseXOR(_long(y) * _B).bitwiseXOR(F.lit(seed * _C).cast("bigint"))
+    h = (_long(x) * _A).bitwiseXOR(_long(y) * _B).bitwiseXOR(_long(seed) * F.lit(_C).cast("bigint"))
     h = and_(h.bitwiseXOR(F.shiftright(h, 16)), (1 << 53) - 1)
     lo, hi = and_(h, (1 << 26) - 1), F.shiftright(h, 26)
     h = and_(lo * F.lit(_M1).cast("bigint") + and_(hi * F.lit(_M1).cast("bigint"), (1 << 27) - 1) * (1 << 26), (1 << 53) - 1)
@@ -26,9 +26,10 @@ def hash_lattice(x, y, seed: int):
     return h / float(0xFFFFFF)
 
 
-def value_noise(x, y, grid: int, seed: int):
-    """Smooth bilinear noise over a lattice of `grid` units."""
-    gx, gy = x / float(grid), y / float(grid)
+def value_noise(x, y, grid, seed):
+    """Smooth bilinear noise over a lattice of `grid` units; grid and seed may be columns."""
+    grid = grid.cast("double") if hasattr(grid, "cast") else float(grid)
+    gx, gy = x / grid, y / grid
     x0, y0 = F.floor(gx), F.floor(gy)
     ease = lambda t: t * t * (3.0 - 2.0 * t)
     sx, sy = ease(gx - x0), ease(gy - y0)
@@ -66,9 +67,9 @@ def field_attributes(field_id):
     return (h % 1000) / 1000.0, (F.floor(h / 1000) % 1000) / 1000.0
 
 
-def hash_sql(x: str, y: str, seed: int) -> str:
+def hash_sql(x: str, y: str, seed: int | str) -> str:
     """hash_lattice as DuckDB text."""
-    h0 = f"xor(xor(CAST({x} AS BIGINT)*{_A}, CAST({y} AS BIGINT)*{_B}), CAST({seed * _C} AS BIGINT))"
+    h0 = f"xor(xor(CAST({x} AS BIGINT)*{_A}, CAST({y} AS BIGINT)*{_B}), CAST({seed} AS BIGINT)*{_C})"
     h1 = f"(xor({h0}, ({h0}) >> 16) & {(1 << 53) - 1})"
     h2 = f"((({h1} & {(1 << 26) - 1}) * {_M1} + ((({h1} >> 26) * {_M1}) & {(1 << 27) - 1}) * {1 << 26}) & {(1 << 53) - 1})"
     h3 = f"(xor({h2}, {h2} >> 13) & {(1 << 40) - 1})"

@@ -205,7 +205,7 @@ def _lap_sql(source, v, name="lp"):
 
 
 def _vn_sql(x, y, grid, seed):
-    gx, gy = f"({x}/{grid}e0)", f"({y}/{grid}e0)"
+    gx, gy = f"({x}/CAST({grid} AS DOUBLE))", f"({y}/CAST({grid} AS DOUBLE))"
     fx, fy = f"({gx}-floor({gx}))", f"({gy}-floor({gy}))"
     e = lambda q: f"({q}*{q}*(3e0-2e0*{q}))"
     n = lambda a, b: noise.hash_sql(f"(CAST(floor({gx}) AS BIGINT)+{a})", f"(CAST(floor({gy}) AS BIGINT)+{b})", seed)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartosea.functions import colour
-from cartosea.operators import imaging, terrain
+from cartosea.operators import imaging, palettes, terrain
 from cartosea.operators import stencil as st
 from cartosea.sources import tables as t
 
@@ -20,6 +20,16 @@ def _dem(biome):
     return query
 
 
+def _rgb(biome):
+    def query(spark, sf):
+        n = st.stretch(t.grid(spark, sf), F.col("z"), "n")
+        cells = n.select("y", "x", "n", (F.col("n") < 0.04).alias("river"), (F.col("n") < 0.12).alias("water"))
+        return palettes.build_rgb(cells, biome, 42).select("y", "x", *[F.round(c, 5).alias(c) for c in "rgb"])
+
+    query.__name__, query.__doc__ = f"rgb_{biome}", f"Colours of a {biome} over the grid."
+    return query
+
+
 def parcel_rgb(spark, sf):
     """Colours of parcels with water, hedges and tracks by remainders."""
     field = (F.floor(F.col("y") / 7) * 10000 + F.floor(F.col("x") / 7)).cast("int")
@@ -49,7 +59,7 @@ def flir_frames(spark, sf):
     return imaging.flir_frames(spark, t.read(spark, sf, "nation").count())
 
 
-QUERIES = {f.__name__: f for f in (*map(_dem, ("mountain", "desert", "city", "farm", "coast", "island", "forest")), parcel_rgb, shaded_rgb, city_grid, eo_tiles, flir_frames)}
+QUERIES = {f.__name__: f for f in (*map(_dem, ("mountain", "desert", "city", "farm", "coast", "island", "forest")), *map(_rgb, palettes.PALETTES), parcel_rgb, shaded_rgb, city_grid, eo_tiles, flir_frames)}
 
 
 def _parcels_sql():
@@ -77,4 +87,34 @@ def _shaded_sql():
     return f"{t.ctes('grid', 'colours')}, {_grad_sql('grid', 'z', px='1e5')} SELECT c.y, c.x, " + ", ".join(f"(round(least(greatest({c}*(82e-2+28e-2*{s}),0e0),1e0),6)+0e0) AS {c}" for c in "rgb") + " FROM colours c JOIN gr ON gr.y=c.y AND gr.x=c.x"
 
 
-SQL = {"parcel_rgb": _parcels_sql(), "city_grid": _city_sql(), "shaded_rgb": _shaded_sql()}
+def _rgb_sql(biome):
+    from cartosea.plans import raster
+
+    p, asks = palettes.PALETTES[biome], []
+    for name, (octaves, base, step) in p.textures.items():
+        total = sum(0.5**i for i in range(octaves))
+        asks += [f"('{name}',{max(2, int(base / 2.0**i))},{42 + step + 1000 * i},{0.5**i / total!r}e0)" for i in range(octaves)]
+    ctes = [raster._HW, raster._NORM, "c AS (SELECT y, x, n, n<4e-2 AS river, n<12e-2 AS water, CAST(n<4e-2 AS DOUBLE) AS m FROM nn)", raster._blur_sql("c", "m", 6, "wt6"), raster._grad_sql("nn", "n")]
+    ctes.append("mo AS (SELECT c.*, gy, gx, least(greatest(6e-1*v+4e-1*(up-min(up) OVER ())/(max(up) OVER ()-min(up) OVER ()),0e0),1e0) AS moisture FROM c JOIN wt6 ON wt6.y=c.y AND wt6.x=c.x JOIN (SELECT y, x, gy, gx, greatest(-gx,0e0) AS up FROM gr) u ON u.y=c.y AND u.x=c.x)")
+    ctes.append(f"o(t,g,sd,wt) AS (VALUES {','.join(asks)}), nz AS (SELECT y, x, t, wt*{raster._vn_sql('x', 'y', 'g', 'sd')} AS v FROM nn, o)")
+    ctes.append("tx AS (SELECT y, x, " + ", ".join(f"sum(v) FILTER (WHERE t='{name}') AS {name}" for name in p.textures) + " FROM nz GROUP BY 1,2)")
+    ctes.append("tm AS (SELECT mo.*, tx.* EXCLUDE (y, x) FROM mo JOIN tx ON tx.y=mo.y AND tx.x=mo.x)")
+    source = "tm"
+    if biome == "desert":
+        phase = raster._vn_sql("x", "y", 22, 42)
+        ctes.append(f"d0 AS (SELECT *, (cos((x*cos(radians(25e0))+y*sin(radians(25e0)))/(22*6e-1)+{phase}*3.14159e0)+1e0)*5e-1 AS d FROM {source}), full_ AS (SELECT *, (d-min(d) OVER ())/(max(d) OVER ()-min(d) OVER ()) AS dune FROM d0)")
+    elif biome == "mountain":
+        ctes += [f"md AS (SELECT y, x, CAST(grass>2e-1 AND n>4e-1 AND n<7e-1 AS DOUBLE) AS m FROM {source})", raster._blur_sql("md", "m", 2, "gz"), raster._lap_sql("nn", "n"), "q85 AS (SELECT quantile_cont(lap, 85e-2) AS sharp FROM lp)"]
+        ctes.append(f"full_ AS (SELECT f.*, gz.v AS grazed, sin((f.x*cos(atan2(gy,gx))+f.y*sin(atan2(gy,gx)))/8e0+ridge*4e0)*4e-2 AS streak, 4e-1*coarse+35e-2*medium+25e-2*fine AS tex, wood>1e-1 AND moisture>4e-1 AS forest, lap>sharp AND sqrt(gx*gx+gy*gy)<15e-2 AS road FROM {source} f JOIN gz ON gz.y=f.y AND gz.x=f.x JOIN lp ON lp.y=f.y AND lp.x=f.x, q85)")
+    elif biome == "water":
+        ctes.append(f"full_ AS (SELECT *, 3e-2*(sin(x/2e1+42e0)*5e-1+5e-1) AS wave FROM {source})")
+    else:
+        ctes.append(f"full_ AS (SELECT *, {palettes.green_of(biome)} AS green FROM {source})")
+    clip = lambda v: f"least(greatest({v},0e0),1e0)"
+    bands = [clip(f"CAST({palettes.case_of(p, i)} AS DOUBLE)") for i in range(3)]
+    if p.hazy:
+        bands = [clip(f"{v}+least(greatest((n-7e-1)*4e-1,0e0),6e-2)*{h!r}e0") for v, h in zip(bands, palettes.HAZE)]
+    return f"{t.ctes('grid')}, {', '.join(ctes)} SELECT y, x, {', '.join(f'(round({v},5)+0e0) AS {c}' for c, v in zip('rgb', bands))} FROM full_"
+
+
+SQL = {**{f"rgb_{b}": _rgb_sql(b) for b in palettes.PALETTES}, "parcel_rgb": _parcels_sql(), "city_grid": _city_sql(), "shaded_rgb": _shaded_sql()}
