@@ -12,29 +12,34 @@ from cartosea.llm.common import stage, tune
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null, empty and blank texts go (they have no words); equal rows stay or
+    go together; an empty table stays empty."""
     tune(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8), that of the smallest id."""
+    """One document of each group of near duplicates (five words, similarity 0.8), that of the smallest id (a null
+    one comes last). Of equal rows one stays; rows without words are no duplicates and all stay."""
     return near_dedup.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 35 words that stand anywhere else; n_chars follows the text. Documents of which
-    nothing is left stay with an empty text."""
+    nothing is left stay with an empty text, null texts stay null, and so do rows that equal each other, without the
+    words that they share."""
     return substring_dedup.dedup_substrings(docs).selectExpr(*[f"cast(length(text) as bigint) as {c}" if c == "n_chars" else c for c in docs.columns])
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item. Null and empty texts leak nothing; equal rows stay or go together; null
+    and empty items are found nowhere."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of the ids and of the bytes that they decode to."""
+    """doc_id, n_tokens, and digests of the ids and of the bytes that they decode to, for each row. A null or
+    empty text has no ids; a null doc_id stays null; equal rows are rows of their own."""
     return bpe.digests(docs)
 
 
