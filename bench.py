@@ -14,12 +14,12 @@ HEADLINE = ["traj_length_km", "point_in_zone", "hillshade", "blur_k2", "rivers_f
 
 def main() -> None:
     """Run every headline query once after a warm-up, into Spark's no-op sink."""
-    from cartosea import catalog
+    from cartosea.plans import registry
     from cartosea.session import local_session
 
     cores, sf = int(os.environ.get("BENCH_CPUS", "8")), os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session("bench", cores=cores, partitions=cores)
-    found = catalog.queries()
+    found = registry.queries()
     took = {}
     found["mercator_project"](spark, sf).write.format("noop").mode("overwrite").save()
     for name in HEADLINE:

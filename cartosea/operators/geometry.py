@@ -83,19 +83,44 @@ def segments_on_zones(segments: DataFrame, zones: DataFrame, keys: list[str]) ->
     return s.join(z, ["_cx", "_cy"]).where(crosses(F.col("ring"), F.col("slon"), F.col("slat"), F.col("elon"), F.col("elat"))).select(*keys, "zone_id").distinct()
 
 
-def zone_distances(zones: DataFrame) -> DataFrame:
-    """(a, b, dist) of each pair of zones a < b: the least distance between their edges, 0 if they meet. A stated set of
-    zones against itself; zones are few beside the data."""
+def zone_distances(zones: DataFrame, reach: float) -> DataFrame:
+    """(a, b, dist) of each pair of zones a < b that are within reach: the least distance between their edges, 0 if they
+    meet. Edges meet by cells, one side's boxes widened by the reach."""
     e = zones.select(F.col("zone_id"), F.explode(edges(F.col("ring"))).alias("e"))
-    a = e.select(F.col("zone_id").alias("a"), F.col("e").alias("p"))
-    b = e.select(F.col("zone_id").alias("b"), F.col("e").alias("q"))
+    box = lambda df, f, pad: tile(df, F.least(f["ax"], f["bx"]) - pad, F.greatest(f["ax"], f["bx"]) + pad, F.least(f["ay"], f["by"]) - pad, F.greatest(f["ay"], f["by"]) + pad)
+    a = box(e.select(F.col("zone_id").alias("a"), F.col("e").alias("p")), F.col("p"), reach)
+    b = box(e.select(F.col("zone_id").alias("b"), F.col("e").alias("q")), F.col("q"), 0.0)
     p, q = F.col("p"), F.col("q")
     d = F.least(
         point_segment(p["ax"], p["ay"], q["ax"], q["ay"], q["bx"], q["by"]), point_segment(p["bx"], p["by"], q["ax"], q["ay"], q["bx"], q["by"]),
         point_segment(q["ax"], q["ay"], p["ax"], p["ay"], p["bx"], p["by"]), point_segment(q["bx"], q["by"], p["ax"], p["ay"], p["bx"], p["by"]),
     )
     d = F.when(segments_cross(p["ax"], p["ay"], p["bx"], p["by"], q["ax"], q["ay"], q["bx"], q["by"]), 0.0).otherwise(d)
-    return a.join(b, F.col("a") < F.col("b")).groupBy("a", "b").agg(F.min(d).alias("dist"))
+    near = a.join(b, ["_cx", "_cy"]).where("a < b").groupBy("a", "b").agg(F.min(d).alias("dist"))
+    return near.where(F.col("dist") <= reach)
+
+
+def clip_rings(zones: DataFrame, low: tuple[float, float], high: tuple[float, float]) -> DataFrame:
+    """zones with their rings cut to a box (corners low and high as lon, lat), one side after the other; zones outside
+    go. What a cut leaves in several parts stays one ring along the box's side, of the parts' area. Windows run along
+    one zone's vertices."""
+    step = Window.partitionBy("zone_id").orderBy("s")
+    whole = step.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    places = zones.select("zone_id", F.posexplode(F.slice("ring", 1, F.size("ring") - 1)).alias("s", "p")).select("zone_id", F.col("s").cast("bigint").alias("s"), "p.lon", "p.lat")
+    for at, bound, sign in (("lon", low[0], 1.0), ("lon", high[0], -1.0), ("lat", low[1], 1.0), ("lat", high[1], -1.0)):
+        other = "lat" if at == "lon" else "lon"
+        came = places.withColumns({f"_{c}": F.coalesce(F.lag(c).over(step), F.last(c).over(whole)) for c in ("lon", "lat")})
+        came = came.withColumns({"_here": (F.col(f"_{at}") - bound) * sign >= 0, "_there": (F.col(at) - bound) * sign >= 0})
+        t = (bound - F.col(f"_{at}")) / F.nullif(F.col(at) - F.col(f"_{at}"), F.lit(0.0))
+        meet = {at: F.lit(bound), other: F.col(f"_{other}") + t * (F.col(other) - F.col(f"_{other}"))}
+        both = F.array(
+            F.struct(F.lit(0).alias("k"), (F.col("_here") != F.col("_there")).alias("on"), *[meet[c].alias(c) for c in ("lon", "lat")]),
+            F.struct(F.lit(1).alias("k"), F.col("_there").alias("on"), "lon", "lat"),
+        )
+        places = came.select("zone_id", "s", F.explode(both).alias("o")).where("o.on").select("zone_id", (F.col("s") * 2 + F.col("o.k")).alias("s"), "o.lon", "o.lat")
+    rings = places.groupBy("zone_id").agg(F.array_sort(F.collect_list(F.struct("s", "lon", "lat"))).alias("v"))
+    ring = F.transform("v", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
+    return zones.drop("ring").join(rings.select("zone_id", F.concat(ring, F.slice(ring, 1, 1)).alias("ring")), "zone_id")
 
 
 def adaptive_buffer(least, count, low: float = 0.005, high: float = 0.018):

@@ -51,7 +51,7 @@ def _routes(spark, sf):
 def planned_routes(spark, sf):
     """Routes of all suppliers around all zones."""
     zones = t.zones(spark, sf)
-    out = routing.route_properties(routing.plan_routes(_routes(spark, sf), zones, 0.005))
+    out = routing.route_properties(routing.plan_routes(_routes(spark, sf), zones, routing.buffer_of(zones)))
     return out.select("route_id", "type", "vessel_type", "suspicious", "waypoints", "route_valid", "warning", r6("length").alias("length"))
 
 

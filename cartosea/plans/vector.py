@@ -67,15 +67,22 @@ def invalid_routes(spark, sf):
 
 def zone_min_distance(spark, sf):
     """Least distance of each two zones."""
-    return g.zone_distances(t.zones(spark, sf)).select("a", "b", r6("dist").alias("dist"))
+    return g.zone_distances(t.zones(spark, sf), 0.05).select("a", "b", r6("dist").alias("dist"))
 
 
 def adaptive_buffer(spark, sf):
     """The buffer for all zones."""
-    d = g.zone_distances(t.zones(spark, sf)).agg(F.min("dist").alias("least"), F.count("*").alias("n"))
+    d = g.zone_distances(t.zones(spark, sf), 0.036).agg(F.min("dist").alias("least"), F.count("*").alias("n"))
     return d.select(r6(g.adaptive_buffer(F.col("least"), F.when(F.col("n") > 0, 2).otherwise(1))).alias("buffer"), r6("least").alias("least"))
 
 
+def clipped_zones(spark, sf):
+    """Area and box of each zone within a box of a tenth of a degree."""
+    c = g.clip_rings(t.zones(spark, sf), (-122.45, 37.55), (-122.35, 37.65)).where(F.size("ring") > 0)
+    e = c.select("zone_id", F.explode(g.edges(F.col("ring"))).alias("e"))
+    return e.groupBy("zone_id").agg(F.round(F.abs(F.sum(F.col("e.ax") * F.col("e.by") - F.col("e.bx") * F.col("e.ay"))) / 2.0, 8).alias("area"), r6(F.min("e.ax")).alias("min_lon"), r6(F.max("e.ax")).alias("max_lon"), r6(F.min("e.ay")).alias("min_lat"), r6(F.max("e.ay")).alias("max_lat"))
+
+
 def straight_waypoints(spark, sf):
     """Eleven points along each leg."""
     return g.straight_waypoints(t.legs(spark, sf), 10).select("route_id", "seq", r6("lon").alias("lon"), r6("lat").alias("lat"))
@@ -172,7 +179,7 @@ def mask_sets(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (traj_length_km, track_bounds, zone_area, zone_vertices, offset_vertices, point_in_zone, route_zone_hits, first_blocking, invalid_routes, zone_min_distance, adaptive_buffer, straight_waypoints, resample_rings, detour_side, bbox_detour, visibility_edges, snap_outside, d8_direction, flow_accumulation, mask_regions, clean_water, rivers_d8, mask_sets)
+    for f in (traj_length_km, track_bounds, zone_area, zone_vertices, offset_vertices, point_in_zone, route_zone_hits, first_blocking, invalid_routes, zone_min_distance, adaptive_buffer, clipped_zones, straight_waypoints, resample_rings, detour_side, bbox_detour, visibility_edges, snap_outside, d8_direction, flow_accumulation, mask_regions, clean_water, rivers_d8, mask_sets)
 }
 
 _r = lambda v, n=6: f"(round({v}, {n}) + 0e0)"
@@ -221,7 +228,17 @@ def _clean_sql():
     return f"{opened}, {regions} SELECT y, x, m AND EXISTS (SELECT 1 FROM k WHERE k.a=CAST(y AS BIGINT)*4294967296+x) AS m FROM m4"
 
 
+def _clip_sql():
+    out = f"{t.ctes('verts')}, c0 AS (SELECT zone_id, CAST(i AS BIGINT) AS s, lon, lat FROM verts WHERE i<6)"
+    for k, (at, bound, test) in enumerate((("lon", "-122.45e0", ">="), ("lon", "-122.35e0", "<="), ("lat", "37.55e0", ">="), ("lat", "37.65e0", "<="))):
+        other = "lat" if at == "lon" else "lon"
+        before = lambda c: f"coalesce(lag({c}) OVER (PARTITION BY zone_id ORDER BY s), last_value({c}) OVER (PARTITION BY zone_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+        out += f", e{k} AS (SELECT *, {before(at)} AS pa, {before(other)} AS po FROM c{k}), c{k + 1} AS (SELECT zone_id, s*2+k AS s, CASE k WHEN 0 THEN {bound} ELSE {at} END AS {at}, CASE k WHEN 0 THEN po+({bound}-pa)/({at}-pa)*({other}-po) ELSE {other} END AS {other} FROM e{k}, (VALUES (0),(1)) v(k) WHERE CASE k WHEN 0 THEN (pa{test}{bound})<>({at}{test}{bound}) ELSE {at}{test}{bound} END)"
+    return out + f", f AS (SELECT *, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS nx, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS ny FROM c4 WINDOW w AS (PARTITION BY zone_id ORDER BY s)) SELECT zone_id, {_r('abs(sum(lon*ny-nx*lat))/2e0', 8)} AS area, {_r('min(lon)')} AS min_lon, {_r('max(lon)')} AS max_lon, {_r('min(lat)')} AS min_lat, {_r('max(lat)')} AS max_lat FROM f GROUP BY 1"
+
+
 SQL = {
+    "clipped_zones": _clip_sql(),
     "clean_water": _clean_sql(),
     "rivers_d8": _rivers_sql(),
     "traj_length_km": f"{t.ctes('tracks')}, s AS (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM tracks WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, {_r('sum(coalesce(2*6371e0*asin(sqrt(pow(sin(radians(lat-plat)/2),2)+cos(radians(plat))*cos(radians(lat))*pow(sin(radians(lon-plon)/2),2))),0e0))')} AS km, count(*) AS points FROM s GROUP BY 1",
@@ -233,8 +250,8 @@ SQL = {
     "route_zone_hits": f"{_L}, {_hits('legs', ['route_id'])} SELECT route_id, zone_id FROM hits",
     "first_blocking": f"{_L}, {_hits('legs', ['route_id'])}, f AS (SELECT route_id, min(zone_id) AS z, count(*) AS n FROM hits GROUP BY 1) SELECT l.route_id, z IS NULL AS clear, z AS first_zone, coalesce(n,0) AS blocked FROM legs l LEFT JOIN f ON f.route_id=l.route_id",
     "invalid_routes": f"{_L}, {_hits('legs', ['route_id'])} SELECT (SELECT count(DISTINCT route_id) FROM hits) AS invalid, (SELECT count(*) FROM legs) AS routes",
-    "zone_min_distance": f"{_E}, {_DIST} SELECT a, b, {_r('dist')} AS dist FROM zd",
-    "adaptive_buffer": f"{_E}, {_DIST} SELECT {_r('CASE WHEN count(*)=0 OR min(dist)>=36e-3 THEN 18e-3 ELSE greatest(5e-3,3e-1*min(dist)) END')} AS buffer, {_r('min(dist)')} AS least FROM zd",
+    "zone_min_distance": f"{_E}, {_DIST} SELECT a, b, {_r('dist')} AS dist FROM zd WHERE dist<=5e-2",
+    "adaptive_buffer": f"{_E}, {_DIST} SELECT {_r('CASE WHEN count(*)=0 OR min(dist)>=36e-3 THEN 18e-3 ELSE greatest(5e-3,3e-1*min(dist)) END')} AS buffer, {_r('min(dist)')} AS least FROM zd WHERE dist<=36e-3",
     "straight_waypoints": f"{t.ctes('legs')} SELECT route_id, CAST(range AS INT) AS seq, {_r('slon+(elon-slon)*(range/1e1)')} AS lon, {_r('slat+(elat-slat)*(range/1e1)')} AS lat FROM legs, range(11)",
     "resample_rings": f"{_E}, f AS (SELECT *, sqrt(pow(bx-ax,2)+pow(by_-ay,2)) AS st, sum(sqrt(pow(bx-ax,2)+pow(by_-ay,2))) OVER (PARTITION BY zone_id ORDER BY i) AS hi FROM edges), q AS (SELECT *, hi-st AS lo, max(hi) OVER (PARTITION BY zone_id) AS tot FROM f), p AS (SELECT zone_id, CAST(range AS INT) AS seq, range/15e0*tot AS tg, i, ax, ay, bx, by_, lo, hi FROM q, range(16)), w AS (SELECT *, row_number() OVER (PARTITION BY zone_id, seq ORDER BY i) AS r FROM p WHERE lo-1e-12<=tg AND tg<=hi+1e-12) SELECT zone_id, seq, {_r('ax+(tg-lo)/(hi-lo)*(bx-ax)', 5)} AS lon, {_r('ay+(tg-lo)/(hi-lo)*(by_-ay)', 5)} AS lat FROM w WHERE r=1",
     "detour_side": f"{_L}, {_hits('legs', ['route_id'])}, v AS (SELECT h.route_id, h.zone_id, e.i, e.ax AS lon, e.ay AS lat, slon, slat, elon, elat, (elon-slon)*(e.ay-slat)-(elat-slat)*(e.ax-slon)>0 AS lf FROM hits h JOIN legs l ON l.route_id=h.route_id JOIN edges e ON e.zone_id=h.zone_id), s AS (SELECT *, lag(lon,1,slon) OVER w AS plon, lag(lat,1,slat) OVER w AS plat, lead(i) OVER w IS NULL AS fin FROM v WINDOW w AS (PARTITION BY route_id, zone_id, lf ORDER BY i)), n AS (SELECT route_id, zone_id, lf, sum(sqrt(pow(lon-plon,2)+pow(lat-plat,2))+CASE WHEN fin THEN sqrt(pow(elon-lon,2)+pow(elat-lat,2)) ELSE 0e0 END) AS len FROM s GROUP BY 1,2,3), m AS (SELECT route_id, zone_id, max(len) FILTER (WHERE lf) AS l, max(len) FILTER (WHERE NOT lf) AS r FROM n GROUP BY 1,2) SELECT route_id, zone_id, {_r('l')} AS left_length, {_r('r')} AS right_length, CASE WHEN l IS NOT NULL AND (r IS NULL OR l<=r) THEN 'left' ELSE 'right' END AS side FROM m",

@@ -1,5 +1,6 @@
 """Invariants and NumPy cross-checks of the operators, and given values of the generators."""
 
+import json
 import math
 
 import numpy as np
@@ -116,11 +117,17 @@ def test_routing_scenarios(zones, kind, points):
 
 def test_user_files(spark, tmp_path):
     path = tmp_path / "c.json"
-    path.write_text('{"user_no_go_zones": [{"id": "a", "coordinates": [[0,0],[1,0],[1,1]]}, {"coordinates": [[0,0],[1,1]]}, {"name": "n", "zoneType": "military", "coordinates": [[2,2],[3,2],[3,3],[2,2]]}],\n "user_routes": [{"start": {"lon": 0, "lat": 0}, "end": {"lon": 1, "lat": 1}, "type": "ferry"}, {"start": {"lon": 0, "lat": 0}}]}')
+    path.write_text('{"user_no_go_zones": [{"id": "a", "coordinates": [[0,0],[1,0],[1,1]]}, {"coordinates": [[0,0],[1,1]]}, {"name": "n", "zoneType": "military", "coordinates": [[2,2],[3,2],[3,3],[2,2]]}],\n "user_routes": [{"start": {"lon": 0, "lat": 0}, "end": {"lon": 1, "lat": 1}, "type": "ferry"}, {"start": {"lon": 0, "lat": 0}}, {"start": {"lon": 2, "lat": 0}, "end": {"lon": 1, "lat": 1}}]}')
     conf = geojson.config(spark, str(path))
     z = geojson.user_zones(conf)
     assert {(r["zone_id"], r["zone_type"], len(r["ring"])) for r in z.collect()} == {("a", "mpa", 4), ("user_zone_2", "military", 4)}
-    assert [(r["route_id"], r["type"]) for r in geojson.user_routes(conf).collect()] == [("user_route_0", "ferry")]
+    # numbered by the place among the kept ones
+    assert [(r["route_id"], r["name"], r["type"]) for r in geojson.user_routes(conf).collect()] == [("route_0", "Route 1", "ferry"), ("route_1", "Route 2", "irregular")]
+    with pytest.raises(ValueError):
+        geojson.write_route(spark, "not_a_route", str(tmp_path / "r"))
+    geojson.write_route(spark, [(0, 0), (0.1, 0.1), (0.2, 0.2)], str(tmp_path / "r"), {"vessel": "test_boat", "speed": 10})
+    (one,) = geojson.read(spark, str(tmp_path / "r")).collect()
+    assert one["kind"] == "LineString" and json.loads(one["coordinates"]) == [[0, 0], [0.1, 0.1], [0.2, 0.2]] and json.loads(one["properties"])["vessel"] == "test_boat"
     out = str(tmp_path / "z")
     geojson.write(geojson.features(z, "Polygon", "ring", ["zone_id", "zone_type"]), out)
     back = geojson.read(spark, out)

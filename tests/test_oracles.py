@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from cartosea import catalog
+from cartosea.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -21,12 +21,12 @@ def _plain(v):
     return repr(v + 0.0) if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_equals_duckdb(spark, sf, con, name):
-    df = catalog.queries()[name](spark, sf)
+    df = registry.queries()[name](spark, sf)
     names = sorted(df.columns)
     got = sorted(tuple(_plain(r[c]) for c in names) for r in df.collect())
-    rel = con.execute(catalog.oracle_sql()[name])
+    rel = con.execute(registry.oracle_sql()[name])
     cols = [d[0] for d in rel.description]
     assert sorted(cols) == names
     want = sorted(tuple(_plain(r[cols.index(c)]) for c in names) for r in rel.fetchall())
@@ -34,4 +34,4 @@ def test_equals_duckdb(spark, sf, con, name):
 
 
 def test_every_oracle_has_a_query():
-    assert set(catalog.oracle_sql()) <= set(catalog.queries())
+    assert set(registry.oracle_sql()) <= set(registry.queries())
