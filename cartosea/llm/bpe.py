@@ -29,8 +29,10 @@ from cartosea.llm.common import sliced
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SLICE = 3 << 20
+#: Distinct words of a bucket that a worker keeps encoded; beyond them it begins anew.
+KNOWN = 1_000_000
 _NULL = -(2**63)
-_TABLES: dict[str, list[bytes]] = {}
+_TABLES: dict[str, list[bytes | None]] = {}
 # tiktoken's \s is Unicode's White_Space; Python's also holds 0x1C-0x1F.
 _CUT = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s", r"\p{White_Space}"))
 
@@ -132,7 +134,7 @@ def _encode_words(path: str):
         for b in batches:
             rows = []
             for key, bucket, sizes, body in zip(*[b.column(c).to_pylist() for c in ("slice", "bucket", "sizes", "body")]):
-                if bucket != now:
+                if bucket != now or len(known) > KNOWN:
                     now, known = bucket, {}
                 ends = np.cumsum(unpack(sizes)).tolist()
                 body, ids = unzip(body), []
@@ -196,11 +198,17 @@ def encode(docs: DataFrame, row: str = "doc_id", text: str = "text", vocabulary:
     return done.select(F.when(F.col("_row") != _NULL, F.col("_row")).alias(row), "ids")
 
 
-def _decode(table: list[bytes], fields: list[str]):
+def _decode(table: list[bytes | None], fields: list[str]):
     def run(batches):
         for b in batches:
             get = table.__getitem__
-            text = [b"".join(map(get, x.tolist())) if len(x) else b"" for x in _each(b.column("ids"))]
+            ids = _each(b.column("ids"))
+            if any(len(x) and int(x.min()) < 0 for x in ids):
+                raise ValueError("an id below 0")
+            try:
+                text = [b"".join(map(get, x.tolist())) if len(x) else b"" for x in ids]
+            except (IndexError, TypeError) as e:
+                raise ValueError("an id that isn't in the vocabulary") from e
             yield pa.record_batch([*[b.column(f) for f in fields], pa.array(text, pa.binary())], names=[*fields, "bytes"])
 
     return run
@@ -214,7 +222,7 @@ def _each(col: pa.Array):
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """encoded with a column bytes: its ids joined with the token-byte table (as large as the vocabulary, so every
-    worker holds it). No ids: no bytes."""
+    worker holds it). No ids: no bytes; an id that the table hasn't is an error."""
     path = _vpath(vocabulary)
     return encoded.mapInArrow(_decode_lazy(path, encoded.columns), T.StructType([*encoded.schema.fields, T.StructField("bytes", T.BinaryType())]))
 
@@ -223,7 +231,7 @@ def _decode_lazy(path: str, fields: list[str]):
     def run(batches):
         if path not in _TABLES:
             table = {i: t for t, i in ranks(path).items()}
-            _TABLES[path] = [table.get(i, b"") for i in range(max(table) + 1)]
+            _TABLES[path] = [table.get(i) for i in range(max(table) + 1)]
         yield from _decode(_TABLES[path], fields)(batches)
 
     return run

@@ -108,7 +108,9 @@ def format_tree(turns: DataFrame, vocabulary: str | None = None) -> tuple[DataFr
     """(nodes, passes): the tree's segments and, for each conversation, the keys of the nodes that it passes.
 
     turns has conv_id, turn, role and text; a null role or text is empty, equal turn numbers follow role and text, a
-    null conv_id is a conversation of its own. nodes has for each node key, role, depth, start and stop (its interval in
+    null conv_id is a conversation of its own, equal rows are turns of their own, other columns are ignored. A
+    conversation is put together in one task, and a node carries its ancestors' intervals, so what a task holds grows
+    with the square of one conversation's turns (never with the number of conversations that share them). nodes has for each node key, role, depth, start and stop (its interval in
     the stream), loss_start and loss_stop (the text of assistants, else equal), position (id of its first token),
     attends (the ancestors' intervals, root first), tokens and formatted_chars. An empty table gives none.
     """

@@ -252,6 +252,7 @@ def _finish(window: int, fields: list[str], schema: pa.Schema):
             doc = np.repeat(np.arange(len(texts)), [len(x) // 4 for x in marks])
             gone = covered(len(w.hash), np.frombuffer(b"".join(marks), np.int32) + w.first[doc], window)
             raw, kept, digest = w.raw, [], []
+            null = b.column("text").is_null().to_pylist()
             for i in range(b.num_rows):
                 a, z = w.first[i], w.first[i + 1]
                 if gone[a:z].any():
@@ -260,7 +261,7 @@ def _finish(window: int, fields: list[str], schema: pa.Schema):
                     kept.append(text)
                 else:
                     text = b" ".join(texts[i].split())
-                    kept.append(texts[i])
+                    kept.append(None if null[i] else texts[i])
                 digest.append(hashlib.sha256(text).hexdigest())
             dropped = np.bincount(w.doc, gone, len(texts)).astype(np.int64)
             longest = pc.fill_null(b.column("longest"), 0)

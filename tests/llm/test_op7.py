@@ -32,3 +32,12 @@ def test_decode_and_one_scan(spark):
     out = bpe.decode(bpe.encode(df))
     assert {r["doc_id"]: bytes(r["bytes"]).decode() for r in out.collect()} == {1: "héllo  wörld", 2: ""}
     assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unknown_ids_are_errors(spark):
+    import pytest
+    from pyspark.errors import PythonException
+
+    for bad in (-1, 10**6):
+        with pytest.raises(PythonException, match="vocabulary|below"):
+            bpe.decode(spark.createDataFrame([([bad],)], "ids array<int>")).collect()
