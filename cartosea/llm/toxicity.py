@@ -11,6 +11,7 @@ is found in rounds, each against the windows that stand out most in toxic docume
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -187,6 +188,18 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.rows(docs) @ w[:-1] + w[-1], -30, 30)))
 
 
+_SCORERS: dict[bytes, Scorer] = {}
+
+
+def _scorer(model: Model) -> Scorer:
+    """The worker's own for a model, with the windows that earlier tasks have seen."""
+    key = pickle.dumps(model)
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(model)
+    return _SCORERS[key]
+
+
 def _document_rows(model: Model, docs: list[list[bytes]]) -> np.ndarray:
     scorer, out = Scorer(model), []
     for i in range(0, len(docs), 500):
@@ -196,7 +209,7 @@ def _document_rows(model: Model, docs: list[list[bytes]]) -> np.ndarray:
 
 def _score(model: Model, fields: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = _scorer(model)
         for b in sliced(batches, "_text"):
             s = np.clip(scorer.scores([windows(t) for t in utf8(b.column("_text"))]), 0.0, 1.0)
             yield pa.record_batch([*[b.column(f) for f in fields], pa.array(s)], names=[*fields, "_score"])
