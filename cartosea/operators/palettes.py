@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from cartosea.functions import noise
 from cartosea.functions.colour import clip01
 from cartosea.operators import stencil as st
+from cartosea.operators.graph import staged
 from cartosea.operators.ranks import quantiles
+from cartosea.operators.textures import textured
 
 
 @dataclass(frozen=True)
@@ -91,20 +93,6 @@ def green_of(biome: str) -> str:
     return f"LEAST(GREATEST({a} * moisture + {b} * (1.0 - LEAST(GREATEST((n - {low}) / {span}, 0.0), 1.0)), 0.0), 1.0)"
 
 
-def textured(cells: DataFrame, textures: dict[str, tuple[int, int, int]], seed: int) -> DataFrame:
-    """cells with a column of octave noise for each texture. A cell asks once for each octave of each texture, so the
-    noise is compiled once however many there are; the answers are added up by cell, map-side first."""
-    asks = []
-    for name, (octaves, base, step) in textures.items():
-        total = sum(0.5**i for i in range(octaves))
-        for i in range(octaves):
-            asks.append(F.struct(F.lit(name).alias("t"), F.lit(max(2, int(base / 2.0**i))).alias("g"), F.lit(seed + step + 1000 * i).cast("bigint").alias("s"), F.lit(0.5**i / total).alias("w")))
-    each = cells.select("y", "x", F.explode(F.array(*asks)).alias("o"))
-    each = each.select("y", "x", "o.t", (F.col("o.w") * noise.value_noise(F.col("x"), F.col("y"), F.col("o.g"), F.col("o.s"))).alias("v"))
-    found = each.groupBy("y", "x").agg(*[F.sum(F.when(F.col("t") == name, F.col("v"))).alias(name) for name in textures])
-    return cells.join(found, ["y", "x"])
-
-
 def moisture(cells: DataFrame, river: str = "river", value: str = "n") -> DataFrame:
     """cells with moisture: rivers blurred six times, and the stretched windward slope."""
     wet = st.blur(cells.select("y", "x", F.col(river).cast("double").alias("m")), "m", 6).withColumnRenamed("v", "_wet")
@@ -134,7 +122,8 @@ def build_rgb(cells: DataFrame, biome: str, seed: int = 42) -> DataFrame:
     """(y, x, r, g, b) of cells (y, x, n, river, water): moisture, the biome's palette, then haze over high ground."""
     palette = PALETTES[biome]
     wet = cells if biome == "water" else moisture(cells)
-    full = textured(wet, palette.textures, seed)
+    # written once: ranges over the grid and blurs read it again
+    full = staged(textured(wet, palette.textures, seed))
     if biome == "desert":
         full = st.stretch(full, noise.dune(F.col("x"), F.col("y"), 22, 25.0, seed), "dune")
     elif biome == "mountain":

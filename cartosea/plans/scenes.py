@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cartosea.functions import colour
 from cartosea.operators import imaging, palettes, terrain
 from cartosea.operators import stencil as st
+from cartosea.operators.textures import octaves
 from cartosea.sources import tables as t
 
 r6 = lambda c: F.round(c, 6)
@@ -59,7 +60,7 @@ def flir_frames(spark, sf):
     return imaging.flir_frames(spark, t.read(spark, sf, "nation").count())
 
 
-QUERIES = {f.__name__: f for f in (*map(_dem, ("mountain", "desert", "city", "farm", "coast", "island", "forest")), *map(_rgb, palettes.PALETTES), parcel_rgb, shaded_rgb, city_grid, eo_tiles, flir_frames)}
+QUERIES = {f.__name__: f for f in (*map(_dem, terrain.reliefs()), *map(_rgb, palettes.PALETTES), parcel_rgb, shaded_rgb, city_grid, eo_tiles, flir_frames)}
 
 
 def _parcels_sql():
@@ -87,17 +88,47 @@ def _shaded_sql():
     return f"{t.ctes('grid', 'colours')}, {_grad_sql('grid', 'z', px='1e5')} SELECT c.y, c.x, " + ", ".join(f"(round(least(greatest({c}*(82e-2+28e-2*{s}),0e0),1e0),6)+0e0) AS {c}" for c in "rgb") + " FROM colours c JOIN gr ON gr.y=c.y AND gr.x=c.x"
 
 
+def _textures_sql(textures, source, seed=42):
+    from cartosea.plans import raster
+
+    asks = ",".join(f"('{t_}',{g},{s},{w!r}e0)" for t_, g, s, w in octaves(textures, seed))
+    each = ", ".join(f"sum(v) FILTER (WHERE t='{name}') AS {name}" for name in textures)
+    return f"o(t,g,sd,wt) AS (VALUES {asks}), nz AS (SELECT y, x, t, wt*{raster._vn_sql('x', 'y', 'g', 'sd')} AS v FROM {source}, o), tx AS (SELECT y, x, {each} FROM nz GROUP BY 1,2)"
+
+
+def _dem_sql(biome):
+    from cartosea.plans import raster
+
+    r = terrain.reliefs()[biome]
+    unit = lambda v, eps="": f"({v}-min({v}) OVER ())/(max({v}) OVER ()-min({v}) OVER (){eps})"
+    bent = lambda source, v, strength, name: f"{name} AS (SELECT p.y, p.x, q.{v} AS v FROM (SELECT y, x, CAST(least(greatest(round_even(y+(bend_y-5e-1)*{strength}e0,0),0),h-1) AS INT) AS sy, CAST(least(greatest(round_even(x+(bend_x-5e-1)*{strength}e0,0),0),w-1) AS INT) AS sx FROM {source}, s) p JOIN {source} q ON q.y=p.sy AND q.x=p.sx)"
+    ctes = [raster._HW, _textures_sql(r.textures | terrain.warp_textures((r.warp or terrain.BASIN_WARP)[1]), "grid")]
+    raw = ", ".join(f"CAST({terrain.ridge_of(n)} AS DOUBLE) AS {n}_r" for n in r.ridges)
+    dune = f", (cos((x*cos(radians(25e0))+y*sin(radians(25e0)))/(24*6e-1)+{raster._vn_sql('x', 'y', 24, 47)}*3.14159e0)+1e0)*5e-1 AS dune_r" if biome == "desert" else ""
+    ctes.append(f"l0 AS (SELECT *{', ' * bool(raw)}{raw}{dune} FROM tx)")
+    ctes.append("l1 AS (SELECT *" + "".join(f", {unit(f'{n}_r')} AS {n}" for n in (*r.ridges, *(["dune"] if dune else []))) + " FROM l0)")
+    ctes.append(f"l2 AS (SELECT *, CAST({r.field} AS DOUBLE) AS v FROM l1)")
+    last = "l2"
+    if r.stretched_first:
+        ctes.append(f"l3 AS (SELECT * EXCLUDE (v), {unit('v', '+1e-6')} AS v FROM l2)")
+        last = "l3"
+    if r.warp:
+        ctes.append(bent(last, "v", r.warp[0], "l4"))
+        last = "l4"
+    if biome == "city":
+        ctes.append(f"b0 AS (SELECT l2.*, CAST({terrain.BASIN} AS DOUBLE) AS br FROM l2, s), b1 AS (SELECT *, {unit('br')} AS basin FROM b0), {bent('b1', 'basin', 14, 'b2')}, l5 AS (SELECT l2.y, l2.x, CASE WHEN b2.v>4e-1 THEN l2.v*25e-2+14e-2 ELSE l2.v END AS v FROM l2 JOIN b2 ON b2.y=l2.y AND b2.x=l2.x)")
+        last = "l5"
+    value = "v" if r.stretched_first else unit("v")
+    return f"{t.ctes('grid')}, {', '.join(ctes)} SELECT y, x, (round({r.low!r}e0+{r.span!r}e0*{value},3)+0e0) AS z_m FROM {last}"
+
+
 def _rgb_sql(biome):
     from cartosea.plans import raster
 
-    p, asks = palettes.PALETTES[biome], []
-    for name, (octaves, base, step) in p.textures.items():
-        total = sum(0.5**i for i in range(octaves))
-        asks += [f"('{name}',{max(2, int(base / 2.0**i))},{42 + step + 1000 * i},{0.5**i / total!r}e0)" for i in range(octaves)]
+    p = palettes.PALETTES[biome]
     ctes = [raster._HW, raster._NORM, "c AS (SELECT y, x, n, n<4e-2 AS river, n<12e-2 AS water, CAST(n<4e-2 AS DOUBLE) AS m FROM nn)", raster._blur_sql("c", "m", 6, "wt6"), raster._grad_sql("nn", "n")]
     ctes.append("mo AS (SELECT c.*, gy, gx, least(greatest(6e-1*v+4e-1*(up-min(up) OVER ())/(max(up) OVER ()-min(up) OVER ()),0e0),1e0) AS moisture FROM c JOIN wt6 ON wt6.y=c.y AND wt6.x=c.x JOIN (SELECT y, x, gy, gx, greatest(-gx,0e0) AS up FROM gr) u ON u.y=c.y AND u.x=c.x)")
-    ctes.append(f"o(t,g,sd,wt) AS (VALUES {','.join(asks)}), nz AS (SELECT y, x, t, wt*{raster._vn_sql('x', 'y', 'g', 'sd')} AS v FROM nn, o)")
-    ctes.append("tx AS (SELECT y, x, " + ", ".join(f"sum(v) FILTER (WHERE t='{name}') AS {name}" for name in p.textures) + " FROM nz GROUP BY 1,2)")
+    ctes.append(_textures_sql(p.textures, "nn"))
     ctes.append("tm AS (SELECT mo.*, tx.* EXCLUDE (y, x) FROM mo JOIN tx ON tx.y=mo.y AND tx.x=mo.x)")
     source = "tm"
     if biome == "desert":
@@ -117,4 +148,4 @@ def _rgb_sql(biome):
     return f"{t.ctes('grid')}, {', '.join(ctes)} SELECT y, x, {', '.join(f'(round({v},5)+0e0) AS {c}' for c, v in zip('rgb', bands))} FROM full_"
 
 
-SQL = {**{f"rgb_{b}": _rgb_sql(b) for b in palettes.PALETTES}, "parcel_rgb": _parcels_sql(), "city_grid": _city_sql(), "shaded_rgb": _shaded_sql()}
+SQL = {**{f"dem_{b}": _dem_sql(b) for b in terrain.reliefs()}, **{f"rgb_{b}": _rgb_sql(b) for b in palettes.PALETTES}, "parcel_rgb": _parcels_sql(), "city_grid": _city_sql(), "shaded_rgb": _shaded_sql()}
