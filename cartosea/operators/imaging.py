@@ -74,15 +74,29 @@ def shrink(a: np.ndarray, k: int) -> np.ndarray:
     return a[: h * k, : w * k].reshape(h, k, w, k, -1).mean((1, 3))
 
 
-def sense(tile: np.ndarray, s: Sensor, ty: int, tx: int) -> np.ndarray:
-    """One tile through the chain: enlarge, optics, haze, half-pixel shift, shrink, noise, tone, smoothing, sharpening."""
+def place_noise(y: np.ndarray, x: np.ndarray, bands: int, seed: int) -> np.ndarray:
+    """Standard normal noise of places in the world: the same for a place in whichever tile it is seen."""
+
+    def mixed(v):
+        v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return v ^ (v >> np.uint64(31))
+
+    with np.errstate(over="ignore"):
+        base = mixed((y.astype(np.uint64)[:, None] << np.uint64(32)) + x.astype(np.uint64)[None, :] + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
+        unit = [(mixed(base + np.uint64(i + 1)) >> np.uint64(11)).astype(float) / (1 << 53) for i in range(2 * bands)]
+    return np.stack([np.sqrt(-2 * np.log(unit[2 * i] + 1e-300)) * np.cos(2 * np.pi * unit[2 * i + 1]) for i in range(bands)], 2)
+
+
+def sense(tile: np.ndarray, s: Sensor, y0: int, x0: int) -> np.ndarray:
+    """One tile, whose first cell is (y0, x0), through the chain: enlarge, optics, haze, half-pixel shift, shrink, noise, tone, smoothing, sharpening."""
     a = enlarge(tile, s.supersample) if s.supersample > 1 else tile
     a = gaussian(a, s.optics_sigma, 0.7 * s.optics_sigma)
     a = (a * 0.96 + np.array([0.75, 0.80, 0.85]) * 0.04) * 0.97 + 0.03
     p = np.pad(a, [(1, 0), (1, 0), (0, 0)], mode="reflect")
     a = (p[:-1, :-1] + p[:-1, 1:] + p[1:, :-1] + p[1:, 1:]) / 4
     a = shrink(a, s.supersample) if s.supersample > 1 else a
-    a = a + np.random.default_rng(s.seed + ty * 10007 + tx * 7919).normal(0, s.noise_sigma, a.shape)
+    a = a + s.noise_sigma * place_noise(y0 + np.arange(a.shape[0]), x0 + np.arange(a.shape[1]), a.shape[2], s.seed)
     a = np.clip(a, 0, 1) ** s.gamma
     grey = a.mean(2, keepdims=True)
     a = (a * s.saturation + grey * (1 - s.saturation)) * np.array([s.green_bias - 0.05, s.green_bias, 1.0])
@@ -91,18 +105,20 @@ def sense(tile: np.ndarray, s: Sensor, ty: int, tx: int) -> np.ndarray:
     return unsharp(a, s.sharpen)
 
 
-def sense_tiles(cells: DataFrame, sensor: Sensor = Sensor(), size: int = 64, halo: int = 8) -> DataFrame:
+def sense_tiles(cells: DataFrame, sensor: Sensor = Sensor(), size: int = 256, halo: int = 8) -> DataFrame:
     """(y, x, r, g, b) through the sensor: every tile gets a halo of cells from its neighbours and keeps only its own."""
-    spread = lambda c: F.sequence(F.floor((F.col(c) - halo) / size).cast("int"), F.floor((F.col(c) + halo) / size).cast("int"))
-    tiled = cells.withColumn("ty", F.explode(spread("y"))).withColumn("tx", F.explode(spread("x"))).where("ty >= 0 and tx >= 0")
+    ends = cells.agg(F.floor(F.max("y") / size).alias("_ly"), F.floor(F.max("x") / size).alias("_lx"))
+    at = lambda v: F.floor(v / size).cast("int")
+    spread = lambda c, last: F.explode(F.sequence(F.greatest(at(F.col(c) - halo), F.lit(0)), F.least(at(F.col(c) + halo), F.col(last).cast("int"))))
+    tiled = cells.crossJoin(F.broadcast(ends)).withColumn("ty", spread("y", "_ly")).withColumn("tx", spread("x", "_lx")).drop("_ly", "_lx")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ty, tx = int(pdf.ty.iloc[0]), int(pdf.tx.iloc[0])
-        y0, x0 = pdf.y.min(), pdf.x.min()
+        y0, x0 = int(pdf.y.min()), int(pdf.x.min())
         img = np.zeros((pdf.y.max() - y0 + 1, pdf.x.max() - x0 + 1, 3))
         img[pdf.y - y0, pdf.x - x0] = pdf[["r", "g", "b"]].to_numpy()
         own = pdf[(pdf.y // size == ty) & (pdf.x // size == tx)]
-        out = sense(img, sensor, ty, tx)[own.y - y0, own.x - x0]
+        out = sense(img, sensor, y0, x0)[own.y - y0, own.x - x0]
         return pd.DataFrame({"y": own.y, "x": own.x, "r": out[:, 0], "g": out[:, 1], "b": out[:, 2]})
 
     return tiled.groupBy("ty", "tx").applyInPandas(run, "y int, x int, r double, g double, b double")

@@ -138,7 +138,7 @@ def test_user_files(spark, tmp_path):
 def test_sensor_tiles_have_no_seams(spark):
     rng = np.random.default_rng(1)
     img = rng.random((40, 40, 3))
-    s = imaging.Sensor(noise_sigma=0.0)
+    s = imaging.Sensor(noise_sigma=0.02)
     whole = imaging.sense(img, s, 0, 0)
     rows = [(y, x, *map(float, img[y, x])) for y in range(40) for x in range(40)]
     df = spark.createDataFrame(rows, "y int, x int, r double, g double, b double")
@@ -164,3 +164,38 @@ def test_raster_files(spark, z, tmp_path):
     assert back.count() == z.size and back.where("value is null").count() == z.shape[0]
     about = spark.read.parquet(f"{tmp_path}/layers").where("layer = 'dem'").first()
     assert (about["height"], about["width"], about["min_zoom"], about["transform"]["f"]) == (9, 11, 14, 900.0)
+
+
+def test_exact_quantiles_by_narrowing(spark, monkeypatch):
+    from cartosea.operators import ranks
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(ranks, "FEW", 50)
+    for v in (rng.normal(size=3000), np.repeat([1.0, 2.0, 5.0], [2000, 900, 100]), np.arange(7.0)):
+        df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "z double").repartition(3)
+        qs = [0.0, 0.015, 0.5, 0.985, 1.0]
+        assert np.allclose(ranks.quantiles(df, "z", qs), np.quantile(v, qs), rtol=0, atol=1e-12)
+    assert ranks.quantiles(df.limit(0), "z", [0.5]) == [None]
+
+
+def test_tiles_do_not_change_stencils(spark, monkeypatch):
+    a = np.random.default_rng(5).random((23, 17))
+    df = _cells(spark, a)
+    want = {(r["y"], r["x"]): (r["gy"], r["gx"]) for r in st.gradient(df, "z").collect()}
+    gy, gx = np.gradient(a)
+    assert all(abs(gy[k] - v[0]) < 1e-12 and abs(gx[k] - v[1]) < 1e-12 for k, v in want.items()) and len(want) == a.size
+    small = st.tiles(df, 1, 5)
+    assert st.own(small).count() == a.size
+    for k in (2, 6):
+        b = a.copy()
+        for _ in range(k):
+            b = (np.roll(b, 1, 0) + b + np.roll(b, -1, 0)) / 3
+            b = (np.roll(b, 1, 1) + b + np.roll(b, -1, 1)) / 3
+        assert all(abs(b[r["y"], r["x"]] - r["v"]) < 1e-9 for r in st.blur(df, "z", k).collect())
+    mask = spark.createDataFrame([(y, x, bool(a[y, x] > 0.4)) for y in range(23) for x in range(17)], "y int, x int, m boolean")
+    plain = {(r["y"], r["x"]): r["m"] for r in st.open_close(mask, "m").collect()}
+    monkeypatch.setattr(st, "TILE", 5)
+    whole = st.tiles
+    monkeypatch.setattr(st, "tiles", lambda cells, halo, size=5: whole(cells, halo, size))
+    assert {(r["y"], r["x"]): r["m"] for r in st.open_close(mask, "m").collect()} == plain
+    assert {(r["y"], r["x"]): (r["gy"], r["gx"]) for r in st.gradient(df, "z").collect()} == want
