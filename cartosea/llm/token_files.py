@@ -38,7 +38,7 @@ MAGIC = b"CMRC0002"
 #: Ids of a block, steps between two updates of group frequencies, bits of a context table, groups, their least share.
 BLOCK, REFRESH, TABLE, GROUPS, LEAST = 512, 32, 10, 64, 16
 #: Ids in a file and bytes of text in a shard, about: bound what a worker holds and what a task does.
-FILE_IDS, SHARD_BYTES, CACHE = 1 << 20, 24 << 20, 250_000
+FILE_IDS, SHARD_BYTES, CACHE = 1 << 20, 24 << 20, 100_000
 _TOP = 16
 _ONE = 1 << _TOP
 _INT = np.int64
@@ -319,23 +319,13 @@ class _Words:
         return [b"".join(map(get, x)) for x in parts]
 
 
-_LOADED: dict[str, _Words] = {}
-
-
-def _words(path: str) -> _Words:
-    """The worker's own, kept from task to task."""
-    if path not in _LOADED:
-        _LOADED[path] = _Words(path)
-    return _LOADED[path]
-
-
 _ROWS = "shard int, seq int, temp string, file string, n long, bytes long, sha256 string"
 _KINDS = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
 
 
 def _writer(path: str, base: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, attempt, end = _words(path), uuid.uuid4().hex[:12], np.asarray([END], "<u4").tobytes()
+        coder, attempt, end = _Words(path), uuid.uuid4().hex[:12], np.asarray([END], "<u4").tobytes()
         docs, parts, held, now = [], [], 0, None
 
         def close():
