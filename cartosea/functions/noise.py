@@ -47,6 +47,11 @@ def fbm(x, y, octaves: int, base: int, gain: float = 0.5, lacunarity: float = 2.
     return total / weight
 
 
+def offset_seed(seed: int, origin_x: float, origin_y: float) -> int:
+    """The seed of a tile's noise, from its origin."""
+    return seed + int(origin_x * 1000 + origin_y)
+
+
 def ridge(x, y, octaves: int, base: int, seed: int = 0):
     """Ridged noise before its range is stretched."""
     fold = lambda n: 1.0 - F.abs(2.0 * n - 1.0)

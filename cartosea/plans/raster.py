@@ -136,6 +136,17 @@ def fbm(spark, sf):
     return _grid(spark, sf).select("y", "x", r6(noise.fbm(F.col("x"), F.col("y"), 3, 32, seed=5)).alias("n"))
 
 
+def fbm_offset(spark, sf):
+    """Four octaves of another fall and spread, seeded by a tile's origin at (3, 5)."""
+    return _grid(spark, sf).select("y", "x", r6(noise.fbm(F.col("x"), F.col("y"), 4, 32, gain=0.6, lacunarity=2.5, seed=noise.offset_seed(142, 3, 5))).alias("n"))
+
+
+def contours_relative(spark, sf):
+    """Contours of the relief stretched to a thousand metres, 8 m at 1 m pixels, of a constant width."""
+    m = F.pmod(F.col("n") * 1000.0, F.lit(8.0))
+    return _norm(spark, sf).select("y", "x", ((m < 1.2) | (m > 8.0 - 1.2)).alias("line"))
+
+
 def ridged(spark, sf):
     """Ridged noise stretched to 0..1."""
     g = _grid(spark, sf).withColumn("v", noise.ridge(F.col("x"), F.col("y"), 2, 24, 3))
@@ -176,7 +187,7 @@ def moisture(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (minmax_norm, quantile_mask, block_mean, block_any, area_resize, nearest_resize, water_share, gradient, slope, hillshade, laplacian, blur_k2, blur_k3, field_edges, sobel_edges, open_close, half_pixel, domain_warp, noise_hash, value_noise, fbm, ridged, dunes, field_attributes, rivers_fast, moisture)
+    for f in (minmax_norm, quantile_mask, block_mean, block_any, area_resize, nearest_resize, water_share, gradient, slope, hillshade, laplacian, blur_k2, blur_k3, field_edges, sobel_edges, open_close, half_pixel, domain_warp, noise_hash, value_noise, fbm, fbm_offset, contours_relative, ridged, dunes, field_attributes, rivers_fast, moisture)
 }
 
 _G = t.ctes("grid")
@@ -212,11 +223,11 @@ def _vn_sql(x, y, grid, seed):
     return f"(({n(0, 0)}*(1e0-{e(fx)})+{n(1, 0)}*{e(fx)})*(1e0-{e(fy)})+({n(0, 1)}*(1e0-{e(fx)})+{n(1, 1)}*{e(fx)})*{e(fy)})"
 
 
-def _fbm_sql(octaves, base, seed):
+def _fbm_sql(octaves, base, seed, gain=0.5, lacunarity=2.0):
     amp, freq, tot, parts = 1.0, 1.0, 0.0, []
     for i in range(octaves):
         parts.append(f"{amp!r}e0*{_vn_sql('x', 'y', max(2, int(base / freq)), seed + 1000 * i)}")
-        tot, amp, freq = tot + amp, amp / 2, freq * 2
+        tot, amp, freq = tot + amp, amp * gain, freq * lacunarity
     return f"(({'+'.join(parts)})/{tot!r}e0)"
 
 
@@ -245,6 +256,8 @@ SQL = {
     "noise_hash": f"{_G} SELECT y, x, {_r(noise.hash_sql('x-50', 'y-50', 42))} AS h FROM grid",
     "value_noise": f"{_G} SELECT y, x, {_r(_vn_sql('x', 'y', 12, 7))} AS n FROM grid",
     "fbm": f"{_G} SELECT y, x, {_r(_fbm_sql(3, 32, 5))} AS n FROM grid",
+    "fbm_offset": f"{_G} SELECT y, x, {_r(_fbm_sql(4, 32, 142 + 3005, 0.6, 2.5))} AS n FROM grid",
+    "contours_relative": f"{_G}, {_NORM} SELECT y, x, (n*1e3)%8e0<12e-1 OR (n*1e3)%8e0>8e0-12e-1 AS line FROM nn",
     "ridged": f"{_G}, q AS (SELECT y, x, 6e-1*(1e0-abs(2e0*{_fbm_sql(2, 24, 3)}-1e0))+4e-1*(1e0-abs(2e0*{_fbm_sql(4, 12, 102)}-1e0)) AS v FROM grid) {_STR}",
     "dunes": f"{_G}, q AS (SELECT y, x, (cos((x*cos(radians(25e0))+y*sin(radians(25e0)))/(24*6e-1)+{_vn_sql('x', 'y', 24, 5)}*3.14159e0)+1e0)*5e-1 AS v FROM grid) {_STR}",
     "field_attributes": f"WITH h AS (SELECT p_partkey, (p_partkey*2654435761)%2147483648 AS h FROM part) SELECT p_partkey, {_r('(h%1000)/1000e0')} AS greenness, {_r('((h//1000)%1000)/1000e0')} AS variation FROM h",

@@ -94,18 +94,31 @@ def resample_rings(spark, sf):
     return g.resample(v, "zone_id", 15).select("zone_id", "seq", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
 
 
-def detour_side(spark, sf):
-    """For each leg and zone that it meets: length of the way by the left and the right vertices, and the choice."""
+def _sides(spark, sf):
+    """(route_id, zone_id, left, pts, len): for each leg and zone that it meets, the ways by the vertices on either side."""
     hits = g.segments_on_zones(t.legs(spark, sf), t.zones(spark, sf), ["route_id"])
     v = hits.join(t.legs(spark, sf), "route_id").join(t.zones(spark, sf).select("zone_id", F.posexplode(F.slice("ring", 1, 6)).alias("i", "v")), "zone_id")
     cross = (F.col("elon") - F.col("slon")) * (F.col("v.lat") - F.col("slat")) - (F.col("elat") - F.col("slat")) * (F.col("v.lon") - F.col("slon"))
     side = v.groupBy("route_id", "zone_id", "slon", "slat", "elon", "elat", (cross > 0).alias("left")).agg(F.array_sort(F.collect_list(F.struct("i", F.col("v.lon").alias("lon"), F.col("v.lat").alias("lat")))).alias("vs"))
-    pts = F.concat(F.array(F.struct("slon", "slat")), F.transform("vs", lambda q: F.struct(q["lon"].alias("slon"), q["lat"].alias("slat"))), F.array(F.struct(F.col("elon").alias("slon"), F.col("elat").alias("slat"))))
-    steps = F.zip_with(F.slice(pts, 1, F.size(pts) - 1), F.slice(pts, 2, F.size(pts) - 1), lambda a, b: F.sqrt(F.pow(b["slon"] - a["slon"], 2) + F.pow(b["slat"] - a["slat"], 2)))
-    n = side.withColumn("len", F.aggregate(steps, F.lit(0.0), lambda s, d: s + d)).groupBy("route_id", "zone_id").agg(F.max(F.when(F.col("left"), F.col("len"))).alias("l"), F.max(F.when(~F.col("left"), F.col("len"))).alias("r"))
+    place = lambda lon, lat: F.struct(F.col(lon).alias("lon"), F.col(lat).alias("lat"))
+    pts = F.concat(F.array(place("slon", "slat")), F.transform("vs", lambda q: F.struct(q["lon"].alias("lon"), q["lat"].alias("lat"))), F.array(place("elon", "elat")))
+    steps = F.zip_with(F.slice(pts, 1, F.size(pts) - 1), F.slice(pts, 2, F.size(pts) - 1), lambda a, b: F.sqrt(F.pow(b["lon"] - a["lon"], 2) + F.pow(b["lat"] - a["lat"], 2)))
+    return side.select("route_id", "zone_id", "left", pts.alias("pts"), F.aggregate(steps, F.lit(0.0), lambda s, d: s + d).alias("len"))
+
+
+def detour_side(spark, sf):
+    """For each leg and zone that it meets: length of the way by the left and the right vertices, and the choice."""
+    n = _sides(spark, sf).groupBy("route_id", "zone_id").agg(F.max(F.when(F.col("left"), F.col("len"))).alias("l"), F.max(F.when(~F.col("left"), F.col("len"))).alias("r"))
     return n.select("route_id", "zone_id", r6("l").alias("left_length"), r6("r").alias("right_length"), F.when(F.col("l").isNotNull() & (F.col("r").isNull() | (F.col("l") <= F.col("r"))), "left").otherwise("right").alias("side"))
 
 
+def best_detour(spark, sf):
+    """The shorter way around each zone that a leg meets, left of equals, as sixteen points at even steps."""
+    best = _sides(spark, sf).groupBy("route_id", "zone_id").agg(F.min_by("pts", F.struct("len", (~F.col("left")).alias("right"))).alias("pts"))
+    line = best.select(F.struct("route_id", "zone_id").alias("way"), F.posexplode("pts").alias("i", "p")).select("way", "i", "p.lon", "p.lat")
+    return g.resample(line, "way", 15).select("way.route_id", "way.zone_id", "seq", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
+
+
 def bbox_detour(spark, sf):
     """For each leg that meets a zone: the first clear one-point way around all of its zones' box, north first."""
     zones = t.zones(spark, sf)
@@ -179,7 +192,7 @@ def mask_sets(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (traj_length_km, track_bounds, zone_area, zone_vertices, offset_vertices, point_in_zone, route_zone_hits, first_blocking, invalid_routes, zone_min_distance, adaptive_buffer, clipped_zones, straight_waypoints, resample_rings, detour_side, bbox_detour, visibility_edges, snap_outside, d8_direction, flow_accumulation, mask_regions, clean_water, rivers_d8, mask_sets)
+    for f in (traj_length_km, track_bounds, zone_area, zone_vertices, offset_vertices, point_in_zone, route_zone_hits, first_blocking, invalid_routes, zone_min_distance, adaptive_buffer, clipped_zones, straight_waypoints, resample_rings, detour_side, best_detour, bbox_detour, visibility_edges, snap_outside, d8_direction, flow_accumulation, mask_regions, clean_water, rivers_d8, mask_sets)
 }
 
 _r = lambda v, n=6: f"(round({v}, {n}) + 0e0)"
@@ -237,7 +250,18 @@ def _clip_sql():
     return out + f", f AS (SELECT *, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS nx, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS ny FROM c4 WINDOW w AS (PARTITION BY zone_id ORDER BY s)) SELECT zone_id, {_r('abs(sum(lon*ny-nx*lat))/2e0', 8)} AS area, {_r('min(lon)')} AS min_lon, {_r('max(lon)')} AS max_lon, {_r('min(lat)')} AS min_lat, {_r('max(lat)')} AS max_lat FROM f GROUP BY 1"
 
 
+def _detour_sql():
+    ends = "SELECT route_id, zone_id, lf, -1 AS i, slon AS lon, slat AS lat FROM v GROUP BY ALL UNION ALL SELECT route_id, zone_id, lf, i, lon, lat FROM v UNION ALL SELECT route_id, zone_id, lf, 99, elon, elat FROM v GROUP BY ALL"
+    ways = f"{_L}, {_hits('legs', ['route_id'])}, v AS (SELECT h.route_id, h.zone_id, e.i, e.ax AS lon, e.ay AS lat, slon, slat, elon, elat, (elon-slon)*(e.ay-slat)-(elat-slat)*(e.ax-slon)>0 AS lf FROM hits h JOIN legs l ON l.route_id=h.route_id JOIN edges e ON e.zone_id=h.zone_id), p AS ({ends})"
+    walk = "w AS (SELECT *, lag(lon) OVER q AS plon, lag(lat) OVER q AS plat FROM p WINDOW q AS (PARTITION BY route_id, zone_id, lf ORDER BY i)), st AS (SELECT *, coalesce(sqrt(pow(lon-plon,2)+pow(lat-plat,2)),0e0) AS d FROM w), cu AS (SELECT *, sum(d) OVER (PARTITION BY route_id, zone_id, lf ORDER BY i) AS hi, sum(d) OVER (PARTITION BY route_id, zone_id, lf) AS tot FROM st)"
+    pick = "ch AS (SELECT route_id, zone_id, arg_min(lf, tot + CASE WHEN lf THEN 0e0 ELSE 1e-15 END) AS lf FROM cu GROUP BY 1,2), sg AS (SELECT cu.* FROM cu JOIN ch USING (route_id, zone_id, lf) WHERE plon IS NOT NULL)"
+    at = "g AS (SELECT *, range AS seq, range/15e0*tot AS tg, row_number() OVER (PARTITION BY route_id, zone_id, range ORDER BY i) AS r FROM sg, range(16) WHERE hi-d-1e-12<=range/15e0*tot AND range/15e0*tot<=hi+1e-12)"
+    t_ = "CASE WHEN d>0 THEN (tg-(hi-d))/d ELSE 0e0 END"
+    return f"{ways}, {walk}, {pick}, {at} SELECT route_id, zone_id, CAST(seq AS INT) AS seq, {_r(f'plon+{t_}*(lon-plon)', 5)} AS lon, {_r(f'plat+{t_}*(lat-plat)', 5)} AS lat FROM g WHERE r=1"
+
+
 SQL = {
+    "best_detour": _detour_sql(),
     "clipped_zones": _clip_sql(),
     "clean_water": _clean_sql(),
     "rivers_d8": _rivers_sql(),

@@ -199,3 +199,12 @@ def test_tiles_do_not_change_stencils(spark, monkeypatch):
     monkeypatch.setattr(st, "tiles", lambda cells, halo, size=5: whole(cells, halo, size))
     assert {(r["y"], r["x"]): r["m"] for r in st.open_close(mask, "m").collect()} == plain
     assert {(r["y"], r["x"]): (r["gy"], r["gx"]) for r in st.gradient(df, "z").collect()} == want
+
+
+def test_run_metadata(spark, tmp_path):
+    from cartosea.sources import runs
+
+    bounds = {"max_lat": 37.6, "max_lon": -122.3, "min_lat": 37.5, "min_lon": -122.5}
+    runs.write_metadata(spark, str(tmp_path / "m"), "a generator", "2026_03_08_125158", area_km=1, bounds=bounds, resolutions=["1m", "10m"])
+    assert runs.read_metadata(spark, str(tmp_path / "m")) == {"generator": "a generator", "timestamp": "2026_03_08_125158", "area_km": 1, "bounds": bounds, "resolutions": ["1m", "10m"]}
+    assert runs.archived(["b/x.tif", "a.PNG", ".hidden.json", "_tmp.tif", "note.txt"]) == ["a.PNG", "b/x.tif"]
