@@ -11,12 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartosea.llm import files
-
 #: UTF-8 bytes of text that a Python worker handles at a time.
 SLICE_BYTES = 2 << 20
 
@@ -61,9 +58,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def discard(*staged: DataFrame) -> None:
     """Delete what stage() wrote, once nothing reads it any more."""
     for df in staged:
-        f, p = files.at(df.staged_at)
-        if f.get_file_info(p).type != fs.FileType.NotFound:
-            f.delete_dir(p)
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)  # any file system that Spark can use
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_key(text):
