@@ -5,7 +5,8 @@ links (each 1 at least, of its whole subtree), its density is C / T times the lo
 base ln(C * LC / (C - LC) + C * LC_body / C_body + e). An element's score is the sum of its children's densities; that
 of the largest score (the first of equals) is the main one. The thinnest element on the path from the body down to it
 gives the threshold: the main element and every subtree beside that path that is at least as dense are the text, each
-with the headings right before it; what is thinner goes. Tags decide nothing here: an article element wins by its
+with the headings right before it; what is thinner goes, unless it is the small rest (`NEARLY`) of an element that is
+otherwise text, and no links. Tags decide nothing here: an article element wins by its
 densities or not at all.
 
 What a page declares as no part of its text (menus, headers and footers of the page, asides, forms, scripts, adverts,
@@ -56,6 +57,8 @@ _BESIDE = re.compile(
 _NEVER = re.compile(r"comments?|commentlist|disqus|replies|respond|ads?|advert\w*|adsense|sponsor\w*|cookies?|consent|gdpr|newsletter|breadcrumbs?|pagination|pager|copyright", re.I)
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "thead": {"tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: The share of an element's text that may be thinner than the threshold where all of it is taken as the article's.
+NEARLY = 0.2
 _SCOPE = frozenset("table ul ol dl article section div main body html blockquote figure".split())
 #: Open elements that a start tag may close, or that keep it from closing others.
 _EDGE = _SCOPE.union(*_CLOSES.values())
@@ -277,17 +280,24 @@ def _dense(best: _Node, body: _Node) -> list[_Node]:
     while parts[-1] is not body and parts[-1].up is not None:
         parts.append(parts[-1].up)
     kept, above = parts[:1], parts[1:]
+    chars, links = parts[0].chars, parts[0].link_chars
     for n, on in zip(above, parts):
         kids = [k for k in n.kids if not k.out and k.chars]
-        after = False
+        after, more = False, []
         for k in reversed(kids):
-            heading = k.tag in _HEADINGS
+            heading = k.tag in _HEADINGS or k.tag in ("header", "hgroup")
             if k is not on:
                 after = after if heading else k.density >= least
                 if after:
-                    kept.append(k)
+                    more.append(k)
             else:
                 after = True
+        # an element nearly all of whose text is the article's is whole, but for rests of links: short lines belong to it
+        chars, links = chars + sum(k.chars for k in more), links + sum(k.link_chars for k in more)
+        if n is not body and n.chars - chars <= NEARLY * n.chars and 2 * (n.link_chars - links) <= n.chars - chars:
+            kept, chars, links = [n], n.chars, n.link_chars
+        else:
+            kept += more
     return sorted(kept, key=lambda n: n.span)
 
 

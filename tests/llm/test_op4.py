@@ -104,3 +104,13 @@ def test_tables_empty_repeated_and_clashing(spark):
     page = f"<p>{LONG}</p>"
     rows = extract_text(spark.createDataFrame([(None, None, page, "a", "b", "c", 7)] * 3 + [(1, "u", "<p>" + "long " * 400_000, "a", "b", "c", 7)], schema)).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"], r["_html"], r["_c0"]) for r in rows) == [(0, len(H.unescape(LONG)), "b", 7)] * 3 + [(1, 1_999_999, "b", 7)]
+
+
+def test_short_lines_of_the_article_stay():
+    t = H.unescape(LONG)
+    part = lambda c: f"<section><h2>Part {c}</h2>" + "".join(f"<p>{c}{i} {LONG} {LONG}</p>" for i in range(5)) + "</section>"
+    links = "<div><ul>" + "".join(f"<li><a href={i}>Go {i}</a></li>" for i in range(30)) + "</ul></div>"
+    head, tail = "<header><h1>Title</h1><p>By A. N. Other</p></header>", "<ul><li>one</li><li>two</li></ul><p>End.</p>"
+    page = f"<body>{links}<div><div>{head}{part('a')}{part('b')}{tail}</div></div>{links}</body>"
+    lines = lambda c: [f"Part {c}", *[f"{c}{i} {t} {t}" for i in range(5)]]
+    assert extract(page).split("\n") == ["Title", "By A. N. Other", *lines("a"), *lines("b"), "one", "two", "End."]
