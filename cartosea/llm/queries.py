@@ -92,6 +92,13 @@ def op2_token_files(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_cross_tokenizer_alignment(spark, sf_dir):
+    """Minimal groups of two tokenizers' tokens in all documents, and the counts of the id pairs that they link."""
+    from cartosea.llm import alignment
+
+    return alignment.digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     """The stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -99,7 +106,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op10_warc": op10_warc, "op6_chat_formatting": op6_chat_formatting, "op4_html_extraction": op4_html_extraction, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_toxicity": op5_toxicity, "op3_decontamination": op3_decontamination, "op2_token_files": op2_token_files, "pipeline": pipeline}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op10_warc": op10_warc, "op6_chat_formatting": op6_chat_formatting, "op4_html_extraction": op4_html_extraction, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_toxicity": op5_toxicity, "op3_decontamination": op3_decontamination, "op2_token_files": op2_token_files, "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment, "pipeline": pipeline}
 SQL: dict[str, str] = {
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
