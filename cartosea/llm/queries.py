@@ -99,6 +99,13 @@ def op11_cross_tokenizer_alignment(spark, sf_dir):
     return alignment.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_document_fingerprints(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts, and their likeness."""
+    from cartosea.llm import fingerprint
+
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_structure_repair(spark, sf_dir):
     """Damage all conversations, then repair them."""
     from cartosea.llm import repair
@@ -114,7 +121,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op10_warc": op10_warc, "op6_chat_formatting": op6_chat_formatting, "op4_html_extraction": op4_html_extraction, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_toxicity": op5_toxicity, "op3_decontamination": op3_decontamination, "op2_token_files": op2_token_files, "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment, "op13_conversation_structure_repair": op13_conversation_structure_repair, "pipeline": pipeline}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op10_warc": op10_warc, "op6_chat_formatting": op6_chat_formatting, "op4_html_extraction": op4_html_extraction, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_toxicity": op5_toxicity, "op3_decontamination": op3_decontamination, "op2_token_files": op2_token_files, "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment, "op12_document_fingerprints": op12_document_fingerprints, "op13_conversation_structure_repair": op13_conversation_structure_repair, "pipeline": pipeline}
 SQL: dict[str, str] = {
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
