@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartosea.llm.bpe import VOCABULARY, coder, ranks
+from cartosea.llm.bpe import _CUT, VOCABULARY, coder, ranks
 from cartosea.llm.common import stage
 
 #: Strings that a template may treat as control; inside texts a backslash parts them.
@@ -50,7 +50,12 @@ def _nodes(path: str, tree: bool):
     """For each conversation's turns: its nodes (tree) or the keys that it passes (not tree)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = coder(path).encode_ordinary
+        one = coder(path)._core_bpe.encode_single_piece
+        # the library's own pattern overflows its stack on long white space
+
+        def encode(text: str) -> list[int]:
+            return [i for x in _CUT.findall(text) for i in one(x.encode())]
+
         known: dict[bytes, tuple] = {}
         for b in batches:
             rows: list[tuple] = []

@@ -51,3 +51,12 @@ def test_tree_and_round_trip(spark):
 def test_empty(spark):
     nodes, passes = chat.format_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert nodes.count() == 0 and chat.read_back(nodes, passes).count() == 0
+
+
+def test_long_texts_and_clashing_columns(spark):
+    texts = [" " * 1_000_000 + "x", "\n" * 1_000_000, "y" * 1_000_000, "日" * 300_000]
+    rows = [(c, t, r, x, "k", 1) for c, x in enumerate(texts) for t, (r, x) in enumerate([("user", x), ("assistant", x)])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, key string, depth int")
+    got = {r["conv_id"]: r for r in chat.read_back(*chat.format_tree(df)).collect()}
+    for c, x in enumerate(texts):
+        assert (got[c]["n_turns"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (2, len(x), hashlib.sha256(x.encode()).hexdigest())
