@@ -5,7 +5,7 @@ its connected components, which are exactly the minimal groups between offsets w
 expand to links, every A occurrence with every B occurrence in it.
 
 Neither tokenizer merges across white space that follows something else, so a text is cut there, and groups never cross
-a cut: a worker aligns each distinct chunk once. A slice of texts (about 8 MB) keeps one row: its distinct id pairs, in
+a cut: a worker aligns each distinct chunk once. A slice of texts (about 4 MB) keeps one row: its distinct id pairs, in
 how many of its documents each is linked, and which documents hold which. Pairs are counted by Spark's aggregation of
 those rows, joined back to the slices that asked, and the slices add up their documents. A very common pair is one row
 of a slice, so no key is hot.
@@ -35,9 +35,9 @@ from cartosea.llm.bpe import _CUT, pack, unpack
 from cartosea.llm.common import column, sliced, stage
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Bytes of aligned chunks that a worker remembers, by estimate; a longer chunk than LONG characters isn't remembered.
-KNOWN_BYTES, LONG = 200 << 20, 64
+KNOWN_BYTES, LONG = 80 << 20, 64
 #: Links of a group beyond which they are multiplied by distinct ids.
 MANY = 4096
 #: A chunk: white space, then what follows up to the next space or line end that follows no white space.
