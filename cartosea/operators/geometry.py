@@ -83,21 +83,84 @@ def segments_on_zones(segments: DataFrame, zones: DataFrame, keys: list[str]) ->
     return s.join(z, ["_cx", "_cy"]).where(crosses(F.col("ring"), F.col("slon"), F.col("slat"), F.col("elon"), F.col("elat"))).select(*keys, "zone_id").distinct()
 
 
-def zone_distances(zones: DataFrame, reach: float) -> DataFrame:
-    """(a, b, dist) of each pair of zones a < b that are within reach: the least distance between their edges, 0 if they
-    meet. Edges meet by cells, one side's boxes widened by the reach."""
-    e = zones.select(F.col("zone_id"), F.explode(edges(F.col("ring"))).alias("e"))
-    box = lambda df, f, pad: tile(df, F.least(f["ax"], f["bx"]) - pad, F.greatest(f["ax"], f["bx"]) + pad, F.least(f["ay"], f["by"]) - pad, F.greatest(f["ay"], f["by"]) + pad)
-    a = box(e.select(F.col("zone_id").alias("a"), F.col("e").alias("p")), F.col("p"), reach)
-    b = box(e.select(F.col("zone_id").alias("b"), F.col("e").alias("q")), F.col("q"), 0.0)
-    p, q = F.col("p"), F.col("q")
-    d = F.least(
+def _edge_gap(p, q):
+    """Least distance of two edges, 0 if they meet."""
+    near = F.least(
         point_segment(p["ax"], p["ay"], q["ax"], q["ay"], q["bx"], q["by"]), point_segment(p["bx"], p["by"], q["ax"], q["ay"], q["bx"], q["by"]),
         point_segment(q["ax"], q["ay"], p["ax"], p["ay"], p["bx"], p["by"]), point_segment(q["bx"], q["by"], p["ax"], p["ay"], p["bx"], p["by"]),
     )
-    d = F.when(segments_cross(p["ax"], p["ay"], p["bx"], p["by"], q["ax"], q["ay"], q["bx"], q["by"]), 0.0).otherwise(d)
-    near = a.join(b, ["_cx", "_cy"]).where("a < b").groupBy("a", "b").agg(F.min(d).alias("dist"))
-    return near.where(F.col("dist") <= reach)
+    return F.when(segments_cross(p["ax"], p["ay"], p["bx"], p["by"], q["ax"], q["ay"], q["bx"], q["by"]), 0.0).otherwise(near)
+
+
+def ring_distance(one, two):
+    """Least distance of two rings with their insides."""
+    edge = F.aggregate(edges(one), F.lit(float("inf")), lambda m, p: F.least(m, F.aggregate(edges(two), F.lit(float("inf")), lambda k, q: F.least(k, _edge_gap(p, q)))))
+    first = lambda r, c: F.element_at(r, 1)[c]
+    within = contains(two, first(one, "lon"), first(one, "lat")) | contains(one, first(two, "lon"), first(two, "lat"))
+    return F.when(within, 0.0).otherwise(edge)
+
+
+def _boxes(zones: DataFrame, reach: float, width: float) -> DataFrame:
+    """A row for each cell of that width which a zone's box, widened by the reach, touches."""
+    at = lambda c, pad: F.floor((F.col(c) + pad) / width).cast("bigint")
+    span = lambda c: F.explode(F.sequence(at(f"min_{c}", -reach), at(f"max_{c}", reach)))
+    return zones.withColumn("_cx", span("lon")).withColumn("_cy", span("lat"))
+
+
+def _candidates(some: DataFrame, zones: DataFrame, reach: float, width: float) -> DataFrame:
+    """(a, b, ring, other): zones b whose boxes are within reach of those of some zones a, each pair once."""
+    gap = lambda c: F.greatest(F.col(f"min_{c}") - F.col(f"_max_{c}"), F.col(f"_min_{c}") - F.col(f"max_{c}"))
+    left = _boxes(some.withColumnRenamed("zone_id", "a"), reach, width)
+    right = _boxes(zones.select(F.col("zone_id").alias("b"), F.col("ring").alias("other"), "min_lon", "max_lon", "min_lat", "max_lat"), 0.0, width)
+    right = right.withColumnsRenamed({c: f"_{c}" for c in ("min_lon", "max_lon", "min_lat", "max_lat")})
+    # a pair meets in many cells: it counts in the one where its boxes' common corner lies
+    corner = lambda c: F.floor(F.greatest(F.col(f"min_{c}") - reach, F.col(f"_min_{c}")) / width).cast("bigint")
+    met = left.join(right, ["_cx", "_cy"]).where((F.col("a") != F.col("b")) & (F.col("_cx") == corner("lon")) & (F.col("_cy") == corner("lat")))
+    return met.where((gap("lon") <= reach) & (gap("lat") <= reach)).select("a", "b", "ring", "other")
+
+
+def zones_within(zones: DataFrame, radius: float) -> DataFrame:
+    """(a, b, dist) of each pair of zones a < b that are within the radius: 0 if they meet or one holds the other. Zones
+    meet by cells as wide as the radius, one side's boxes widened by it."""
+    z = bounds(zones)
+    near = _candidates(z, z, radius, max(radius, CELL)).where("a < b")
+    return near.select("a", "b", ring_distance(F.col("ring"), F.col("other")).alias("dist")).where(F.col("dist") <= radius)
+
+
+def nearest_zones(zones: DataFrame, first_reach: float = CELL) -> DataFrame:
+    """(zone_id, nearest, dist): each zone's nearest other zone, however far (of equals the smallest id; null where there
+    is none). Rounds of a doubling reach, over cells that grow with it: a zone leaves once something is found within the
+    reach, for then nothing beyond can be nearer; only the others go on. Each round is written, its predecessor deleted."""
+    from cartosea.operators.graph import discard, staged
+
+    z = bounds(zones.select("zone_id", "ring"))
+    left, reach, found = staged(z), first_reach, []
+    whole = z.agg(F.max("max_lon") - F.min("min_lon"), F.max("max_lat") - F.min("min_lat")).first()
+    most = max(whole[0] or 0.0, whole[1] or 0.0)
+    while not left.isEmpty():
+        last = reach > most
+        near = _candidates(left, z, reach, max(reach, CELL)).select("a", "b", ring_distance(F.col("ring"), F.col("other")).alias("dist"))
+        best = near.where(F.col("dist") <= reach * (1.5 if last else 1.0)).groupBy("a").agg(F.min(F.struct("dist", "b")).alias("n"))
+        got = staged(left.join(best, F.col("zone_id") == F.col("a"), "left").select(*z.columns, "n"))
+        found.append(got.where(F.lit(last) | F.col("n").isNotNull()).select("zone_id", F.col("n.b").alias("nearest"), F.col("n.dist").alias("dist")))
+        discard(left)
+        if last:
+            break
+        left, reach = staged(got.where("n is null").select(*z.columns)), 2.0 * reach
+    out = found[0] if found else z.select("zone_id", F.lit(None).cast("bigint").alias("nearest"), F.lit(None).cast("double").alias("dist"))
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def zone_distances(zones: DataFrame, blocks: int = 16) -> DataFrame:
+    """(a, b, dist) of every pair of zones a < b: a matrix, as long as the square of the zones. Pairs of blocks of zones
+    meet, each in a task of its own. nearest_zones() and zones_within() do without the matrix."""
+    block = F.pmod(F.xxhash64("zone_id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = zones.select(F.col("zone_id").alias("a"), "ring", block.alias("_i"), every.alias("_j"))
+    b = zones.select(F.col("zone_id").alias("b"), F.col("ring").alias("other"), every.alias("_i"), block.alias("_j"))
+    return a.join(b, ["_i", "_j"]).where("a < b").select("a", "b", ring_distance(F.col("ring"), F.col("other")).alias("dist"))
 
 
 def clip_rings(zones: DataFrame, low: tuple[float, float], high: tuple[float, float]) -> DataFrame:

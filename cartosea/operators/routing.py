@@ -174,5 +174,5 @@ def route_properties(planned: DataFrame) -> DataFrame:
 
 def buffer_of(zones: DataFrame) -> float:
     """The adaptive buffer of all zones, as one number: 0.018, less where two zones are nearer than twice that."""
-    least = g.zone_distances(zones, 0.036).agg(F.min("dist")).first()[0]
+    least = g.zones_within(zones, 0.036).agg(F.min("dist")).first()[0]
     return 0.018 if least is None or least >= 0.036 else max(0.005, 0.3 * least)

@@ -67,13 +67,23 @@ def invalid_routes(spark, sf):
 
 def zone_min_distance(spark, sf):
     """Least distance of each two zones."""
-    return g.zone_distances(t.zones(spark, sf), 0.05).select("a", "b", r6("dist").alias("dist"))
+    return g.zone_distances(t.zones(spark, sf)).select("a", "b", r6("dist").alias("dist"))
+
+
+def zone_nearest(spark, sf):
+    """Each zone's nearest other zone, whatever the distance."""
+    return g.nearest_zones(t.zones(spark, sf), 0.005).select("zone_id", "nearest", r6("dist").alias("dist"))
+
+
+def zones_within(spark, sf):
+    """Pairs of zones within 0.036 degrees."""
+    return g.zones_within(t.zones(spark, sf), 0.036).select("a", "b", r6("dist").alias("dist"))
 
 
 def adaptive_buffer(spark, sf):
-    """The buffer for all zones."""
-    d = g.zone_distances(t.zones(spark, sf), 0.036).agg(F.min("dist").alias("least"), F.count("*").alias("n"))
-    return d.select(r6(g.adaptive_buffer(F.col("least"), F.when(F.col("n") > 0, 2).otherwise(1))).alias("buffer"), r6("least").alias("least"))
+    """The buffer for all zones, from the least distance between any two."""
+    d = g.nearest_zones(t.zones(spark, sf)).agg(F.min("dist").alias("least"), F.count("*").alias("n"))
+    return d.select(r6(g.adaptive_buffer(F.col("least"), F.col("n"))).alias("buffer"), r6("least").alias("least"))
 
 
 def clipped_zones(spark, sf):
@@ -192,7 +202,7 @@ def mask_sets(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (traj_length_km, track_bounds, zone_area, zone_vertices, offset_vertices, point_in_zone, route_zone_hits, first_blocking, invalid_routes, zone_min_distance, adaptive_buffer, clipped_zones, straight_waypoints, resample_rings, detour_side, best_detour, bbox_detour, visibility_edges, snap_outside, d8_direction, flow_accumulation, mask_regions, clean_water, rivers_d8, mask_sets)
+    for f in (traj_length_km, track_bounds, zone_area, zone_vertices, offset_vertices, point_in_zone, route_zone_hits, first_blocking, invalid_routes, zone_min_distance, zone_nearest, zones_within, adaptive_buffer, clipped_zones, straight_waypoints, resample_rings, detour_side, best_detour, bbox_detour, visibility_edges, snap_outside, d8_direction, flow_accumulation, mask_regions, clean_water, rivers_d8, mask_sets)
 }
 
 _r = lambda v, n=6: f"(round({v}, {n}) + 0e0)"
@@ -217,7 +227,8 @@ def _hits(source, keys, name="hits"):
 
 
 _ps = lambda px, py, s: f"sqrt(pow({px}-({s}.ax+least(greatest((({px}-{s}.ax)*({s}.bx-{s}.ax)+({py}-{s}.ay)*({s}.by_-{s}.ay))/(pow({s}.bx-{s}.ax,2)+pow({s}.by_-{s}.ay,2)),0e0),1e0)*({s}.bx-{s}.ax)),2)+pow({py}-({s}.ay+least(greatest((({px}-{s}.ax)*({s}.bx-{s}.ax)+({py}-{s}.ay)*({s}.by_-{s}.ay))/(pow({s}.bx-{s}.ax,2)+pow({s}.by_-{s}.ay,2)),0e0),1e0)*({s}.by_-{s}.ay)),2))"
-_DIST = f"zd AS (SELECT p.zone_id AS a, e.zone_id AS b, min(CASE WHEN {_hit('p.ax', 'p.ay', 'p.bx', 'p.by_')} THEN 0e0 ELSE least({_ps('p.ax', 'p.ay', 'e')},{_ps('p.bx', 'p.by_', 'e')},{_ps('e.ax', 'e.ay', 'p')},{_ps('e.bx', 'e.by_', 'p')}) END) AS dist FROM edges p JOIN edges e ON p.zone_id<e.zone_id GROUP BY 1,2)"
+_HOLD = f"hold AS (SELECT p.zone_id AS a, e.zone_id AS b, {_in('p.ax', 'p.ay')} AS h FROM edges p, edges e WHERE p.i=0 AND p.zone_id<>e.zone_id GROUP BY 1, 2, p.ax, p.ay)"
+_DIST = f"{_HOLD}, zd AS (SELECT p.zone_id AS a, e.zone_id AS b, CASE WHEN bool_or(h1.h OR h2.h) THEN 0e0 ELSE min(CASE WHEN {_hit('p.ax', 'p.ay', 'p.bx', 'p.by_')} THEN 0e0 ELSE least({_ps('p.ax', 'p.ay', 'e')},{_ps('p.bx', 'p.by_', 'e')},{_ps('e.ax', 'e.ay', 'p')},{_ps('e.bx', 'e.by_', 'p')}) END) END AS dist FROM edges p JOIN edges e ON p.zone_id<e.zone_id JOIN hold h1 ON h1.a=p.zone_id AND h1.b=e.zone_id JOIN hold h2 ON h2.a=e.zone_id AND h2.b=p.zone_id GROUP BY 1,2)"
 _PZ = f"{t.ctes('points', 'edges')}, pz AS (SELECT id, lon, lat, e.zone_id FROM points p, edges e GROUP BY id, lon, lat, e.zone_id HAVING {_in('p.lon', 'p.lat')})"
 _MOVES = "mv AS (SELECT CAST(8*(m.range-1)+d.i AS INT) AS p, 5e-3*m.range*dx AS dx, 5e-3*m.range*dy AS dy FROM range(1,20) m, (VALUES (0,1,0),(1,-1,0),(2,0,1),(3,0,-1),(4,1,1),(5,-1,1),(6,1,-1),(7,-1,-1)) d(i,dx,dy))"
 _D8 = "o8(k,dy,dx) AS (VALUES (0,0,1),(1,-1,1),(2,-1,0),(3,-1,-1),(4,0,-1),(5,1,-1),(6,1,0),(7,1,1)), nb AS (SELECT g.y, g.x, o.k, g.z-m.z AS drop_ FROM grid g, o8 o, grid m WHERE m.y=g.y+o.dy AND m.x=g.x+o.dx), rk AS (SELECT *, row_number() OVER (PARTITION BY y,x ORDER BY drop_ DESC, k) AS r, count(*) OVER (PARTITION BY y,x) AS n FROM nb), dd AS (SELECT y, x, CASE WHEN n=8 AND drop_>0 THEN k ELSE -1 END AS dir FROM rk WHERE r=1)"
@@ -274,8 +285,10 @@ SQL = {
     "route_zone_hits": f"{_L}, {_hits('legs', ['route_id'])} SELECT route_id, zone_id FROM hits",
     "first_blocking": f"{_L}, {_hits('legs', ['route_id'])}, f AS (SELECT route_id, min(zone_id) AS z, count(*) AS n FROM hits GROUP BY 1) SELECT l.route_id, z IS NULL AS clear, z AS first_zone, coalesce(n,0) AS blocked FROM legs l LEFT JOIN f ON f.route_id=l.route_id",
     "invalid_routes": f"{_L}, {_hits('legs', ['route_id'])} SELECT (SELECT count(DISTINCT route_id) FROM hits) AS invalid, (SELECT count(*) FROM legs) AS routes",
-    "zone_min_distance": f"{_E}, {_DIST} SELECT a, b, {_r('dist')} AS dist FROM zd WHERE dist<=5e-2",
-    "adaptive_buffer": f"{_E}, {_DIST} SELECT {_r('CASE WHEN count(*)=0 OR min(dist)>=36e-3 THEN 18e-3 ELSE greatest(5e-3,3e-1*min(dist)) END')} AS buffer, {_r('min(dist)')} AS least FROM zd WHERE dist<=36e-3",
+    "zone_min_distance": f"{_E}, {_DIST} SELECT a, b, {_r('dist')} AS dist FROM zd",
+    "zones_within": f"{_E}, {_DIST} SELECT a, b, {_r('dist')} AS dist FROM zd WHERE dist<=36e-3",
+    "zone_nearest": f"{_E}, {_DIST}, both_ AS (SELECT a AS zone_id, b AS nearest, dist FROM zd UNION ALL SELECT b, a, dist FROM zd), k AS (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY dist, nearest) AS r FROM both_) SELECT zone_id, nearest, {_r('dist')} AS dist FROM k WHERE r=1",
+    "adaptive_buffer": f"{_E}, {_DIST} SELECT {_r('CASE WHEN count(*)=0 OR min(dist)>=36e-3 THEN 18e-3 ELSE greatest(5e-3,3e-1*min(dist)) END')} AS buffer, {_r('min(dist)')} AS least FROM zd",
     "straight_waypoints": f"{t.ctes('legs')} SELECT route_id, CAST(range AS INT) AS seq, {_r('slon+(elon-slon)*(range/1e1)')} AS lon, {_r('slat+(elat-slat)*(range/1e1)')} AS lat FROM legs, range(11)",
     "resample_rings": f"{_E}, f AS (SELECT *, sqrt(pow(bx-ax,2)+pow(by_-ay,2)) AS st, sum(sqrt(pow(bx-ax,2)+pow(by_-ay,2))) OVER (PARTITION BY zone_id ORDER BY i) AS hi FROM edges), q AS (SELECT *, hi-st AS lo, max(hi) OVER (PARTITION BY zone_id) AS tot FROM f), p AS (SELECT zone_id, CAST(range AS INT) AS seq, range/15e0*tot AS tg, i, ax, ay, bx, by_, lo, hi FROM q, range(16)), w AS (SELECT *, row_number() OVER (PARTITION BY zone_id, seq ORDER BY i) AS r FROM p WHERE lo-1e-12<=tg AND tg<=hi+1e-12) SELECT zone_id, seq, {_r('ax+(tg-lo)/(hi-lo)*(bx-ax)', 5)} AS lon, {_r('ay+(tg-lo)/(hi-lo)*(by_-ay)', 5)} AS lat FROM w WHERE r=1",
     "detour_side": f"{_L}, {_hits('legs', ['route_id'])}, v AS (SELECT h.route_id, h.zone_id, e.i, e.ax AS lon, e.ay AS lat, slon, slat, elon, elat, (elon-slon)*(e.ay-slat)-(elat-slat)*(e.ax-slon)>0 AS lf FROM hits h JOIN legs l ON l.route_id=h.route_id JOIN edges e ON e.zone_id=h.zone_id), s AS (SELECT *, lag(lon,1,slon) OVER w AS plon, lag(lat,1,slat) OVER w AS plat, lead(i) OVER w IS NULL AS fin FROM v WINDOW w AS (PARTITION BY route_id, zone_id, lf ORDER BY i)), n AS (SELECT route_id, zone_id, lf, sum(sqrt(pow(lon-plon,2)+pow(lat-plat,2))+CASE WHEN fin THEN sqrt(pow(elon-lon,2)+pow(elat-lat,2)) ELSE 0e0 END) AS len FROM s GROUP BY 1,2,3), m AS (SELECT route_id, zone_id, max(len) FILTER (WHERE lf) AS l, max(len) FILTER (WHERE NOT lf) AS r FROM n GROUP BY 1,2) SELECT route_id, zone_id, {_r('l')} AS left_length, {_r('r')} AS right_length, CASE WHEN l IS NOT NULL AND (r IS NULL OR l<=r) THEN 'left' ELSE 'right' END AS side FROM m",
