@@ -99,8 +99,9 @@ def clean_mask(cells: DataFrame, mask: str, least: int = 200) -> DataFrame:
 
 
 def rivers_and_flood(cells: DataFrame, value: str = "n", density: float = 0.004) -> DataFrame:
-    """(y, x, river, flood) from the accumulation of D8 flow over an elevation in 0..1: the cells of the largest
-    accumulations below 0.92, and the land around large ones that isn't high."""
+    """(y, x, river, flood, river_level, flood_level) from the accumulation of D8 flow over an elevation in 0..1: the
+    cells of the largest accumulations below 0.92, and the land around large ones that isn't high; levels are the blurred
+    values that the masks cut."""
     acc = cells.select("y", "x", F.col(value).alias("n")).join(flow_accumulation(d8_direction(cells, value)), ["y", "x"])
     acc = staged(stretch(acc, F.col("acc").cast("double"), "a").select("y", "x", "n", F.col("a").alias("acc")))
     (least,) = quantiles(acc, "acc", [1.0 - density])
@@ -108,4 +109,5 @@ def rivers_and_flood(cells: DataFrame, value: str = "n", density: float = 0.004)
     dry = F.least(F.greatest(F.col("n") * 1.3 - 0.5, F.lit(0.0)), F.lit(1.0))
     river, flood = (blur(wet, c, 2).withColumnRenamed("v", c) for c in "ab")
     out = wet.select("y", "x", "n").join(river, ["y", "x"]).join(flood, ["y", "x"])
-    return out.select("y", "x", (F.col("a") > 0.30).alias("river"), (F.col("b") * (1.0 - dry) > 0.35).alias("flood"))
+    low = F.col("b") * (1.0 - dry)
+    return out.select("y", "x", (F.col("a") > 0.30).alias("river"), (low > 0.35).alias("flood"), F.col("a").alias("river_level"), low.alias("flood_level"))

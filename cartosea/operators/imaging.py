@@ -9,45 +9,179 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartosea.operators import lattice
+
 
 @dataclass(frozen=True)
 class Sensor:
-    """Settings of the chain."""
+    """Settings of the chain, by its order."""
 
+    supersample: int = 2
+    octaves: int = 6
+    gain: float = 0.5
+    lacunarity: float = 2.0
+    texture_base: float = 64.0
+    sun_azimuth: float = 315.0
+    sun_altitude: float = 45.0
+    relief_strength: float = 0.4
+    edge_step: float = 0.05
+    edge_sigma: float = 2.0
     optics_sigma: float = 1.0
+    warp: float = 0.6
+    warp_base: int = 96
+    noise_sigma: float = 0.005
     gamma: float = 1.05
     saturation: float = 0.90
     green_bias: float = 1.05
-    noise_sigma: float = 0.005
+    smooth_size: int = 5
+    smooth_colour: float = 24.0
+    smooth_space: float = 5.0
     smooth_mix: float = 0.05
     sharpen: float = 0.15
-    supersample: int = 2
     seed: int = 42
+    tile: int = 512
+    halo: int = 32
+
 
+@dataclass(frozen=True)
+class Frame:
+    """Where an array of cells lies: its rows and columns in the world, and the extent (rows, columns) of the world."""
+
+    y: np.ndarray
+    x: np.ndarray
+    height: int
+    width: int
+
+    def enlarged(self, k: int) -> "Frame":
+        """The frame with k x k cells for each."""
+        fine = lambda v: (v[:, None] * k + np.arange(k)[None, :]).ravel()
+        return Frame(fine(self.y), fine(self.x), self.height * k, self.width * k)
 
-def gaussian(a: np.ndarray, sigma_x: float, sigma_y: float) -> np.ndarray:
-    """Separable Gaussian blur of an image, reflected at its border."""
+
+def gaussian(a: np.ndarray, sigma_x: float, sigma_y: float, radius: int | None = None, border: str = "symmetric") -> np.ndarray:
+    """Separable Gaussian blur of an image, four deviations wide unless a radius is given, mirrored at its border."""
     for axis, s in ((0, sigma_y), (1, sigma_x)):
-        n = max(1, int(3 * s + 0.5))
+        n = radius or max(1, (int(8 * s + 1 + 0.5) | 1) // 2)
         w = np.exp(-0.5 * (np.arange(-n, n + 1) / max(s, 1e-6)) ** 2)
         w /= w.sum()
-        pad = [(n, n) if i == axis else (0, 0) for i in range(a.ndim)]
-        p = np.pad(a, pad, mode="symmetric")
+        p = _padded(a, n if axis == 0 else 0, n if axis == 1 else 0, border)
         a = sum(w[k] * np.take(p, np.arange(k, k + a.shape[axis]), axis) for k in range(2 * n + 1))
     return a
 
 
+def _padded(a: np.ndarray, ny: int, nx: int, border: str) -> np.ndarray:
+    """a with a mirrored border; an image of one row or column can only repeat it."""
+    for axis, n in ((0, ny), (1, nx)):
+        mode = border if a.shape[axis] > 1 else "edge"
+        a = np.pad(a, [(n, n) if i == axis else (0, 0) for i in range(a.ndim)], mode=mode) if n else a
+    return a
+
+
 def bilateral(a: np.ndarray, size: int, sigma_colour: float, sigma_space: float) -> np.ndarray:
-    """Mean of near pixels of near colours."""
+    """Mean of near pixels of near colours, in bytes: colours differ by the sum over bands, places by a disc."""
     n = size // 2
-    p = np.pad(a, [(n, n), (n, n), (0, 0)], mode="symmetric")
-    total, weight = np.zeros_like(a), np.zeros(a.shape[:2] + (1,))
-    for dy in range(size):
-        for dx in range(size):
-            q = p[dy : dy + a.shape[0], dx : dx + a.shape[1]]
-            w = np.exp(-((q - a) ** 2).sum(2, keepdims=True) / (2 * sigma_colour**2) - ((dy - n) ** 2 + (dx - n) ** 2) / (2 * sigma_space**2))
-            total, weight = total + w * q, weight + w
-    return total / weight
+    u = np.floor(np.clip(a, 0, 1) * 255)
+    p = _padded(u, n, n, "reflect")
+    total, weight = np.zeros_like(u), np.zeros(u.shape[:2] + (1,))
+    for dy in range(-n, n + 1):
+        for dx in range(-n, n + 1):
+            if dy * dy + dx * dx <= n * n:
+                q = p[n + dy : n + dy + u.shape[0], n + dx : n + dx + u.shape[1]]
+                w = np.exp(-(np.abs(q - u).sum(2, keepdims=True) ** 2) / (2 * sigma_colour**2)) * np.exp(-(dy * dy + dx * dx) / (2 * sigma_space**2))
+                total, weight = total + w * q, weight + w
+    return np.rint(total / weight) / 255
+
+
+def textured(a: np.ndarray, at: Frame, s: Sensor, water: np.ndarray | None = None) -> np.ndarray:
+    """Brightness by fine noise, and on land each band by noise of its own scale."""
+    fine = lattice.fbm(at.y, at.x, s.octaves, s.texture_base, s.seed, s.gain, s.lacunarity)
+    medium = lattice.fbm(at.y, at.x, max(1, s.octaves - 2), s.texture_base * 1.5, s.seed + 1, s.gain, s.lacunarity)
+    coarse = lattice.fbm(at.y, at.x, max(1, s.octaves - 4), s.texture_base * 2.5, s.seed + 2, s.gain, s.lacunarity)
+    land = 1.0 - water if water is not None else 1.0
+    hue = [1.0 + (low + (1.0 - low) * n - 1.0) * land for low, n in ((0.90, medium), (0.88, fine), (0.92, coarse))]
+    return np.clip(a * (0.85 + 0.15 * fine)[..., None] * np.stack(hue, 2), 0, 1)
+
+
+def rippled(a: np.ndarray, at: Frame, s: Sensor, water: np.ndarray) -> np.ndarray:
+    """Water with ripples longer one way than the other, and glints toward the sun."""
+    ripples = 0.7 * lattice.fbm(at.y, at.x, 4, 32.0, s.seed + 100, 0.6, 2.5) + 0.3 * lattice.fbm(at.y, at.x, 4, 48.0, s.seed + 101, 0.6, 2.5)
+    az = np.deg2rad(s.sun_azimuth)
+    toward = ((at.x[None, :] * np.cos(az) + at.y[:, None] * np.sin(az)) / np.hypot(at.width, at.height) + 1.0) / 2.0
+    glint = (lattice.fbm(at.y, at.x, 3, 64.0, s.seed + 102, 0.4, 3.0) * toward) ** 4
+    w = water[..., None]
+    a = a * (1 - w) + a * (0.94 + 0.06 * ripples)[..., None] * w
+    return np.clip(a + glint[..., None] * np.array([0.2, 0.3, 0.5]) * w * 0.08, 0, 1)
+
+
+def hillshade(dem: np.ndarray, azimuth: float, altitude: float) -> np.ndarray:
+    """Illumination of a surface by the sun, 0..1."""
+    gy, gx = (np.gradient(dem, axis=i) if dem.shape[i] > 1 else np.zeros_like(dem) for i in (0, 1))
+    az, alt = np.deg2rad(azimuth), np.deg2rad(altitude)
+    slope = np.arctan(np.hypot(gx, gy))
+    return np.clip(np.sin(alt) * np.cos(slope) + np.cos(alt) * np.sin(slope) * np.cos(az - np.arctan2(-gx, gy)), 0, 1)
+
+
+def shaded(a: np.ndarray, dem: np.ndarray, s: Sensor) -> np.ndarray:
+    """Bands lit by the relief."""
+    light = 1.0 - s.relief_strength + s.relief_strength * hillshade(dem, s.sun_azimuth, s.sun_altitude)
+    return np.clip(a * light[..., None], 0, 1)
+
+
+#: Rows of a 5 x 5 ellipse: how far each reaches to either side.
+ELLIPSE = (0, 2, 2, 2, 0)
+
+
+def edges(a: np.ndarray, step: float) -> np.ndarray:
+    """Whether any band's Sobel gradient exceeds step within an ellipse of 5 x 5 around a cell."""
+    p = _padded(a, 1, 1, "reflect")
+    c = lambda dy, dx: p[1 + dy : 1 + dy + a.shape[0], 1 + dx : 1 + dx + a.shape[1]]
+    gx = c(-1, 1) + 2 * c(0, 1) + c(1, 1) - c(-1, -1) - 2 * c(0, -1) - c(1, -1)
+    gy = c(1, -1) + 2 * c(1, 0) + c(1, 1) - c(-1, -1) - 2 * c(-1, 0) - c(-1, 1)
+    hard = np.pad(np.hypot(gx, gy).max(2) > step, 2)
+    out = np.zeros(a.shape[:2], bool)
+    for dy, reach in zip(range(-2, 3), ELLIPSE):
+        for dx in range(-reach, reach + 1):
+            out |= hard[2 + dy : 2 + dy + a.shape[0], 2 + dx : 2 + dx + a.shape[1]]
+    return out
+
+
+def edge_mask(a: np.ndarray, s: Sensor) -> np.ndarray:
+    """Edges with a soft border, 0..1."""
+    return gaussian(edges(a, s.edge_step).astype(float), s.edge_sigma, s.edge_sigma, 3, "reflect")
+
+
+def softened(a: np.ndarray, s: Sensor) -> np.ndarray:
+    """Colours smoothed where the edge mask is."""
+    m = edge_mask(a, s)[..., None]
+    return np.clip(a * (1 - m) + bilateral(a, 7, 30.0, 7.0) * m, 0, 1)
+
+
+def hazed(a: np.ndarray, at: Frame, s: Sensor) -> np.ndarray:
+    """Haze of slowly changing strength toward its colour, then lifted blacks."""
+    much = (0.03 + 0.02 * lattice.fbm(at.y, at.x, 3, 256.0, s.seed + 5000, 0.6, 2.0))[..., None]
+    return np.clip((a * (1 - much) + np.array([0.75, 0.80, 0.85]) * much) * 0.97 + 0.03, 0, 1)
+
+
+def half_shifted(a: np.ndarray) -> np.ndarray:
+    """Means with the cells before, half a pixel on."""
+    p = np.concatenate([a[:1], a])
+    p = np.concatenate([p[:, :1], p], 1)
+    return (p[:-1, :-1] + p[:-1, 1:] + p[1:, :-1] + p[1:, 1:]) / 4
+
+
+def warped(a: np.ndarray, at: Frame, s: Sensor) -> np.ndarray:
+    """Cells gathered from fractional places that noise displaces, by the four around each; mirrored at the world's border."""
+    moves = [(2.0 * lattice.fbm(at.y, at.x, 4, s.warp_base, s.seed + step) - 1.0) * s.warp for step in (222, 111)]
+    py, px = at.y[:, None] + moves[0], at.x[None, :] + moves[1]
+    iy, ix = np.floor(py), np.floor(px)
+    ty, tx = (py - iy)[..., None], (px - ix)[..., None]
+
+    def index(v, first, size, count):
+        v = np.where(v < 0, -v - 1, np.where(v >= size, 2 * size - 1 - v, v)) - first
+        return np.clip(v, 0, count - 1).astype(int)  # only places beyond the halo are held back
+
+    c = lambda dy, dx: a[index(iy + dy, at.y[0], at.height, len(at.y)), index(ix + dx, at.x[0], at.width, len(at.x))]
+    return (c(0, 0) * (1 - tx) + c(0, 1) * tx) * (1 - ty) + (c(1, 0) * (1 - tx) + c(1, 1) * tx) * ty
 
 
 def unsharp(a: np.ndarray, amount: float, sigma: float = 0.8) -> np.ndarray:
@@ -88,40 +222,74 @@ def place_noise(y: np.ndarray, x: np.ndarray, bands: int, seed: int) -> np.ndarr
     return np.stack([np.sqrt(-2 * np.log(unit[2 * i] + 1e-300)) * np.cos(2 * np.pi * unit[2 * i + 1]) for i in range(bands)], 2)
 
 
-def sense(tile: np.ndarray, s: Sensor, y0: int, x0: int) -> np.ndarray:
-    """One tile, whose first cell is (y0, x0), through the chain: enlarge, optics, haze, half-pixel shift, shrink, noise, tone, smoothing, sharpening."""
-    a = enlarge(tile, s.supersample) if s.supersample > 1 else tile
-    a = gaussian(a, s.optics_sigma, 0.7 * s.optics_sigma)
-    a = (a * 0.96 + np.array([0.75, 0.80, 0.85]) * 0.04) * 0.97 + 0.03
-    p = np.pad(a, [(1, 0), (1, 0), (0, 0)], mode="reflect")
-    a = (p[:-1, :-1] + p[:-1, 1:] + p[1:, :-1] + p[1:, 1:]) / 4
-    a = shrink(a, s.supersample) if s.supersample > 1 else a
-    a = a + s.noise_sigma * place_noise(y0 + np.arange(a.shape[0]), x0 + np.arange(a.shape[1]), a.shape[2], s.seed)
+def toned(a: np.ndarray, s: Sensor) -> np.ndarray:
+    """Tone curve, desaturation, bias to green and yellow."""
     a = np.clip(a, 0, 1) ** s.gamma
-    grey = a.mean(2, keepdims=True)
-    a = (a * s.saturation + grey * (1 - s.saturation)) * np.array([s.green_bias - 0.05, s.green_bias, 1.0])
-    a = np.clip(a, 0, 1)
-    a = a * (1 - s.smooth_mix) + bilateral(a, 5, 30 / 255, 7.0) * s.smooth_mix
-    return unsharp(a, s.sharpen)
-
-
-def sense_tiles(cells: DataFrame, sensor: Sensor = Sensor(), size: int = 256, halo: int = 8) -> DataFrame:
-    """(y, x, r, g, b) through the sensor: every tile gets a halo of cells from its neighbours and keeps only its own."""
-    ends = cells.agg(F.floor(F.max("y") / size).alias("_ly"), F.floor(F.max("x") / size).alias("_lx"))
+    a = a * s.saturation + a.mean(2, keepdims=True) * (1 - s.saturation)
+    return np.clip(a * np.array([s.green_bias - 0.05, s.green_bias, 1.0]), 0, 1)
+
+
+def sense(tile: np.ndarray, s: Sensor, at: Frame, dem: np.ndarray | None = None, water: np.ndarray | None = None) -> np.ndarray:
+    """An array of cells through the chain: enlarge, texture, relief, edges, optics, haze, half-pixel shift, warp, shrink,
+    noise, tone, smoothing, sharpening."""
+    k = s.supersample
+    fine = at.enlarged(k)
+    a = enlarge(tile, k) if k > 1 else tile
+    wet = np.repeat(np.repeat(water, k, 0), k, 1) if water is not None else None
+    a = textured(a, fine, s, wet)
+    a = rippled(a, fine, s, wet) if wet is not None else a
+    a = shaded(a, enlarge(dem, k) if k > 1 else dem, s) if dem is not None else a
+    a = softened(a, s)
+    a = gaussian(a, s.optics_sigma, 0.7 * s.optics_sigma)
+    a = hazed(a, fine, s)
+    a = half_shifted(a)
+    a = warped(a, fine, s) if k > 1 and s.warp > 0 else a
+    a = shrink(a, k) if k > 1 else a
+    a = np.clip(a + s.noise_sigma * place_noise(at.y, at.x, a.shape[2], s.seed), 0, 1)
+    a = toned(a, s)
+    a = np.clip(a * (1 - s.smooth_mix) + bilateral(a, s.smooth_size, s.smooth_colour, s.smooth_space) * s.smooth_mix, 0, 1) if s.smooth_mix > 0 else a
+    return unsharp(a, s.sharpen) if s.sharpen > 0 else a
+
+
+def on_tiles(cells: DataFrame, kernel, out: list[str], halo: int, size: int = 256) -> DataFrame:
+    """(y, x, out...): kernel(columns, frame) over square tiles of cells (y, x, doubles...), each with a halo of its
+    neighbours' cells, of which it keeps only its own. columns has an array for each column of cells; cells that are
+    missing are 0. A task holds one tile, and none grows with the grid."""
+    names = [c for c in cells.columns if c not in ("y", "x")]
+    ends = cells.agg(F.max("y").alias("_my"), F.max("x").alias("_mx"))
     at = lambda v: F.floor(v / size).cast("int")
-    spread = lambda c, last: F.explode(F.sequence(F.greatest(at(F.col(c) - halo), F.lit(0)), F.least(at(F.col(c) + halo), F.col(last).cast("int"))))
-    tiled = cells.crossJoin(F.broadcast(ends)).withColumn("ty", spread("y", "_ly")).withColumn("tx", spread("x", "_lx")).drop("_ly", "_lx")
+    spread = lambda c, last: F.explode(F.sequence(F.greatest(at(F.col(c) - halo), F.lit(0)), F.least(at(F.col(c) + halo), at(F.col(last)))))
+    tiled = cells.crossJoin(F.broadcast(ends)).withColumn("_ty", spread("y", "_my")).withColumn("_tx", spread("x", "_mx"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ty, tx = int(pdf.ty.iloc[0]), int(pdf.tx.iloc[0])
-        y0, x0 = int(pdf.y.min()), int(pdf.x.min())
-        img = np.zeros((pdf.y.max() - y0 + 1, pdf.x.max() - x0 + 1, 3))
-        img[pdf.y - y0, pdf.x - x0] = pdf[["r", "g", "b"]].to_numpy()
-        own = pdf[(pdf.y // size == ty) & (pdf.x // size == tx)]
-        out = sense(img, sensor, y0, x0)[own.y - y0, own.x - x0]
-        return pd.DataFrame({"y": own.y, "x": own.x, "r": out[:, 0], "g": out[:, 1], "b": out[:, 2]})
-
-    return tiled.groupBy("ty", "tx").applyInPandas(run, "y int, x int, r double, g double, b double")
+        own = pdf[(pdf.y // size == pdf._ty) & (pdf.x // size == pdf._tx)]
+        if not len(own):
+            return pd.DataFrame({c: [] for c in ("y", "x", *out)})
+        y, x = np.arange(pdf.y.min(), pdf.y.max() + 1), np.arange(pdf.x.min(), pdf.x.max() + 1)
+        arrays = {}
+        for c in names:
+            arrays[c] = np.zeros((len(y), len(x)))
+            arrays[c][pdf.y - y[0], pdf.x - x[0]] = pdf[c]
+        got = kernel(arrays, Frame(y, x, int(pdf._my.iloc[0]) + 1, int(pdf._mx.iloc[0]) + 1))
+        return pd.DataFrame({"y": own.y, "x": own.x} | {c: g[own.y - y[0], own.x - x[0]] for c, g in zip(out, got)})
+
+    return tiled.groupBy("_ty", "_tx").applyInPandas(run, "y int, x int, " + ", ".join(f"{c} double" for c in out))
+
+
+def bands(kernel):
+    """A kernel for on_tiles from one that takes the bands as one array, and the other columns by name."""
+
+    def run(arrays, frame):
+        a = kernel(np.stack([arrays[c] for c in "rgb"], 2), frame, {c: v for c, v in arrays.items() if c not in "rgb"})
+        return [a[..., i] for i in range(3)]
+
+    return run
+
+
+def sense_tiles(cells: DataFrame, sensor: Sensor = Sensor()) -> DataFrame:
+    """(y, x, r, g, b) through the sensor; cells may have z (elevation) and water (0..1) beside the bands."""
+    kernel = bands(lambda a, at, more: sense(a, sensor, at, more.get("z"), more.get("water")))
+    return on_tiles(cells, kernel, list("rgb"), sensor.halo, sensor.tile)
 
 
 def thermal_frame(mask: np.ndarray, seed: int, hot: float = 0.9, cool: float = 0.2) -> np.ndarray:

@@ -154,8 +154,8 @@ def sobel(cells: DataFrame, value: str) -> DataFrame:
 
 
 def half_shift(cells: DataFrame, value: str) -> DataFrame:
-    """(y, x, v): mean of a cell and those before it in both directions, reflected at the border."""
-    before = lambda c, w: F.coalesce(F.lag(c).over(w), F.lead(c).over(w), F.col(c))
+    """(y, x, v): mean of a cell and those before it in both directions, mirrored at the border."""
+    before = lambda c, w: F.coalesce(F.lag(c).over(w), F.col(c))
     pairs = tiles(cells.select("y", "x", F.col(value).alias("_v")), 1).withColumn("_s", F.col("_v") + before("_v", _row()))
     return own(pairs.withColumn("v", (F.col("_s") + before("_s", _column())) / 4.0), "_v", "_s")
 

@@ -22,6 +22,11 @@ def _norm(spark, sf):
     return st.stretch(_grid(spark, sf), F.col("z"), "n")
 
 
+def relief(spark, sf):
+    """(y, x, z): hills of four octaves over the grid's cells, roughened by their prices, so that water gathers."""
+    return _grid(spark, sf).select("y", "x", (600.0 * noise.fbm(F.col("x"), F.col("y"), 4, 48, seed=5) + F.col("z") / 1000000.0).alias("z"))
+
+
 def minmax_norm(spark, sf):
     """Range of z stretched to 0..1, with and without the small divisor guard."""
     g = st.stretch(st.stretch(_grid(spark, sf), F.col("z"), "a"), F.col("z"), "b", eps=1e-6)
@@ -42,7 +47,7 @@ def block_mean(spark, sf):
 
 def block_any(spark, sf):
     """Whether a 5 x 5 block has a cell of a high price; the pyramid's rule for masks."""
-    return st.block(_grid(spark, sf), 5, hit=F.bool_or(F.col("z") > 400000), share=r6(F.avg((F.col("z") > 400000).cast("double"))))
+    return st.block(_grid(spark, sf), 5, hit=F.bool_or(F.col("z") > 490000), share=r6(F.avg((F.col("z") > 400000).cast("double"))))
 
 
 def area_resize(spark, sf):
@@ -166,14 +171,14 @@ def field_attributes(spark, sf):
 
 
 def rivers_fast(spark, sf):
-    """River and flood cells by a curvature score, smoothed."""
-    g = st.gradient(_norm(spark, sf).select("y", "x", "n"), "n")
+    """River and flood cells of a relief by a curvature score, smoothed."""
+    g = st.gradient(st.stretch(relief(spark, sf), F.col("z"), "n").select("y", "x", "n"), "n")
     lap = st.laplacian(g.select("y", "x", F.col("n").alias("z")))
     score = (1.0 - F.col("n")) * 0.7 + F.col("lap") * 0.6 - F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) * 0.4
     s = staged(st.stretch(g.join(lap, ["y", "x"]), score, "s", eps=1e-6).select("y", "x", "n", F.round("s", 9).alias("s")))
     high, low = quantiles(s, "s", [0.995, 0.985])
     masks = s.select("y", "x", (F.col("s") >= high).cast("double").alias("a"), ((F.col("s") > low) & (F.col("n") < 0.55)).cast("double").alias("b"))
-    river, flood = st.blur(masks, "a", 2).select("y", "x", (F.col("v") > 0.30).alias("river")), st.blur(masks, "b", 3).select("y", "x", (F.col("v") > 0.25).alias("flood"))
+    river, flood = (st.blur(masks, c, k).select("y", "x", (F.col("v") > least).alias(n), r6("v").alias(f"{n}_level")) for c, k, least, n in (("a", 2, 0.30, "river"), ("b", 3, 0.25, "flood")))
     return river.join(flood, ["y", "x"])
 
 
@@ -231,6 +236,7 @@ def _fbm_sql(octaves, base, seed, gain=0.5, lacunarity=2.0):
     return f"(({'+'.join(parts)})/{tot!r}e0)"
 
 
+_RELIEF = f"rl AS (SELECT y, x, 6e2*{_fbm_sql(4, 48, 5)}+z/1e6 AS z FROM grid), nn AS (SELECT y, x, (z-min(z) OVER ())/(max(z) OVER ()-min(z) OVER ()) AS n FROM rl)"
 _STR = "SELECT y, x, (round(CASE WHEN max(v) OVER ()-min(v) OVER ()<1e-9 THEN 0e0 ELSE (v-min(v) OVER ())/(max(v) OVER ()-min(v) OVER ()) END, 5)+0e0) AS n FROM q"
 _cross = "SELECT g.y, g.x, {agg}(n.m) AS m FROM {src} g JOIN (SELECT CAST(y+da AS INT) AS y, CAST(x+db AS INT) AS x, m FROM {src}, c5) n ON n.y=g.y AND n.x=g.x GROUP BY 1,2"
 _refl = lambda v, n: f"(CASE WHEN {v}<0 THEN -({v}) WHEN {v}>={n} THEN 2*{n}-2-({v}) ELSE {v} END)"
@@ -238,7 +244,7 @@ SQL = {
     "minmax_norm": f"{_G}, m AS (SELECT min(z) AS lo, max(z) AS hi FROM grid) SELECT y, x, {_r('(z-lo)/(hi-lo)')} AS a, {_r('(z-lo)/(hi-lo+1e-6)')} AS b, CAST(trunc((z-lo)/(hi-lo)*65535) AS INT) AS visual FROM grid, m",
     "quantile_mask": f"{_G}, m AS (SELECT quantile_cont(z, 0.985) AS thr FROM grid) SELECT y, x, z>=thr AS top, {_r('thr')} AS thr FROM grid, m",
     "block_mean": f"{_G}, {_HW} SELECT CAST(y//5 AS INT) AS by, CAST(x//5 AS INT) AS bx, {_r('avg(z)')} AS mean FROM grid, s WHERE y<h//5*5 AND x<w//5*5 GROUP BY 1,2",
-    "block_any": f"{_G}, {_HW} SELECT CAST(y//5 AS INT) AS by, CAST(x//5 AS INT) AS bx, bool_or(z>400000) AS hit, {_r('avg(CAST(z>400000 AS DOUBLE))')} AS share FROM grid, s WHERE y<h//5*5 AND x<w//5*5 GROUP BY 1,2",
+    "block_any": f"{_G}, {_HW} SELECT CAST(y//5 AS INT) AS by, CAST(x//5 AS INT) AS bx, bool_or(z>490000) AS hit, {_r('avg(CAST(z>400000 AS DOUBLE))')} AS share FROM grid, s WHERE y<h//5*5 AND x<w//5*5 GROUP BY 1,2",
     "area_resize": f"{_G}, {_HW}, ty AS (SELECT CAST(range AS INT) AS ty FROM range(7)), tx AS (SELECT CAST(range AS INT) AS tx FROM range(30)), o AS (SELECT ty, tx, z, (least((y+1)*7e0/h, ty+1)-greatest(y*7e0/h, ty))*(least((x+1)*30e0/w, tx+1)-greatest(x*30e0/w, tx)) AS a FROM grid, s, ty, tx WHERE least((y+1)*7e0/h, ty+1)-greatest(y*7e0/h, ty)>1e-12 AND least((x+1)*30e0/w, tx+1)-greatest(x*30e0/w, tx)>1e-12) SELECT ty, tx, {_r('sum(a*z)/sum(a)', 4)} AS v FROM o GROUP BY 1,2",
     "nearest_resize": f"{_G}, {_HW}, q AS (SELECT CAST(a.range AS INT) AS ty, CAST(b.range AS INT) AS tx FROM range(40) a, range(37) b) SELECT ty, tx, z>200000 AS m FROM q, s, grid WHERE y=CAST(floor(ty*h/40e0) AS INT) AND x=CAST(floor(tx*w/37e0) AS INT)",
     "water_share": f"{_G} SELECT CAST(count(*) FILTER (WHERE z<100000) AS BIGINT) AS cells, {_r('avg(CAST(z<100000 AS DOUBLE))')} AS share FROM grid",
@@ -251,7 +257,7 @@ SQL = {
     "field_edges": f"{_G}, f AS (SELECT y, x, CAST(floor((y+x/3e0)/7)*10000+floor(x/7e0) AS INT) AS f FROM grid) SELECT a.y, a.x, coalesce(a.f<>s.f,FALSE) OR coalesce(a.f<>e.f,FALSE) OR coalesce(a.f<>se.f,FALSE) OR coalesce(a.f<>sw.f,FALSE) AS edge FROM f a LEFT JOIN f s ON s.y=a.y+1 AND s.x=a.x LEFT JOIN f e ON e.y=a.y AND e.x=a.x+1 LEFT JOIN f se ON se.y=a.y+1 AND se.x=a.x+1 LEFT JOIN f sw ON sw.y=a.y+1 AND sw.x=a.x-1",
     "sobel_edges": f"{_G}, {_HW}, o(a,b,u,v) AS (VALUES (-1,-1,-1e0,-1e0),(-1,0,0e0,-2e0),(-1,1,1e0,-1e0),(0,-1,-2e0,0e0),(0,0,0e0,0e0),(0,1,2e0,0e0),(1,-1,-1e0,1e0),(1,0,0e0,2e0),(1,1,1e0,1e0)), q AS (SELECT y, x, {_refl('(y+a)', 'h')} AS ny, {_refl('(x+b)', 'w')} AS nx, u, v FROM grid, s, o), z2 AS (SELECT q.y, q.x, sum(g.z*u) AS gx, sum(g.z*v) AS gy FROM q JOIN grid g ON g.y=q.ny AND g.x=q.nx GROUP BY 1,2) SELECT y, x, {_r('sqrt(gx*gx+gy*gy)', 3)} AS mag FROM z2",
     "open_close": f"{_G}, c5(da,db) AS (VALUES (1,0),(-1,0),(0,1),(0,-1),(0,0)), m0 AS (SELECT y, x, z>150000 AS m FROM grid), " + ", ".join(f"m{i + 1} AS ({_cross.format(agg=a, src=f'm{i}')})" for i, a in enumerate(("bool_and", "bool_or", "bool_or", "bool_and"))) + " SELECT y, x, m FROM m4",
-    "half_pixel": f"{_G}, {_HW}, q AS (SELECT g.y, g.x, g.z, CASE WHEN g.x=0 THEN 1 ELSE g.x-1 END AS px, CASE WHEN g.y=0 THEN 1 ELSE g.y-1 END AS py FROM grid g) SELECT q.y, q.x, {_r('(q.z+a.z+b.z+c.z)/4e0', 4)} AS v FROM q JOIN grid a ON a.y=q.y AND a.x=q.px JOIN grid b ON b.y=q.py AND b.x=q.x JOIN grid c ON c.y=q.py AND c.x=q.px",
+    "half_pixel": f"{_G}, {_HW}, q AS (SELECT g.y, g.x, g.z, greatest(g.x-1,0) AS px, greatest(g.y-1,0) AS py FROM grid g) SELECT q.y, q.x, {_r('(q.z+a.z+b.z+c.z)/4e0', 4)} AS v FROM q JOIN grid a ON a.y=q.y AND a.x=q.px JOIN grid b ON b.y=q.py AND b.x=q.x JOIN grid c ON c.y=q.py AND c.x=q.px",
     "domain_warp": f"{_G}, {_HW}, q AS (SELECT y, x, {_vn_sql('x', 'y', 16, 42)} AS n FROM grid), p AS (SELECT y, x, CAST(least(greatest(round_even(y+(n-5e-1)*8e0,0),0),h-1) AS INT) AS sy, CAST(least(greatest(round_even(x+(n-5e-1)*8e0,0),0),w-1) AS INT) AS sx FROM q, s) SELECT p.y, p.x, g.z FROM p JOIN grid g ON g.y=p.sy AND g.x=p.sx",
     "noise_hash": f"{_G} SELECT y, x, {_r(noise.hash_sql('x-50', 'y-50', 42))} AS h FROM grid",
     "value_noise": f"{_G} SELECT y, x, {_r(_vn_sql('x', 'y', 12, 7))} AS n FROM grid",
@@ -261,6 +267,6 @@ SQL = {
     "ridged": f"{_G}, q AS (SELECT y, x, 6e-1*(1e0-abs(2e0*{_fbm_sql(2, 24, 3)}-1e0))+4e-1*(1e0-abs(2e0*{_fbm_sql(4, 12, 102)}-1e0)) AS v FROM grid) {_STR}",
     "dunes": f"{_G}, q AS (SELECT y, x, (cos((x*cos(radians(25e0))+y*sin(radians(25e0)))/(24*6e-1)+{_vn_sql('x', 'y', 24, 5)}*3.14159e0)+1e0)*5e-1 AS v FROM grid) {_STR}",
     "field_attributes": f"WITH h AS (SELECT p_partkey, (p_partkey*2654435761)%2147483648 AS h FROM part) SELECT p_partkey, {_r('(h%1000)/1000e0')} AS greenness, {_r('((h//1000)%1000)/1000e0')} AS variation FROM h",
-    "rivers_fast": f"{_G}, {_HW}, {_NORM}, {_grad_sql('nn', 'n')}, {_lap_sql('nn', 'n')}, q AS (SELECT g.y, g.x, n, (1e0-n)*7e-1+lap*6e-1-sqrt(gx*gx+gy*gy)*4e-1 AS v FROM gr g JOIN lp ON lp.y=g.y AND lp.x=g.x), p AS (SELECT y, x, n, round((v-min(v) OVER ())/(max(v) OVER ()-min(v) OVER ()+1e-6),9) AS sc FROM q), th AS (SELECT quantile_cont(sc,0.995) AS hi, quantile_cont(sc,0.985) AS lo FROM p), mk AS (SELECT y, x, CAST(sc>=hi AS DOUBLE) AS a, CAST(sc>lo AND n<55e-2 AS DOUBLE) AS b FROM p, th), {_blur_sql('mk', 'a', 2, 'ba')}, {_blur_sql('mk', 'b', 3, 'bb')} SELECT ba.y, ba.x, ba.v>3e-1 AS river, bb.v>25e-2 AS flood FROM ba JOIN bb ON ba.y=bb.y AND ba.x=bb.x",
+    "rivers_fast": f"{_G}, {_HW}, {_RELIEF}, {_grad_sql('nn', 'n')}, {_lap_sql('nn', 'n')}, q AS (SELECT g.y, g.x, n, (1e0-n)*7e-1+lap*6e-1-sqrt(gx*gx+gy*gy)*4e-1 AS v FROM gr g JOIN lp ON lp.y=g.y AND lp.x=g.x), p AS (SELECT y, x, n, round((v-min(v) OVER ())/(max(v) OVER ()-min(v) OVER ()+1e-6),9) AS sc FROM q), th AS (SELECT quantile_cont(sc,0.995) AS hi, quantile_cont(sc,0.985) AS lo FROM p), mk AS (SELECT y, x, CAST(sc>=hi AS DOUBLE) AS a, CAST(sc>lo AND n<55e-2 AS DOUBLE) AS b FROM p, th), {_blur_sql('mk', 'a', 2, 'ba')}, {_blur_sql('mk', 'b', 3, 'bb')} SELECT ba.y, ba.x, ba.v>3e-1 AS river, {_r('ba.v')} AS river_level, bb.v>25e-2 AS flood, {_r('bb.v')} AS flood_level FROM ba JOIN bb ON ba.y=bb.y AND ba.x=bb.x",
     "moisture": f"{_G}, {_HW}, {_NORM}, {_grad_sql('nn', 'n')}, mm AS (SELECT y, x, CAST(n<2e-1 AS DOUBLE) AS m FROM nn), {_blur_sql('mm', 'm', 3)}, u AS (SELECT y, x, n, greatest(-gx,0e0) AS up FROM gr), q AS (SELECT y, x, n, (up-min(up) OVER ())/(max(up) OVER ()-min(up) OVER ()) AS u FROM u) SELECT q.y, q.x, {_r('6e-1*v+4e-1*u')} AS moisture, n<15e-2 OR v>5e-1 AS water FROM q JOIN bl ON bl.y=q.y AND bl.x=q.x",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Family modules in this package; each has QUERIES and SQL.
-FAMILIES: tuple[str, ...] = ("scalar", "raster", "vector", "maritime", "scenes", "lifecycle")
+FAMILIES: tuple[str, ...] = ("scalar", "raster", "vector", "maritime", "scenes", "sensor", "lifecycle")
 
 
 def _families():

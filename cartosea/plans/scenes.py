@@ -50,17 +50,12 @@ def city_grid(spark, sf):
     return t.grid(spark, sf).select("y", "x", road.alias("road"), height.alias("height"))
 
 
-def eo_tiles(spark, sf):
-    """Colours through the sensor, tile by tile."""
-    return imaging.sense_tiles(t.colours(spark, sf)).select("y", "x", *[r6(c).alias(c) for c in "rgb"])
-
-
 def flir_frames(spark, sf):
     """A thermal frame for each nation."""
     return imaging.flir_frames(spark, t.read(spark, sf, "nation").count())
 
 
-QUERIES = {f.__name__: f for f in (*map(_dem, terrain.reliefs()), *map(_rgb, palettes.PALETTES), parcel_rgb, shaded_rgb, city_grid, eo_tiles, flir_frames)}
+QUERIES = {f.__name__: f for f in (*map(_dem, terrain.reliefs()), *map(_rgb, palettes.PALETTES), parcel_rgb, shaded_rgb, city_grid, flir_frames)}
 
 
 def _parcels_sql():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cartosea.operators import geometry as g
 from cartosea.operators import graph
 from cartosea.operators.stencil import stretch
+from cartosea.plans import raster
 from cartosea.sources import tables as t
 
 r6 = lambda c: F.round(c, 6)
@@ -188,8 +189,9 @@ def clean_water(spark, sf):
 
 
 def rivers_d8(spark, sf):
-    """Rivers and floodplain by flow accumulation."""
-    return graph.rivers_and_flood(stretch(t.grid(spark, sf), F.col("z"), "n").select("y", "x", "n"))
+    """Rivers and floodplain of a relief by flow accumulation."""
+    found = graph.rivers_and_flood(stretch(raster.relief(spark, sf), F.col("z"), "n").select("y", "x", "n"))
+    return found.withColumns({c: r6(c) for c in ("river_level", "flood_level")})
 
 
 def mask_sets(spark, sf):
@@ -234,19 +236,15 @@ _MOVES = "mv AS (SELECT CAST(8*(m.range-1)+d.i AS INT) AS p, 5e-3*m.range*dx AS
 _D8 = "o8(k,dy,dx) AS (VALUES (0,0,1),(1,-1,1),(2,-1,0),(3,-1,-1),(4,0,-1),(5,1,-1),(6,1,0),(7,1,1)), nb AS (SELECT g.y, g.x, o.k, g.z-m.z AS drop_ FROM grid g, o8 o, grid m WHERE m.y=g.y+o.dy AND m.x=g.x+o.dx), rk AS (SELECT *, row_number() OVER (PARTITION BY y,x ORDER BY drop_ DESC, k) AS r, count(*) OVER (PARTITION BY y,x) AS n FROM nb), dd AS (SELECT y, x, CASE WHEN n=8 AND drop_>0 THEN k ELSE -1 END AS dir FROM rk WHERE r=1)"
 _GR = t.ctes("grid")
 def _rivers_sql():
-    from cartosea.plans import raster
-
-    norm = raster._NORM.replace("FROM grid", "FROM g0")
+    norm = raster._RELIEF.replace("FROM grid", "FROM g0")
     head = f"WITH RECURSIVE {_GR.removeprefix('WITH grid AS').join(['g0 AS', ''])}, {norm}, grid AS (SELECT y, x, n AS z FROM nn), s AS (SELECT max(y)+1 AS h, max(x)+1 AS w FROM grid), {_D8}"
     walk = "dn AS (SELECT y, x, y+dy AS ty, x+dx AS tx FROM dd JOIN o8 ON k=dir), wk AS (SELECT y AS oy, x AS ox, y, x FROM grid UNION ALL SELECT oy, ox, ty, tx FROM wk JOIN dn ON dn.y=wk.y AND dn.x=wk.x), ac AS (SELECT y, x, CAST(count(*) AS DOUBLE) AS c FROM wk GROUP BY 1,2)"
     unit = "ar AS (SELECT y, x, (c-min(c) OVER ())/(max(c) OVER ()-min(c) OVER ()) AS acc FROM ac), th AS (SELECT quantile_cont(acc, 1e0-4e-3) AS thr FROM ar)"
     wet = "wet AS (SELECT g.y, g.x, z AS n, CAST(acc>=thr AND z<92e-2 AS DOUBLE) AS a, least(greatest((acc-thr)/(1e0-thr+1e-6),0e0),1e0) AS b FROM ar JOIN grid g ON g.y=ar.y AND g.x=ar.x, th)"
-    return f"{head}, {walk}, {unit}, {wet}, {raster._blur_sql('wet', 'a', 2, 'ba')}, {raster._blur_sql('wet', 'b', 2, 'bb')} SELECT wet.y, wet.x, ba.v>3e-1 AS river, bb.v*(1e0-least(greatest(n*13e-1-5e-1,0e0),1e0))>35e-2 AS flood FROM wet JOIN ba ON ba.y=wet.y AND ba.x=wet.x JOIN bb ON bb.y=wet.y AND bb.x=wet.x"
+    return f"{head}, {walk}, {unit}, {wet}, {raster._blur_sql('wet', 'a', 2, 'ba')}, {raster._blur_sql('wet', 'b', 2, 'bb')} SELECT wet.y, wet.x, ba.v>3e-1 AS river, bb.v*(1e0-least(greatest(n*13e-1-5e-1,0e0),1e0))>35e-2 AS flood, {_r('ba.v')} AS river_level, {_r('bb.v*(1e0-least(greatest(n*13e-1-5e-1,0e0),1e0))')} AS flood_level FROM wet JOIN ba ON ba.y=wet.y AND ba.x=wet.x JOIN bb ON bb.y=wet.y AND bb.x=wet.x"
 
 
 def _clean_sql():
-    from cartosea.plans import raster
-
     opened = raster.SQL["open_close"].replace("150000", "250000").removesuffix(" SELECT y, x, m FROM m4").replace("WITH ", "WITH RECURSIVE ", 1)
     regions = "c AS (SELECT y, x, CAST(y AS BIGINT)*4294967296+x AS id FROM m4 WHERE m), ad AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON (b.y=a.y AND b.x=a.x+1) UNION ALL SELECT a.id, b.id FROM c a JOIN c b ON (b.y=a.y+1 AND b.x=a.x)), e AS (SELECT a, b FROM ad UNION ALL SELECT b, a FROM ad), r AS (SELECT id AS a, id AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON e.a=r.b), k AS (SELECT a FROM r GROUP BY 1 HAVING count(*)>=5)"
     return f"{opened}, {regions} SELECT y, x, m AND EXISTS (SELECT 1 FROM k WHERE k.a=CAST(y AS BIGINT)*4294967296+x) AS m FROM m4"

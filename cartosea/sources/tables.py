@@ -50,6 +50,15 @@ def colours(spark, sf_dir) -> DataFrame:
     )
 
 
+def patches(spark, sf_dir) -> DataFrame:
+    """(y, x, r, g, b): patches of 9 x 7 cells of one hashed colour each."""
+    k = F.floor(F.col("o_orderkey") / (9 * WIDTH)) * 31 + F.floor((F.col("o_orderkey") % WIDTH) / 7)
+    band = lambda m, n: (((k * m) % n) / float(n))
+    return read(spark, sf_dir, "orders").select(
+        F.floor(F.col("o_orderkey") / WIDTH).cast("int").alias("y"), (F.col("o_orderkey") % WIDTH).cast("int").alias("x"), band(7919, 1009).alias("r"), band(104729, 1013).alias("g"), band(1299709, 1019).alias("b")
+    )
+
+
 def zones(spark, sf_dir) -> DataFrame:
     """(zone_id, zone_type, ring): a closed hexagon for each nation."""
     k = F.col("n_nationkey").cast("bigint")
@@ -78,6 +87,7 @@ SQL = {
     "tracks": "SELECT user_id, ts, event_id, -122.5e0 + 2e-1*((event_id*7919)%10007)/10007e0 AS lon, 37.5e0 + 2e-1*((event_id*104729)%10009)/10009e0 AS lat FROM events",
     "grid": "SELECT CAST(o_orderkey//100 AS INT) AS y, CAST(o_orderkey%100 AS INT) AS x, o_totalprice AS z FROM orders",
     "colours": "SELECT CAST(o_orderkey//100 AS INT) AS y, CAST(o_orderkey%100 AS INT) AS x, ((o_orderkey*7919)%1009)/1009e0 AS r, ((o_orderkey*104729)%1013)/1013e0 AS g, ((o_orderkey*1299709)%1019)/1019e0 AS b FROM orders",
+    "patches": "SELECT y, x, ((k*7919)%1009)/1009e0 AS r, ((k*104729)%1013)/1013e0 AS g, ((k*1299709)%1019)/1019e0 AS b FROM (SELECT CAST(o_orderkey//100 AS INT) AS y, CAST(o_orderkey%100 AS INT) AS x, o_orderkey//900*31+(o_orderkey%100)//7 AS k FROM orders)",
     "zone0": "SELECT n_nationkey AS zone_id, CASE WHEN n_nationkey%3=0 THEN 'mpa' WHEN n_nationkey%3=1 THEN 'military' ELSE 'windfarm' END AS zone_type, -122.5e0+2e-1*((n_nationkey*37)%101)/101e0 AS clon, 37.5e0+2e-1*((n_nationkey*59)%103)/103e0 AS clat, 4e-3+5e-4*(n_nationkey%5) AS rad FROM nation",
     "off": "SELECT * FROM (VALUES (0,1e0,0e0),(1,5e-1,9e-1),(2,-5e-1,9e-1),(3,-1e0,0e0),(4,-5e-1,-9e-1),(5,5e-1,-9e-1),(6,1e0,0e0)) t(i,ox,oy)",
     "verts": "SELECT zone_id, zone_type, i, clon+rad*ox AS lon, clat+rad*oy AS lat FROM zone0, off",

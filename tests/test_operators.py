@@ -137,15 +137,35 @@ def test_user_files(spark, tmp_path):
 
 def test_sensor_tiles_have_no_seams(spark):
     rng = np.random.default_rng(1)
-    img = rng.random((40, 40, 3))
+    n = 70
+    img, dem, water = rng.random((n, n, 3)), 20 * rng.random((n, n)), (rng.random((n, n)) < 0.4).astype(float)
     s = imaging.Sensor(noise_sigma=0.02)
-    whole = imaging.sense(img, s, 0, 0)
-    rows = [(y, x, *map(float, img[y, x])) for y in range(40) for x in range(40)]
-    df = spark.createDataFrame(rows, "y int, x int, r double, g double, b double")
-    got = np.zeros_like(img)
-    for r in imaging.sense_tiles(df, s, 16, 12).collect():
-        got[r["y"], r["x"]] = r["r"], r["g"], r["b"]
-    assert np.abs(got - whole).max() < 1e-9
+    whole = imaging.sense(img, s, imaging.Frame(np.arange(n), np.arange(n), n, n), dem, water)
+    rows = [(y, x, *map(float, img[y, x]), float(dem[y, x]), float(water[y, x])) for y in range(n) for x in range(n)]
+    df = spark.createDataFrame(rows, "y int, x int, r double, g double, b double, z double, water double")
+    for tile in (24, 50):
+        got = np.zeros_like(img)
+        for r in imaging.sense_tiles(df, imaging.Sensor(noise_sigma=0.02, tile=tile, halo=24)).collect():
+            got[r["y"], r["x"]] = r["r"], r["g"], r["b"]
+        assert np.abs(got - whole).max() < 1e-9
+    assert imaging.sense(img[:1, :1], s, imaging.Frame(np.arange(1), np.arange(1), 1, 1)).shape == (1, 1, 3)
+
+
+def test_nearest_zones_reach_any_distance(spark):
+    rng = np.random.default_rng(3)
+    rings = {}
+    for i in range(60):
+        x, y, r = (*rng.uniform(0, 0.4, 2), 0.003) if i < 54 else (*rng.uniform(-40, 40, 2), rng.uniform(0.001, 0.2))
+        rings[i] = [(x + r * dx, y + r * dy) for dx, dy in ((1, 0), (0, 1), (-1, 0), (0, -1), (1, 0))]
+    zones = spark.createDataFrame([(i, [{"lon": float(a), "lat": float(b)} for a, b in r]) for i, r in rings.items()], "zone_id long, ring array<struct<lon: double, lat: double>>")
+    every = {(r["a"], r["b"]): r["dist"] for r in geometry.zone_distances(zones, 3).collect()}
+    assert len(every) == 60 * 59 // 2
+    best = {i: min((d, a + b - i) for (a, b), d in every.items() if i in (a, b)) for i in rings}
+    got = {r["zone_id"]: (r["dist"], r["nearest"]) for r in geometry.nearest_zones(zones, 0.004).collect()}
+    assert got == best
+    assert {(r["a"], r["b"]): r["dist"] for r in geometry.zones_within(zones, 0.06).collect()} == {k: d for k, d in every.items() if d <= 0.06}
+    (alone,) = geometry.nearest_zones(zones.where("zone_id = 1")).collect()
+    assert alone["nearest"] is None and geometry.nearest_zones(zones.limit(0)).count() == 0
 
 
 def test_entry_points_import():
