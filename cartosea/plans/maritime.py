@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cartosea.operators import routing
+from cartosea.operators import wayfinding
 from cartosea.sources import generators as gen
 from cartosea.sources import geojson
 from cartosea.sources import tables as t
@@ -51,7 +51,7 @@ def _routes(spark, sf):
 def planned_routes(spark, sf):
     """Routes of all suppliers around all zones."""
     zones = t.zones(spark, sf)
-    out = routing.route_properties(routing.plan_routes(_routes(spark, sf), zones, routing.buffer_of(zones)))
+    out = wayfinding.route_properties(wayfinding.plan(_routes(spark, sf), zones, wayfinding.buffer_of(zones), 0.4))
     return out.select("route_id", "type", "vessel_type", "suspicious", "waypoints", "route_valid", "warning", r6("length").alias("length"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartosea.operators import geometry as g
-from cartosea.operators import graph
+from cartosea.operators import graph, wayfinding
 from cartosea.operators.stencil import stretch
 from cartosea.plans import raster
 from cartosea.sources import tables as t
@@ -155,6 +155,30 @@ def visibility_edges(spark, sf):
     return pairs.join(hits, ["a", "b"], "left_anti").select("a", "b", r6(F.sqrt(F.pow(F.col("elon") - F.col("slon"), 2) + F.pow(F.col("elat") - F.col("slat"), 2))).alias("w"))
 
 
+#: Buffer and longest leg, in degrees, of the graph that the next queries look at.
+BUFFER, REACH = 0.005, 0.06
+
+
+def _graph(spark, sf):
+    zones = t.zones(spark, sf)
+    nodes = graph.staged(wayfinding.corners(zones, BUFFER))
+    return zones, nodes, wayfinding.visibility(nodes, zones, BUFFER, REACH)
+
+
+def visibility_graph(spark, sf):
+    """Pushed-out corners of the zones that see each other past all buffered zones."""
+    return _graph(spark, sf)[2].where("a < b").select("a", "b", r6("far").alias("far"))
+
+
+def shortest_routes(spark, sf):
+    """Shortest ways over that graph, for the legs that aren't clear themselves and whose ends see it."""
+    zones, nodes, edges = _graph(spark, sf)
+    legs = t.legs(spark, sf)
+    hit = wayfinding.blocked(legs, zones, ["route_id"], BUFFER).select("route_id").distinct()
+    best = wayfinding.shortest(legs.join(hit, "route_id", "left_semi"), nodes, graph.staged(edges), zones, BUFFER, REACH)
+    return best.select("route_id", r6("length").alias("length"))
+
+
 def snap_outside(spark, sf):
     """Points inside zones, moved to the first of 19 rings of 8 places that is outside all zones."""
     zones = t.zones(spark, sf)
@@ -204,7 +228,7 @@ def mask_sets(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (traj_length_km, track_bounds, zone_area, zone_vertices, offset_vertices, point_in_zone, route_zone_hits, first_blocking, invalid_routes, zone_min_distance, zone_nearest, zones_within, adaptive_buffer, clipped_zones, straight_waypoints, resample_rings, detour_side, best_detour, bbox_detour, visibility_edges, snap_outside, d8_direction, flow_accumulation, mask_regions, clean_water, rivers_d8, mask_sets)
+    for f in (traj_length_km, track_bounds, zone_area, zone_vertices, offset_vertices, point_in_zone, route_zone_hits, first_blocking, invalid_routes, zone_min_distance, zone_nearest, zones_within, adaptive_buffer, clipped_zones, straight_waypoints, resample_rings, detour_side, best_detour, bbox_detour, visibility_edges, visibility_graph, shortest_routes, snap_outside, d8_direction, flow_accumulation, mask_regions, clean_water, rivers_d8, mask_sets)
 }
 
 _r = lambda v, n=6: f"(round({v}, {n}) + 0e0)"
@@ -259,6 +283,32 @@ def _clip_sql():
     return out + f", f AS (SELECT *, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS nx, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS ny FROM c4 WINDOW w AS (PARTITION BY zone_id ORDER BY s)) SELECT zone_id, {_r('abs(sum(lon*ny-nx*lat))/2e0', 8)} AS area, {_r('min(lon)')} AS min_lon, {_r('max(lon)')} AS max_lon, {_r('min(lat)')} AS min_lat, {_r('max(lat)')} AS max_lat FROM f GROUP BY 1"
 
 
+def _blocked_sql(name, source, keys, b):
+    """Keys of the legs (ax, ay, bx, by_) of source that a buffered zone keeps from passing."""
+    gap = f"CASE WHEN {_hit('l.ax', 'l.ay', 'l.bx', 'l.by_')} THEN 0e0 ELSE least({_ps('l.ax', 'l.ay', 'e')},{_ps('l.bx', 'l.by_', 'e')},{_ps('e.ax', 'e.ay', 'l')},{_ps('e.bx', 'e.by_', 'l')}) END"
+    return f"{name} AS (SELECT DISTINCT {keys} FROM (SELECT {keys} FROM {source} l, edges e GROUP BY {keys}, l.ax, l.ay, l.bx, l.by_, e.zone_id HAVING min({gap})<{b!r}e0-1e-12 OR {_in('l.ax', 'l.ay')}))"
+
+
+def _graph_sql():
+    push = f"{1.5 * BUFFER / 2!r}e0"
+    tries = f"md AS (SELECT zone_id, avg(ax) AS cx, avg(ay) AS cy FROM edges GROUP BY 1), v0 AS (SELECT zone_id, 2*i AS slot, ax AS x, ay AS y FROM edges UNION ALL SELECT zone_id, 2*i+1, (ax+bx)/2, (ay+by_)/2 FROM edges), tr AS (SELECT v0.zone_id, slot, p.range AS p, x+(x-cx)/sqrt(pow(x-cx,2)+pow(y-cy,2))*p.range*{push} AS lon, y+(y-cy)/sqrt(pow(x-cx,2)+pow(y-cy,2))*p.range*{push} AS lat FROM v0 JOIN md ON md.zone_id=v0.zone_id, range(1,8) p)"
+    free = f"nr AS (SELECT DISTINCT zone_id, slot, p FROM (SELECT q.zone_id, q.slot, q.p FROM tr q, edges e GROUP BY q.zone_id, q.slot, q.p, q.lon, q.lat, e.zone_id HAVING min({_ps('q.lon', 'q.lat', 'e')})<{BUFFER!r}e0 OR {_in('q.lon', 'q.lat')})), nd AS (SELECT CAST(zone_id AS BIGINT)*1048576+slot AS node, arg_min(lon, p) AS lon, arg_min(lat, p) AS lat FROM tr WHERE NOT EXISTS (SELECT 1 FROM nr WHERE nr.zone_id=tr.zone_id AND nr.slot=tr.slot AND nr.p=tr.p) GROUP BY zone_id, slot)"
+    far = lambda a, b: f"sqrt(pow({a}lon-{b}lon,2)+pow({a}lat-{b}lat,2))"
+    pairs = f"pr AS (SELECT m.node AS a, n.node AS b, {far('m.', 'n.')} AS far, m.lon AS ax, m.lat AS ay, n.lon AS bx, n.lat AS by_ FROM nd m JOIN nd n ON m.node<n.node WHERE {far('m.', 'n.')}<={REACH!r}e0)"
+    return f"{tries}, {free}, {pairs}, {_blocked_sql('bp', 'pr', 'a, b', BUFFER)}, vg AS (SELECT a, b, far FROM pr WHERE NOT EXISTS (SELECT 1 FROM bp WHERE bp.a=pr.a AND bp.b=pr.b))"
+
+
+def _shortest_sql():
+    links = ""
+    for end in "se":
+        far = f"sqrt(pow({end}lon-nd.lon,2)+pow({end}lat-nd.lat,2))"
+        links += f", l{end} AS (SELECT lb.route_id, nd.node, {far} AS far, {end}lon AS ax, {end}lat AS ay, nd.lon AS bx, nd.lat AS by_ FROM lb, nd WHERE {far}<={REACH!r}e0), {_blocked_sql(f'b{end}', f'l{end}', 'route_id, node', BUFFER)}, k{end} AS (SELECT * FROM l{end} WHERE NOT EXISTS (SELECT 1 FROM b{end} b WHERE b.route_id=l{end}.route_id AND b.node=l{end}.node))"
+    direct = f"lg AS (SELECT route_id, slon AS ax, slat AS ay, elon AS bx, elat AS by_ FROM legs), {_blocked_sql('bd', 'lg', 'route_id', BUFFER)}, lb AS (SELECT legs.* FROM legs JOIN bd ON bd.route_id=legs.route_id)"
+    both = "gg AS (SELECT a, b, far FROM vg UNION ALL SELECT b, a, far FROM vg)"
+    walk = "d(route_id, node, dist) USING KEY (route_id, node) AS (SELECT route_id, node, far FROM ks UNION SELECT d.route_id, gg.b, min(d.dist+gg.far) FROM d JOIN gg ON gg.a=d.node LEFT JOIN recurring.d r ON r.route_id=d.route_id AND r.node=gg.b WHERE d.dist+gg.far<coalesce(r.dist,1e9)-1e-15 GROUP BY 1,2)"
+    return f"{_L.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_graph_sql()}, {direct}{links}, {both}, {walk} SELECT d.route_id, {_r('min(d.dist+ke.far)')} AS length FROM d JOIN ke ON ke.route_id=d.route_id AND ke.node=d.node GROUP BY 1"
+
+
 def _detour_sql():
     ends = "SELECT route_id, zone_id, lf, -1 AS i, slon AS lon, slat AS lat FROM v GROUP BY ALL UNION ALL SELECT route_id, zone_id, lf, i, lon, lat FROM v UNION ALL SELECT route_id, zone_id, lf, 99, elon, elat FROM v GROUP BY ALL"
     ways = f"{_L}, {_hits('legs', ['route_id'])}, v AS (SELECT h.route_id, h.zone_id, e.i, e.ax AS lon, e.ay AS lat, slon, slat, elon, elat, (elon-slon)*(e.ay-slat)-(elat-slat)*(e.ax-slon)>0 AS lf FROM hits h JOIN legs l ON l.route_id=h.route_id JOIN edges e ON e.zone_id=h.zone_id), p AS ({ends})"
@@ -270,6 +320,8 @@ def _detour_sql():
 
 
 SQL = {
+    "visibility_graph": f"{_E}, {_graph_sql()} SELECT a, b, {_r('far')} AS far FROM vg",
+    "shortest_routes": _shortest_sql(),
     "best_detour": _detour_sql(),
     "clipped_zones": _clip_sql(),
     "clean_water": _clean_sql(),

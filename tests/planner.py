@@ -1,20 +1,9 @@
-"""Routes around zones: direct if clear, else the shortest way over pushed-out vertices, else around the box.
-
-A buffered zone is the set of places nearer than the buffer to it, so whether a leg is clear is a distance, not an
-overlay. Routes are planned independently, a group to each, with only the zones near it.
-"""
-
-from __future__ import annotations
+"""One route after another in plain Python: what the planning by set is held against."""
 
 import heapq
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from cartosea.operators import geometry as g
 
 
 class Zones:
@@ -138,41 +127,3 @@ def plan(start, end, rings, kind: str, buffer: float) -> tuple[list[tuple[float,
         if path and all(zones.clear(a, b) for a, b in zip(path, path[1:])):
             return path, True
     return [start, end], False
-
-
-_PLANNED = "route_id string, type string, waypoints int, route_valid boolean, length double, line array<struct<lon: double, lat: double>>"
-
-
-def plan_routes(routes: DataFrame, zones: DataFrame, buffer: float) -> DataFrame:
-    """(route_id, type, waypoints, route_valid, length, line) for routes (route_id, type, slon, slat, elon, elat).
-
-    All zones are one row, broadcast; a job's zones are a configuration of bounded size beside its routes.
-    """
-    rings = zones.agg(F.sort_array(F.collect_list(F.col("ring"))).alias("rings"))
-    wide = routes.select(F.col("route_id").cast("string").alias("route_id"), "type", "slon", "slat", "elon", "elat").crossJoin(F.broadcast(rings))
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                got = [[(v["lon"], v["lat"]) for v in ring] for ring in r.rings]
-                line, ok = plan((r.slon, r.slat), (r.elon, r.elat), got, r.type, buffer)
-                rows.append((r.route_id, r.type, len(line), ok, float(sum(math.dist(p, q) for p, q in zip(line, line[1:]))), [{"lon": float(x), "lat": float(y)} for x, y in line]))
-            yield pd.DataFrame(rows, columns=["route_id", "type", "waypoints", "route_valid", "length", "line"])
-
-    return wide.mapInPandas(run, _PLANNED)
-
-
-def route_properties(planned: DataFrame) -> DataFrame:
-    """planned with vessel_type, suspicious and warning."""
-    return planned.withColumns({
-        "vessel_type": F.when(F.col("type") == "ferry", "ferry").when(F.col("type") == "tss", "cargo").otherwise("unknown"),
-        "suspicious": F.col("type") == "irregular",
-        "warning": F.when(~F.col("route_valid"), "Route passes through restricted zone — no clear path could be calculated"),
-    })
-
-
-def buffer_of(zones: DataFrame) -> float:
-    """The adaptive buffer of all zones, as one number: 0.018, less where two zones are nearer than twice that."""
-    least = g.zones_within(zones, 0.036).agg(F.min("dist")).first()[0]
-    return 0.018 if least is None or least >= 0.036 else max(0.005, 0.3 * least)

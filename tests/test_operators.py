@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartosea.functions import noise
-from cartosea.operators import geometry, graph, imaging, routing
+from cartosea.operators import geometry, graph, imaging
 from cartosea.operators import stencil as st
 from cartosea.sources import generators as gen
 from cartosea.sources import geojson
@@ -99,22 +99,6 @@ def test_generators_given_values():
     assert tuple(map(float, r[0][3][0])) == (-122.42270274553023, 37.54601816120767)
 
 
-BOX = lambda w, s, e, n: [(w, s), (e, s), (e, n), (w, n), (w, s)]
-
-
-@pytest.mark.parametrize(
-    "zones, kind, points",
-    [([], "ferry", 2), ([BOX(148.5, -37.8, 148.55, -37.75)], "ferry", 2), ([BOX(148.04, -37.76, 148.06, -37.74)], "ferry", None), ([BOX(148.04, -37.76, 148.06, -37.74)], "irregular", 2), ([BOX(148.03, -37.78, 148.06, -37.72), BOX(148.07, -37.78, 148.10, -37.72)], "ferry", None)],
-)
-def test_routing_scenarios(zones, kind, points):
-    buffer = 0.018 if len(zones) < 2 else 0.005
-    line, ok = routing.plan((148.0, -37.9), (148.1, -37.6), zones, kind, buffer)
-    assert ok and (len(line) > 2 if points is None else len(line) == points)
-    if kind != "irregular" and zones:
-        around = routing.Zones(zones, buffer)
-        assert all(around.clear(p, q) for p, q in zip(line, line[1:]))
-
-
 def test_user_files(spark, tmp_path):
     path = tmp_path / "c.json"
     path.write_text('{"user_no_go_zones": [{"id": "a", "coordinates": [[0,0],[1,0],[1,1]]}, {"coordinates": [[0,0],[1,1]]}, {"name": "n", "zoneType": "military", "coordinates": [[2,2],[3,2],[3,3],[2,2]]}],\n "user_routes": [{"start": {"lon": 0, "lat": 0}, "end": {"lon": 1, "lat": 1}, "type": "ferry"}, {"start": {"lon": 0, "lat": 0}}, {"start": {"lon": 2, "lat": 0}, "end": {"lon": 1, "lat": 1}}]}')
