@@ -186,6 +186,58 @@ def clip_rings(zones: DataFrame, low: tuple[float, float], high: tuple[float, fl
     return zones.drop("ring").join(rings.select("zone_id", F.concat(ring, F.slice(ring, 1, 1)).alias("ring")), "zone_id")
 
 
+def smooth_rings(zones: DataFrame, distance, arc: int = 8) -> DataFrame:
+    """zones with the outward corners of their rings rounded, as if each ring were moved in by the distance and out again:
+    an arc of that radius (arc + 1 points) touches both edges, a smaller one where half an edge is shorter than its
+    tangent. Inward corners stay. The area never grows, and a ring that doesn't cross itself doesn't afterwards."""
+    n = F.size("ring") - 1
+    turned = F.aggregate(edges(F.col("ring")), F.lit(0.0), lambda s, e: s + e["ax"] * e["by"] - e["bx"] * e["ay"])
+    z = zones.withColumns({"_way": F.when(turned < 0, -1.0).otherwise(1.0), "_far": distance})
+    v = lambda i: F.element_at("ring", (F.pmod(i, n) + 1).cast("int"))
+
+    def corner(i):
+        p, h, q = v(i - 1), v(i), v(i + 1)
+        one = F.struct((h["lon"] - p["lon"]).alias("x"), (h["lat"] - p["lat"]).alias("y"), F.sqrt(F.pow(h["lon"] - p["lon"], 2) + F.pow(h["lat"] - p["lat"], 2)).alias("d"))
+        two = F.struct((q["lon"] - h["lon"]).alias("x"), (q["lat"] - h["lat"]).alias("y"), F.sqrt(F.pow(q["lon"] - h["lon"], 2) + F.pow(q["lat"] - h["lat"], 2)).alias("d"))
+        return F.struct(h["lon"].alias("lon"), h["lat"].alias("lat"), one.alias("one"), two.alias("two"))
+
+    def bend(c):
+        a, b = c["one"], c["two"]
+        turn = F.atan2((a["x"] * b["y"] - a["y"] * b["x"]) * F.col("_way"), a["x"] * b["x"] + a["y"] * b["y"])
+        return F.struct(c["lon"].alias("lon"), c["lat"].alias("lat"), (a["x"] / a["d"]).alias("ux"), (a["y"] / a["d"]).alias("uy"), turn.alias("turn"), F.least(F.col("_far") * F.tan(turn / 2), F.least(a["d"], b["d"]) / 2).alias("t"))
+
+    def rounded(c):
+        r = c["t"] / F.tan(c["turn"] / 2)
+        sx, sy = c["lon"] - c["ux"] * c["t"], c["lat"] - c["uy"] * c["t"]
+        nx, ny = -c["uy"] * F.col("_way") * r, c["ux"] * F.col("_way") * r  # from the arc's start to its middle
+
+        def at(k):
+            w = F.col("_way") * c["turn"] * k / float(arc)
+            return F.struct((sx + nx - nx * F.cos(w) + ny * F.sin(w)).alias("lon"), (sy + ny - nx * F.sin(w) - ny * F.cos(w)).alias("lat"))
+
+        sharp = F.array(F.struct(c["lon"].alias("lon"), c["lat"].alias("lat")))
+        return F.when((c["turn"] > 1e-9) & (c["turn"] < 3.14159), F.transform(F.sequence(F.lit(0), F.lit(arc)), at)).otherwise(sharp)
+
+    bends = z.withColumn("_c", F.transform(F.transform(F.sequence(F.lit(0), n - 1), corner), bend))
+    ring = bends.withColumn("ring", F.flatten(F.transform("_c", rounded)))
+    return ring.withColumn("ring", F.concat("ring", F.slice("ring", 1, 1))).drop("_way", "_far", "_c")
+
+
+def ring_faults(zones: DataFrame) -> DataFrame:
+    """(zone_id, closed, vertices, crossings, valid) of each ring: crossings are pairs of its edges, not neighbours, that have
+    a point in common. Edges of a ring meet by cells, so a ring of any length takes no pass over all its pairs."""
+    e = zones.select("zone_id", F.size("ring").alias("n"), F.posexplode(edges(F.col("ring"))).alias("i", "e"))
+    box = tile(e, F.least("e.ax", "e.bx"), F.greatest("e.ax", "e.bx"), F.least("e.ay", "e.by"), F.greatest("e.ay", "e.by"))
+    other = box.select("zone_id", "_cx", "_cy", F.col("i").alias("j"), F.col("e").alias("q"))
+    far = (F.col("j") > F.col("i") + 1) & ~((F.col("i") == 0) & (F.col("j") == F.col("n") - 2))
+    p, q = F.col("e"), F.col("q")
+    crossed = box.join(other, ["zone_id", "_cx", "_cy"]).where(far & segments_cross(p["ax"], p["ay"], p["bx"], p["by"], q["ax"], q["ay"], q["bx"], q["by"]))
+    count = crossed.select("zone_id", "i", "j").distinct().groupBy("zone_id").agg(F.count("*").alias("crossings"))
+    whole = zones.select("zone_id", (F.element_at("ring", 1) == F.element_at("ring", -1)).alias("closed"), (F.size("ring") - 1).alias("vertices"), area(F.col("ring")).alias("_area"))
+    out = whole.join(count, "zone_id", "left").withColumn("crossings", F.coalesce("crossings", F.lit(0)))
+    return out.select("zone_id", "closed", "vertices", "crossings", (F.col("closed") & (F.col("vertices") >= 3) & (F.col("crossings") == 0) & (F.col("_area") > 0)).alias("valid"))
+
+
 def adaptive_buffer(least, count, low: float = 0.005, high: float = 0.018):
     """Buffer around zones: smaller where the closest two are near each other."""
     return F.when((count < 2) | (least >= 2 * high), high).otherwise(F.greatest(F.lit(low), 0.3 * least))

@@ -212,3 +212,32 @@ def test_run_metadata(spark, tmp_path):
     runs.write_metadata(spark, str(tmp_path / "m"), "a generator", "2026_03_08_125158", area_km=1, bounds=bounds, resolutions=["1m", "10m"])
     assert runs.read_metadata(spark, str(tmp_path / "m")) == {"generator": "a generator", "timestamp": "2026_03_08_125158", "area_km": 1, "bounds": bounds, "resolutions": ["1m", "10m"]}
     assert runs.archived(["b/x.tif", "a.PNG", ".hidden.json", "_tmp.tif", "note.txt"]) == ["a.PNG", "b/x.tif"]
+
+
+def test_zones_by_set(spark, sf):
+    from cartosea.sources import fleets
+    from cartosea.sources import tables as t
+
+    rows = spark.range(60).select(F.col("id").alias("key"))
+    box = gen.Box()
+    raw = fleets.stars(rows)
+    smooth = geometry.smooth_rings(raw, F.col("smooth"))
+    area = lambda z: {r["zone_id"]: r["a"] for r in z.select("zone_id", geometry.area(F.col("ring")).alias("a")).collect()}
+    before, after = area(raw), area(smooth)
+    assert all(0 < after[k] <= before[k] * (1 + 1e-12) for k in before) and any(after[k] < before[k] for k in before)
+    cut = geometry.bounds(fleets.zones(rows)).collect()
+    assert len(cut) == 60
+    for r in cut:
+        assert box.west - 1e-12 <= r["min_lon"] and r["max_lon"] <= box.east + 1e-12 and box.south - 1e-12 <= r["min_lat"] and r["max_lat"] <= box.north + 1e-12
+    crossed = {r["zone_id"] for r in geometry.ring_faults(raw).where("crossings > 0").collect()}
+    assert {r["zone_id"] for r in geometry.ring_faults(smooth).where("not valid").collect()} <= crossed
+    # a square's corners become quarter circles
+    ring = [{"lon": float(x), "lat": float(y)} for x, y in ((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))]
+    for way in (ring, ring[::-1]):
+        z = spark.createDataFrame([(1, way)], "zone_id long, ring array<struct<lon: double, lat: double>>")
+        assert area(geometry.smooth_rings(z, F.lit(1.0), 400))[1] == pytest.approx(16 - (4 - math.pi), abs=1e-4)
+    bow = spark.createDataFrame([(1, [ring[i] for i in (0, 2, 1, 3, 0)]), (2, ring[:4])], "zone_id long, ring array<struct<lon: double, lat: double>>")
+    assert {r["zone_id"]: (r["closed"], r["crossings"], r["valid"]) for r in geometry.ring_faults(bow).collect()} == {1: (True, 1, False), 2: (False, 0, False)}
+    routes = fleets.routes(rows).collect()
+    assert {r["type"] for r in routes} == {"ferry", "tss", "irregular"} and all(0 <= s < len(r["line"]) for r in routes for s in r["stops"])
+    assert all(len(r["stops"]) == (2 if r["type"] == "irregular" else 0) for r in routes)
