@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartosea.functions import colour, noise
 from cartosea.operators import lattice
+from cartosea.operators import stencil as st
 
 
 @dataclass(frozen=True)
@@ -292,27 +295,64 @@ def sense_tiles(cells: DataFrame, sensor: Sensor = Sensor()) -> DataFrame:
     return on_tiles(cells, kernel, list("rgb"), sensor.halo, sensor.tile)
 
 
-def thermal_frame(mask: np.ndarray, seed: int, hot: float = 0.9, cool: float = 0.2) -> np.ndarray:
-    """Heat of a silhouette: warmer toward its middle, noisy and slightly blurred."""
-    h, w = mask.shape
-    yy, xx = np.mgrid[:h, :w]
-    far = np.hypot(yy - h / 2, xx - w / 2) / np.hypot(h / 2, w / 2)
-    t = np.where(mask, hot - (hot - cool) * 0.5 * far, cool)
-    return np.clip(gaussian(t + np.random.default_rng(seed).normal(0, 0.05, t.shape), 1.5, 1.5), 0, 1)
-
-
-def flir_frames(spark, n: int, size: int = 64, kind: str = "generic", seed: int = 42) -> DataFrame:
-    """(frame, mean, hottest, pixels): n thermal frames with a small roll, each from its own seed."""
-    from cartosea.functions.colour import HULL
-
-    length, beam = size * HULL[kind][0], size * HULL[kind][1]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = int(pdf.frame.iloc[0])
-        rng = np.random.default_rng(seed + f)
-        yy, xx = np.mgrid[:size, :size]
-        mask = ((xx - size // 2) / (length / 2)) ** 2 + ((yy - size // 2) / (beam / 2)) ** 2 <= 1
-        t = np.roll(thermal_frame(mask, seed + f), rng.integers(-2, 3, 2), (0, 1))
-        return pd.DataFrame({"frame": [f], "mean": [float(t.mean())], "hottest": [float(t.max())], "pixels": [int((t > 0.5).sum())]})
-
-    return spark.range(n).select(F.col("id").cast("int").alias("frame")).groupBy("frame").applyInPandas(run, "frame int, mean double, hottest double, pixels long")
+def degrade(cells: DataFrame, fine: float, coarse: float, tile: int = 256) -> DataFrame:
+    """(y, x, r, g, b) as a sensor of a coarser ground resolution sees them: a Gaussian of 0.45 pixels (10 at most), area
+    means on a grid whose ratio needn't be whole, and less saturation from 10 m on. A finer resolution changes nothing."""
+    scale = coarse / fine
+    if scale <= 1.0:
+        return cells.select("y", "x", *"rgb")
+    size = st.extent(cells).first()
+    if size["h"] is None:
+        return cells.select("y", "x", *"rgb")
+    sigma = min(10.0, 0.45 * scale)
+    halo = (int(8 * sigma + 1.5) | 1) // 2
+    soft = on_tiles(cells.select("y", "x", *"rgb"), bands(lambda a, at, more: gaussian(a, sigma, sigma)), list("rgb"), halo, max(tile, 4 * halo))
+    out = st.area_resize(soft, list("rgb"), *(max(1, round(size[n] / scale)) for n in "hw")).withColumnsRenamed({"ty": "y", "tx": "x"})
+    if coarse < 10.0:
+        return out
+    grey = (F.col("r") + F.col("g") + F.col("b")) / 3.0
+    tone = lambda c: F.least(F.pow(F.greatest(F.col(c) * 0.88 + grey * 0.12, F.lit(0.0)), F.lit(1.04)), F.lit(1.0))
+    return out.select("y", "x", *[tone(c).alias(c) for c in "rgb"])
+
+
+#: Heat of a hull's middle and of the sea, noise of the heat and of a frame, blur, greatest turn in degrees and shift in pixels.
+HOT, COOL, HEAT_NOISE, FRAME_NOISE, SPREAD, TURN, SHIFT = 0.9, 0.2, 0.05, 0.03, 1.5, 0.5, 2.0
+
+
+def normal(a, b, seed: int):
+    """Standard normal noise of a lattice point."""
+    one, two = noise.hash_lattice(a, b, seed), noise.hash_lattice(a, b, seed + 1)
+    return F.sqrt(-2.0 * F.log(F.greatest(one, F.lit(1e-7)))) * F.cos(two * (2.0 * math.pi))
+
+
+def thermal_base(spark: SparkSession, size: int = 64, kind: str = "generic", seed: int = 42) -> DataFrame:
+    """(y, x, t): heat of a silhouette of size x size: warmer toward its middle, noisy and slightly spread."""
+    cells = spark.range(size * size).select(F.floor(F.col("id") / size).cast("int").alias("y"), (F.col("id") % size).cast("int").alias("x"))
+    mid = size // 2
+    far = F.sqrt(F.pow(F.col("y") - mid, 2) + F.pow(F.col("x") - mid, 2)) / (math.hypot(mid, mid) + 1e-6)
+    body = F.when(colour.vessel_mask(F.col("y"), F.col("x"), size, size, kind), HOT * (1.0 - 0.5 * far)).otherwise(COOL)
+    rough = colour.clip01(body + HEAT_NOISE * normal(F.col("x"), F.col("y"), seed))
+    return on_tiles(cells.select("y", "x", rough.alias("t")), lambda a, at: [gaussian(a["t"][..., None], SPREAD, SPREAD)[..., 0]], ["t"], 7, 64)
+
+
+def thermal_frames(frames: DataFrame, base: DataFrame, size: int, seed: int = 42) -> DataFrame:
+    """(frame, y, x, r, g, b) for each number in frames: the base turned a little, moved by whole pixels and refilled with the
+    sea's heat, noisy, in thermal colours. Every pixel gathers the four places around its own in the base, which is one
+    image (size x size) and goes to all tasks; frames are as many as the table has."""
+    f = F.col("frame")
+    drift = lambda n, most: (2.0 * noise.hash_lattice(f, F.lit(n), seed) - 1.0) * most
+    moves = frames.select("frame", F.radians(drift(1, TURN)).alias("turn"), F.bround(drift(2, SHIFT)).cast("int").alias("tx"), F.bround(drift(3, SHIFT)).cast("int").alias("ty"))
+    pixels = moves.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    y, x, mid = F.col("y") - F.col("ty"), F.col("x") - F.col("tx"), (size - 1) / 2.0
+    inside = (y >= 0) & (y < size) & (x >= 0) & (x < size)
+    sx = (x - mid) * F.cos("turn") - (y - mid) * F.sin("turn") + mid
+    sy = (x - mid) * F.sin("turn") + (y - mid) * F.cos("turn") + mid
+    asked = pixels.select("frame", "y", "x", inside.alias("inside"), sx.alias("sx"), sy.alias("sy"))
+    corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
+    weight = lambda c, side: F.when(F.col(f"c.{side}") == 1, F.col(c) - F.floor(c)).otherwise(1.0 - (F.col(c) - F.floor(c)))
+    four = asked.withColumn("c", corner).select("frame", "y", "x", "inside", (F.floor("sy").cast("int") + F.col("c.a")).alias("by"), (F.floor("sx").cast("int") + F.col("c.b")).alias("bx"), (weight("sy", "a") * weight("sx", "b")).alias("w"))
+    got = four.join(F.broadcast(base.select(F.col("y").alias("by"), F.col("x").alias("bx"), "t")), ["by", "bx"], "left")
+    heat = got.groupBy("frame", "y", "x").agg(F.first("inside").alias("inside"), F.sum(F.col("w") * F.coalesce("t", F.lit(COOL))).alias("t"))
+    seen = colour.clip01(F.when(F.col("inside"), F.col("t")).otherwise(COOL) + FRAME_NOISE * normal(f * (size * size) + F.col("y") * size + F.col("x"), F.lit(7), seed))
+    r, g, b = colour.thermal(F.col("seen"))
+    return heat.withColumn("seen", seen).select("frame", "y", "x", r.alias("r"), g.alias("g"), b.alias("b"))

@@ -175,8 +175,9 @@ def block(cells: DataFrame, factor: int, **aggs) -> DataFrame:
     return whole.groupBy(F.floor(F.col("y") / factor).cast("int").alias("by"), F.floor(F.col("x") / factor).cast("int").alias("bx")).agg(*[v.alias(k) for k, v in aggs.items()])
 
 
-def area_resize(cells: DataFrame, value: str, height: int, width: int) -> DataFrame:
-    """(ty, tx, v): area-weighted means on a grid of any size; each cell goes to the targets that it overlaps."""
+def area_resize(cells: DataFrame, value: str | list[str], height: int, width: int) -> DataFrame:
+    """(ty, tx, v), or (ty, tx, values...) for a list: area-weighted means on a grid of any size; each cell goes to the
+    targets that it overlaps."""
     sized = cells.crossJoin(F.broadcast(extent(cells)))
     ry, rx = F.lit(float(height)) / F.col("h"), F.lit(float(width)) / F.col("w")
 
@@ -187,8 +188,9 @@ def area_resize(cells: DataFrame, value: str, height: int, width: int) -> DataFr
         return F.least((F.col(at) + 1) * ratio, F.col(target) + 1.0) - F.greatest(F.col(at) * ratio, F.col(target) + 0.0)
 
     spread = sized.withColumn("ty", F.explode(targets("y", ry))).withColumn("tx", F.explode(targets("x", rx)))
-    area = spread.withColumn("a", overlap("y", "ty", ry) * overlap("x", "tx", rx)).where("a > 1e-12")
-    return area.groupBy("ty", "tx").agg((F.sum(F.col("a") * F.col(value)) / F.sum("a")).alias("v"))
+    area = spread.withColumn("_a", overlap("y", "ty", ry) * overlap("x", "tx", rx)).where("_a > 1e-12")
+    names = {value: "v"} if isinstance(value, str) else {v: v for v in value}
+    return area.groupBy("ty", "tx").agg(*[(F.sum(F.col("_a") * F.col(v)) / F.sum("_a")).alias(n) for v, n in names.items()])
 
 
 def nearest_resize(cells: DataFrame, value: str, height: int, width: int) -> DataFrame:

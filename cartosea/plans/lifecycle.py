@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartosea.functions import geo, noise
-from cartosea.operators import imaging
 from cartosea.operators import stencil as st
 from cartosea.plans import raster
+from cartosea.sources import rasters
 from cartosea.sources import tables as t
 
 r6 = lambda c: F.round(c, 6)
@@ -53,13 +53,14 @@ def pyramid_levels(spark, sf):
     return h.select("y", "x", F.round("z", 4).alias("z"), "water", r6(st.hillshade(F.col("gy"), F.col("gx"))).alias("shade"))
 
 
-def degraded_rgb(spark, sf):
-    """Colours blurred by the optics of a coarser sensor, averaged to a fifth and desaturated."""
-    blurred = imaging.sense_tiles(t.colours(spark, sf), imaging.Sensor(optics_sigma=2.25, gamma=1.04, saturation=0.88, green_bias=1.0, noise_sigma=0.0, smooth_mix=0.0, sharpen=0.0, supersample=1))
-    return st.block(blurred, 5, **{c: r6(F.avg(c)) for c in "rgb"})
+def overview_levels(spark, sf):
+    """Overviews of the grid by 2, 4, 8 and 16: means of prices, nearest cells of a mask."""
+    g = t.grid(spark, sf).select("y", "x", "z", (F.col("z") > 250000).cast("double").alias("m"))
+    mean, mask = rasters.overviews(g, "z"), rasters.overviews(g, "m", nearest=True)
+    return mean.select("level", "y", "x", F.round(F.col("value") + 1e-7, 4).alias("mean")).join(mask.withColumnRenamed("value", "mask"), ["level", "y", "x"], "left")
 
 
-QUERIES = {f.__name__: f for f in (map_tiles, terrain_kind, field_ids, pyramid_levels, degraded_rgb)}
+QUERIES = {f.__name__: f for f in (map_tiles, terrain_kind, field_ids, pyramid_levels, overview_levels)}
 _X = lambda v: f"CAST(floor(({v}+180e0)/360e0*4096) AS BIGINT)"
 _Y = lambda v: f"CAST(floor((1e0-asinh(tan(radians({v})))/pi())/2e0*4096) AS BIGINT)"
 _G = t.ctes("grid")
@@ -69,4 +70,5 @@ SQL = {
     "terrain_kind": "WITH s AS (SELECT CAST(n_nationkey AS BIGINT) AS id, range AS i FROM nation, range(25)), a AS (SELECT id, avg(CAST((id*7919+i*104729)%101-(id*13)%101<=1 AS DOUBLE)) AS sh FROM s GROUP BY 1) SELECT id, (round(sh,6)+0e0) AS share, CASE WHEN sh>9e-1 THEN 'water' WHEN sh>3e-1 THEN 'coast' ELSE 'land' END AS kind FROM a",
     "field_ids": f"{_G}, {raster._grad_sql('grid', 'z', px='1e5')} SELECT y, x, CAST(floor((x+{raster._vn_sql('x', 'y', 40, 11)}*35e0+cos(atan2(gy,gx))*(20e0+{_size}*30e0))/18e0)*10000+floor((y+{raster._vn_sql('x', 'y', 40, 12)}*35e0+sin(atan2(gy,gx))*(20e0+{_size}*30e0))/18e0) AS INT) AS field_id FROM gr",
     "pyramid_levels": f"{_G}, s AS (SELECT max(y)+1 AS h, max(x)+1 AS w FROM grid), b AS (SELECT CAST(y//5 AS INT) AS y, CAST(x//5 AS INT) AS x, avg(z) AS z, bool_or(z<20000) AS water FROM grid, s WHERE y<h//5*5 AND x<w//5*5 GROUP BY 1,2), {raster._grad_sql('b', 'z', px='5e5')} SELECT y, x, (round(z,4)+0e0) AS z, water, (round(least(greatest(sin(radians(45e0))*cos(atan({_size}))+cos(radians(45e0))*sin(atan({_size}))*cos(radians(315e0)-atan2(-gx,gy)),0e0),1e0),6)+0e0) AS shade FROM gr",
+    "overview_levels": f"{_G}, l AS (SELECT unnest([1,2,3,4]) AS level), b AS (SELECT level, CAST(y//(1<<level) AS INT) AS y, CAST(x//(1<<level) AS INT) AS x, avg(z) AS mean FROM grid, l GROUP BY ALL), n AS (SELECT level, CAST(y//(1<<level) AS INT) AS y, CAST(x//(1<<level) AS INT) AS x, CAST(z>250000 AS DOUBLE) AS mask FROM grid, l WHERE y%(1<<level)=(1<<level)//2 AND x%(1<<level)=(1<<level)//2) SELECT b.level, b.y, b.x, (round(mean+1e-7,4)+0e0) AS mean, mask FROM b LEFT JOIN n ON n.level=b.level AND n.y=b.y AND n.x=b.x",
 }

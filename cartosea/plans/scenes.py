@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartosea.functions import colour
-from cartosea.operators import imaging, palettes, terrain
+from cartosea.operators import palettes, terrain
 from cartosea.operators import stencil as st
 from cartosea.operators.textures import octaves
 from cartosea.sources import tables as t
@@ -50,12 +50,7 @@ def city_grid(spark, sf):
     return t.grid(spark, sf).select("y", "x", road.alias("road"), height.alias("height"))
 
 
-def flir_frames(spark, sf):
-    """A thermal frame for each nation."""
-    return imaging.flir_frames(spark, t.read(spark, sf, "nation").count())
-
-
-QUERIES = {f.__name__: f for f in (*map(_dem, terrain.reliefs()), *map(_rgb, palettes.PALETTES), parcel_rgb, shaded_rgb, city_grid, flir_frames)}
+QUERIES = {f.__name__: f for f in (*map(_dem, terrain.reliefs()), *map(_rgb, palettes.PALETTES), parcel_rgb, shaded_rgb, city_grid)}
 
 
 def _parcels_sql():

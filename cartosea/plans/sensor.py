@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from cartosea.functions import noise
 from cartosea.operators import imaging
 from cartosea.plans import raster
 from cartosea.plans.raster import _fbm_sql, _refl, relief
@@ -57,7 +58,18 @@ def eo_tiles(spark, sf):
     return imaging.sense_tiles(_cells(spark, sf)).select("y", "x", *[r6(c).alias(c) for c in "rgb"])
 
 
-QUERIES = {f.__name__: f for f in (*STEPS, eo_edges, eo_tiles)}
+def degraded_rgb(spark, sf):
+    """Colours of 4 m seen at 10.8 m: blurred, averaged over 2.7 cells, less saturated."""
+    return imaging.degrade(t.patches(spark, sf), 4.0, 10.8, TILE).select("y", "x", *[r6(c).alias(c) for c in "rgb"])
+
+
+def flir_frames(spark, sf):
+    """A thermal frame for each nation."""
+    frames = t.read(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("frame"))
+    return imaging.thermal_frames(frames, imaging.thermal_base(spark), 64).select("frame", "y", "x", *[F.round(c, 5).alias(c) for c in "rgb"])
+
+
+QUERIES = {f.__name__: f for f in (*STEPS, eo_edges, eo_tiles, degraded_rgb, flir_frames)}
 
 _r = lambda v, n=6: f"(round({v}, {n}) + 0e0)"
 _clip = lambda v: f"least(greatest({v},0e0),1e0)"
@@ -148,7 +160,38 @@ def _warp_sql():
     return f"{_HEAD}, {corner}, q AS (SELECT n.y, n.x, {', '.join(f'sum(m.{b}*wgt) AS {b}' for b in 'rgb')} FROM n JOIN c m ON m.y=n.sy AND m.x=n.sx GROUP BY 1,2) " + _out(lambda i, b: b, "q")
 
 
+def _degraded_sql():
+    blur, last = _gauss_sql("patches", list("rgb"), "db", 0.45 * 2.7, 0.45 * 2.7)
+    over = lambda a, n, k: f"(least(({a}+1)*{n}/{k}, {'ty' if a == 'y' else 'tx'}+1)-greatest({a}*{n}/{k}, {'ty' if a == 'y' else 'tx'}))"
+    a, b = over("y", "nh", "h"), over("x", "nw", "w")
+    size = "z AS (SELECT h, w, greatest(1,round_even(h/27e-1,0)) AS nh, greatest(1,round_even(w/27e-1,0)) AS nw FROM s)"
+    spread = f"q1 AS (SELECT m.*, z.*, unnest(range(CAST(floor(y*nh/h) AS INT), CAST(ceil((y+1)*nh/h-1e-9) AS INT))) AS ty FROM {last} m, z), q2 AS (SELECT *, unnest(range(CAST(floor(x*nw/w) AS INT), CAST(ceil((x+1)*nw/w-1e-9) AS INT))) AS tx FROM q1)"
+    area = f"{spread}, o AS (SELECT *, {a}*{b} AS ar FROM q2), p AS (SELECT CAST(ty AS INT) AS y, CAST(tx AS INT) AS x, {', '.join(f'sum(ar*{c})/sum(ar) AS {c}' for c in 'rgb')} FROM o WHERE ar>1e-12 GROUP BY 1,2)"
+    return f"{_HEAD}, {blur}, {size}, {area} " + _out(lambda i, c: f"least(pow(greatest({c}*88e-2+(r+g+b)/3e0*12e-2,0e0),104e-2),1e0)", "p")
+
+
+def _frames_sql(size=64, seed=42):
+    normal = lambda a, b, k: f"(sqrt(-2e0*ln(greatest({noise.hash_sql(a, b, k)},1e-7)))*cos({noise.hash_sql(a, b, k + 1)}*{_lit(2 * math.pi)}))"
+    length, beam, mid = size * 0.45, size * 0.22, size // 2
+    sh, sw = beam * 0.4, length * 0.6
+    top = mid - beam / 2 - sh / 2
+    mask = f"(pow((x-{mid})/{_lit(length / 2)},2)+pow((y-{mid})/{_lit(beam / 2)},2)<=1e0 OR (x>={_lit(mid - sw / 2)} AND x<={_lit(mid + sw / 2)} AND y>={_lit(top - sh / 2)} AND y<={_lit(top + sh / 2)}))"
+    far = f"sqrt(pow(y-{mid},2)+pow(x-{mid},2))/{_lit(math.hypot(mid, mid) + 1e-6)}"
+    cells = f"px AS (SELECT CAST(a.range AS INT) AS y, CAST(b.range AS INT) AS x FROM range({size}) a, range({size}) b), s AS (SELECT {size} AS h, {size} AS w), c AS (SELECT y, x, {_clip(f'(CASE WHEN {mask} THEN 9e-1*(1e0-5e-1*({far})) ELSE 2e-1 END)+5e-2*' + normal('x', 'y', seed))} AS t FROM px)"
+    blur, last = _gauss_sql("c", ["t"], "tb", 1.5, 1.5)
+    drift = lambda n, most: f"((2e0*{noise.hash_sql('f', str(n), seed)}-1e0)*{_lit(most)})"
+    moves = f"mv AS (SELECT CAST(n_nationkey AS INT) AS f FROM nation), m2 AS (SELECT f, radians({drift(1, 0.5)}) AS turn, CAST(round_even({drift(2, 2.0)},0) AS INT) AS mx, CAST(round_even({drift(3, 2.0)},0) AS INT) AS my FROM mv)"
+    m = _lit((size - 1) / 2)
+    at = f"q AS (SELECT f, px.y, px.x, px.y-my>=0 AND px.y-my<{size} AND px.x-mx>=0 AND px.x-mx<{size} AS ins, (px.x-mx-{m})*cos(turn)-(px.y-my-{m})*sin(turn)+{m} AS sx, (px.x-mx-{m})*sin(turn)+(px.y-my-{m})*cos(turn)+{m} AS sy FROM m2, px), k4(da,db) AS (VALUES (0,0),(0,1),(1,0),(1,1)), w AS (SELECT f, y, x, ins, CAST(floor(sy) AS INT)+da AS by_, CAST(floor(sx) AS INT)+db AS bx, (CASE da WHEN 1 THEN sy-floor(sy) ELSE 1e0-(sy-floor(sy)) END)*(CASE db WHEN 1 THEN sx-floor(sx) ELSE 1e0-(sx-floor(sx)) END) AS wgt FROM q, k4)"
+    heat = f"ht AS (SELECT f, w.y, w.x, bool_and(ins) AS ins, sum(wgt*coalesce(t,2e-1)) AS t FROM w LEFT JOIN {last} b ON b.y=w.by_ AND b.x=w.bx GROUP BY 1,2,3), sn AS (SELECT f, y, x, {_clip('(CASE WHEN ins THEN t ELSE 2e-1 END)+3e-2*' + normal(f'(f*{size * size}+y*{size}+x)', '7', seed))} AS t FROM ht)"
+    ramp = [("t/3e-1*2e-1", "(t-3e-1)/3e-1*3e-1", "3e-1+(t-6e-1)/4e-1*7e-1"), ("t/3e-1*3e-1", "5e-1+(t-3e-1)/3e-1*3e-1", "8e-1+(t-6e-1)/4e-1*2e-1"), ("t/3e-1*8e-1", "8e-1-(t-3e-1)/3e-1*3e-1", "5e-1-(t-6e-1)/4e-1*5e-1")]
+    colours = ", ".join(f"{_r(_clip(f'CASE WHEN t<=3e-1 THEN {a} WHEN t<=6e-1 THEN {b} ELSE {c} END'), 5)} AS {band}" for (a, b, c), band in zip(ramp, "rgb"))
+    return f"WITH {cells}, {blur}, {moves}, {at}, {heat} SELECT f AS frame, y, x, {colours} FROM sn"
+
+
 SQL = {
+    "degraded_rgb": _degraded_sql(),
+    "flir_frames": _frames_sql(),
     "eo_texture": _texture_sql(),
     "eo_water": _water_sql(),
     "eo_relief": _relief_sql(),

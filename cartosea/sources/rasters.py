@@ -27,6 +27,41 @@ def write(cells: DataFrame, value: str, path: str, layer: str, resolution: str,
     about.coalesce(1).write.mode("append").parquet(f"{path}/layers")
 
 
+#: Overviews: halvings of the base.
+LEVELS = (1, 2, 3, 4)
+
+
+def overviews(cells: DataFrame, value: str, nearest: bool = False, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """(level, y, x, value): cells of 2**level base cells a side. Means over what a block has, or for masks the cell at the
+    block's middle. One pass: a cell is a row for each level, added up map-side, so what is shuffled shrinks with the
+    level; of nearest cells only the chosen ones are kept."""
+    each = cells.select("y", "x", F.col(value).alias("value"), F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    side = F.expr("shiftleft(1, level)")
+    block = [F.floor(F.col(c) / side).cast("int").alias(c) for c in ("y", "x")]
+    if nearest:
+        middle = (F.col("y") % side == F.floor(side / 2)) & (F.col("x") % side == F.floor(side / 2))
+        return each.where(middle).select("level", *block, "value")
+    return each.groupBy("level", *block).agg(F.avg("value").alias("value"))
+
+
+def write_overviews(cells: DataFrame, value: str, path: str, layer: str, resolution: str, nearest: bool = False) -> None:
+    """Store a layer's overviews beside it, by level and tile: a read of one level lists that level's folders only."""
+    out = overviews(cells, value, nearest).withColumns({"layer": F.lit(layer), "resolution": F.lit(resolution), "ty": F.floor(F.col("y") / TILE).cast("int"), "tx": F.floor(F.col("x") / TILE).cast("int")})
+    out.repartition("level", "ty", "tx").sortWithinPartitions("level", "ty", "tx", "y", "x").write.mode("append").partitionBy("layer", "resolution", "level", "ty", "tx").parquet(f"{path}/overviews")
+
+
+def read_overview(spark: SparkSession, path: str, layer: str, resolution: str, level: int) -> DataFrame:
+    """(y, x, value) of one level."""
+    found = spark.read.parquet(f"{path}/overviews")
+    return found.where((F.col("layer") == layer) & (F.col("resolution") == resolution) & (F.col("level") == level)).select("y", "x", "value")
+
+
+def rescaled(transform: dict[str, float], width: int, height: int, new_width: int, new_height: int) -> dict[str, float]:
+    """The affine transform of a layer that is resampled to other numbers of cells: the corner stays, cells grow."""
+    kx, ky = width / new_width, height / new_height
+    return transform | {"a": transform["a"] * kx, "b": transform["b"] * ky, "d": transform["d"] * kx, "e": transform["e"] * ky}
+
+
 def read(spark: SparkSession, path: str, layer: str, resolution: str) -> DataFrame:
     """(y, x, value) of a layer; only its folders are listed."""
     cells = spark.read.parquet(f"{path}/cells").where((F.col("layer") == layer) & (F.col("resolution") == resolution))
