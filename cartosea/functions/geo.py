@@ -104,3 +104,14 @@ def area_bbox(lat, lon, area_km):
     """(min_lat, max_lat, min_lon, max_lon) of a square area around a place."""
     half, wide = area_km / 111.0 / 2.0, area_km / (111.0 * 0.8) / 2.0
     return lat - half, lat + half, lon - wide, lon + wide
+
+
+#: Cells of a grid's side, and of a grid, at most.
+MOST_CELLS = 12_000
+
+
+def grid_cells(width_m, height_m, gsd):
+    """(columns, rows, error): cells of an extent in metres; error says why a grid is too large, else it is null."""
+    cols, rows = F.ceil(width_m / gsd).cast("bigint"), F.ceil(height_m / gsd).cast("bigint")
+    large = (cols > MOST_CELLS) | (rows > MOST_CELLS) | (cols * rows > MOST_CELLS * MOST_CELLS)
+    return cols, rows, F.when(large, F.concat(cols.cast("string"), F.lit(" x "), rows.cast("string"), F.lit(f" cells, over {MOST_CELLS} x {MOST_CELLS}")))

@@ -47,6 +47,11 @@ def fbm(x, y, octaves: int, base: int, gain: float = 0.5, lacunarity: float = 2.
     return total / weight
 
 
+def fbm_signed(x, y, octaves: int, base: int, gain: float = 0.5, lacunarity: float = 2.0, seed: int = 0):
+    """fbm in -1..1."""
+    return 2.0 * fbm(x, y, octaves, base, gain, lacunarity, seed) - 1.0
+
+
 def offset_seed(seed: int, origin_x: float, origin_y: float) -> int:
     """The seed of a tile's noise, from its origin."""
     return seed + int(origin_x * 1000 + origin_y)

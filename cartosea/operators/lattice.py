@@ -30,6 +30,16 @@ def value_noise(y: np.ndarray, x: np.ndarray, grid: int, seed: int) -> np.ndarra
     return top * (1.0 - sy) + bottom * sy
 
 
+def points_noise(y: np.ndarray, x: np.ndarray, grid: int, seed: int) -> np.ndarray:
+    """value_noise of places (y, x) one by one."""
+    gy, gx = y / float(grid), x / float(grid)
+    iy, ix = np.floor(gy).astype(np.int64), np.floor(gx).astype(np.int64)
+    ease = lambda t: t * t * (3.0 - 2.0 * t)
+    sy, sx = ease(gy - iy), ease(gx - ix)
+    n = lambda dx, dy: hashed(ix + dx, iy + dy, seed)
+    return (n(0, 0) * (1.0 - sx) + n(1, 0) * sx) * (1.0 - sy) + (n(0, 1) * (1.0 - sx) + n(1, 1) * sx) * sy
+
+
 def fbm(y: np.ndarray, x: np.ndarray, octaves: int, base: float, seed: int, gain: float = 0.5, lacunarity: float = 2.0) -> np.ndarray:
     """Octaves of value noise, weighted and normalised to 0..1."""
     total, weight, amp, freq = 0.0, 0.0, 1.0, 1.0

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cartosea.functions import noise
 from cartosea.functions.colour import clip01
 from cartosea.operators import stencil as st
+from cartosea.operators.city import city_rgb
 from cartosea.operators.graph import staged
 from cartosea.operators.ranks import quantiles
 from cartosea.operators.textures import textured
@@ -119,7 +120,11 @@ def _mountain(cells: DataFrame) -> DataFrame:
 
 
 def build_rgb(cells: DataFrame, biome: str, seed: int = 42) -> DataFrame:
-    """(y, x, r, g, b) of cells (y, x, n, river, water): moisture, the biome's palette, then haze over high ground."""
+    """(y, x, r, g, b) of cells (y, x, n, river, water): moisture, the biome's palette, then haze over high ground. A city has
+    roofs, parks and roads instead."""
+    high = F.least(F.greatest((F.col("n") - 0.70) * 0.4, F.lit(0.0)), F.lit(0.06))
+    if biome == "city":
+        return city_rgb(cells.select("y", "x", "n", "water"), seed).select("y", "x", *[clip01(F.col(c) + high * h).alias(c) for c, h in zip("rgb", HAZE)])
     palette = PALETTES[biome]
     wet = cells if biome == "water" else moisture(cells)
     # written once: ranges over the grid and blurs read it again
@@ -132,6 +137,5 @@ def build_rgb(cells: DataFrame, biome: str, seed: int = 42) -> DataFrame:
         full = full.withColumn("wave", 0.03 * (F.sin(F.col("x") / 20.0 + float(seed)) * 0.5 + 0.5))
     else:
         full = full.withColumn("green", F.expr(green_of(biome)))
-    high = F.least(F.greatest((F.col("n") - 0.70) * 0.4, F.lit(0.0)), F.lit(0.06))
     bands = [clip01(F.expr(case_of(palette, i)).cast("double")) for i in range(3)]
     return full.select("y", "x", *[(clip01(v + high * h) if palette.hazy else v).alias(c) for c, v, h in zip("rgb", bands, HAZE)])

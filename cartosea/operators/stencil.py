@@ -101,6 +101,20 @@ def stretch(cells: DataFrame, value, name: str, eps: float = 0.0) -> DataFrame:
     return named.crossJoin(F.broadcast(ends)).withColumn(name, out).drop("_v", "_lo", "_hi")
 
 
+def unit_mask(cells: DataFrame, value: str, name: str) -> DataFrame:
+    """cells with name: value, divided by its maximum over the grid where that exceeds 1."""
+    top = cells.agg(F.max(value).alias("_top"))
+    return cells.crossJoin(F.broadcast(top)).withColumn(name, F.when(F.col("_top") > 1.0, F.col(value) / F.col("_top")).otherwise(F.col(value))).drop("_top")
+
+
+def stretch_all(cells: DataFrame, names) -> DataFrame:
+    """cells with each of the named columns between its minimum and maximum over the grid (0 if they hardly differ): one
+    aggregate for all of them."""
+    ends = cells.agg(*[f(c).alias(f"_{k}_{c}") for c in names for k, f in (("lo", F.min), ("hi", F.max))])
+    unit = lambda c: F.when(F.col(f"_hi_{c}") - F.col(f"_lo_{c}") < 1e-9, 0.0).otherwise((F.col(c) - F.col(f"_lo_{c}")) / F.nullif(F.col(f"_hi_{c}") - F.col(f"_lo_{c}"), F.lit(0.0)))
+    return cells.crossJoin(F.broadcast(ends)).withColumns({c: unit(c) for c in names}).drop(*ends.columns)
+
+
 def laplacian(cells: DataFrame, value: str = "z") -> DataFrame:
     """(y, x, lap): absolute sum of the four neighbours less four times the cell, wrapping around."""
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a, b, w in ((1, 0, 1.0), (-1, 0, 1.0), (0, 1, 1.0), (0, -1, 1.0), (0, 0, -4.0))]))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from cartosea.functions import geo, noise
 from cartosea.operators import stencil as st
+from cartosea.operators import world
+from cartosea.operators.graph import staged
 from cartosea.plans import raster
 from cartosea.sources import rasters
 from cartosea.sources import tables as t
@@ -60,12 +62,38 @@ def overview_levels(spark, sf):
     return mean.select("level", "y", "x", F.round(F.col("value") + 1e-7, 4).alias("mean")).join(mask.withColumnRenamed("value", "mask"), ["level", "y", "x"], "left")
 
 
-QUERIES = {f.__name__: f for f in (map_tiles, terrain_kind, field_ids, pyramid_levels, overview_levels)}
+#: Resolutions of the base-world query, from a base of 1 m.
+WANTED = {"1m": 1.0, "5m": 5.0, "10m": 10.0}
+
+
+def base_world(spark, sf):
+    """All layers of three resolutions from one base: a relief, water and flood by price, patches of colour."""
+    g = t.grid(spark, sf).select("y", "x", (F.col("z") < 20000).alias("water"), (F.col("z") < 60000).alias("flood"))
+    base = staged(raster.relief(spark, sf).join(g, ["y", "x"]).join(t.patches(spark, sf), ["y", "x"]))
+    return world.levels(base, 1.0, WANTED).select("resolution", "y", "x", F.round("dem", 4).alias("dem"), *[r6(c).alias(c) for c in ("slope", "hillshade", "r", "g", "b")], "water", "flood", "contours")
+
+
+QUERIES = {f.__name__: f for f in (map_tiles, terrain_kind, field_ids, pyramid_levels, overview_levels, base_world)}
 _X = lambda v: f"CAST(floor(({v}+180e0)/360e0*4096) AS BIGINT)"
 _Y = lambda v: f"CAST(floor((1e0-asinh(tan(radians({v})))/pi())/2e0*4096) AS BIGINT)"
 _G = t.ctes("grid")
 _size = "sqrt(gx*gx+gy*gy)"
+
+
+def _world_sql():
+    shade = f"least(greatest(sin(radians(45e0))*cos(atan({_size}))+cos(radians(45e0))*sin(atan({_size}))*cos(radians(315e0)-atan2(-gx,gy)),0e0),1e0)"
+    head = f"{t.ctes('grid', 'patches')}, s AS (SELECT max(y)+1 AS h, max(x)+1 AS w FROM grid), {raster._RELIEF}, base AS (SELECT rl.y, rl.x, rl.z, g.z<20000 AS water, g.z<60000 AS flood, r, p.g, b FROM rl JOIN grid g ON g.y=rl.y AND g.x=rl.x JOIN patches p ON p.y=rl.y AND p.x=rl.x)"
+    parts, outs = [], []
+    for name, gsd in WANTED.items():
+        k = int(gsd)
+        parts.append(f"b{k} AS (SELECT CAST(y//{k} AS INT) AS y, CAST(x//{k} AS INT) AS x, avg(z) AS z, bool_or(water) AS water, bool_or(flood) AS flood, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM base, s WHERE y<h//{k}*{k} AND x<w//{k}*{k} GROUP BY 1,2), {raster._grad_sql(f'b{k}', 'z', f'gr{k}', f'{gsd!r}e0')}")
+        rounded = ", ".join(f"(round({c},6)+0e0) AS {c}" for c in "rgb")
+        outs.append(f"SELECT '{name}' AS resolution, y, x, (round(z,4)+0e0) AS dem, (round(({_size}-min({_size}) OVER ())/(max({_size}) OVER ()-min({_size}) OVER ()),6)+0e0) AS slope, (round({shade},6)+0e0) AS hillshade, {rounded}, CAST(water AS DOUBLE) AS water, CAST(flood AS DOUBLE) AS flood, CAST(z%2e1<6e-1 OR z%2e1>194e-1 AS DOUBLE) AS contours FROM gr{k}")
+    return f"{head}, {', '.join(parts)} {' UNION ALL '.join(outs)}"
+
+
 SQL = {
+    "base_world": _world_sql(),
     "map_tiles": f"WITH p AS (SELECT s_suppkey AS id, -122.5e0+2e-1*((s_suppkey*7919)%10007)/10007e0 AS lon, 37.5e0+2e-1*((s_suppkey*104729)%10009)/10009e0 AS lat, 5e-2+5e-2*(s_suppkey%5) AS hf FROM supplier), e AS (SELECT id, {_X('lon-hf')} AS x0, {_X('lon+hf')} AS x1, {_Y('lat+hf')} AS y0, {_Y('lat-hf')} AS y1 FROM p), y AS (SELECT *, unnest(range(y0, y1+1)) AS ty FROM e), x AS (SELECT *, unnest(range(x0, x1+1)) AS tx FROM y) SELECT id, tx, ty, (ty-y0)*(x1-x0+1)+tx-x0 AS seq, (x1-x0+1)*(y1-y0+1)<=40 AS allowed FROM x",
     "terrain_kind": "WITH s AS (SELECT CAST(n_nationkey AS BIGINT) AS id, range AS i FROM nation, range(25)), a AS (SELECT id, avg(CAST((id*7919+i*104729)%101-(id*13)%101<=1 AS DOUBLE)) AS sh FROM s GROUP BY 1) SELECT id, (round(sh,6)+0e0) AS share, CASE WHEN sh>9e-1 THEN 'water' WHEN sh>3e-1 THEN 'coast' ELSE 'land' END AS kind FROM a",
     "field_ids": f"{_G}, {raster._grad_sql('grid', 'z', px='1e5')} SELECT y, x, CAST(floor((x+{raster._vn_sql('x', 'y', 40, 11)}*35e0+cos(atan2(gy,gx))*(20e0+{_size}*30e0))/18e0)*10000+floor((y+{raster._vn_sql('x', 'y', 40, 12)}*35e0+sin(atan2(gy,gx))*(20e0+{_size}*30e0))/18e0) AS INT) AS field_id FROM gr",

@@ -66,6 +66,12 @@ def ring_validity(spark, sf):
     return g.ring_faults(z.withColumn("ring", F.when(F.col("zone_id") % 2 == 0, swapped).otherwise(F.col("ring"))))
 
 
+def obstacles(spark, sf):
+    """Users' and generated zones together, and whether their rings are closed."""
+    made = fleets.stars(_keys(spark, sf, "supplier", "s_suppkey"))
+    return geojson.obstacles(t.zones(spark, sf), made).select("zone_id", "source", (F.element_at("ring", 1) == F.element_at("ring", -1)).alias("closed"))
+
+
 def zone_features(spark, sf):
     """The zones as GeoJSON, read as JSON again."""
     f = geojson.features(t.zones(spark, sf), "Polygon", "ring", ["zone_id", "zone_type"])
@@ -89,7 +95,7 @@ def feature_counts(spark, sf):
     return _routes(spark, sf).groupBy("type").agg(F.count("*").alias("features"))
 
 
-QUERIES = {f.__name__: f for f in (vessels, sea_lanes, coastal_assets, generated_routes, star_zones, generated_zones, smoothed_zones, ring_validity, zone_features, planned_routes, feature_counts)}
+QUERIES = {f.__name__: f for f in (vessels, sea_lanes, coastal_assets, generated_routes, star_zones, generated_zones, smoothed_zones, ring_validity, obstacles, zone_features, planned_routes, feature_counts)}
 _N = "(SELECT count(*) FROM nation)"
 _r = lambda v, n=6: f"(round({v}, {n}) + 0e0)"
 _u = lambda n, seed: noise.hash_sql("key", str(n), seed)
@@ -161,6 +167,7 @@ SQL = {
     "star_zones": _stars_sql(),
     "smoothed_zones": _smooth_sql(),
     "ring_validity": _faults_sql(),
+    "obstacles": "SELECT CAST(n_nationkey AS BIGINT) AS zone_id, 'user' AS source, TRUE AS closed FROM nation UNION ALL SELECT s_suppkey+(SELECT max(n_nationkey)+1 FROM nation), 'procedural', TRUE FROM supplier",
     "sea_lanes": f"WITH l AS (SELECT n_nationkey AS i, n_nationkey/CAST({_N} AS DOUBLE) AS f FROM nation), p(j,d,s) AS (VALUES (0,0e0,0e0),(1,1e-2,3e-1),(2,-1e-2,7e-1),(3,0e0,1e0)) SELECT 'lane_'||lpad(CAST(i+1 AS VARCHAR),3,'0') AS id, CASE i%4 WHEN 0 THEN 'northbound' WHEN 1 THEN 'eastbound' WHEN 2 THEN 'southbound' ELSE 'westbound' END AS direction, j AS i, (round(CASE WHEN i%2=0 THEN -122.5e0+f*2e-1+d ELSE -122.5e0+2e-1*s END,6)+0e0) AS lon, (round(CASE WHEN i%2=0 THEN 37.5e0+2e-1*s ELSE 37.5e0+f*2e-1+d END,6)+0e0) AS lat FROM l, p",
     "zone_features": f"{t.ctes('verts')} SELECT zone_id, zone_type, 'Polygon' AS kind, (round(lon,6)+0e0) AS lon FROM verts WHERE i=0",
     "feature_counts": "SELECT CASE s_suppkey%3 WHEN 0 THEN 'ferry' WHEN 1 THEN 'tss' ELSE 'irregular' END AS type, count(*) AS features FROM supplier GROUP BY 1",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cartosea.functions import noise
+from cartosea.functions import colour, noise
 from cartosea.operators import stencil as st
 from cartosea.operators.graph import staged
 from cartosea.operators.ranks import quantiles
@@ -104,6 +104,29 @@ def field_edges(spark, sf):
     return st.boundaries(g, "f")
 
 
+def field_edges_soft(spark, sf):
+    """Those boundaries blurred twice and cut at a quarter."""
+    e = field_edges(spark, sf).select("y", "x", F.col("edge").cast("double").alias("e"))
+    return st.blur(e, "e", 2).select("y", "x", r6("v").alias("v"), (F.col("v") > 0.25).alias("edge"))
+
+
+def map_water_soft(spark, sf):
+    """Water on map tiles, blurred twice and cut at 0.3."""
+    w = t.colours(spark, sf).select("y", "x", colour.is_map_water(F.col("r"), F.col("g"), F.col("b")).cast("double").alias("w"))
+    return st.blur(w, "w", 2).select("y", "x", r6("v").alias("v"), (F.col("v") > 0.3).alias("water"))
+
+
+def fbm_signed(spark, sf):
+    """Three octaves of value noise in -1..1."""
+    return _grid(spark, sf).select("y", "x", r6(noise.fbm_signed(F.col("x"), F.col("y"), 3, 48, seed=9)).alias("n"))
+
+
+def unit_masks(spark, sf):
+    """A mask of bytes divided by its maximum, and one that doesn't exceed 1 as it is."""
+    g = _grid(spark, sf).select("y", "x", F.floor(F.col("z") / 2000.0).cast("double").alias("bytes"), (F.col("z") > 250000).cast("double").alias("flags"))
+    return st.unit_mask(st.unit_mask(g, "bytes", "a"), "flags", "b").select("y", "x", r6("a").alias("a"), "b")
+
+
 def sobel_edges(spark, sf):
     """Sobel magnitude of z."""
     return st.sobel(_grid(spark, sf), "z").select("y", "x", F.round("mag", 3).alias("mag"))
@@ -192,7 +215,7 @@ def moisture(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (minmax_norm, quantile_mask, block_mean, block_any, area_resize, nearest_resize, water_share, gradient, slope, hillshade, laplacian, blur_k2, blur_k3, field_edges, sobel_edges, open_close, half_pixel, domain_warp, noise_hash, value_noise, fbm, fbm_offset, contours_relative, ridged, dunes, field_attributes, rivers_fast, moisture)
+    for f in (minmax_norm, quantile_mask, block_mean, block_any, area_resize, nearest_resize, water_share, gradient, slope, hillshade, laplacian, blur_k2, blur_k3, field_edges, field_edges_soft, map_water_soft, fbm_signed, unit_masks, sobel_edges, open_close, half_pixel, domain_warp, noise_hash, value_noise, fbm, fbm_offset, contours_relative, ridged, dunes, field_attributes, rivers_fast, moisture)
 }
 
 _G = t.ctes("grid")
@@ -255,6 +278,8 @@ SQL = {
     "blur_k2": f"{_G}, {_HW}, mm AS (SELECT y, x, CAST(z>300000 AS DOUBLE) AS m FROM grid), {_blur_sql('mm', 'm', 2)} SELECT y, x, {_r('v')} AS v, v>3e-1 AS m FROM bl",
     "blur_k3": f"{_G}, {_HW}, {_blur_sql('grid', 'z', 3)} SELECT y, x, {_r('v', 4)} AS v FROM bl",
     "field_edges": f"{_G}, f AS (SELECT y, x, CAST(floor((y+x/3e0)/7)*10000+floor(x/7e0) AS INT) AS f FROM grid) SELECT a.y, a.x, coalesce(a.f<>s.f,FALSE) OR coalesce(a.f<>e.f,FALSE) OR coalesce(a.f<>se.f,FALSE) OR coalesce(a.f<>sw.f,FALSE) AS edge FROM f a LEFT JOIN f s ON s.y=a.y+1 AND s.x=a.x LEFT JOIN f e ON e.y=a.y AND e.x=a.x+1 LEFT JOIN f se ON se.y=a.y+1 AND se.x=a.x+1 LEFT JOIN f sw ON sw.y=a.y+1 AND sw.x=a.x-1",
+    "fbm_signed": f"{_G} SELECT y, x, {_r(f'2e0*{_fbm_sql(3, 48, 9)}-1e0')} AS n FROM grid",
+    "unit_masks": f"{_G}, q AS (SELECT y, x, floor(z/2e3) AS a, CAST(z>250000 AS DOUBLE) AS b FROM grid) SELECT y, x, {_r('CASE WHEN max(a) OVER ()>1 THEN a/max(a) OVER () ELSE a END')} AS a, CASE WHEN max(b) OVER ()>1 THEN b/max(b) OVER () ELSE b END AS b FROM q",
     "sobel_edges": f"{_G}, {_HW}, o(a,b,u,v) AS (VALUES (-1,-1,-1e0,-1e0),(-1,0,0e0,-2e0),(-1,1,1e0,-1e0),(0,-1,-2e0,0e0),(0,0,0e0,0e0),(0,1,2e0,0e0),(1,-1,-1e0,1e0),(1,0,0e0,2e0),(1,1,1e0,1e0)), q AS (SELECT y, x, {_refl('(y+a)', 'h')} AS ny, {_refl('(x+b)', 'w')} AS nx, u, v FROM grid, s, o), z2 AS (SELECT q.y, q.x, sum(g.z*u) AS gx, sum(g.z*v) AS gy FROM q JOIN grid g ON g.y=q.ny AND g.x=q.nx GROUP BY 1,2) SELECT y, x, {_r('sqrt(gx*gx+gy*gy)', 3)} AS mag FROM z2",
     "open_close": f"{_G}, c5(da,db) AS (VALUES (1,0),(-1,0),(0,1),(0,-1),(0,0)), m0 AS (SELECT y, x, z>150000 AS m FROM grid), " + ", ".join(f"m{i + 1} AS ({_cross.format(agg=a, src=f'm{i}')})" for i, a in enumerate(("bool_and", "bool_or", "bool_or", "bool_and"))) + " SELECT y, x, m FROM m4",
     "half_pixel": f"{_G}, {_HW}, q AS (SELECT g.y, g.x, g.z, greatest(g.x-1,0) AS px, greatest(g.y-1,0) AS py FROM grid g) SELECT q.y, q.x, {_r('(q.z+a.z+b.z+c.z)/4e0', 4)} AS v FROM q JOIN grid a ON a.y=q.y AND a.x=q.px JOIN grid b ON b.y=q.py AND b.x=q.x JOIN grid c ON c.y=q.py AND c.x=q.px",
@@ -270,3 +295,6 @@ SQL = {
     "rivers_fast": f"{_G}, {_HW}, {_RELIEF}, {_grad_sql('nn', 'n')}, {_lap_sql('nn', 'n')}, q AS (SELECT g.y, g.x, n, (1e0-n)*7e-1+lap*6e-1-sqrt(gx*gx+gy*gy)*4e-1 AS v FROM gr g JOIN lp ON lp.y=g.y AND lp.x=g.x), p AS (SELECT y, x, n, round((v-min(v) OVER ())/(max(v) OVER ()-min(v) OVER ()+1e-6),9) AS sc FROM q), th AS (SELECT quantile_cont(sc,0.995) AS hi, quantile_cont(sc,0.985) AS lo FROM p), mk AS (SELECT y, x, CAST(sc>=hi AS DOUBLE) AS a, CAST(sc>lo AND n<55e-2 AS DOUBLE) AS b FROM p, th), {_blur_sql('mk', 'a', 2, 'ba')}, {_blur_sql('mk', 'b', 3, 'bb')} SELECT ba.y, ba.x, ba.v>3e-1 AS river, {_r('ba.v')} AS river_level, bb.v>25e-2 AS flood, {_r('bb.v')} AS flood_level FROM ba JOIN bb ON ba.y=bb.y AND ba.x=bb.x",
     "moisture": f"{_G}, {_HW}, {_NORM}, {_grad_sql('nn', 'n')}, mm AS (SELECT y, x, CAST(n<2e-1 AS DOUBLE) AS m FROM nn), {_blur_sql('mm', 'm', 3)}, u AS (SELECT y, x, n, greatest(-gx,0e0) AS up FROM gr), q AS (SELECT y, x, n, (up-min(up) OVER ())/(max(up) OVER ()-min(up) OVER ()) AS u FROM u) SELECT q.y, q.x, {_r('6e-1*v+4e-1*u')} AS moisture, n<15e-2 OR v>5e-1 AS water FROM q JOIN bl ON bl.y=q.y AND bl.x=q.x",
 }
+_soft = lambda head, source, least, name: f"{head}, {_HW}, mm AS (SELECT y, x, CAST({source[0]} AS DOUBLE) AS m FROM ({source[1]})), {_blur_sql('mm', 'm', 2)} SELECT y, x, {_r('v')} AS v, v>{least} AS {name} FROM bl"
+SQL["field_edges_soft"] = _soft(*[(h, ("edge", "SELECT a.y" + q), "25e-2", "edge") for h, q in [SQL["field_edges"].split(" SELECT a.y", 1)]][0])
+SQL["map_water_soft"] = _soft(t.ctes("grid", "colours"), ("((b-greatest(r,g)>12e-2) OR (b>4e-1 AND r<3e-1 AND g<4e-1) OR (b>r+2e-1 AND b>g+15e-2)) AND (r+g+b)/3e0<92e-2 AND (r+g+b)/3e0>1e-1", "SELECT * FROM colours"), "3e-1", "water")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartosea.functions import colour
-from cartosea.operators import palettes, terrain
+from cartosea.operators import city, palettes, terrain
 from cartosea.operators import stencil as st
 from cartosea.operators.textures import octaves
 from cartosea.sources import tables as t
@@ -50,7 +50,12 @@ def city_grid(spark, sf):
     return t.grid(spark, sf).select("y", "x", road.alias("road"), height.alias("height"))
 
 
-QUERIES = {f.__name__: f for f in (*map(_dem, terrain.reliefs()), *map(_rgb, palettes.PALETTES), parcel_rgb, shaded_rgb, city_grid)}
+def city_scene(spark, sf):
+    """Streets turned by 42 degrees, parks, heights and reflectances."""
+    return city.city_scene(t.grid(spark, sf)).select("y", "x", "road", "park", F.round("height", 4).alias("height"), *[r6(c).alias(c) for c in "rgb"])
+
+
+QUERIES = {f.__name__: f for f in (*map(_dem, terrain.reliefs()), *map(_rgb, (*palettes.PALETTES, "city")), parcel_rgb, shaded_rgb, city_grid, city_scene)}
 
 
 def _parcels_sql():
@@ -138,4 +143,28 @@ def _rgb_sql(biome):
     return f"{t.ctes('grid')}, {', '.join(ctes)} SELECT y, x, {', '.join(f'(round({v},5)+0e0) AS {c}' for c, v in zip('rgb', bands))} FROM full_"
 
 
-SQL = {**{f"dem_{b}": _dem_sql(b) for b in terrain.reliefs()}, **{f"rgb_{b}": _rgb_sql(b) for b in palettes.PALETTES}, "parcel_rgb": _parcels_sql(), "city_grid": _city_sql(), "shaded_rgb": _shaded_sql()}
+def _city_rgb_sql():
+    from cartosea.plans import raster
+
+    names = city.textures()
+    unit = ", ".join(f"({c}-min({c}) OVER ())/(max({c}) OVER ()-min({c}) OVER ()) AS {c}" for c in city.STRETCHED)
+    lines = [f"l{a} AS (SELECT DISTINCT {a}+d AS {a} FROM (SELECT {a}+CAST(trunc((pattern-5e-1)*3e1) AS INT) AS {a}, {n} AS n FROM tu, s WHERE {a}%100=0 AND {b}={m}//2) q, (SELECT unnest([-2,-1,0,1,2]) AS d) WHERE {a}>=0 AND {a}<n)" for a, b, n, m in (("y", "x", "h", "w"), ("x", "y", "w", "h"))]
+    join = "f AS (SELECT tu.*, n, n<12e-2 AS water, (ly.y IS NOT NULL OR lx.x IS NOT NULL) AND n>=12e-2 AND park<=75e-2 AS road FROM tu JOIN nn ON nn.y=tu.y AND nn.x=tu.x LEFT JOIN ly ON ly.y=tu.y LEFT JOIN lx ON lx.x=tu.x)"
+    clip = lambda v: f"least(greatest({v},0e0),1e0)"
+    bands = ", ".join(f"(round({clip(f'{clip(f'CAST({city.band_of(i)} AS DOUBLE)')}+least(greatest((n-7e-1)*4e-1,0e0),6e-2)*{h!r}e0')},5)+0e0) AS {c}" for i, (c, h) in enumerate(zip("rgb", palettes.HAZE)))
+    return f"{t.ctes('grid')}, {raster._HW}, {raster._NORM}, {_textures_sql(names, 'nn')}, tu AS (SELECT y, x, park, {unit} FROM tx), {', '.join(lines)}, {join} SELECT y, x, {bands} FROM f"
+
+
+def _scene_sql(seed=42):
+    from cartosea.functions import noise
+    from cartosea.plans import raster
+
+    n = ", ".join(f"{raster._fbm_sql(o, size, seed + s, g)} AS {k}" for k, (o, size, s, g) in city.SCENE.items())
+    mod = lambda v, m: f"((({v})%{m}+{m})%{m})"
+    one, two = "x*cos(radians(42e0))+y*sin(radians(42e0))", "y*cos(radians(42e0))-x*sin(radians(42e0))"
+    road = f"({mod(one, '80e0')}<8e0 OR {mod(two, '104e0')}<8e0 OR (lane>85e-2 AND {noise.hash_sql('x', 'y', seed + 51)}<2e-2))"
+    band = lambda p, r, hot, cold, c: f"(round(least(greatest(CASE WHEN park THEN {p} WHEN road THEN {r} ELSE (5e-1+2e-1*roof)*(CASE WHEN stuff>7e-1 THEN {hot} ELSE {cold} END) END,0e0),1e0),6)+0e0) AS {c}"
+    return f"{t.ctes('grid')}, q AS (SELECT y, x, {n} FROM grid), r AS (SELECT *, {road} AS road FROM q), p AS (SELECT *, green>825e-3 AND NOT road AS park FROM r) SELECT y, x, road, park, (round(CASE WHEN road OR park THEN 0e0 ELSE 5e0+3e1*floor(tall*8e0)/8e0 END,4)+0e0) AS height, {band('22e-2', '18e-2', '105e-2', '98e-2', 'r')}, {band('38e-2', '18e-2', '95e-2', '1e0', 'g')}, {band('2e-1', '19e-2', '85e-2', '102e-2', 'b')} FROM p"
+
+
+SQL = {"rgb_city": _city_rgb_sql(), "city_scene": _scene_sql(), **{f"dem_{b}": _dem_sql(b) for b in terrain.reliefs()}, **{f"rgb_{b}": _rgb_sql(b) for b in palettes.PALETTES}, "parcel_rgb": _parcels_sql(), "city_grid": _city_sql(), "shaded_rgb": _shaded_sql()}

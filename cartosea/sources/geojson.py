@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,42 @@ def write(feature_rows: DataFrame, path: str) -> None:
     feature_rows.select(F.col("feature").alias("value")).write.mode("overwrite").text(path)
 
 
+#: The reference system of every collection: longitude and latitude.
+CRS = {"type": "name", "properties": {"name": "urn:ogc:def:crs:OGC:1.3:CRS84"}}
+
+
+def collection(feature_rows: DataFrame) -> DataFrame:
+    """(part, value): lines of one collection file with its reference system, in order: a head, a line for each feature, a
+    tail. Features stay in their partitions; only their last commas depend on what follows."""
+    head = json.dumps({"type": "FeatureCollection", "crs": CRS})[:-1] + ', "features": ['
+    ends = feature_rows.sparkSession.createDataFrame([(0, head), (2, "]}")], "part int, value string")
+    return ends.unionByName(feature_rows.select(F.lit(1).alias("part"), F.col("feature").alias("value")))
+
+
+def write_collection(feature_rows: DataFrame, path: str) -> None:
+    """Write features as one collection in one file, for readers that want that: the file is written by one task, line by
+    line. write() scales to any number."""
+    lines = collection(feature_rows).coalesce(1).sortWithinPartitions("part", "value")
+
+    def commas(batches):
+        first = True
+        for b in batches:
+            out = []
+            for part, value in zip(b.column("part").to_pylist(), b.column("value").to_pylist()):
+                out.append(value if part != 1 or first else "," + value)
+                first = first and part != 1
+            yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
+
+    lines.mapInArrow(commas, "value string").write.mode("overwrite").text(path)
+
+
+def obstacles(user: DataFrame, procedural: DataFrame) -> DataFrame:
+    """(zone_id, source, ring): zones drawn by the user, then generated ones, whose ids go on after theirs."""
+    last = user.agg(F.coalesce(F.max("zone_id") + 1, F.lit(0)).cast("bigint").alias("_next"))
+    moved = procedural.crossJoin(F.broadcast(last)).select((F.col("zone_id") + F.col("_next")).alias("zone_id"), F.lit("procedural").alias("source"), "ring")
+    return user.select(F.col("zone_id").cast("bigint").alias("zone_id"), F.lit("user").alias("source"), "ring").unionByName(moved)
+
+
 def write_route(spark: SparkSession, route: list, path: str, properties: dict | None = None) -> None:
     """Write one route, a list of (lon, lat), as a collection of one LineString; anything else is an error."""
     if not isinstance(route, list) or not all(isinstance(p, (tuple, list)) and len(p) == 2 for p in route):

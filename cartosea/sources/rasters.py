@@ -27,6 +27,21 @@ def write(cells: DataFrame, value: str, path: str, layer: str, resolution: str,
     about.coalesce(1).write.mode("append").parquet(f"{path}/layers")
 
 
+def write_layers(long: DataFrame, path: str, resolution: str, gsd: float, west: float, north: float, units: dict[str, str]) -> None:
+    """Add many layers (layer, y, x, value) of one resolution in one write, and a row of geometry for each."""
+    good = F.when(F.isnan("value") | F.col("value").isNull() | (F.abs("value") == float("inf")), NODATA).otherwise(F.col("value"))
+    tiled = long.select("layer", "y", "x", good.alias("value"), F.lit(resolution).alias("resolution"), F.floor(F.col("y") / TILE).cast("int").alias("ty"), F.floor(F.col("x") / TILE).cast("int").alias("tx"))
+    tiled.repartition("layer", "ty", "tx").sortWithinPartitions("layer", "ty", "tx", "y", "x").write.mode("append").partitionBy("layer", "resolution", "ty", "tx").parquet(f"{path}/cells")
+    lo, hi = ZOOMS.get(resolution, (0, 0))
+    stored = long.sparkSession.read.parquet(f"{path}/cells").where(F.col("resolution") == resolution)
+    unit = F.element_at(F.create_map(*[F.lit(x) for kv in units.items() for x in kv]), F.col("layer"))
+    about = stored.groupBy("layer").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width")).select(
+        "layer", F.lit(resolution).alias("resolution"), "height", "width", unit.alias("units"), F.lit(NODATA).alias("nodata"), F.lit(lo).alias("min_zoom"), F.lit(hi).alias("max_zoom"),
+        F.struct(*[F.round(F.lit(float(q)), 12).alias(n) for n, q in zip("abcdef", (gsd, 0.0, west, 0.0, -gsd, north))]).alias("transform"),
+    )
+    about.coalesce(1).write.mode("append").parquet(f"{path}/layers")
+
+
 #: Overviews: halvings of the base.
 LEVELS = (1, 2, 3, 4)
 
@@ -52,8 +67,7 @@ def write_overviews(cells: DataFrame, value: str, path: str, layer: str, resolut
 
 def read_overview(spark: SparkSession, path: str, layer: str, resolution: str, level: int) -> DataFrame:
     """(y, x, value) of one level."""
-    found = spark.read.parquet(f"{path}/overviews")
-    return found.where((F.col("layer") == layer) & (F.col("resolution") == resolution) & (F.col("level") == level)).select("y", "x", "value")
+    return spark.read.parquet(f"{path}/overviews/layer={layer}/resolution={resolution}/level={level}").select("y", "x", "value")
 
 
 def rescaled(transform: dict[str, float], width: int, height: int, new_width: int, new_height: int) -> dict[str, float]:
@@ -64,5 +78,5 @@ def rescaled(transform: dict[str, float], width: int, height: int, new_width: in
 
 def read(spark: SparkSession, path: str, layer: str, resolution: str) -> DataFrame:
     """(y, x, value) of a layer; only its folders are listed."""
-    cells = spark.read.parquet(f"{path}/cells").where((F.col("layer") == layer) & (F.col("resolution") == resolution))
+    cells = spark.read.parquet(f"{path}/cells/layer={layer}/resolution={resolution}")
     return cells.select("y", "x", F.when(F.col("value") != NODATA, F.col("value")).alias("value"))
