@@ -9,7 +9,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEADLINE = ["traj_length_km", "point_in_zone", "hillshade", "blur_k2", "rivers_fast", "quantile_mask", "fbm", "d8_direction", "flow_accumulation", "open_close", "route_zone_hits", "detour_side", "eo_tiles", "block_mean", "mercator_project"]
+HEADLINE = ["traj_length_km", "point_in_zone", "hillshade", "blur_k2", "rivers_fast", "quantile_mask", "fbm", "d8_direction", "flow_accumulation", "open_close", "route_zone_hits", "detour_side", "eo_tiles", "block_mean", "mercator_project", "dem_mountain", "rgb_mountain", "rivers_d8"]
 
 
 def main() -> None:

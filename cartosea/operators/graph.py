@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartosea.operators.ranks import quantiles
-from cartosea.operators.stencil import CROSS, blur, neighbours, open_close, stretch
+from cartosea.operators.stencil import CROSS, around, blurs, neighbours, open_close, stretch
 
 #: East, then counter-clockwise; the lowest index wins ties.
 D8 = [(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)]
@@ -40,10 +40,12 @@ def discard(df: DataFrame) -> None:
 
 def d8_direction(cells: DataFrame, value: str = "z") -> DataFrame:
     """(y, x, dir): index of the steepest lower neighbour; -1 at the border and in pits."""
-    near = neighbours(cells, D8, value)
-    drops = cells.select("y", "x", F.col(value).alias("_z")).join(near, ["y", "x"])
-    best = drops.groupBy("y", "x").agg(F.count("*").alias("n"), F.max(F.struct((F.col("_z") - F.col("v")).alias("drop"), (-F.col("k")).alias("k"))).alias("b"))
-    return best.select("y", "x", F.when((F.col("n") == 8) & (F.col("b.drop") > 0), -F.col("b.k")).otherwise(-1).cast("int").alias("dir"))
+    sign = {-1: "m", 0: "0", 1: "p"}
+    drops = [(F.col("_z") - F.col(f"n_{sign[a]}_{sign[b]}")) for a, b in D8]
+    full = around(cells.select("y", "x", F.col(value).alias("_z")), "_z").withColumn("_d", F.array(*drops))
+    most = F.array_max("_d")
+    inside = ~F.exists("_d", lambda d: d.isNull())
+    return full.select("y", "x", F.when(inside & (most > 0), F.array_position("_d", most) - 1).otherwise(-1).cast("int").alias("dir"))
 
 
 def flow_accumulation(directions: DataFrame) -> DataFrame:
@@ -107,7 +109,6 @@ def rivers_and_flood(cells: DataFrame, value: str = "n", density: float = 0.004)
     (least,) = quantiles(acc, "acc", [1.0 - density])
     wet = acc.select("y", "x", "n", ((F.col("acc") >= least) & (F.col("n") < 0.92)).cast("double").alias("a"), F.least(F.greatest((F.col("acc") - least) / (1.0 - least + 1e-6), F.lit(0.0)), F.lit(1.0)).alias("b"))
     dry = F.least(F.greatest(F.col("n") * 1.3 - 0.5, F.lit(0.0)), F.lit(1.0))
-    river, flood = (blur(wet, c, 2).withColumnRenamed("v", c) for c in "ab")
-    out = wet.select("y", "x", "n").join(river, ["y", "x"]).join(flood, ["y", "x"])
+    out = blurs(wet.select("y", "x", "n", "a", "b"), {"n": 1, "a": 2, "b": 2})
     low = F.col("b") * (1.0 - dry)
     return out.select("y", "x", (F.col("a") > 0.30).alias("river"), (low > 0.35).alias("flood"), F.col("a").alias("river_level"), low.alias("flood_level"))

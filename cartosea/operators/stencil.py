@@ -51,26 +51,62 @@ def extent(cells: DataFrame) -> DataFrame:
     return cells.agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
 
 
-def _wrap(cells: DataFrame, value: str, axis: str, size: str, weights: list[float]) -> DataFrame:
-    """Sum along one axis with wrap-around; each cell sends its weighted value to its neighbours."""
-    half = len(weights) // 2
-    sends = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in zip(range(-half, half + 1), weights)]))
-    other = "x" if axis == "y" else "y"
-    sent = cells.select("y", "x", size, "keep", F.col(value).alias("v"), sends.alias("s"))
-    moved = sent.select(F.pmod(F.col(axis) + F.col("s.d"), F.col(size)).alias(axis), other, size, "keep", (F.col("v") * F.col("s.w")).alias("v"))
-    total = sum(weights)
-    return moved.groupBy("y", "x").agg((F.sum("v") / total).alias("v"), F.first(size).alias(size), F.first("keep").alias("keep"))
+def wrapped(cells: DataFrame, halo: int, size: int = TILE) -> DataFrame:
+    """Tiles of a grid that goes on at its other side: cells near a side stand beyond the opposite one too. _own marks each
+    cell where it belongs, once."""
+    sized = cells.crossJoin(F.broadcast(extent(cells)))
 
+    def copies(c, n):
+        turns = F.ceil(F.lit(float(halo)) / F.col(n)).cast("int")
+        return F.explode(F.filter(F.transform(F.sequence(-turns, turns), lambda m: F.col(c) + m * F.col(n)), lambda v: (v >= -halo) & (v < F.col(n) + halo)))
 
-def blur(cells: DataFrame, value: str, k: int = 3) -> DataFrame:
-    """(y, x, v): value after k rounds of a 3-mean along both axes, wrapping around; k = 1 changes nothing."""
-    plain = cells.select("y", "x", F.col(value).cast("double").alias("v"))
-    if k <= 1:
+    around = sized.withColumn("_y", copies("y", "h")).withColumn("_x", copies("x", "w"))
+    inner = (F.col("_y") == F.col("y")) & (F.col("_x") == F.col("x"))
+    dealt = tiles(around.withColumn("_inner", inner).drop("y", "x", "h", "w").withColumnsRenamed({"_y": "y", "_x": "x"}), halo, size)
+    return dealt.withColumn("_own", F.col("_own") & F.col("_inner")).drop("_inner")
+
+
+def blurs(cells: DataFrame, rounds: dict[str, int]) -> DataFrame:
+    """(y, x, values...): each value after so many rounds of a 3-mean along both axes, wrapping around; one round changes
+    nothing. Weighted sums along windows of one tile: one shuffle for all values and both axes."""
+    plain = cells.select("y", "x", *[F.col(c).cast("double").alias(c) for c in rounds])
+    weights = {c: folded(k) for c, k in rounds.items() if k > 1}
+    if not weights:
         return plain
-    sized = plain.crossJoin(F.broadcast(extent(cells)))
-    w = folded(k)
-    down = _wrap(sized.withColumn("keep", F.col("w")), "v", "y", "h", w)
-    return _wrap(down.select("y", "x", "v", F.col("keep").alias("w"), F.lit(0).alias("keep")), "v", "x", "w", w).select("y", "x", "v")
+
+    def along(c, w):
+        half = len(weights[c]) // 2
+        out = F.col(c) * weights[c][half]
+        for d in range(1, half + 1):
+            out = out + weights[c][half + d] * (F.lag(c, d).over(w) + F.lead(c, d).over(w))
+        return out / sum(weights[c])
+
+    # beyond the halo there is nothing: sums there are null, and so are not a tile's own
+    dealt = wrapped(plain, max(len(v) // 2 for v in weights.values()))
+    for w in (_column(), _row()):
+        dealt = dealt.withColumns({c: along(c, w) for c in weights})
+    return own(dealt)
+
+
+def blur(cells: DataFrame, value: str, k: int = 3) -> DataFrame:
+    """(y, x, v): value after k rounds of a 3-mean; see blurs()."""
+    return blurs(cells.select("y", "x", F.col(value).alias("v")), {"v": k})
+
+
+def relief_of(cells: DataFrame, value: str) -> DataFrame:
+    """cells with gy and gx (one-sided at edges) and lap (the absolute Laplacian, wrapping around) from one pass over tiles."""
+    size = extent(cells)
+    dealt = wrapped(cells, 1).crossJoin(F.broadcast(size))
+    around_ = {c: (F.lag(value).over(w), F.lead(value).over(w)) for c, w in (("y", _column()), ("x", _row()))}
+
+    def along(c, n):
+        before, after, here = *around_[c], F.col(value)
+        first, last = F.col(c) == 0, F.col(c) == F.col(n) - 1
+        step = F.when(first & last, None).when(first | last, 1.0).otherwise(2.0)
+        return F.coalesce((F.when(last, here).otherwise(after) - F.when(first, here).otherwise(before)) / step, F.lit(0.0))
+
+    lap = F.abs(around_["y"][1] + around_["y"][0] + around_["x"][1] + around_["x"][0] - 4.0 * F.col(value))
+    return own(dealt.withColumns({"gy": along("y", "h"), "gx": along("x", "w"), "lap": lap}), "h", "w")
 
 
 def gradient(cells: DataFrame, value: str = "z", pixel: float = 1.0) -> DataFrame:
@@ -117,10 +153,9 @@ def stretch_all(cells: DataFrame, names) -> DataFrame:
 
 def laplacian(cells: DataFrame, value: str = "z") -> DataFrame:
     """(y, x, lap): absolute sum of the four neighbours less four times the cell, wrapping around."""
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a, b, w in ((1, 0, 1.0), (-1, 0, 1.0), (0, 1, 1.0), (0, -1, 1.0), (0, 0, -4.0))]))
-    sent = cells.crossJoin(F.broadcast(extent(cells))).select("y", "x", "h", "w", F.col(value).alias("v"), steps.alias("s"))
-    moved = sent.select(F.pmod(F.col("y") + F.col("s.a"), F.col("h")).alias("y"), F.pmod(F.col("x") + F.col("s.b"), F.col("w")).alias("x"), (F.col("v") * F.col("s.w")).alias("v"))
-    return moved.groupBy("y", "x").agg(F.abs(F.sum("v")).alias("lap"))
+    near = [f("v").over(w) for w in (_column(), _row()) for f in (F.lead, F.lag)]
+    dealt = wrapped(cells.select("y", "x", F.col(value).alias("v")), 1)
+    return own(dealt.withColumn("lap", F.abs(near[0] + near[1] + near[2] + near[3] - 4.0 * F.col("v"))), "v")
 
 
 def neighbours(cells: DataFrame, offsets: list[tuple[int, int]], value: str) -> DataFrame:
@@ -148,23 +183,44 @@ def open_close(cells: DataFrame, mask: str) -> DataFrame:
     return own(out)
 
 
+def _beside(w, step: int, value: str, axis: str):
+    """The value one cell before (-1) or after (1) along a window; null where no cell is."""
+    f = F.lag if step < 0 else F.lead
+    return F.when(f(axis).over(w) == F.col(axis) + step, f(value).over(w))
+
+
+def around(cells: DataFrame, value: str) -> DataFrame:
+    """cells with the values of their eight neighbours, null where there is none: n_<dy>_<dx> with m for -1, 0 and p for 1.
+    Tiles with a halo of one cell: one shuffle."""
+    dealt = tiles(cells, 1)
+    for name, step in (("m", -1), ("p", 1)):
+        dealt = dealt.withColumn(f"n_0_{name}", _beside(_row(), step, value, "x"))
+    dealt = dealt.withColumn("n_0_0", F.col(value))
+    for name, step in (("m", -1), ("p", 1)):
+        dealt = dealt.withColumns({f"n_{name}_{dx}": _beside(_column(), step, f"n_0_{dx}", "y") for dx in "m0p"})
+    return own(dealt, "n_0_0")
+
+
 def boundaries(cells: DataFrame, field: str) -> DataFrame:
     """(y, x, edge): whether a cell's field differs from that to its south, east, south-east or south-west."""
-    near = neighbours(cells, [(1, 0), (0, 1), (1, 1), (1, -1)], field)
-    other = near.groupBy("y", "x").agg(F.collect_list("v").alias("vs"))
-    return cells.join(other, ["y", "x"], "left").select("y", "x", F.coalesce(F.exists("vs", lambda v: v != F.col(field)), F.lit(False)).alias("edge"))
+    differs = [F.coalesce(F.col(f"n_{n}") != F.col(field), F.lit(False)) for n in ("p_0", "0_p", "p_p", "p_m")]
+    return around(cells.select("y", "x", field), field).select("y", "x", (differs[0] | differs[1] | differs[2] | differs[3]).alias("edge"))
 
 
 def sobel(cells: DataFrame, value: str) -> DataFrame:
-    """(y, x, mag): Sobel gradient magnitude; edges repeat by reflection at the border."""
-    sized = cells.crossJoin(F.broadcast(extent(cells)))
-    reflect = lambda v, n: F.when(v < 0, -v).when(v >= n, 2 * n - 2 - v).otherwise(v)
-    parts = [(a, b, float(b * (2 if a == 0 else 1)), float(a * (2 if b == 0 else 1))) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(u).alias("u"), F.lit(v).alias("v")) for a, b, u, v in parts]))
-    asks = sized.select("y", "x", "h", "w", steps.alias("s")).select("y", "x", "s", reflect(F.col("y") + F.col("s.a"), F.col("h")).alias("ny"), reflect(F.col("x") + F.col("s.b"), F.col("w")).alias("nx"))
-    got = asks.join(cells.select(F.col("y").alias("ny"), F.col("x").alias("nx"), F.col(value).alias("val")), ["ny", "nx"])
-    sums = got.groupBy("y", "x").agg(F.sum(F.col("val") * F.col("s.u")).alias("gx"), F.sum(F.col("val") * F.col("s.v")).alias("gy"))
-    return sums.select("y", "x", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("mag"))
+    """(y, x, mag): Sobel gradient magnitude; the border mirrors the cells inside it."""
+    full = around(cells.select("y", "x", F.col(value).cast("double").alias("v")), "v")
+    here = F.col("v")
+
+    def at(dy, dx):
+        """A neighbour, or across the border its mirror image; along an only row or column the cell itself."""
+        name = lambda a, b: "n_" + {-1: "m", 0: "0", 1: "p"}[a] + "_" + {-1: "m", 0: "0", 1: "p"}[b]
+        tries = dict.fromkeys([(dy, dx), (-dy, dx), (dy, -dx), (-dy, -dx)]) if dy and dx else dict.fromkeys([(dy, dx), (-dy, -dx)])
+        return F.coalesce(*[F.col(name(*p)) for p in tries], *([F.col(name(dy, 0)), F.col(name(-dy, 0)), F.col(name(0, dx)), F.col(name(0, -dx))] if dy and dx else []), here)
+
+    gx = at(-1, 1) + 2.0 * at(0, 1) + at(1, 1) - at(-1, -1) - 2.0 * at(0, -1) - at(1, -1)
+    gy = at(1, -1) + 2.0 * at(1, 0) + at(1, 1) - at(-1, -1) - 2.0 * at(-1, 0) - at(-1, 1)
+    return full.withColumns({"gx": gx, "gy": gy}).select("y", "x", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("mag"))
 
 
 def half_shift(cells: DataFrame, value: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartosea.functions import colour, noise
+from cartosea.operators import palettes
 from cartosea.operators import stencil as st
 from cartosea.operators.graph import staged
 from cartosea.operators.ranks import quantiles
+from cartosea.operators.textures import textured
 from cartosea.sources import tables as t
 
 r6 = lambda c: F.round(c, 6)
@@ -24,7 +26,8 @@ def _norm(spark, sf):
 
 def relief(spark, sf):
     """(y, x, z): hills of four octaves over the grid's cells, roughened by their prices, so that water gathers."""
-    return _grid(spark, sf).select("y", "x", (600.0 * noise.fbm(F.col("x"), F.col("y"), 4, 48, seed=5) + F.col("z") / 1000000.0).alias("z"))
+    hills = textured(_grid(spark, sf), {"hills": (4, 48, 0)}, 5)
+    return hills.select("y", "x", (600.0 * F.col("hills") + F.col("z") / 1000000.0).alias("z"))
 
 
 def minmax_norm(spark, sf):
@@ -195,22 +198,19 @@ def field_attributes(spark, sf):
 
 def rivers_fast(spark, sf):
     """River and flood cells of a relief by a curvature score, smoothed."""
-    g = st.gradient(st.stretch(relief(spark, sf), F.col("z"), "n").select("y", "x", "n"), "n")
-    lap = st.laplacian(g.select("y", "x", F.col("n").alias("z")))
+    g = st.relief_of(st.stretch(relief(spark, sf), F.col("z"), "n").select("y", "x", "n"), "n")
     score = (1.0 - F.col("n")) * 0.7 + F.col("lap") * 0.6 - F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) * 0.4
-    s = staged(st.stretch(g.join(lap, ["y", "x"]), score, "s", eps=1e-6).select("y", "x", "n", F.round("s", 9).alias("s")))
+    s = staged(st.stretch(g, score, "s", eps=1e-6).select("y", "x", "n", F.round("s", 9).alias("s")))
     high, low = quantiles(s, "s", [0.995, 0.985])
-    masks = s.select("y", "x", (F.col("s") >= high).cast("double").alias("a"), ((F.col("s") > low) & (F.col("n") < 0.55)).cast("double").alias("b"))
-    river, flood = (st.blur(masks, c, k).select("y", "x", (F.col("v") > least).alias(n), r6("v").alias(f"{n}_level")) for c, k, least, n in (("a", 2, 0.30, "river"), ("b", 3, 0.25, "flood")))
-    return river.join(flood, ["y", "x"])
+    masks = s.select("y", "x", (F.col("s") >= high).cast("double").alias("river"), ((F.col("s") > low) & (F.col("n") < 0.55)).cast("double").alias("flood"))
+    soft = st.blurs(masks, {"river": 2, "flood": 3})
+    return soft.select("y", "x", (F.col("river") > 0.30).alias("river"), (F.col("flood") > 0.25).alias("flood"), r6("river").alias("river_level"), r6("flood").alias("flood_level"))
 
 
 def moisture(spark, sf):
-    """Wetness: blurred water and the stretched windward slope."""
-    g = st.gradient(_norm(spark, sf).select("y", "x", "n"), "n")
-    wet = st.blur(g.select("y", "x", (F.col("n") < 0.2).cast("double").alias("m")), "m", 3)
-    s = st.stretch(g.withColumn("up", F.greatest(-F.col("gx"), F.lit(0.0))), F.col("up"), "u")
-    return s.join(wet, ["y", "x"]).select("y", "x", r6(0.6 * F.col("v") + 0.4 * F.col("u")).alias("moisture"), ((F.col("n") < 0.15) | (F.col("v") > 0.5)).alias("water"))
+    """Wetness: rivers blurred six times and the stretched windward slope."""
+    n = _norm(spark, sf).select("y", "x", "n", (F.col("n") < 0.2).alias("river"))
+    return palettes.moisture(n).select("y", "x", r6("moisture").alias("moisture"), ((F.col("n") < 0.15) | (F.col("moisture") > 0.4)).alias("water"))
 
 
 QUERIES = {
@@ -293,7 +293,7 @@ SQL = {
     "dunes": f"{_G}, q AS (SELECT y, x, (cos((x*cos(radians(25e0))+y*sin(radians(25e0)))/(24*6e-1)+{_vn_sql('x', 'y', 24, 5)}*3.14159e0)+1e0)*5e-1 AS v FROM grid) {_STR}",
     "field_attributes": f"WITH h AS (SELECT p_partkey, (p_partkey*2654435761)%2147483648 AS h FROM part) SELECT p_partkey, {_r('(h%1000)/1000e0')} AS greenness, {_r('((h//1000)%1000)/1000e0')} AS variation FROM h",
     "rivers_fast": f"{_G}, {_HW}, {_RELIEF}, {_grad_sql('nn', 'n')}, {_lap_sql('nn', 'n')}, q AS (SELECT g.y, g.x, n, (1e0-n)*7e-1+lap*6e-1-sqrt(gx*gx+gy*gy)*4e-1 AS v FROM gr g JOIN lp ON lp.y=g.y AND lp.x=g.x), p AS (SELECT y, x, n, round((v-min(v) OVER ())/(max(v) OVER ()-min(v) OVER ()+1e-6),9) AS sc FROM q), th AS (SELECT quantile_cont(sc,0.995) AS hi, quantile_cont(sc,0.985) AS lo FROM p), mk AS (SELECT y, x, CAST(sc>=hi AS DOUBLE) AS a, CAST(sc>lo AND n<55e-2 AS DOUBLE) AS b FROM p, th), {_blur_sql('mk', 'a', 2, 'ba')}, {_blur_sql('mk', 'b', 3, 'bb')} SELECT ba.y, ba.x, ba.v>3e-1 AS river, {_r('ba.v')} AS river_level, bb.v>25e-2 AS flood, {_r('bb.v')} AS flood_level FROM ba JOIN bb ON ba.y=bb.y AND ba.x=bb.x",
-    "moisture": f"{_G}, {_HW}, {_NORM}, {_grad_sql('nn', 'n')}, mm AS (SELECT y, x, CAST(n<2e-1 AS DOUBLE) AS m FROM nn), {_blur_sql('mm', 'm', 3)}, u AS (SELECT y, x, n, greatest(-gx,0e0) AS up FROM gr), q AS (SELECT y, x, n, (up-min(up) OVER ())/(max(up) OVER ()-min(up) OVER ()) AS u FROM u) SELECT q.y, q.x, {_r('6e-1*v+4e-1*u')} AS moisture, n<15e-2 OR v>5e-1 AS water FROM q JOIN bl ON bl.y=q.y AND bl.x=q.x",
+    "moisture": f"{_G}, {_HW}, {_NORM}, {_grad_sql('nn', 'n')}, mm AS (SELECT y, x, CAST(n<2e-1 AS DOUBLE) AS m FROM nn), {_blur_sql('mm', 'm', 6)}, u AS (SELECT y, x, n, greatest(-gx,0e0) AS up FROM gr), q AS (SELECT y, x, n, (up-min(up) OVER ())/(max(up) OVER ()-min(up) OVER ()) AS u FROM u), o AS (SELECT q.y, q.x, n, least(greatest(6e-1*v+4e-1*u,0e0),1e0) AS m FROM q JOIN bl ON bl.y=q.y AND bl.x=q.x) SELECT y, x, {_r('m')} AS moisture, n<15e-2 OR m>4e-1 AS water FROM o",
 }
 _soft = lambda head, source, least, name: f"{head}, {_HW}, mm AS (SELECT y, x, CAST({source[0]} AS DOUBLE) AS m FROM ({source[1]})), {_blur_sql('mm', 'm', 2)} SELECT y, x, {_r('v')} AS v, v>{least} AS {name} FROM bl"
 SQL["field_edges_soft"] = _soft(*[(h, ("edge", "SELECT a.y" + q), "25e-2", "edge") for h, q in [SQL["field_edges"].split(" SELECT a.y", 1)]][0])
