@@ -179,6 +179,16 @@ def shortest_routes(spark, sf):
     return best.select("route_id", r6("length").alias("length"))
 
 
+#: Buffer of the collision-free lines.
+NARROW = 0.003
+
+
+def collision_free_routes(spark, sf):
+    """Points of a line for each leg that keeps away from zones, the rule that gave it, and whether it does."""
+    out = wayfinding.collision_free(t.legs(spark, sf), t.zones(spark, sf), NARROW)
+    return out.select("route_id", "clear", "rule", F.posexplode("line").alias("seq", "p")).select("route_id", "clear", "rule", "seq", F.round("p.lon", 5).alias("lon"), F.round("p.lat", 5).alias("lat"))
+
+
 def snap_outside(spark, sf):
     """Points inside zones, moved to the first of 19 rings of 8 places that is outside all zones."""
     zones = t.zones(spark, sf)
@@ -228,7 +238,7 @@ def mask_sets(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (traj_length_km, track_bounds, zone_area, zone_vertices, offset_vertices, point_in_zone, route_zone_hits, first_blocking, invalid_routes, zone_min_distance, zone_nearest, zones_within, adaptive_buffer, clipped_zones, straight_waypoints, resample_rings, detour_side, best_detour, bbox_detour, visibility_edges, visibility_graph, shortest_routes, snap_outside, d8_direction, flow_accumulation, mask_regions, clean_water, rivers_d8, mask_sets)
+    for f in (traj_length_km, track_bounds, zone_area, zone_vertices, offset_vertices, point_in_zone, route_zone_hits, first_blocking, invalid_routes, zone_min_distance, zone_nearest, zones_within, adaptive_buffer, clipped_zones, straight_waypoints, resample_rings, detour_side, best_detour, bbox_detour, visibility_edges, visibility_graph, shortest_routes, collision_free_routes, snap_outside, d8_direction, flow_accumulation, mask_regions, clean_water, rivers_d8, mask_sets)
 }
 
 _r = lambda v, n=6: f"(round({v}, {n}) + 0e0)"
@@ -309,6 +319,28 @@ def _shortest_sql():
     return f"{_L.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_graph_sql()}, {direct}{links}, {both}, {walk} SELECT d.route_id, {_r('min(d.dist+ke.far)')} AS length FROM d JOIN ke ON ke.route_id=d.route_id AND ke.node=d.node GROUP BY 1"
 
 
+def _even_sql(name, source, n):
+    """(route_id, seq, lon, lat): n + 1 points at even steps along the lines (route_id, i, lon, lat) of source."""
+    steps = f"{name}w AS (SELECT *, lag(lon) OVER q AS plon, lag(lat) OVER q AS plat FROM {source} WINDOW q AS (PARTITION BY route_id ORDER BY i)), {name}d AS (SELECT *, coalesce(sqrt(pow(lon-plon,2)+pow(lat-plat,2)),0e0) AS d FROM {name}w), {name}c AS (SELECT *, sum(d) OVER (PARTITION BY route_id ORDER BY i) AS hi, sum(d) OVER (PARTITION BY route_id) AS tot FROM {name}d)"
+    at = f"{name}g AS (SELECT *, CAST(range AS INT) AS seq, range/{n}e0*tot AS tg, row_number() OVER (PARTITION BY route_id, range ORDER BY i) AS r FROM {name}c, range({n + 1}) WHERE plon IS NOT NULL AND hi-d-1e-12<=range/{n}e0*tot AND range/{n}e0*tot<=hi+1e-12)"
+    part = "CASE WHEN d>0 THEN (tg-(hi-d))/d ELSE 0e0 END"
+    return f"{steps}, {at}, {name} AS (SELECT route_id, seq, plon+{part}*(lon-plon) AS lon, plat+{part}*(lat-plat) AS lat FROM {name}g WHERE r=1)"
+
+
+def _collision_sql():
+    b = f"{NARROW!r}e0"
+    gap = f"CASE WHEN {_hit('l.ax', 'l.ay', 'l.bx', 'l.by_')} THEN 0e0 ELSE least({_ps('l.ax', 'l.ay', 'e')},{_ps('l.bx', 'l.by_', 'e')},{_ps('e.ax', 'e.ay', 'l')},{_ps('e.bx', 'e.by_', 'l')}) END"
+    first = f"lg AS (SELECT route_id, slon AS ax, slat AS ay, elon AS bx, elat AS by_ FROM legs), fz AS (SELECT route_id, min(zone_id) AS zone_id FROM (SELECT route_id, e.zone_id FROM lg l, edges e GROUP BY route_id, l.ax, l.ay, l.bx, l.by_, e.zone_id HAVING min({gap})<{b}-1e-12 OR {_in('l.ax', 'l.ay')}) GROUP BY 1)"
+    outer = f"md AS (SELECT zone_id, avg(ax) AS cx, avg(ay) AS cy FROM edges GROUP BY 1), ov AS (SELECT e.zone_id, i, ax+(ax-cx)/sqrt(pow(ax-cx,2)+pow(ay-cy,2))*{b}*15e-1 AS lon, ay+(ay-cy)/sqrt(pow(ax-cx,2)+pow(ay-cy,2))*{b}*15e-1 AS lat FROM edges e JOIN md ON md.zone_id=e.zone_id)"
+    sides = "v AS (SELECT l.*, i, lon, lat, (elon-slon)*(lat-slat)-(elat-slat)*(lon-slon)>0 AS lf FROM fz JOIN legs l ON l.route_id=fz.route_id JOIN ov ON ov.zone_id=fz.zone_id), p AS (SELECT route_id, lf, -1 AS i, slon AS lon, slat AS lat FROM v GROUP BY ALL UNION ALL SELECT route_id, lf, i, lon, lat FROM v UNION ALL SELECT route_id, lf, 99, elon, elat FROM v GROUP BY ALL)"
+    pick = "pl AS (SELECT *, coalesce(sqrt(pow(lon-lag(lon) OVER q,2)+pow(lat-lag(lat) OVER q,2)),0e0) AS d FROM p WINDOW q AS (PARTITION BY route_id, lf ORDER BY i)), ps AS (SELECT route_id, lf, sum(d) AS tot FROM pl GROUP BY 1,2), ch AS (SELECT route_id, arg_min(lf, tot+CASE WHEN lf THEN 0e0 ELSE 1e-15 END) AS lf FROM ps GROUP BY 1), pb AS (SELECT p.route_id, i, lon, lat FROM p JOIN ch ON ch.route_id=p.route_id AND ch.lf=p.lf)"
+    pieces = f"pc AS (SELECT route_id, lon AS ax, lat AS ay, lead(lon) OVER q AS bx, lead(lat) OVER q AS by_ FROM det WINDOW q AS (PARTITION BY route_id ORDER BY seq)), pq AS (SELECT * FROM pc WHERE bx IS NOT NULL), {_blocked_sql('bad', 'pq', 'route_id', NARROW)}"
+    turn = f"bx AS (SELECT min(ax)-{b}-1e-2 AS w, max(ax)+{b}+1e-2 AS e, min(ay)-{b}-1e-2 AS s, max(ay)+{b}+1e-2 AS n FROM edges), tn AS (SELECT l.*, k AS p, CASE WHEN k IN (0,3) THEN w ELSE e END AS wlon, CASE WHEN k IN (0,1) THEN s ELSE n END AS wlat FROM legs l JOIN bad ON bad.route_id=l.route_id, bx, (SELECT unnest([0,1,2,3]) AS k)), tl AS (SELECT route_id, p, slon AS ax, slat AS ay, wlon AS bx, wlat AS by_ FROM tn UNION ALL SELECT route_id, p, wlon, wlat, elon, elat FROM tn), {_blocked_sql('bt', 'tl', 'route_id, p', NARROW)}"
+    best = "ok AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY p) AS r FROM tn WHERE NOT EXISTS (SELECT 1 FROM bt WHERE bt.route_id=tn.route_id AND bt.p=tn.p)), bn AS (SELECT route_id, 0 AS i, slon AS lon, slat AS lat FROM ok WHERE r=1 UNION ALL SELECT route_id, 1, wlon, wlat FROM ok WHERE r=1 UNION ALL SELECT route_id, 2, elon, elat FROM ok WHERE r=1)"
+    every = "al AS (SELECT route_id, 'straight' AS rule, CAST(range AS INT) AS seq, slon+(elon-slon)*(range/1e1) AS lon, slat+(elat-slat)*(range/1e1) AS lat FROM legs, range(11) WHERE route_id NOT IN (SELECT route_id FROM fz) UNION ALL SELECT route_id, 'corner', seq, lon, lat FROM crn UNION ALL SELECT route_id, CASE WHEN route_id IN (SELECT route_id FROM bad) THEN 'none' ELSE 'side' END, seq, lon, lat FROM det WHERE route_id NOT IN (SELECT route_id FROM crn))"
+    return f"{_L}, {first}, {outer}, {sides}, {pick}, {_even_sql('det', 'pb', 15)}, {pieces}, {turn}, {best}, {_even_sql('crn', 'bn', 10)}, {every} SELECT route_id, rule<>'none' AS clear, rule, seq, {_r('lon', 5)} AS lon, {_r('lat', 5)} AS lat FROM al"
+
+
 def _detour_sql():
     ends = "SELECT route_id, zone_id, lf, -1 AS i, slon AS lon, slat AS lat FROM v GROUP BY ALL UNION ALL SELECT route_id, zone_id, lf, i, lon, lat FROM v UNION ALL SELECT route_id, zone_id, lf, 99, elon, elat FROM v GROUP BY ALL"
     ways = f"{_L}, {_hits('legs', ['route_id'])}, v AS (SELECT h.route_id, h.zone_id, e.i, e.ax AS lon, e.ay AS lat, slon, slat, elon, elat, (elon-slon)*(e.ay-slat)-(elat-slat)*(e.ax-slon)>0 AS lf FROM hits h JOIN legs l ON l.route_id=h.route_id JOIN edges e ON e.zone_id=h.zone_id), p AS ({ends})"
@@ -322,6 +354,7 @@ def _detour_sql():
 SQL = {
     "visibility_graph": f"{_E}, {_graph_sql()} SELECT a, b, {_r('far')} AS far FROM vg",
     "shortest_routes": _shortest_sql(),
+    "collision_free_routes": _collision_sql(),
     "best_detour": _detour_sql(),
     "clipped_zones": _clip_sql(),
     "clean_water": _clean_sql(),
