@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartosea.llm.common import sliced
+from cartosea.llm.common import LONG_WORD, sliced
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SLICE = 3 << 20
@@ -126,7 +126,8 @@ def coder(path: str) -> tiktoken.Encoding:
 
 
 def _encode_words(path: str):
-    """Rows of words, in order of their bucket, become rows of ids; a word is encoded once for its bucket."""
+    """Rows of words, in order of their bucket, become rows of ids; a word is encoded once for its bucket, one of more than
+    LONG_WORD bytes once for each slice that has it."""
 
     def run(batches):
         one = coder(path)._core_bpe.encode_single_piece
@@ -142,7 +143,9 @@ def _encode_words(path: str):
                     w = body[a:z]
                     got = known.get(w)
                     if got is None:
-                        got = known[w] = one(w)
+                        got = one(w)
+                        if len(w) <= LONG_WORD:
+                            known[w] = got
                     ids.append(got)
                 rows.append((key, bucket, pack(np.fromiter(map(len, ids), np.int64, len(ids))), pack(np.fromiter((x for y in ids for x in y), np.int64))))
             if rows:

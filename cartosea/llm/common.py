@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
+#: Bytes (or letters) of the longest word that workers remember: with the number of words it bounds what they hold.
+LONG_WORD = 64
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Where that is unset a local run gets one of its own; a cluster, whose
     machines share no other folder, is refused."""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartosea.llm.bpe import _CUT, coder
-from cartosea.llm.common import column, sliced, stage, text_key, tidy, utf8
+from cartosea.llm.common import LONG_WORD, column, sliced, stage, text_key, tidy, utf8
 from cartosea.llm.wordhash import Words, covered
 
 MIN_WORDS, REPEAT_PERCENT, RUN = 10, 20, 5
@@ -57,11 +57,13 @@ class _Vocabularies:
         if len(self.known) > CACHE:
             self.known.clear()
         new = [w for w in words if w not in self.known]
+        long = {}
         if new:
             texts = [w.decode() for w in new]
             for w, t, ids in zip(new, texts, self.sp.encode(texts, num_threads=1)):
-                self.known[w] = np.asarray(ids, np.int32).tobytes(), sum(len(self.one(x.encode())) for x in _CUT.findall(" " + t))
-        got = [self.known[w] for w in words]
+                (self.known if len(w) <= LONG_WORD else long)[w] = np.asarray(ids, np.int32).tobytes(), sum(len(self.one(x.encode())) for x in _CUT.findall(" " + t))
+        known = self.known
+        got = [long[w] if w in long else known[w] for w in words] if long else [known[w] for w in words]
         return [g[0] for g in got], np.fromiter((g[1] for g in got), np.int64, len(got))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cartosea.llm import files, shards
-from cartosea.llm.common import column, discard, sliced, stage, workspace
+from cartosea.llm.common import LONG_WORD, column, discard, sliced, stage, workspace
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 MAGIC = b"CMRC0002"
@@ -292,7 +292,8 @@ class _Words:
     """A worker's tokenizer with the ids of the chunks between blanks that it has seen; blanks never join tokens.
 
     Chunks are remembered in two generations: when the young one is full it becomes the old one, and chunks that are
-    met again move up, so common ones are never encoded twice.
+    met again move up, so common ones are never encoded twice. Chunks of more than LONG_WORD letters are encoded for each
+    batch anew, so that texts without blanks don't fill the memory.
     """
 
     def __init__(self, path: str):
@@ -313,9 +314,10 @@ class _Words:
                     young[p] = old[p]
                 else:
                     new.append(p)
+        long = {}
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            young[p] = array("I", e.ids).tobytes()
-        get = young.__getitem__
+            (young if len(p) <= LONG_WORD else long)[p] = array("I", e.ids).tobytes()
+        get = (lambda p: long[p] if p in long else young[p]) if long else young.__getitem__
         return [b"".join(map(get, x)) for x in parts]
 
 

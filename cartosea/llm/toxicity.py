@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartosea.llm.common import column, sliced, utf8
+from cartosea.llm.common import LONG_WORD, column, sliced, utf8
 
 SPREAD, LEVEL = 8, 19
 #: Windows of a document that its score looks at.
@@ -162,8 +162,13 @@ class Scorer:
         if new:
             x = _features(lengths(new, self.dicts[0]), lengths(new, self.dicts[1]), new)
             w = np.asarray(self.model.window)
-            self.known.update(zip(new, np.clip(x @ w[:-1] + w[-1], -20, 20).tolist()))
-        get = self.known.__getitem__
+            found = dict(zip(new, np.clip(x @ w[:-1] + w[-1], -20, 20).tolist()))
+            long = {k: found.pop(k) for k in new if len(k) > LONG_WORD}
+            self.known.update(found)
+        else:
+            long = {}
+        known = self.known
+        get = (lambda k: long[k] if k in long else known[k]) if long else known.__getitem__
         return np.fromiter(map(get, words), np.float64, len(words))
 
     def rows(self, docs: list[list[bytes]]) -> np.ndarray:

@@ -64,3 +64,10 @@ def test_many_shards_and_long_texts(spark, monkeypatch):
     tie = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) as h").collect()}
     assert got == _want(sorted(rows, key=lambda r: (r[0], tie[r[1]])))
     assert m.select("shard").distinct().count() > 10
+
+
+def test_long_chunks_are_not_remembered():
+    words = K._Words(P.path(K.VOCABULARY))
+    texts = [f"word {'ab' * 5000}{i} word" for i in range(300)]
+    first = words.encode(texts)
+    assert words.encode(texts) == first and len(words.young) == 1 and len(set(first)) == 300

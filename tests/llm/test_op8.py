@@ -91,3 +91,15 @@ def test_verdicts_against_plain_lists_in_any_order(spark, sf):
     assert {r["doc_id"]: r["kept"] for r in got} == want and 0 < sum(want.values()) < len(want)
     again = score_documents(docs.repartition(7, "text"), ["doc_id", "lang"]).collect()
     assert {r["doc_id"]: r["kept"] for r in again} == want
+
+
+def test_long_words_are_not_remembered():
+    import public_tokenizers
+
+    from cartosea.llm import quality
+
+    v = quality._Vocabularies(public_tokenizers.path(quality.PIECES), public_tokenizers.path(quality.BYTES))
+    words = [b"plain", *[b"long" * 5000 + str(i).encode() for i in range(50)]]
+    ids, counts = v.measure(words)
+    again, more = v.measure(words)
+    assert ids == again and counts.tolist() == more.tolist() and set(v.known) == {b"plain"}
