@@ -18,6 +18,7 @@ from cartosea.operators import stencil as st
 from cartosea.operators.city import city_rgb
 from cartosea.operators.graph import staged
 from cartosea.operators.ranks import quantiles
+from cartosea.operators.rural import rural_rgb
 from cartosea.operators.textures import textured
 
 
@@ -121,7 +122,9 @@ def _mountain(cells: DataFrame) -> DataFrame:
 
 def build_rgb(cells: DataFrame, biome: str, seed: int = 42) -> DataFrame:
     """(y, x, r, g, b) of cells (y, x, n, river, water): moisture, the biome's palette, then haze over high ground. A city has
-    roofs, parks and roads instead."""
+    roofs, parks and roads instead; forest and farm have parcels, and no haze."""
+    if biome in ("forest", "farm"):
+        return rural_rgb(cells, seed)
     high = F.least(F.greatest((F.col("n") - 0.70) * 0.4, F.lit(0.0)), F.lit(0.06))
     if biome == "city":
         return city_rgb(cells.select("y", "x", "n", "water"), seed).select("y", "x", *[clip01(F.col(c) + high * h).alias(c) for c, h in zip("rgb", HAZE)])

@@ -11,12 +11,13 @@ from cartosea.operators import lattice
 
 
 def octaves(textures: dict[str, tuple], seed: int) -> list[tuple[str, int, int, float]]:
-    """(texture, lattice, seed, weight) of every octave; textures: name -> (octaves, base, offset of the seed[, gain])."""
+    """(texture, lattice, seed, weight) of every octave; textures: name -> (octaves, base, offset of the seed[, gain[,
+    lacunarity]])."""
     out = []
-    for name, (n, base, step, *gain) in textures.items():
-        g = gain[0] if gain else 0.5
+    for name, (n, base, step, *more) in textures.items():
+        g, lacunarity = [*more, 0.5, 2.0][:2] if len(more) != 1 else [more[0], 2.0]
         total = sum(g**i for i in range(n))
-        out += [(name, max(2, int(base / 2.0**i)), seed + step + 1000 * i, g**i / total) for i in range(n)]
+        out += [(name, max(2, int(base / lacunarity**i)), seed + step + 1000 * i, g**i / total) for i in range(n)]
     return out
 
 

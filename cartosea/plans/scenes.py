@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartosea.functions import colour
-from cartosea.operators import city, palettes, terrain
+from cartosea.operators import city, palettes, rural, terrain
 from cartosea.operators import stencil as st
 from cartosea.operators.textures import octaves
 from cartosea.sources import tables as t
@@ -55,7 +55,12 @@ def city_scene(spark, sf):
     return city.city_scene(t.grid(spark, sf)).select("y", "x", "road", "park", F.round("height", 4).alias("height"), *[r6(c).alias(c) for c in "rgb"])
 
 
-QUERIES = {f.__name__: f for f in (*map(_dem, terrain.reliefs()), *map(_rgb, (*palettes.PALETTES, "city")), parcel_rgb, shaded_rgb, city_grid, city_scene)}
+def forest_scene(spark, sf):
+    """Canopy and reflectances of a forest."""
+    return rural.forest_scene(t.grid(spark, sf)).select("y", "x", F.round("canopy", 4).alias("canopy"), *[r6(c).alias(c) for c in "rgb"])
+
+
+QUERIES = {f.__name__: f for f in (*map(_dem, terrain.reliefs()), *map(_rgb, (*palettes.PALETTES, "city", "forest", "farm")), parcel_rgb, shaded_rgb, city_grid, city_scene, forest_scene)}
 
 
 def _parcels_sql():
@@ -167,4 +172,36 @@ def _scene_sql(seed=42):
     return f"{t.ctes('grid')}, q AS (SELECT y, x, {n} FROM grid), r AS (SELECT *, {road} AS road FROM q), p AS (SELECT *, green>825e-3 AND NOT road AS park FROM r) SELECT y, x, road, park, (round(CASE WHEN road OR park THEN 0e0 ELSE 5e0+3e1*floor(tall*8e0)/8e0 END,4)+0e0) AS height, {band('22e-2', '18e-2', '105e-2', '98e-2', 'r')}, {band('38e-2', '18e-2', '95e-2', '1e0', 'g')}, {band('2e-1', '19e-2', '85e-2', '102e-2', 'b')} FROM p"
 
 
-SQL = {"rgb_city": _city_rgb_sql(), "city_scene": _scene_sql(), **{f"dem_{b}": _dem_sql(b) for b in terrain.reliefs()}, **{f"rgb_{b}": _rgb_sql(b) for b in palettes.PALETTES}, "parcel_rgb": _parcels_sql(), "city_grid": _city_sql(), "shaded_rgb": _shaded_sql()}
+def _rural_sql():
+    from cartosea.plans import raster
+
+    size = "sqrt(gx*gx+gy*gy)"
+    at = lambda c, f: f"floor(({c}+move_{c}*35e0+{f}(atan2(gy,gx))*(20e0+{size}*30e0))/18e0)"
+    fields = f"t0 AS (SELECT gr.*, tx.* EXCLUDE (y, x) FROM gr JOIN tx ON tx.y=gr.y AND tx.x=gr.x), tm AS (SELECT *, n<12e-2 AS water, CAST({at('x', 'cos')}*10000+{at('y', 'sin')} AS INT) AS f FROM t0)"
+    edge = "eg AS (SELECT a.*, coalesce(a.f<>s.f,FALSE) OR coalesce(a.f<>e.f,FALSE) OR coalesce(a.f<>se.f,FALSE) OR coalesce(a.f<>sw.f,FALSE) AS edge FROM tm a LEFT JOIN tm s ON s.y=a.y+1 AND s.x=a.x LEFT JOIN tm e ON e.y=a.y AND e.x=a.x+1 LEFT JOIN tm se ON se.y=a.y+1 AND se.x=a.x+1 LEFT JOIN tm sw ON sw.y=a.y+1 AND sw.x=a.x-1)"
+    own = f"h AS (SELECT *, ((CAST(f AS BIGINT)*2654435761)%2147483648+2147483648)%2147483648 AS hh FROM eg), v AS (SELECT *, (hh%1000)/1e3 AS green, ((hh//1000)%1000)/1e3 AS vary FROM h), k AS (SELECT *, CASE WHEN green<5e-1 THEN 0 WHEN green<75e-2 THEN 1 ELSE 2 END AS k, CAST(floor(vary*3e0) AS INT)%3 AS s, NOT water AND ((edge AND vary>88e-2 AND (1e0-{size})*vary>3e-1) OR ((1e0-{size})*vary>7e-1 AND vary>85e-2)) AS track FROM v)"
+    lit = lambda v: f"{v!r}e0"
+
+    def band(i, c):
+        base = "CASE k*3+s " + " ".join(f"WHEN {k * 3 + s} THEN {lit(terrain.PARCELS[k][s][i])}" for k in range(3) for s in range(3)) + " END"
+        grain = "CASE k " + " ".join(f"WHEN {k} THEN {lit(g[i])}" for k, g in enumerate(rural.GRAIN)) + " END"
+        wet = f"(CASE WHEN vary>5e-1 THEN {lit(rural.WATERS[0][i])} ELSE {lit(rural.WATERS[1][i])} END)+4e-2*fine"
+        ground = f"CASE WHEN track THEN {lit(terrain.TRACK[i])} WHEN edge AND NOT water THEN {lit(terrain.HEDGE[i])} WHEN water THEN {wet} ELSE {base}+({grain})*fine END"
+        return f"(round(least(greatest(({ground}+CASE WHEN water THEN 0e0 ELSE {lit(rural.BLADES[i])}*micro END)*88e-2,0e0),1e0),5)+0e0) AS {c}"
+
+    return f"{t.ctes('grid')}, {raster._NORM}, {raster._grad_sql('nn', 'n')}, {_textures_sql(rural.TEXTURES, 'nn')}, {fields}, {edge}, {own} SELECT y, x, {', '.join(band(i, c) for i, c in enumerate('rgb'))} FROM k"
+
+
+def _forest_sql(seed=42):
+    n = ", ".join(f"{_fbm(o, size, seed + s, g, la)} AS {k}" for k, (o, size, s, g, la) in rural.CANOPY.items())
+    bands = ", ".join(f"(round(least(greatest({a}+{b}*c,0e0),1e0),6)+0e0) AS {k}" for (a, b), k in zip((("18e-2", "15e-2"), ("35e-2", "35e-2"), ("15e-2", "1e-1")), "rgb"))
+    return f"{t.ctes('grid')}, q AS (SELECT y, x, {n} FROM grid), d AS (SELECT *, CASE WHEN 7e-1*large+3e-1*medium>35e-2 THEN 7e-1*large+3e-1*medium ELSE 0e0 END AS c FROM q) SELECT y, x, (round(c*(8e0+6e0*(2e0*medium-1e0)),4)+0e0) AS canopy, {bands} FROM d"
+
+
+def _fbm(*a):
+    from cartosea.plans import raster
+
+    return raster._fbm_sql(*a)
+
+
+SQL = {"rgb_forest": _rural_sql(), "rgb_farm": _rural_sql(), "forest_scene": _forest_sql(), "rgb_city": _city_rgb_sql(), "city_scene": _scene_sql(), **{f"dem_{b}": _dem_sql(b) for b in terrain.reliefs()}, **{f"rgb_{b}": _rgb_sql(b) for b in palettes.PALETTES}, "parcel_rgb": _parcels_sql(), "city_grid": _city_sql(), "shaded_rgb": _shaded_sql()}

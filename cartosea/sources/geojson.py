@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
