@@ -39,7 +39,7 @@ def drawn(rows: DataFrame, most: int, seed: int) -> DataFrame:
 
 def draw(n):
     """Draw number n of a row, 0..1."""
-    return F.col("_u").getItem(n)
+    return F.col("_u")[n]
 
 
 def _index(u, n):

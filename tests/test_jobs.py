@@ -104,3 +104,40 @@ def test_no_boolean_column_is_constant(sf):
         assert rows, name
         constant |= {(name, k) for i, k in flags if len(rows) > 1 and len({x[i] for x in rows}) == 1}
     assert constant <= listed, constant - listed
+
+
+def test_maritime_run(spark, tmp_path):
+    from cartosea import jobs
+
+    conf = tmp_path / "config.json"
+    box = lambda w, s, e, n: [[w, s], [e, s], [e, n], [w, n]]
+    conf.write_text(json.dumps({
+        "user_no_go_zones": [{"id": "a", "name": "A", "zoneType": "military", "coordinates": box(148.04, -37.76, 148.06, -37.74)}],
+        "user_routes": [{"id": "r", "name": "R", "start": {"lon": 148.0, "lat": -37.9}, "end": {"lon": 148.1, "lat": -37.6}, "type": "ferry"}],
+        "num_routes": 4, "route_type": ["ferry", "irregular"], "num_zones": {"mpa": 1, "military": 0, "windfarm": 2}, "flir_frames": 2, "random_seed": 5,
+    }))
+    made = jobs.run_maritime(spark, str(conf), str(tmp_path / "out"), "2026_01_02_030405")
+    assert made == ["user_zones", "user_routes", "procedural_zones", "procedural_routes", "flir"] == runs.read_metadata(spark, str(tmp_path / "out/metadata"))["outputs"]
+    (route,) = geojson.read(spark, str(tmp_path / "out/user_routes")).collect()
+    about = json.loads(route["properties"])
+    assert about["route_valid"] and about["waypoints"] > 2 and about["vessel_type"] == "ferry"
+    kinds = [json.loads(r["properties"])["zone_type"] for r in geojson.read(spark, str(tmp_path / "out/procedural_zones")).collect()]
+    assert sorted(kinds) == ["mpa", "windfarm", "windfarm"]
+    assert geojson.read(spark, str(tmp_path / "out/procedural_routes")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "out/flir")).groupBy("frame").count().collect()[0]["count"] == 64 * 64
+    conf.write_text("{}")
+    assert jobs.run_maritime(spark, str(conf), str(tmp_path / "none"), "2026_01_02_030405") == []
+
+
+def test_terrain_run(spark, tmp_path):
+    from cartosea import jobs
+
+    bounds = (-122.5000, 37.5000, -122.4995, 37.5004)
+    jobs.run_terrain(spark, "coast", bounds, ["1m", "10m"], str(tmp_path), "2026_01_02_030405")
+    about = {(r["layer"], r["resolution"]): (r["height"], r["width"]) for r in spark.read.parquet(f"{tmp_path}/layers").collect()}
+    assert len(about) == 2 * len(world.LAYERS)
+    h, w = about["dem", "1m"]
+    assert 40 < w < 50 and 40 < h < 50 and about["dem", "10m"] == (h // 10, w // 10)
+    for wrong in (((0, 1, 1, 0), ["1m"]), (bounds, ["3m"]), ((-122.5, 37.5, -122.0, 38.0), ["1m"])):
+        with pytest.raises(ValueError):
+            jobs.run_terrain(spark, "coast", *wrong, str(tmp_path / "no"), "x")
