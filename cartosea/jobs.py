@@ -48,12 +48,12 @@ def settings(spark: SparkSession, path: str):
     return {"routes": r["num_routes"] or 0, "types": r["route_type"] or ["ferry"], "zones": {k: zones.get(k) or 0 for k in fleets.KINDS}, "frames": r["flir_frames"] or 0, "seed": r["random_seed"] if r["random_seed"] is not None else 42}
 
 
-def procedural_zones(spark: SparkSession, counts: dict[str, int], seed: int, box: Box) -> DataFrame:
+def procedural_zones(spark: SparkSession, counts: dict[str, int], seed: int, box: Box, smooth: bool = True) -> DataFrame:
     """(zone_id, zone_type, restriction, ring): so many zones of each kind."""
     kinds = len(fleets.KINDS)
     most = max([0, *counts.values()])
     wanted = F.element_at(F.array(*[F.lit(counts.get(k, 0)) for k in fleets.KINDS]), (F.col("id") % kinds + 1).cast("int"))
-    return fleets.zones(spark.range(most * kinds).where(F.floor(F.col("id") / kinds) < wanted).select(F.col("id").alias("key")), seed, box)
+    return fleets.zones(spark.range(most * kinds).where(F.floor(F.col("id") / kinds) < wanted).select(F.col("id").alias("key")), seed, box, smooth)
 
 
 def procedural_routes(spark: SparkSession, count: int, types: list[str], seed: int, box: Box) -> DataFrame:
@@ -87,7 +87,9 @@ def run_maritime(spark: SparkSession, config: str, path: str, timestamp: str, bo
     if not zones.isEmpty():
         write("procedural_zones", geojson.features(zones, "Polygon", "ring", ["zone_id", "zone_type", "restriction"]))
     if asked["routes"]:
-        every = staged(geojson.obstacles(numbered, zones).select("zone_id", "ring"))
+        # around the unsmoothed zones, whose corners are few
+        outlines = procedural_zones(spark, asked["zones"], asked["seed"], box, smooth=False)
+        every = staged(geojson.obstacles(numbered, outlines).select("zone_id", "ring"))
         write("procedural_routes", geojson.features(planned(procedural_routes(spark, asked["routes"], asked["types"], asked["seed"], box), every), "LineString", "line", props))
         discard(every)
     if asked["frames"]:

@@ -151,7 +151,9 @@ def stars(rows: DataFrame, seed: int = 42, box: Box = Box()) -> DataFrame:
     return z.select(F.col("key").alias("zone_id"), "zone_type", pick(lambda v: v[4]).alias("restriction"), (F.col("rad") * pick(lambda v: v[3])).alias("smooth"), ring.alias("ring"))
 
 
-def zones(rows: DataFrame, seed: int = 42, box: Box = Box()) -> DataFrame:
-    """(zone_id, zone_type, restriction, ring): stars with rounded corners, cut at the box."""
-    smooth = smooth_rings(stars(rows, seed, box), F.col("smooth")).drop("smooth")
-    return clip_rings(smooth, (box.west, box.south), (box.east, box.north))
+def zones(rows: DataFrame, seed: int = 42, box: Box = Box(), smooth: bool = True) -> DataFrame:
+    """(zone_id, zone_type, restriction, ring): stars with rounded corners, cut at the box. Without smoothing they have
+    few vertices and hold the smooth ones, so ways around them are clear of those too."""
+    drawn_ = stars(rows, seed, box)
+    made = smooth_rings(drawn_, F.col("smooth")) if smooth else drawn_
+    return clip_rings(made.drop("smooth"), (box.west, box.south), (box.east, box.north))
