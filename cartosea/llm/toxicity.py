@@ -162,14 +162,11 @@ class Scorer:
         if new:
             x = _features(lengths(new, self.dicts[0]), lengths(new, self.dicts[1]), new)
             w = np.asarray(self.model.window)
-            found = dict(zip(new, np.clip(x @ w[:-1] + w[-1], -20, 20).tolist()))
-            long = {k: found.pop(k) for k in new if len(k) > LONG_WORD}
-            self.known.update(found)
-        else:
-            long = {}
-        known = self.known
-        get = (lambda k: long[k] if k in long else known[k]) if long else known.__getitem__
-        return np.fromiter(map(get, words), np.float64, len(words))
+            self.known.update(zip(new, np.clip(x @ w[:-1] + w[-1], -20, 20).tolist()))
+        out = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+        for k in [k for k in new if len(k) > LONG_WORD]:  # they would fill the memory
+            del self.known[k]
+        return out
 
     def rows(self, docs: list[list[bytes]]) -> np.ndarray:
         """The TOP largest log-odds and the logarithm of the number of windows of each document."""
