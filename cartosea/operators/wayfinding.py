@@ -34,26 +34,50 @@ def walk(segments: DataFrame, reach: float, width: float = g.CELL) -> DataFrame:
     return columns.withColumn("_cy", F.explode(F.sequence(at(flat[0] - reach), at(flat[1] + reach))))
 
 
-def _zone_cells(zones: DataFrame) -> DataFrame:
+def _inside(points: DataFrame, zones: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _zone) of the points (lon, lat) in zones: by cell, by box, then by the ring."""
     z = g.bounds(zones)
-    return g.tile(z, F.col("min_lon"), F.col("max_lon"), F.col("min_lat"), F.col("max_lat")).select(F.col("zone_id").alias("_zone"), "ring", "_cx", "_cy")
+    z = g.tile(z, F.col("min_lon"), F.col("max_lon"), F.col("min_lat"), F.col("max_lat")).select(F.col("zone_id").alias("_zone"), "ring", "_cx", "_cy", "min_lon", "max_lon", "min_lat", "max_lat")
+    p = points.withColumns({"_cx": F.floor(F.col("lon") / g.CELL).cast("bigint"), "_cy": F.floor(F.col("lat") / g.CELL).cast("bigint")})
+    boxed = F.lit(True)
+    for c in ("lon", "lat"):
+        boxed = boxed & (F.col(c) >= F.col(f"min_{c}") - 1e-9) & (F.col(c) <= F.col(f"max_{c}") + 1e-9)
+    return p.join(z, ["_cx", "_cy"]).where(boxed & g.contains(F.col("ring"), F.col("lon"), F.col("lat"))).select(*keys, "_zone")
+
+
+def _edge_cells(zones: DataFrame) -> DataFrame:
+    """A row (_zone, ax, ay, bx, by, _cx, _cy) for each edge of the zones and each cell of its box."""
+    e = zones.select(F.col("zone_id").alias("_zone"), F.explode(g.edges(F.col("ring"))).alias("e")).select("_zone", "e.*")
+    return g.tile(e, F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by"))
+
+
+def spread(frame: DataFrame, *keys: str) -> DataFrame:
+    """frame in as many parts as a shuffle has: each of its few rows stands for much work."""
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def blocked(segments: DataFrame, zones: DataFrame, keys: list[str], buffer: float) -> DataFrame:
     """(keys, zone_id) of the segments (slon, slat, elon, elat) that a zone keeps from passing: nearer than the buffer, or
-    begun inside."""
+    begun inside. Segments meet edges as plain rows; those with an edge whole on one side, a buffer away from their line,
+    need no distance."""
     leg = {"ax": F.col("slon"), "ay": F.col("slat"), "bx": F.col("elon"), "by": F.col("elat")}
-    close = F.exists(g.edges(F.col("ring")), lambda e: g._edge_gap(leg, e) < buffer - 1e-12)
-    met = walk(segments, buffer).join(_zone_cells(zones), ["_cx", "_cy"])
-    return met.where(close | g.contains(F.col("ring"), F.col("slon"), F.col("slat"))).select(*keys, F.col("_zone").alias("zone_id")).distinct()
+    edge = {c: F.col(c) for c in ("ax", "ay", "bx", "by")}
+    dx, dy = F.col("elon") - F.col("slon"), F.col("elat") - F.col("slat")
+    off = lambda x, y: dx * (F.col(y) - F.col("slat")) - dy * (F.col(x) - F.col("slon"))
+    wide = F.sqrt(dx * dx + dy * dy) * buffer
+    beside = (F.least(off("ax", "ay"), off("bx", "by")) <= wide) & (F.greatest(off("ax", "ay"), off("bx", "by")) >= -wide)
+    met = walk(segments.select(*keys, "slon", "slat", "elon", "elat"), buffer).join(_edge_cells(zones), ["_cx", "_cy"])
+    close = met.where(beside & (g._edge_gap(leg, edge) < buffer - 1e-12)).select(*keys, "_zone")
+    begun = _inside(segments.select(*keys, F.col("slon").alias("lon"), F.col("slat").alias("lat")), zones, keys)
+    return close.unionByName(begun).distinct().withColumnRenamed("_zone", "zone_id")
 
 
 def near(points: DataFrame, zones: DataFrame, keys: list[str], buffer: float) -> DataFrame:
     """(keys) of the points (lon, lat) in buffered zones."""
-    close = F.exists(g.edges(F.col("ring")), lambda e: g.point_segment(F.col("lon"), F.col("lat"), e["ax"], e["ay"], e["bx"], e["by"]) < buffer)
-    boxed = g.tile(points, F.col("lon") - buffer, F.col("lon") + buffer, F.col("lat") - buffer, F.col("lat") + buffer)
-    met = boxed.join(_zone_cells(zones), ["_cx", "_cy"])
-    return met.where(close | g.contains(F.col("ring"), F.col("lon"), F.col("lat"))).select(*keys).distinct()
+    boxed = g.tile(points.select(*keys, "lon", "lat"), F.col("lon") - buffer, F.col("lon") + buffer, F.col("lat") - buffer, F.col("lat") + buffer)
+    met = boxed.join(_edge_cells(zones), ["_cx", "_cy"])
+    close = met.where(g.point_segment(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) < buffer).select(*keys)
+    return close.unionByName(_inside(points, zones, keys).select(*keys)).distinct()
 
 
 def _first_free(tries: DataFrame, zones: DataFrame, keys: list[str], buffer: float) -> DataFrame:
@@ -65,7 +89,7 @@ def _first_free(tries: DataFrame, zones: DataFrame, keys: list[str], buffer: flo
 def snap(points: DataFrame, zones: DataFrame, keys: list[str], buffer: float) -> DataFrame:
     """points (keys, lon, lat), those in buffered zones moved to the first of 19 rings of 8 places that is outside."""
     moves = F.array(*[F.struct(F.lit(8 * m + i).alias("p"), F.lit(STEP * (m + 1) * dx).alias("dx"), F.lit(STEP * (m + 1) * dy).alias("dy")) for m in range(RINGS) for i, (dx, dy) in enumerate(DIRECTIONS)])
-    inside = points.join(near(points, zones, keys, buffer), keys, "left_semi")
+    inside = spread(points.join(near(points, zones, keys, buffer), keys, "left_semi"), *keys)
     tries = inside.select(*keys, "lon", "lat", F.explode(moves).alias("m")).select(*keys, "m.p", (F.col("lon") + F.col("m.dx")).alias("lon"), (F.col("lat") + F.col("m.dy")).alias("lat"))
     moved = _first_free(tries, zones, keys, buffer).withColumnsRenamed({"lon": "_lon", "lat": "_lat"})
     return points.join(moved, keys, "left").select(*keys, F.coalesce("_lon", "lon").alias("lon"), F.coalesce("_lat", "lat").alias("lat"))
@@ -100,7 +124,7 @@ def _pairs(some: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
 
 def visibility(nodes: DataFrame, zones: DataFrame, buffer: float, reach: float) -> DataFrame:
     """(a, b, far) both ways: nodes within reach of each other, with no buffered zone between them."""
-    pairs = _pairs(nodes.select(F.col("node").alias("a"), "lon", "lat"), nodes, reach).where(F.col("a") < F.col("other"))
+    pairs = _pairs(spread(nodes.select(F.col("node").alias("a"), "lon", "lat"), "a"), nodes, reach).where(F.col("a") < F.col("other"))
     legs = pairs.select("a", F.col("other").alias("b"), "far", F.col("lon").alias("slon"), F.col("lat").alias("slat"), F.col("olon").alias("elon"), F.col("olat").alias("elat"))
     clear = legs.join(blocked(legs, zones, ["a", "b"], buffer).select("a", "b").distinct(), ["a", "b"], "left_anti").select("a", "b", "far")
     return clear.unionByName(clear.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
@@ -108,7 +132,7 @@ def visibility(nodes: DataFrame, zones: DataFrame, buffer: float, reach: float)
 
 def _links(ends: DataFrame, nodes: DataFrame, zones: DataFrame, buffer: float, reach: float) -> DataFrame:
     """(route_id, node, far): nodes that an end of a route sees."""
-    legs = _pairs(ends, nodes, reach).select("route_id", F.col("other").alias("node"), "far", F.col("lon").alias("slon"), F.col("lat").alias("slat"), F.col("olon").alias("elon"), F.col("olat").alias("elat"))
+    legs = _pairs(spread(ends, "route_id"), nodes, reach).select("route_id", F.col("other").alias("node"), "far", F.col("lon").alias("slon"), F.col("lat").alias("slat"), F.col("olon").alias("elon"), F.col("olat").alias("elat"))
     return legs.join(blocked(legs, zones, ["route_id", "node"], buffer).select("route_id", "node").distinct(), ["route_id", "node"], "left_anti").select("route_id", "node", "far")
 
 
@@ -116,30 +140,36 @@ def shortest(legs: DataFrame, nodes: DataFrame, edges: DataFrame, zones: DataFra
     """(route_id, length, path): for legs (route_id, slon, slat, elon, elat) that aren't clear themselves, the shortest way
     over the graph; path has the nodes between the ends. Routes without a way are absent.
 
-    Each round relaxes the edges of the nodes whose distance fell in the last one, and only where the distance and the
-    straight line that is left don't already exceed the route's best way: rounds are as many as the bends of a way, and a
-    route leaves when nothing can shorten it. Of equal ways the one with the smaller nodes stays.
+    Routes share the ways between nodes: a tree of shortest ways grows from each node that a start sees, once for all
+    routes, so rounds hold at most the square of the nodes and don't grow with the routes. Each round relaxes the edges of
+    the nodes whose distance fell in the last one; rounds are as many as the bends of a way. Then each route takes the
+    least sum over the nodes that its two ends see. Of equal ways the one with the smaller nodes stays.
     """
     at = lambda end: legs.select("route_id", F.col(f"{end}lon").alias("lon"), F.col(f"{end}lat").alias("lat"))
     goal = staged(_links(at("e"), nodes, zones, buffer, reach).select("route_id", "node", F.col("far").alias("last")))
-    left = F.sqrt(F.pow(F.col("lon") - F.col("elon"), 2) + F.pow(F.col("lat") - F.col("elat"), 2))
-    place = nodes.select("node", "lon", "lat")
-    begun = _links(at("s"), nodes, zones, buffer, reach).select("route_id", "node", F.col("far").alias("dist"), F.array("node").alias("path"))
-    known = staged(begun.withColumn("new", F.lit(True)))
-    while True:
-        done = known.join(goal, ["route_id", "node"]).groupBy("route_id").agg(F.min(F.struct((F.col("dist") + F.col("last")).alias("length"), "path")).alias("w"))
-        best = staged(done.select("route_id", F.col("w.length").alias("length"), F.col("w.path").alias("path")))
-        ahead = known.where("new").join(place, "node").join(legs.select("route_id", "elon", "elat"), "route_id").join(best.select("route_id", "length"), "route_id", "left")
-        frontier = ahead.where(F.col("length").isNull() | (F.col("dist") + left < F.col("length"))).select("route_id", "node", "dist", "path")
-        reached = frontier.join(edges.withColumnRenamed("a", "node"), "node").select("route_id", F.col("b").alias("node"), (F.col("dist") + F.col("far")).alias("dist"), F.concat("path", F.array("b")).alias("path"))
-        tried = known.select("route_id", "node", "dist", "path", F.lit(False).alias("new")).unionByName(reached.withColumn("new", F.lit(True)))
-        after = staged(tried.groupBy("route_id", "node").agg(F.min(F.struct("dist", "new", "path")).alias("s")).select("route_id", "node", "s.dist", "s.path", "s.new"))
+    begun = staged(_links(at("s"), nodes, zones, buffer, reach).select("route_id", F.col("node").alias("src"), F.col("far").alias("first")))
+    # only routes with both ends in sight of the graph count
+    begun_both = begun.join(goal.select("route_id").distinct(), "route_id", "left_semi")
+    seen = begun_both.select("src").distinct()
+    known = staged(seen.select("src", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.array("src").alias("path"), F.lit(True).alias("new")))
+    while not known.where("new").isEmpty():
+        frontier = spread(known.where("new"), "node")
+        reached = frontier.join(edges.withColumnRenamed("a", "node"), "node").select("src", F.col("b").alias("node"), (F.col("dist") + F.col("far")).alias("dist"), F.concat("path", F.array("b")).alias("path"))
+        # the least distance by plain numbers first: few ways go on to the comparison of paths
+        least = reached.groupBy("src", "node").agg(F.min("dist").alias("dist"))
+        better = least.join(known.select("src", "node", F.col("dist").alias("had")), ["src", "node"], "left").where("had is null or dist < had").select("src", "node", "dist")
+        news = reached.join(better, ["src", "node", "dist"]).groupBy("src", "node", "dist").agg(F.min("path").alias("path"))
+        tried = known.select("src", "node", "dist", "path", F.lit(False).alias("new")).unionByName(news.withColumn("new", F.lit(True)))
+        after = staged(tried.groupBy("src", "node").agg(F.min(F.struct("dist", "new", "path")).alias("s")).select("src", "node", "s.dist", "s.path", "s.new"))
         discard(known)
         known = after
-        if known.where("new").isEmpty():
-            discard(known)
-            return best
-        discard(best)
+    ways = begun_both.join(goal, "route_id").join(known.select("src", "node", "dist"), ["src", "node"]).select("route_id", "src", "node", (F.col("first") + F.col("dist") + F.col("last")).alias("length"))
+    least = staged(ways.groupBy("route_id").agg(F.min("length").alias("length")))
+    ties = ways.join(least, ["route_id", "length"]).join(known.select("src", "node", "path"), ["src", "node"])
+    best = staged(ties.groupBy("route_id").agg(F.min(F.struct("length", "path")).alias("w")).select("route_id", "w.length", "w.path"))
+    for done in (goal, begun, known, least):
+        discard(done)
+    return best
 
 
 def box_ways(legs: DataFrame, zones: DataFrame, buffer: float, pad: float = 0.1) -> DataFrame:
@@ -176,14 +206,14 @@ def plan(routes: DataFrame, zones: DataFrame, buffer: float, reach: float = 0.1)
     moved = snap(ends.select("route_id", "x.end", "x.at.lon", "x.at.lat"), zones, ["route_id", "end"], buffer)
     both = moved.groupBy("route_id").agg(*[F.max(F.when(F.col("end") == e, F.col(c))).alias(f"{e}{c}") for e in "se" for c in ("lon", "lat")])
     legs = staged(bound.select("route_id", "type").join(both, "route_id"))
-    hit = staged(blocked(legs, zones, ["route_id"], buffer).select("route_id").distinct())
+    hit = staged(blocked(spread(legs, "route_id"), zones, ["route_id"], buffer).select("route_id").distinct())
     open_ = legs.join(hit, "route_id", "left_semi")
     nodes = staged(corners(zones, buffer))
     edges = staged(visibility(nodes, zones, buffer, reach))
     over = shortest(open_, nodes, edges, zones, buffer, reach)
     bends = over.select("route_id", F.posexplode("path").alias("i", "node")).join(nodes, "node").groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("i", "lon", "lat"))).alias("v"))
     ways = staged(bends.select("route_id", F.transform("v", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("way")))
-    around = staged(box_ways(open_.join(ways, "route_id", "left_anti"), zones, buffer))
+    around = staged(box_ways(spread(open_.join(ways, "route_id", "left_anti"), "route_id"), zones, buffer))
     found = legs.join(hit.withColumn("_hit", F.lit(True)), "route_id", "left").join(ways.unionByName(around), "route_id", "left")
     kept = found.select("route_id", "type", "slon", "slat", "elon", "elat", (F.col("_hit").isNull() | F.col("way").isNotNull()).alias("route_valid"), F.coalesce("way", F.array().cast("array<struct<lon: double, lat: double>>")).alias("way"))
     line = F.concat(F.array(place("slon", "slat")), "way", F.array(place("elon", "elat")))
@@ -201,7 +231,7 @@ def collision_free(legs: DataFrame, zones: DataFrame, buffer: float, points: int
     zones; else that side after all, not clear. rule names the step that decided: straight, side, corner or none. Each
     step goes on with what is still open."""
     legs = staged(legs.select("route_id", "slon", "slat", "elon", "elat"))
-    hits = staged(blocked(legs, zones, ["route_id"], buffer).groupBy("route_id").agg(F.min("zone_id").alias("zone_id")))
+    hits = staged(blocked(spread(legs, "route_id"), zones, ["route_id"], buffer).groupBy("route_id").agg(F.min("zone_id").alias("zone_id")))
     straight = g.straight_waypoints(legs.join(hits, "route_id", "left_anti"), points).withColumn("rule", F.lit("straight"))
     ring = zones.select("zone_id", F.posexplode(F.slice("ring", 1, F.size("ring") - 1)).alias("i", "v"))
     middle = ring.groupBy("zone_id").agg(F.avg("v.lon").alias("cx"), F.avg("v.lat").alias("cy"))
@@ -219,13 +249,13 @@ def collision_free(legs: DataFrame, zones: DataFrame, buffer: float, points: int
     line = best.select("route_id", F.posexplode("pts").alias("i", "p")).select("route_id", "i", "p.lon", "p.lat")
     detour = staged(g.resample(line, "route_id", 15))
     after = lambda c: F.element_at("v", F.col("n") + 1)[c]
-    whole = detour.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))).alias("v"))
+    whole = spread(detour, "route_id").groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))).alias("v"))
     pieces = whole.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("v") - 1))).select("route_id", F.element_at("v", F.col("n"))["lon"].alias("slon"), F.element_at("v", F.col("n"))["lat"].alias("slat"), after("lon").alias("elon"), after("lat").alias("elat"))
     bad = staged(blocked(pieces, zones, ["route_id"], buffer).select("route_id").distinct())
     pad = buffer + 0.01
     box = g.bounds(zones).agg((F.min("min_lon") - pad).alias("w"), (F.max("max_lon") + pad).alias("e"), (F.min("min_lat") - pad).alias("s"), (F.max("max_lat") + pad).alias("n"))
     turns = F.array(*[F.array(place(x, y)) for x, y in (("w", "s"), ("e", "s"), ("e", "n"), ("w", "n"))])
-    tried = legs.join(bad, "route_id", "left_semi").crossJoin(F.broadcast(box)).select("route_id", "slon", "slat", "elon", "elat", F.posexplode(turns).alias("p", "way"))
+    tried = spread(legs.join(bad, "route_id", "left_semi"), "route_id").crossJoin(F.broadcast(box)).select("route_id", "slon", "slat", "elon", "elat", F.posexplode(turns).alias("p", "way"))
     turned = first_clear(tried, zones, buffer)
     bent = legs.join(turned, "route_id").select("route_id", F.posexplode(F.concat(F.array(place("slon", "slat")), "way", F.array(place("elon", "elat")))).alias("i", "p")).select("route_id", "i", "p.lon", "p.lat")
     corner = staged(g.resample(bent, "route_id", points).withColumn("rule", F.lit("corner")))

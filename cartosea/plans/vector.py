@@ -173,7 +173,7 @@ def visibility_graph(spark, sf):
 def shortest_routes(spark, sf):
     """Shortest ways over that graph, for the legs that aren't clear themselves and whose ends see it."""
     zones, nodes, edges = _graph(spark, sf)
-    legs = t.legs(spark, sf)
+    legs = wayfinding.spread(t.legs(spark, sf), "route_id")
     hit = wayfinding.blocked(legs, zones, ["route_id"], BUFFER).select("route_id").distinct()
     best = wayfinding.shortest(legs.join(hit, "route_id", "left_semi"), nodes, graph.staged(edges), zones, BUFFER, REACH)
     return best.select("route_id", r6("length").alias("length"))
