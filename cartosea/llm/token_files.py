@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -29,6 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from cartosea.llm import files, shards
 from cartosea.llm.common import LONG_WORD, column, discard, sliced, stage, workspace
@@ -288,37 +290,88 @@ def load(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return head["docs"], np.asarray(head["sizes"], _INT), ids
 
 
+#: The pattern of the vocabulary's pre-tokens, and the same for texts in lower case of nothing but ASCII and the letters of
+#: Latin-1, which are cut here. Of other texts, and of those with a special token, the library gets the chunks between
+#: blanks whole.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_CHUNKS = re.compile(r"[^ \n]+")
+_BEYOND = re.compile(r"[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+_PARTS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\t-\r a-z0-9\xdf-\xf6\xf8-\xff]+")
+_PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
+#: Pre-tokens that are given to the library at once.
+_JOINED = 200
+
+
+class _Ids(dict):
+    """Ids of pre-tokens that are remembered; `apart` has those that needn't be."""
+
+    def __init__(self, apart: dict[str, bytes]):
+        self.apart = apart
+
+    def __missing__(self, part: str) -> bytes:
+        return self.apart[part]
+
+
 class _Words:
-    """A worker's tokenizer with the ids of the chunks between blanks that it has seen; blanks never join tokens.
+    """A worker's tokenizer with the ids of the pre-tokens that it has seen; blanks never join tokens.
 
-    Chunks are remembered in two generations: when the young one is full it becomes the old one, and chunks that are
-    met again move up, so common ones are never encoded twice. Chunks of more than LONG_WORD letters are encoded for each
-    batch anew, so that texts without blanks don't fill the memory.
+    They are remembered in two generations: when the young one is full it becomes the old one, and pre-tokens that are
+    met again move up, so common ones are never encoded twice. Digits are always known. Pre-tokens of more than LONG_WORD
+    letters are encoded for each batch anew, so that texts without blanks don't fill the memory.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        split = self.tokenizer.pre_tokenizer
+        self.known = split is not None and json.dumps(_SPLIT) in split.__getstate__().decode()
+        # the same merges without the steps that leave such pre-tokens as they are
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.digits = {p: array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes() for p in "0123456789"}
+        self.young, self.old = _Ids(self.digits), _Ids(self.digits)
+
+    def _cut(self, text: str) -> list[str]:
+        if self.known and not _BEYOND.search(text) and not any(t in text for t in self.special):
+            return _PARTS.findall(text.lower())
+        return _CHUNKS.findall(text)
+
+    def _joined(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of pre-tokens that are encoded side by side; each ends where a token ends a word."""
+        for i in range(0, len(words), _JOINED):
+            some = words[i : i + _JOINED]
+            ids = np.asarray(self.merges.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            edge = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]
+            if len(edge) != len(some) + 1:
+                raise ValueError("a pre-token of the vocabulary doesn't end where a word ends")
+            raw = ids.tobytes()
+            yield from (raw[a:z] for a, z in zip(edge, edge[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit integers."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        parts = [self._cut(t) for t in texts]
         if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young, _Ids(self.digits)
         young, old = self.young, self.old
-        new = []
-        for p in dict.fromkeys(x for y in parts for x in y):
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
-                else:
-                    new.append(p)
-        long = {}
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            (young if len(p) <= LONG_WORD else long)[p] = array("I", e.ids).tobytes()
-        get = (lambda p: long[p] if p in long else young[p]) if long else young.__getitem__
-        return [b"".join(map(get, x)) for x in parts]
+        plain, other = [], []
+        for p in set().union(*parts):
+            if p in young or p in self.digits:
+                continue
+            if p in old:
+                young[p] = old[p]
+            elif self.known and len(p) <= LONG_WORD and _PLAIN.fullmatch(p):
+                plain.append(p)
+            else:
+                other.append(p)
+        young.update(zip(plain, self._joined(plain)))
+        young.apart = dict(self.digits)
+        for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            (young if len(p) <= LONG_WORD else young.apart)[p] = array("I", e.ids).tobytes()
+        out = [b"".join(map(young.__getitem__, x)) for x in parts]
+        young.apart = self.digits
+        return out
 
 
 _ROWS = "shard int, seq int, temp string, file string, n long, bytes long, sha256 string"

@@ -71,3 +71,17 @@ def test_long_chunks_are_not_remembered():
     texts = [f"word {'ab' * 5000}{i} word" for i in range(300)]
     first = words.encode(texts)
     assert words.encode(texts) == first and len(words.young) == 1 and len(set(first)) == 300
+
+
+def test_words_are_encoded_once_whatever_stands_around_them():
+    """Case, marks and digits beside a word don't make it new; ids are the library's for any text."""
+    words = K._Words(P.path(K.VOCABULARY))
+    marks = ["{}", "({})", "{}.", '"{}",', "{}7", "x@{}", "{}'S", "{}'re!", "?{}"]
+    texts = [m.format(w) for w in ("Haanth", "haanth", "HAANTH", "Éßÿñ") for m in marks]
+    want = lambda x: [np.asarray(e.ids, "<u4").tobytes() for e in words.tokenizer.encode_batch(x, add_special_tokens=False)]
+    assert words.encode(texts) == want(texts) and len(words.young) < 20
+    rnd = random.Random(5)
+    bits = ["É", "ß", "Þ", "e\u0301", "\u0301", "×", "÷", "ª", "µ", "\x85", "\xa0", "\x1c", "\x00", "\x7f", "\t", "\r", "\x0b", "\n", " ", "  ", "'", "'S", "'lL", "'VE", "''d", "a", "Z", "09", "²", "½", "İ", "Σ", "K", "_", "</w>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "日本", "\u200b", "\U0001f600"]
+    for some in (bits, [b for b in bits if not K._BEYOND.search(b) and "<|" not in b]):
+        texts = ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 30))) for _ in range(4000)]
+        assert words.encode(texts) == want(texts)
