@@ -31,12 +31,19 @@ def value_noise(y: np.ndarray, x: np.ndarray, grid: int, seed: int) -> np.ndarra
 
 
 def points_noise(y: np.ndarray, x: np.ndarray, grid: int, seed: int) -> np.ndarray:
-    """value_noise of places (y, x) one by one."""
+    """value_noise of places (y, x) one by one; where they lie close to each other, each lattice point is hashed once."""
     gy, gx = y / float(grid), x / float(grid)
     iy, ix = np.floor(gy).astype(np.int64), np.floor(gx).astype(np.int64)
     ease = lambda t: t * t * (3.0 - 2.0 * t)
     sy, sx = ease(gy - iy), ease(gx - ix)
-    n = lambda dx, dy: hashed(ix + dx, iy + dy, seed)
+    y0, x0, y1, x1 = (int(v) for v in (iy.min(), ix.min(), iy.max(), ix.max())) if len(iy) else (0, 0, 0, 0)
+    wide = x1 - x0 + 2
+    if wide * (y1 - y0 + 2) <= 2 * len(iy):
+        points = hashed(np.arange(x0, x1 + 2)[None, :], np.arange(y0, y1 + 2)[:, None], seed).ravel()
+        at = (iy - y0) * wide + (ix - x0)
+        n = lambda dx, dy: points.take(at + (dy * wide + dx))
+    else:
+        n = lambda dx, dy: hashed(ix + dx, iy + dy, seed)
     return (n(0, 0) * (1.0 - sx) + n(1, 0) * sx) * (1.0 - sy) + (n(0, 1) * (1.0 - sx) + n(1, 1) * sx) * sy
 
 

@@ -16,9 +16,9 @@ from cartosea.functions import noise
 from cartosea.functions.colour import clip01
 from cartosea.operators import stencil as st
 from cartosea.operators.city import city_rgb
-from cartosea.operators.graph import staged
 from cartosea.operators.ranks import quantiles
 from cartosea.operators.rural import rural_rgb
+from cartosea.operators.stages import staged
 from cartosea.operators.textures import textured
 
 
@@ -95,29 +95,36 @@ def green_of(biome: str) -> str:
     return f"LEAST(GREATEST({a} * moisture + {b} * (1.0 - LEAST(GREATEST((n - {low}) / {span}, 0.0), 1.0)), 0.0), 1.0)"
 
 
+def _surveyed(cells: DataFrame, river: str, value: str) -> DataFrame:
+    """cells with _wet (rivers blurred six times) and the gradient and Laplacian of value: one shuffle for all of them."""
+    return st.blurs(cells.withColumn("_wet", F.col(river)), {"_wet": 6}, [c for c in cells.columns if c not in ("y", "x")], value)
+
+
+def _moist(surveyed: DataFrame) -> DataFrame:
+    """Moisture from what _surveyed() tells, which is read twice."""
+    windy = st.stretch(surveyed, F.greatest(-F.col("gx"), F.lit(0.0)), "_wind")
+    return windy.withColumn("moisture", clip01(0.6 * F.col("_wet") + 0.4 * F.col("_wind"))).drop("_wet", "_wind")
+
+
 def moisture(cells: DataFrame, river: str = "river", value: str = "n") -> DataFrame:
     """cells with moisture: rivers blurred six times, and the stretched windward slope."""
-    wet = st.blur(cells.select("y", "x", F.col(river).cast("double").alias("m")), "m", 6).withColumnRenamed("v", "_wet")
-    windy = st.gradient(cells, value).withColumn("_up", F.greatest(-F.col("gx"), F.lit(0.0)))
-    both = st.stretch(windy, F.col("_up"), "_wind").join(wet, ["y", "x"])
-    return both.withColumn("moisture", clip01(0.6 * F.col("_wet") + 0.4 * F.col("_wind"))).drop("_wet", "_wind", "_up", "gx", "gy")
+    return _moist(staged(_surveyed(cells, river, value))).drop("gx", "gy", "lap")
 
 
 def _mountain(cells: DataFrame) -> DataFrame:
     """Extra columns of mountains: streaks along slopes, grazed patches, woods and tracks in sharp valleys."""
-    lap = st.laplacian(cells.select("y", "x", F.col("n").alias("z")))
-    (sharp,) = quantiles(lap, "lap", [0.85])
-    meadow = (F.col("grass") > 0.2) & (F.col("n") > 0.4) & (F.col("n") < 0.7)
-    grazed = st.blur(cells.select("y", "x", meadow.cast("double").alias("m")), "m", 2).withColumnRenamed("v", "grazed")
-    wide = st.gradient(cells, "n").join(grazed, ["y", "x"]).join(lap, ["y", "x"])
+    (sharp,) = quantiles(cells, "lap", [0.85])
     angle = F.atan2("gy", "gx")
     along = F.col("x") * F.cos(angle) + F.col("y") * F.sin(angle)
-    return wide.withColumns({
-        "streak": F.sin(along / 8.0 + F.col("ridge") * 4.0) * 0.04,
-        "tex": 0.4 * F.col("coarse") + 0.35 * F.col("medium") + 0.25 * F.col("fine"),
-        "forest": (F.col("wood") > 0.1) & (F.col("moisture") > 0.4),
-        "road": (F.col("lap") > sharp) & (F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) < 0.15),
-    })
+    wide = cells.select(
+        "y", "x", "n", "water",
+        ((F.col("grass") > 0.2) & (F.col("n") > 0.4) & (F.col("n") < 0.7)).alias("grazed"),
+        (F.sin(along / 8.0 + F.col("ridge") * 4.0) * 0.04).alias("streak"),
+        (0.4 * F.col("coarse") + 0.35 * F.col("medium") + 0.25 * F.col("fine")).alias("tex"),
+        ((F.col("wood") > 0.1) & (F.col("moisture") > 0.4)).alias("forest"),
+        ((F.col("lap") > sharp) & (F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) < 0.15)).alias("road"),
+    )
+    return st.blurs(wide, {"grazed": 2}, ["n", "water", "streak", "tex", "forest", "road"])
 
 
 def build_rgb(cells: DataFrame, biome: str, seed: int = 42) -> DataFrame:
@@ -129,9 +136,10 @@ def build_rgb(cells: DataFrame, biome: str, seed: int = 42) -> DataFrame:
     if biome == "city":
         return city_rgb(cells.select("y", "x", "n", "water"), seed).select("y", "x", *[clip01(F.col(c) + high * h).alias(c) for c, h in zip("rgb", HAZE)])
     palette = PALETTES[biome]
-    wet = cells if biome == "water" else moisture(cells)
     # written once: ranges over the grid and blurs read it again
-    full = staged(textured(wet, palette.textures, seed))
+    full = staged(textured(cells if biome == "water" else _surveyed(cells, "river", "n"), palette.textures, seed))
+    if biome != "water":
+        full = _moist(full)
     if biome == "desert":
         full = st.stretch(full, noise.dune(F.col("x"), F.col("y"), 22, 25.0, seed), "dune")
     elif biome == "mountain":

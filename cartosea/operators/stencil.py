@@ -43,7 +43,7 @@ def _row():
 
 def own(dealt: DataFrame, *drop: str) -> DataFrame:
     """The cells that are their tile's own."""
-    return dealt.where("_own").drop("_ty", "_tx", "_own", *drop)
+    return dealt.where("_own").drop("_ty", "_tx", "_own", "_inner", *drop)
 
 
 def extent(cells: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def extent(cells: DataFrame) -> DataFrame:
 
 def wrapped(cells: DataFrame, halo: int, size: int = TILE) -> DataFrame:
     """Tiles of a grid that goes on at its other side: cells near a side stand beyond the opposite one too. _own marks each
-    cell where it belongs, once."""
+    cell where it belongs, once; _inner tells cells within the grid from those beyond it."""
     sized = cells.crossJoin(F.broadcast(extent(cells)))
 
     def copies(c, n):
@@ -63,15 +63,17 @@ def wrapped(cells: DataFrame, halo: int, size: int = TILE) -> DataFrame:
     around = sized.withColumn("_y", copies("y", "h")).withColumn("_x", copies("x", "w"))
     inner = (F.col("_y") == F.col("y")) & (F.col("_x") == F.col("x"))
     dealt = tiles(around.withColumn("_inner", inner).drop("y", "x", "h", "w").withColumnsRenamed({"_y": "y", "_x": "x"}), halo, size)
-    return dealt.withColumn("_own", F.col("_own") & F.col("_inner")).drop("_inner")
+    return dealt.withColumn("_own", F.col("_own") & F.col("_inner"))
 
 
-def blurs(cells: DataFrame, rounds: dict[str, int]) -> DataFrame:
+def blurs(cells: DataFrame, rounds: dict[str, int], carried=(), sloped: str | None = None) -> DataFrame:
     """(y, x, values...): each value after so many rounds of a 3-mean along both axes, wrapping around; one round changes
-    nothing. Weighted sums along windows of one tile: one shuffle for all values and both axes."""
-    plain = cells.select("y", "x", *[F.col(c).cast("double").alias(c) for c in rounds])
+    nothing. Weighted sums along windows of one tile: one shuffle for all values and both axes. Carried columns come along
+    as they are, and sloped adds what gradient() and laplacian() tell of that one of them: gy, gx, lap (of the neighbours
+    that there are, where cells are missing)."""
+    plain = cells.select("y", "x", *[F.col(c).cast("double").alias(c) for c in rounds], *carried)
     weights = {c: folded(k) for c, k in rounds.items() if k > 1}
-    if not weights:
+    if not weights and not sloped:
         return plain
 
     def along(c, w):
@@ -81,11 +83,23 @@ def blurs(cells: DataFrame, rounds: dict[str, int]) -> DataFrame:
             out = out + weights[c][half + d] * (F.lag(c, d).over(w) + F.lead(c, d).over(w))
         return out / sum(weights[c])
 
+    def slope(w):
+        """One-sided at edges, where the next cell is one of the other side."""
+        before, after = (F.when(f("_inner").over(w), f(sloped).over(w)) for f in (F.lag, F.lead))
+        return _slope(before, after, F.col(sloped))
+
+    def steps(axis, w):
+        near = {f"_g{axis}{n}": F.coalesce(_beside(w, d, sloped, axis), F.lit(0.0)) for n, d in (("p", 1), ("m", -1))}
+        return near | {f"g{axis}": slope(w)}
+
     # beyond the halo there is nothing: sums there are null, and so are not a tile's own
-    dealt = wrapped(plain, max(len(v) // 2 for v in weights.values()))
-    for w in (_column(), _row()):
-        dealt = dealt.withColumns({c: along(c, w) for c in weights})
-    return own(dealt)
+    dealt = wrapped(plain, max([len(v) // 2 for v in weights.values()] + [int(bool(sloped))]))
+    for axis, w in (("y", _column()), ("x", _row())):
+        dealt = dealt.withColumns({c: along(c, w) for c in weights} | (steps(axis, w) if sloped else {}))
+    if sloped:
+        near = [F.col(c) for c in ("_gyp", "_gym", "_gxp", "_gxm")]
+        dealt = dealt.withColumn("lap", F.abs(near[0] + near[1] + near[2] + near[3] - 4.0 * F.col(sloped)))
+    return own(dealt, "_gyp", "_gym", "_gxp", "_gxm")
 
 
 def blur(cells: DataFrame, value: str, k: int = 3) -> DataFrame:
@@ -109,13 +123,17 @@ def relief_of(cells: DataFrame, value: str) -> DataFrame:
     return own(dealt.withColumns({"gy": along("y", "h"), "gx": along("x", "w"), "lap": lap}), "h", "w")
 
 
+def _slope(before, after, here):
+    """Central difference of two neighbours, one-sided where one is null."""
+    step = F.when(before.isNotNull() & after.isNotNull(), 2.0).when(before.isNotNull() | after.isNotNull(), 1.0)
+    return F.coalesce((F.coalesce(after, here) - F.coalesce(before, here)) / step, F.lit(0.0))
+
+
 def gradient(cells: DataFrame, value: str = "z", pixel: float = 1.0) -> DataFrame:
     """cells with gy and gx: central differences, one-sided at edges."""
 
     def along(w):
-        before, after, here = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
-        step = F.when(before.isNotNull() & after.isNotNull(), 2.0).when(before.isNotNull() | after.isNotNull(), 1.0)
-        return F.coalesce((F.coalesce(after, here) - F.coalesce(before, here)) / step, F.lit(0.0)) / pixel
+        return _slope(F.lag(value).over(w), F.lead(value).over(w), F.col(value)) / pixel
 
     return own(tiles(cells, 1).withColumn("gy", along(_column())).withColumn("gx", along(_row())))
 

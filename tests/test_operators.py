@@ -297,3 +297,50 @@ def test_zones_by_set(spark, sf):
     routes = fleets.routes(rows).collect()
     assert {r["type"] for r in routes} == {"ferry", "tss", "irregular"} and all(0 <= s < len(r["line"]) for r in routes for s in r["stops"])
     assert all(len(r["stops"]) == (2 if r["type"] == "irregular" else 0) for r in routes)
+
+
+def test_quantiles_make_their_column_once(spark, monkeypatch):
+    from cartosea.operators import ranks
+
+    monkeypatch.setattr(ranks, "FEW", 50)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(k):
+        made.add(1)
+        return float(k * 7919 % 3001)
+
+    df = spark.range(3000).repartition(3).select(value("id").alias("v"))
+    assert np.isclose(ranks.quantiles(df, "v", [0.85])[0], np.quantile(np.arange(3000) * 7919 % 3001, 0.85)) and made.value == 3000
+
+
+@pytest.mark.parametrize("shape", [(9, 11), (1, 7), (5, 1)])
+def test_one_pass_tells_what_separate_ones_do(spark, shape):
+    """Blur, gradient and Laplacian together, on whole grids and (but for the Laplacian) with the last row cut short."""
+    z = np.random.default_rng(8).random(shape)
+    short = _cells(spark, z).where((F.col("y") < shape[0] - 1) | (F.col("x") < max(1, shape[1] // 2)))
+    for cells, names in ((_cells(spark, z), ["m", "gy", "gx", "lap"]), (short, ["m", "gy", "gx"])):
+        got = st.blurs(cells.withColumn("m", F.col("z")), {"m": 6}, ["z"], "z")
+        want = st.gradient(cells, "z").join(st.laplacian(cells), ["y", "x"]).join(st.blur(cells, "z", 6).withColumnRenamed("v", "m"), ["y", "x"])
+        one, two = ({(r["y"], r["x"]): [r[c] for c in names] for r in df.collect()} for df in (got, want))
+        assert one == two
+
+
+def test_mountains_join_no_cells(spark):
+    """Cells go to tiles with what they have; no step joins them back."""
+    from cartosea.operators import palettes
+
+    n = F.col("z")
+    cells = _cells(spark, np.random.default_rng(1).random((6, 5))).select("y", "x", n.alias("n"), (n < 0.1).alias("river"), (n < 0.2).alias("water"))
+    plan = palettes.build_rgb(cells, "mountain")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and "Join Cross" in plan
+
+
+def test_noise_of_close_places_is_that_of_each_alone():
+    from cartosea.operators import lattice
+
+    y, x = (v.ravel() for v in np.mgrid[-9:40, -5:60])
+    for grid in (2, 7, 200):
+        alone = np.concatenate([lattice.points_noise(y[i : i + 1], x[i : i + 1], grid, 11) for i in range(len(y))])
+        assert (lattice.points_noise(y, x, grid, 11) == alone).all()
+    assert len(lattice.points_noise(y[:0], x[:0], 7, 11)) == 0
