@@ -85,3 +85,61 @@ def test_words_are_encoded_once_whatever_stands_around_them():
     for some in (bits, [b for b in bits if not K._BEYOND.search(b) and "<|" not in b]):
         texts = ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 30))) for _ in range(4000)]
         assert words.encode(texts) == want(texts)
+
+
+def _phrased(n: int, seed: int):
+    rnd = random.Random(seed)
+    phrases = [np.asarray([rnd.randrange(49_000) for _ in range(rnd.randint(1, 6))], "<u4").tobytes() for _ in range(400)]
+    number = np.array([min(399, int(rnd.expovariate(0.02))) for _ in range(n)], np.int32)
+    return phrases, number, np.frombuffer(b"".join(phrases[i] for i in number), "<u4")
+
+
+def test_a_phrase_is_coded_as_one_number(monkeypatch):
+    """What is coded grows with words, not with their ids; phrases that no document has aren't written."""
+    phrases, number, ids = _phrased(30_000, 1)
+    coded, real = [], K.encode_block
+    monkeypatch.setattr(K, "encode_block", lambda x, letters: coded.append(len(x)) or real(x, letters))
+    data = K.dump([1, 2], np.array([10_000, 20_000]), number, [*phrases, np.asarray([7] * 90_000, "<u4").tobytes()])
+    docs, sizes, back = K.load(data)
+    assert docs == [1, 2] and back.tolist() == ids.tolist() and sum(coded) < 32_000 < 3 * 32_000 < len(ids)
+    assert sizes.tolist() == [sum(len(phrases[i]) // 4 for i in x) for x in (number[:10_000], number[10_000:])]
+
+
+def test_blocks_stand_alone_and_any_damage_is_seen(monkeypatch):
+    """Several blocks, whose lanes differ in length; a changed byte anywhere is an error, not other ids."""
+    monkeypatch.setattr(K, "BLOCK", 3001)
+    phrases, number, ids = _phrased(10_000, 2)
+    data = K.dump([1], np.array([len(number)]), number, phrases)
+    assert K.load(data)[2].tolist() == ids.tolist()
+    rnd = random.Random(3)
+    for i in [8, 12, 20, len(data) - 1, *(rnd.randrange(len(data)) for _ in range(60))]:
+        with pytest.raises((ValueError, K.zstandard.ZstdError)):
+            K.load(data[:i] + bytes([data[i] ^ 1 << rnd.randrange(8)]) + data[i + 1 :])
+    letters = K._Letters(np.array([40, 40, 30, 8, 8, 0], np.int64))
+    for n in (1, 63, 64, 127, 128, 129, 1000):
+        some = np.array([rnd.randrange(6) for _ in range(n)])
+        assert K.decode_block(K.encode_block(some, letters), n, letters).tolist() == some.tolist()
+
+
+def test_rare_and_frequent_numbers():
+    """More numbers than a group holds, all seen once, beside one that is nearly everything: intervals never vanish."""
+    number = np.zeros(300_000, np.int32)
+    number[::6] = np.arange(50_000)
+    ids = (number * 7 % 49_408).astype(np.uint32)
+    assert K.load(K.dump([0], np.array([len(ids)]), ids))[2].tolist() == ids.tolist()
+    phrases = [np.asarray([i, i + 1], "<u4").tobytes() for i in range(50_000)]
+    assert K.load(K.dump([0], np.array([len(number)]), number, phrases))[2].reshape(-1, 2)[:, 0].tolist() == number.tolist()
+
+
+def test_a_file_takes_documents_until_it_is_full(monkeypatch):
+    monkeypatch.setattr(K, "FILE_IDS", 20)
+    words, texts = K._Words(P.path(K.VOCABULARY)), [None, "", "the the the", "of 日本 it's the", "a " * 50, "the"]
+    col, at, files = K.pa.array(texts), 0, []
+    while at < len(texts):
+        file = K._File()
+        while at < len(texts) and file.held < 20:
+            at += file.add(words, list(range(at, len(texts))), col[at:])
+        files.append(K.load(file.dump()))
+    want = [[*words.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert [d for f in files for d in f[0]] == list(range(6)) and len(files) == 2
+    assert [x for f in files for x in f[2].tolist()] == [x for w in want for x in w] and [n for f in files for n in f[1].tolist()] == [len(w) for w in want]
