@@ -43,8 +43,8 @@ MAGIC = b"CMRC0003"
 #: Numbers of a block, its lanes at most and numbers of a lane at least, steps between two updates of distributions, bits of
 #: the context tables of order 2 and 1, members of a group at most, a group's least share of 2^14.
 BLOCK, LANES, LANE, REFRESH, TABLES, MEMBERS, LEAST = 1 << 20, 4096, 64, 8, (17, 16), 1 << 14, 8
-#: Ids in a file and bytes of text in a shard and in a slice, about: bound what a worker holds and what a task does.
-FILE_IDS, SHARD_BYTES, SLICE, CACHE = 12 << 20, 24 << 20, 8 << 20, 200_000
+#: Ids and phrases in a file, bytes of text in a shard and in a slice, about: bound what a worker holds and what a task does.
+FILE_IDS, FILE_PHRASES, SHARD_BYTES, SLICE, CACHE = 12 << 20, 500_000, 24 << 20, 8 << 20, 200_000
 _TOP, _SHARE = 16, 14
 _ONE, _ALL = 1 << _TOP, 1 << _SHARE
 _INT = np.int64
@@ -349,8 +349,8 @@ _CHUNKS = re.compile(r"[^ \n]+")
 #: What keeps a text from being cut here.
 _BEYOND = re.compile(r"[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
 _PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
-#: Pre-tokens that are given to the library in one text.
-_JOINED = 200
+#: Pre-tokens that are given to the library in one text, and letters at once, about: an encoding takes much more than its text.
+_JOINED, _LETTERS_AT_ONCE = 200, 1 << 18
 _BYTES = np.arange(256)
 #: Bytes in lower case (of Latin-1's letters the second byte, after 0xC3), and their classes: blank, letter, digit, other.
 _LOWER = (_BYTES + 32 * ((_BYTES >= 65) & (_BYTES <= 90) | (_BYTES >= 0x80) & (_BYTES <= 0x9E))).astype(np.uint8)
@@ -445,11 +445,19 @@ class _Words:
         out[~mark], out[mark] = which, more
         return list(own), out, every
 
+    @staticmethod
+    def _encoded(tokenizer: Tokenizer, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text."""
+        at = np.cumsum(np.fromiter(map(len, texts), _INT, len(texts))) // _LETTERS_AT_ONCE
+        edge = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
+        for a, z in zip(edge, edge[1:]):
+            yield from (e.ids for e in tokenizer.encode_batch_fast(texts[a:z], add_special_tokens=False))
+
     def _joined(self, words: list[str]) -> Iterator[bytes]:
         """Ids of pre-tokens that are encoded side by side; each ends where a token ends a word."""
         some = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
-        for x, e in zip(some, self.merges.encode_batch_fast([" ".join(x) for x in some], add_special_tokens=False)):
-            ids = np.asarray(e.ids, "<u4")
+        for x, got in zip(some, self._encoded(self.merges, [" ".join(x) for x in some])):
+            ids = np.asarray(got, "<u4")
             edge = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]
             if len(edge) != len(x) + 1:
                 raise ValueError("a pre-token of the vocabulary doesn't end where a word ends")
@@ -472,9 +480,12 @@ class _Words:
             else:
                 other.append(p)
         young.update(zip(plain, self._joined(plain)))
-        for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            (young if len(p) <= LONG_WORD else apart)[p] = array("I", e.ids).tobytes()
-        return [young[p] if p in young else apart[p] for p in words]
+        for p, got in zip(other, self._encoded(self.tokenizer, other)):
+            (young if len(p) <= LONG_WORD else apart)[p] = array("I", got).tobytes()
+        out = [young[p] if p in young else apart[p] for p in words]
+        if len(young) > 2 * CACHE:  # nearly all were new: such words hardly come again
+            self.young, self.old = {}, {}
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit integers."""
@@ -488,7 +499,7 @@ class _File:
 
     def __init__(self):
         self.phrases, self.length, self.index = [np.asarray([END], "<u4").tobytes()], array("I", [1]), {}
-        self.docs, self.sizes, self.parts, self.held = [], [], [], 0
+        self.docs, self.sizes, self.parts, self.held, self.full = [], [], [], 0, False
 
     def add(self, coder: _Words, docs: list[int | None], texts: pa.Array) -> int:
         """Take documents until the file is full; how many were taken."""
@@ -501,7 +512,9 @@ class _File:
         self.length.extend(len(x) >> 2 for x in ids)
         number, edge = np.fromiter(map(index.__getitem__, words), np.int32, len(words))[which], np.r_[0, np.cumsum(count)]
         held = np.r_[0, np.cumsum(np.asarray(self.length).take(number), dtype=_INT)][edge[1:]] + np.arange(1, len(docs) + 1)
-        n = min(len(docs), int(np.searchsorted(held, FILE_IDS - self.held)) + 1)
+        kinds = np.r_[0, np.maximum.accumulate(number)][edge[1:]]  # phrases so far, which are numbered as they come
+        n = min(len(docs), int(np.searchsorted(held, FILE_IDS - self.held)) + 1, int(np.searchsorted(kinds, FILE_PHRASES)) + 1)
+        self.full = int(held[n - 1]) + self.held >= FILE_IDS or int(kinds[n - 1]) >= FILE_PHRASES
         out = np.zeros(edge[n] + n, np.int32)
         out[np.arange(edge[n]) + np.repeat(np.arange(n), count[:n])] = number[: edge[n]]
         self.docs += docs[:n]
@@ -548,7 +561,7 @@ def _writer(path: str, base: str):
             docs, shard, text = b.column("doc").to_pylist(), b.column("shard").to_numpy(), b.column("text")
             i = 0
             while i < len(docs):
-                if file.docs and (shard[i] != now[0] or file.held >= FILE_IDS):
+                if file.docs and (shard[i] != now[0] or file.full):
                     yield close()
                     now, file = (int(shard[i]), now[1] + 1 if shard[i] == now[0] else 0), _File()
                 now = now or (int(shard[i]), 0)

@@ -143,3 +143,18 @@ def test_a_file_takes_documents_until_it_is_full(monkeypatch):
     want = [[*words.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
     assert [d for f in files for d in f[0]] == list(range(6)) and len(files) == 2
     assert [x for f in files for x in f[2].tolist()] == [x for w in want for x in w] and [n for f in files for n in f[1].tolist()] == [len(w) for w in want]
+
+
+def test_files_and_memory_are_bounded_by_distinct_words_too(monkeypatch):
+    """Texts whose words never come again: a file ends, and nothing of them is remembered for ever."""
+    monkeypatch.setattr(K, "FILE_PHRASES", 500)
+    monkeypatch.setattr(K, "CACHE", 200)
+    words, texts, at, files = K._Words(P.path(K.VOCABULARY)), [" ".join("q" + "".join(chr(97 + n // d % 26) for d in (676, 26, 1)) for n in range(150 * i, 150 * i + 150)) for i in range(30)], 0, []
+    while at < len(texts):
+        file = K._File()
+        while at < len(texts) and not file.full:
+            at += file.add(words, list(range(at, len(texts)))[:7], K.pa.array(texts[at : at + 7]))
+            assert len(words.young) + len(words.old) <= 800
+        files.append(K.load(file.dump()))
+    assert len(files) > 3 and [d for f in files for d in f[0]] == list(range(30))
+    assert [x for f in files for x in f[2].tolist()] == [x for t in texts for x in [*words.tokenizer.encode(t, add_special_tokens=False).ids, 2]]
