@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,13 +59,13 @@ def bounds(zones: DataFrame) -> DataFrame:
     return zones.withColumns({"min_lon": F.array_min(lon), "max_lon": F.array_max(lon), "min_lat": F.array_min(lat), "max_lat": F.array_max(lat)})
 
 
-def _cells(low, high):
-    return F.sequence(F.floor(low / CELL).cast("bigint"), F.floor(high / CELL).cast("bigint"))
+def _cells(low, high, width: float):
+    return F.sequence(F.floor(low / width).cast("bigint"), F.floor(high / width).cast("bigint"))
 
 
-def tile(frame: DataFrame, lon0, lon1, lat0, lat1) -> DataFrame:
+def tile(frame: DataFrame, lon0, lon1, lat0, lat1, width: float = CELL) -> DataFrame:
     """A row for each cell that a bounding box touches, in columns _cx and _cy."""
-    return frame.withColumn("_cx", F.explode(_cells(lon0, lon1))).withColumn("_cy", F.explode(_cells(lat0, lat1)))
+    return frame.withColumn("_cx", F.explode(_cells(lon0, lon1, width))).withColumn("_cy", F.explode(_cells(lat0, lat1, width)))
 
 
 def points_in_zones(points: DataFrame, zones: DataFrame) -> DataFrame:
@@ -92,6 +93,20 @@ def _edge_gap(p, q):
     return F.when(segments_cross(p["ax"], p["ay"], p["bx"], p["by"], q["ax"], q["ay"], q["bx"], q["by"]), 0.0).otherwise(near)
 
 
+def edge_gaps(p, q) -> np.ndarray:
+    """_edge_gap() of two sequences (ax, ay, bx, by) of arrays."""
+
+    def spot(x, y, ax, ay, bx, by):
+        dx, dy = bx - ax, by - ay
+        n = dx * dx + dy * dy
+        t = np.clip(np.where(n > 0, ((x - ax) * dx + (y - ay) * dy) / np.where(n > 0, n, 1.0), 0.0), 0.0, 1.0)
+        return np.sqrt((x - (ax + t * dx)) ** 2 + (y - (ay + t * dy)) ** 2)
+
+    d = [np.sign(_cross(*s, *end)) for s, o in ((p, q), (q, p)) for end in (o[:2], o[2:])]
+    near = np.minimum(np.minimum(spot(*p[:2], *q), spot(*p[2:], *q)), np.minimum(spot(*q[:2], *p), spot(*q[2:], *p)))
+    return np.where((d[0] * d[1] < 0) & (d[2] * d[3] < 0), 0.0, near)
+
+
 def ring_distance(one, two):
     """Least distance of two rings with their insides."""
     edge = F.aggregate(edges(one), F.lit(float("inf")), lambda m, p: F.least(m, F.aggregate(edges(two), F.lit(float("inf")), lambda k, q: F.least(k, _edge_gap(p, q)))))

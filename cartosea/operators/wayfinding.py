@@ -9,14 +9,21 @@ zones. No row holds more than one zone, and each round is written to the shared
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartosea.operators import geometry as g
 from cartosea.operators.graph import discard, staged
 
 #: Places tried around an end, in order, in steps of STEP degrees; ways of pushing a corner out, in half steps.
 STEP, RINGS, PUSHES = 0.005, 19, 7
+#: Points of a tile that go into one task, and tests of a leg against an edge that it makes at once.
+PART, SIGHTS = 4096, 1 << 16
 DIRECTIONS = [(1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, 1), (1, -1), (-1, -1)]
 
 
@@ -45,10 +52,10 @@ def _inside(points: DataFrame, zones: DataFrame, keys: list[str]) -> DataFrame:
     return p.join(z, ["_cx", "_cy"]).where(boxed & g.contains(F.col("ring"), F.col("lon"), F.col("lat"))).select(*keys, "_zone")
 
 
-def _edge_cells(zones: DataFrame) -> DataFrame:
+def _edge_cells(zones: DataFrame, width: float = g.CELL) -> DataFrame:
     """A row (_zone, ax, ay, bx, by, _cx, _cy) for each edge of the zones and each cell of its box."""
     e = zones.select(F.col("zone_id").alias("_zone"), F.explode(g.edges(F.col("ring"))).alias("e")).select("_zone", "e.*")
-    return g.tile(e, F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by"))
+    return g.tile(e, F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by"), width)
 
 
 def spread(frame: DataFrame, *keys: str) -> DataFrame:
@@ -112,28 +119,77 @@ def corners(zones: DataFrame, buffer: float) -> DataFrame:
     return free.select((F.col("zone_id").cast("bigint") * (1 << 20) + F.col("slot")).alias("node"), "zone_id", "lon", "lat")
 
 
-def _pairs(some: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
-    """some (with lon, lat) with each node (other, olon, olat) within reach, by cells as wide as that."""
-    at = lambda c: F.floor(F.col(c) / reach).cast("bigint")
-    around = lambda c: F.explode(F.sequence(at(c) - 1, at(c) + 1))
-    right = nodes.select(F.col("node").alias("other"), F.col("lon").alias("olon"), F.col("lat").alias("olat")).withColumn("_px", at("olon")).withColumn("_py", at("olat"))
-    left = some.withColumn("_px", around("lon")).withColumn("_py", around("lat"))
-    far = F.sqrt(F.pow(F.col("lon") - F.col("olon"), 2) + F.pow(F.col("lat") - F.col("olat"), 2))
-    return left.join(right, ["_px", "_py"]).withColumn("far", far).where(F.col("far") <= reach).drop("_px", "_py")
+def _seen(buffer: float, reach: float, schema):
+    """What a group of sights() does: its points against its nodes, past its edges, some legs at a time."""
+
+    def f(points: pa.Table, scene: pa.Table) -> pa.Table:
+        at = scene["node"].is_valid().to_numpy()
+        spots = np.stack([scene[c].to_numpy()[at] for c in ("ax", "ay")])
+        e = np.stack([scene[c].to_numpy()[~at] for c in ("ax", "ay", "bx", "by")])
+        p = np.stack([points[c].to_numpy() for c in ("lon", "lat")])
+        # edges as discs around their middles, close to the origin
+        middle, radius = (e[:2] + e[2:]) / 2 - spots[:, :1], np.hypot(*(e[2:] - e[:2])) / 2 + buffer
+        step, found = max(1, SIGHTS // (spots.shape[1] * (e.shape[1] + 1))), []
+        for low in range(0, p.shape[1], step):
+            d = spots[:, None, :] - p[:, low : low + step, None]
+            far = np.sqrt(d[0] ** 2 + d[1] ** 2)
+            i, j = np.nonzero(far <= reach)
+            far, u, here = far[i, j], d[:, i, j], p[:, low + i] - spots[:, :1]
+            u = u / np.where(far > 0, far, 1.0)
+            aside = np.abs(np.stack([u[0], -u[1], u[1] * here[0] - u[0] * here[1]], 1) @ np.stack([middle[1], middle[0], np.ones(e.shape[1])]))
+            ahead = np.abs(np.stack([u[0], u[1], -u[0] * here[0] - u[1] * here[1] - far / 2], 1) @ np.stack([middle[0], middle[1], np.ones(e.shape[1])]))
+            # a middle beside a leg and well within the buffer blocks it; the others that are close are looked at exactly
+            clear = ~((aside < buffer - 1e-9) & (ahead <= far[:, None] / 2)).any(1)
+            k, m = np.nonzero((aside[clear] <= radius + 1e-9) & (ahead[clear] <= far[clear, None] / 2 + radius + 1e-9))
+            k = np.flatnonzero(clear)[k]
+            gap = g.edge_gaps((*p[:, low + i[k]], *spots[:, j[k]]), e[:, m])
+            clear[k[gap < buffer - 1e-12]] = False
+            found.append((low + i[clear], j[clear], far[clear]))
+        i, j, far = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        columns = {c: points[c].take(pa.array(i)) for c in points.column_names} | {"node": scene["node"].drop_null().take(pa.array(j)), "far": pa.array(far), "olon": pa.array(spots[0][j]), "olat": pa.array(spots[1][j])}
+        return pa.table({c: columns[c] for c in schema.names})
+
+    return f
+
+
+def sights(points: DataFrame, nodes: DataFrame, zones: DataFrame, buffer: float, reach: float) -> DataFrame:
+    """points (lon, lat and more) with each node (node, far, olon, olat) within reach that no edge of a zone, with its
+    buffer, hides from them; staged.
+
+    Points and nodes meet by pairs of tiles, with the edges of the corridor between the two; a tile's points come in parts
+    of some PART, so a task holds one part, one tile's nodes and one corridor."""
+    width = max(reach / 8, g.CELL)
+    most = math.ceil(reach / width)
+    at = lambda c: F.floor(F.col(c) / width).cast("bigint")
+    here = points.withColumns({"_ax": at("lon"), "_ay": at("lat")})
+    there = nodes.select("node", F.col("lon").alias("ax"), F.col("lat").alias("ay"), at("lon").alias("_bx"), at("lat").alias("_by"))
+    # pairs of tiles within reach, by blocks of tiles as wide as that
+    block, around = lambda c: F.floor(F.col(c) / most), lambda c: F.explode(F.sequence(F.floor(F.col(c) / most) - 1, F.floor(F.col(c) / most) + 1))
+    begun = here.groupBy("_ax", "_ay").agg(F.ceil(F.count("*") / PART).alias("_parts")).withColumn("_px", around("_ax")).withColumn("_py", around("_ay"))
+    ended = there.select("_bx", "_by").distinct().withColumns({"_px": block("_bx"), "_py": block("_by")})
+    apart = lambda c: F.greatest(F.abs(F.col(f"_a{c}") - F.col(f"_b{c}")) - 1, F.lit(0))
+    pairs = staged(begun.join(ended, ["_px", "_py"]).where(F.sqrt(F.pow(apart("x"), 2) + F.pow(apart("y"), 2)) * width <= reach + 1e-9).select("_ax", "_ay", "_bx", "_by", "_parts"))
+    tiles = ["_ax", "_ay", "_bx", "_by"]
+    centre = lambda c: (F.col(c) + 0.5) * width
+    lines = pairs.select("*", centre("_ax").alias("slon"), centre("_ay").alias("slat"), centre("_bx").alias("elon"), centre("_by").alias("elat"))
+    corridor = walk(lines, 0.7072 * width + buffer, width).join(_edge_cells(zones, width).drop("_zone"), ["_cx", "_cy"]).select(*tiles, "_parts", F.lit(None).cast("bigint").alias("node"), "ax", "ay", "bx", "by").distinct()
+    shown = pairs.join(there, ["_bx", "_by"]).select(*tiles, "_parts", "node", "ax", "ay", F.lit(None).cast("double").alias("bx"), F.lit(None).cast("double").alias("by"))
+    scene = shown.unionByName(corridor).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))).drop("_parts")
+    parts = here.join(pairs, ["_ax", "_ay"]).withColumn("_part", F.pmod(F.xxhash64(*points.columns), "_parts")).drop("_parts")
+    schema = T.StructType([*points.schema.fields, *[T.StructField(n, t) for n, t in (("node", T.LongType()), ("far", T.DoubleType()), ("olon", T.DoubleType()), ("olat", T.DoubleType()))]])
+    one, two = (spread(frame.select(*rest, *[F.col(c).alias(c) for c in (*tiles, "_part")]), *tiles, "_part").groupBy(*tiles, "_part") for frame, rest in ((parts, points.columns), (scene, ["node", "ax", "ay", "bx", "by"])))
+    out = staged(one.cogroup(two).applyInArrow(_seen(buffer, reach, schema), schema))
+    discard(pairs)
+    return out
 
 
 def visibility(nodes: DataFrame, zones: DataFrame, buffer: float, reach: float) -> DataFrame:
-    """(a, b, far) both ways: nodes within reach of each other, with no buffered zone between them."""
-    pairs = _pairs(spread(nodes.select(F.col("node").alias("a"), "lon", "lat"), "a"), nodes, reach).where(F.col("a") < F.col("other"))
-    legs = pairs.select("a", F.col("other").alias("b"), "far", F.col("lon").alias("slon"), F.col("lat").alias("slat"), F.col("olon").alias("elon"), F.col("olat").alias("elat"))
-    clear = legs.join(blocked(legs, zones, ["a", "b"], buffer).select("a", "b").distinct(), ["a", "b"], "left_anti").select("a", "b", "far")
-    return clear.unionByName(clear.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
-
-
-def _links(ends: DataFrame, nodes: DataFrame, zones: DataFrame, buffer: float, reach: float) -> DataFrame:
-    """(route_id, node, far): nodes that an end of a route sees."""
-    legs = _pairs(spread(ends, "route_id"), nodes, reach).select("route_id", F.col("other").alias("node"), "far", F.col("lon").alias("slon"), F.col("lat").alias("slat"), F.col("olon").alias("elon"), F.col("olat").alias("elat"))
-    return legs.join(blocked(legs, zones, ["route_id", "node"], buffer).select("route_id", "node").distinct(), ["route_id", "node"], "left_anti").select("route_id", "node", "far")
+    """(a, b, far) both ways: nodes within reach of each other, with no buffered zone between them; staged."""
+    seen = sights(nodes.select(F.col("node").alias("a"), "lon", "lat"), nodes, zones, buffer, reach)
+    clear = seen.where("a < node").select("a", F.col("node").alias("b"), "far")
+    out = staged(clear.unionByName(clear.select(F.col("b").alias("a"), F.col("a").alias("b"), "far")))
+    discard(seen)
+    return out
 
 
 def shortest(legs: DataFrame, nodes: DataFrame, edges: DataFrame, zones: DataFrame, buffer: float, reach: float) -> DataFrame:
@@ -143,15 +199,20 @@ def shortest(legs: DataFrame, nodes: DataFrame, edges: DataFrame, zones: DataFra
     Routes share the ways between nodes: a tree of shortest ways grows from each node that a start sees, once for all
     routes, so rounds hold at most the square of the nodes and don't grow with the routes. Each round relaxes the edges of
     the nodes whose distance fell in the last one; rounds are as many as the bends of a way. Then each route takes the
-    least sum over the nodes that its two ends see. Of equal ways the one with the smaller nodes stays.
+    least sum over the nodes that its two ends see. Of equal ways the one with the smaller nodes stays. A route's way over
+    the two nodes that seem best is known at once, and only nodes that can do as well by straight lines are tried.
     """
-    at = lambda end: legs.select("route_id", F.col(f"{end}lon").alias("lon"), F.col(f"{end}lat").alias("lat"))
-    goal = staged(_links(at("e"), nodes, zones, buffer, reach).select("route_id", "node", F.col("far").alias("last")))
-    begun = staged(_links(at("s"), nodes, zones, buffer, reach).select("route_id", F.col("node").alias("src"), F.col("far").alias("first")))
+    end = lambda one, two: F.struct(F.lit(one).alias("end"), *[F.col(f"{e}{c}").alias(f"{n}{c}") for e, n in ((one, ""), (two, "t")) for c in ("lon", "lat")])
+    ends = staged(legs.select("route_id", F.explode(F.array(end("s", "e"), end("e", "s"))).alias("x")).select("route_id", "x.*"))
+    outside = ends.join(_inside(ends.select("route_id", "end", "lon", "lat"), zones, ["route_id", "end"]), ["route_id", "end"], "left_anti")
+    straight = lambda a, b, c, d: F.sqrt(F.pow(F.col(a) - F.col(c), 2) + F.pow(F.col(b) - F.col(d), 2))
+    rows = sights(outside, nodes, zones, buffer, reach)
+    seen = rows.select("route_id", "end", "node", "far", "olon", "olat", (F.col("far") + straight("olon", "olat", "tlon", "tlat")).alias("via"))
     # only routes with both ends in sight of the graph count
-    begun_both = begun.join(goal.select("route_id").distinct(), "route_id", "left_semi")
-    seen = begun_both.select("src").distinct()
-    known = staged(seen.select("src", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.array("src").alias("path"), F.lit(True).alias("new")))
+    best_of = lambda e: F.expr(f"min_by(struct(node, far), via) filter (where end = '{e}')")
+    guess = staged(seen.groupBy("route_id").agg(best_of("s").alias("a"), best_of("e").alias("b")).where("a is not null and b is not null"))
+    roots = seen.where("end = 's'").join(guess, "route_id", "left_semi").select(F.col("node").alias("src")).distinct()
+    known = staged(roots.select("src", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.array("src").alias("path"), F.lit(True).alias("new")))
     while not known.where("new").isEmpty():
         frontier = spread(known.where("new"), "node")
         reached = frontier.join(edges.withColumnRenamed("a", "node"), "node").select("src", F.col("b").alias("node"), (F.col("dist") + F.col("far")).alias("dist"), F.concat("path", F.array("b")).alias("path"))
@@ -163,11 +224,17 @@ def shortest(legs: DataFrame, nodes: DataFrame, edges: DataFrame, zones: DataFra
         after = staged(tried.groupBy("src", "node").agg(F.min(F.struct("dist", "new", "path")).alias("s")).select("src", "node", "s.dist", "s.path", "s.new"))
         discard(known)
         known = after
-    ways = begun_both.join(goal, "route_id").join(known.select("src", "node", "dist"), ["src", "node"]).select("route_id", "src", "node", (F.col("first") + F.col("dist") + F.col("last")).alias("length"))
-    least = staged(ways.groupBy("route_id").agg(F.min("length").alias("length")))
+    reached = known.select("src", "node", "dist")
+    enough = staged(guess.select("route_id", F.col("a.node").alias("src"), F.col("b.node").alias("node"), (F.col("a.far") + F.col("b.far")).alias("far")).join(reached, ["src", "node"], "left").select("route_id", (F.col("far") + F.col("dist") + 1e-9).alias("most")))
+    tried = seen.join(enough, "route_id").where("most is null or via <= most")
+    side = lambda e, node, far, x: tried.where(F.col("end") == e).select("route_id", F.col("node").alias(node), F.col("far").alias(far), F.col("olon").alias(f"{x}lon"), F.col("olat").alias(f"{x}lat"))
+    met = side("s", "src", "first", "a").join(side("e", "node", "last", "b"), "route_id").join(enough, "route_id")
+    met = met.where(F.col("most").isNull() | (F.col("first") + straight("alon", "alat", "blon", "blat") + F.col("last") <= F.col("most")))
+    ways = staged(met.join(reached, ["src", "node"]).select("route_id", "src", "node", (F.col("first") + F.col("dist") + F.col("last")).alias("length")))
+    least = ways.groupBy("route_id").agg(F.min("length").alias("length"))
     ties = ways.join(least, ["route_id", "length"]).join(known.select("src", "node", "path"), ["src", "node"])
     best = staged(ties.groupBy("route_id").agg(F.min(F.struct("length", "path")).alias("w")).select("route_id", "w.length", "w.path"))
-    for done in (goal, begun, known, least):
+    for done in (ends, rows, guess, known, enough, ways):
         discard(done)
     return best
 
@@ -209,7 +276,7 @@ def plan(routes: DataFrame, zones: DataFrame, buffer: float, reach: float = 0.1)
     hit = staged(blocked(spread(legs, "route_id"), zones, ["route_id"], buffer).select("route_id").distinct())
     open_ = legs.join(hit, "route_id", "left_semi")
     nodes = staged(corners(zones, buffer))
-    edges = staged(visibility(nodes, zones, buffer, reach))
+    edges = visibility(nodes, zones, buffer, reach)
     over = shortest(open_, nodes, edges, zones, buffer, reach)
     bends = over.select("route_id", F.posexplode("path").alias("i", "node")).join(nodes, "node").groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("i", "lon", "lat"))).alias("v"))
     ways = staged(bends.select("route_id", F.transform("v", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("way")))

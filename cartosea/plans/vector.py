@@ -175,7 +175,7 @@ def shortest_routes(spark, sf):
     zones, nodes, edges = _graph(spark, sf)
     legs = wayfinding.spread(t.legs(spark, sf), "route_id")
     hit = wayfinding.blocked(legs, zones, ["route_id"], BUFFER).select("route_id").distinct()
-    best = wayfinding.shortest(legs.join(hit, "route_id", "left_semi"), nodes, graph.staged(edges), zones, BUFFER, REACH)
+    best = wayfinding.shortest(legs.join(hit, "route_id", "left_semi"), nodes, edges, zones, BUFFER, REACH)
     return best.select("route_id", r6("length").alias("length"))
 
 
