@@ -9,6 +9,7 @@ zones. No row holds more than one zone, and each round is written to the shared
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -21,9 +22,9 @@ from cartosea.operators import geometry as g
 from cartosea.operators.graph import discard, staged
 
 #: Places tried around an end, in order, in steps of STEP degrees; ways of pushing a corner out, in half steps.
-STEP, RINGS, PUSHES = 0.005, 19, 7
-#: Points of a tile that go into one task, and tests of a leg against an edge that it makes at once.
-PART, SIGHTS = 4096, 1 << 16
+STEP, RINGS, FIRST_RINGS, PUSHES = 0.005, 19, 4, 7
+#: Points of a tile that go into one task, and nodes times edges that it looks at at once.
+PART, SIGHTS = 4096, 1 << 14
 DIRECTIONS = [(1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, 1), (1, -1), (-1, -1)]
 
 
@@ -94,12 +95,22 @@ def _first_free(tries: DataFrame, zones: DataFrame, keys: list[str], buffer: flo
 
 
 def snap(points: DataFrame, zones: DataFrame, keys: list[str], buffer: float) -> DataFrame:
-    """points (keys, lon, lat), those in buffered zones moved to the first of 19 rings of 8 places that is outside."""
-    moves = F.array(*[F.struct(F.lit(8 * m + i).alias("p"), F.lit(STEP * (m + 1) * dx).alias("dx"), F.lit(STEP * (m + 1) * dy).alias("dy")) for m in range(RINGS) for i, (dx, dy) in enumerate(DIRECTIONS)])
-    inside = spread(points.join(near(points, zones, keys, buffer), keys, "left_semi"), *keys)
-    tries = inside.select(*keys, "lon", "lat", F.explode(moves).alias("m")).select(*keys, "m.p", (F.col("lon") + F.col("m.dx")).alias("lon"), (F.col("lat") + F.col("m.dy")).alias("lat"))
-    moved = _first_free(tries, zones, keys, buffer).withColumnsRenamed({"lon": "_lon", "lat": "_lat"})
-    return points.join(moved, keys, "left").select(*keys, F.coalesce("_lon", "lon").alias("lon"), F.coalesce("_lat", "lat").alias("lat"))
+    """points (keys, lon, lat), those in buffered zones moved to the first of 19 rings of 8 places that is outside; staged.
+    Few need more than the first rings: the others are tried for what is left only."""
+    left = inside = staged(points.join(near(points, zones, keys, buffer), keys, "left_semi"))
+    found = []
+    for rings in (range(FIRST_RINGS), range(FIRST_RINGS, RINGS)):
+        moves = F.array(*[F.struct(F.lit(8 * m + i).alias("p"), F.lit(STEP * (m + 1) * dx).alias("dx"), F.lit(STEP * (m + 1) * dy).alias("dy")) for m in rings for i, (dx, dy) in enumerate(DIRECTIONS)])
+        tries = spread(left, *keys).select(*keys, "lon", "lat", F.explode(moves).alias("m")).select(*keys, "m.p", (F.col("lon") + F.col("m.dx")).alias("lon"), (F.col("lat") + F.col("m.dy")).alias("lat"))
+        found.append(staged(_first_free(tries, zones, keys, buffer)))
+        left = left.join(found[-1], keys, "left_anti")
+        if left.isEmpty():
+            break
+    moved = functools.reduce(DataFrame.unionByName, found).withColumnsRenamed({"lon": "_lon", "lat": "_lat"})
+    out = staged(points.join(moved, keys, "left").select(*keys, F.coalesce("_lon", "lon").alias("lon"), F.coalesce("_lat", "lat").alias("lat")))
+    for done in (inside, *found):
+        discard(done)
+    return out
 
 
 def corners(zones: DataFrame, buffer: float) -> DataFrame:
@@ -119,33 +130,64 @@ def corners(zones: DataFrame, buffer: float) -> DataFrame:
     return free.select((F.col("zone_id").cast("bigint") * (1 << 20) + F.col("slot")).alias("node"), "zone_id", "lon", "lat")
 
 
+def _legs(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and directions of the legs from each place p to each place q, both (2, n)."""
+    d = q[:, None, :] - p[:, :, None]
+    far = np.sqrt(d[0] ** 2 + d[1] ** 2)
+    return far, np.where(far > 0, d / np.where(far > 0, far, 1.0), np.array([1.0, 0.0])[:, None, None])
+
+
+def _blocks(p: np.ndarray, most: int = 64) -> list[np.ndarray]:
+    """Indices of the places p (2, n) in runs of neighbours, each within one of 8 x 8 cells of their box."""
+    size = np.maximum(np.ptp(p, axis=1, keepdims=True) / 8, 1e-9)
+    x, y = np.minimum((p - p.min(1, keepdims=True)) // size, 7).astype(int)
+    order = np.argsort(x * 8 + y, kind="stable")
+    runs = np.split(order, np.flatnonzero(np.diff((x * 8 + y)[order])) + 1)
+    return [run[k : k + most] for run in runs for k in range(0, len(run), most)]
+
+
+def _look(p: np.ndarray, spots: np.ndarray, e: np.ndarray, buffer: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(far, seen) of the places p and spots (2, n): how far apart, and whether within reach with none of the edges e (4, n)
+    and its buffer between. What hides a spot from all corners of the places' box hides it from the places, because the
+    shadow of a disc is convex; other edges count for the spots whose legs they come near at all."""
+    middle, radius = (e[:2] + e[2:]) / 2, np.hypot(*(e[2:] - e[:2])) / 2 + buffer
+    (w, s), (o, n) = p.min(1), p.max(1)
+    half = math.hypot(o - w, n - s) / 2
+    far, u = _legs(np.array([[w, o, w, o, (w + o) / 2], [s, s, n, n, (s + n) / 2]]), spots)
+    x, y = middle[0] - np.array([w, o, w, o, (w + o) / 2])[:, None], middle[1] - np.array([s, s, n, n, (s + n) / 2])[:, None]
+    aside = np.abs(u[0][..., None] * y[:, None] - u[1][..., None] * x[:, None])
+    ahead = np.abs(u[0][..., None] * x[:, None] + u[1][..., None] * y[:, None] - far[..., None] / 2)
+    hidden = ((aside[:4] < buffer - 1e-9) & (ahead[:4] <= far[:4, :, None] / 2)).all(0).any(1) | (far[4] - half > reach + 1e-9)
+    j, m = np.nonzero(~hidden[:, None] & (aside[4] <= radius + half + 1e-9) & (ahead[4] <= far[4][:, None] / 2 + radius + half + 1e-9))
+    far, u = _legs(p, spots)
+    seen = (far <= reach) & ~hidden
+    if len(j):
+        # a middle beside a leg and well within the buffer blocks it; the others that are close are looked at exactly
+        x, y, ux, uy, mid = middle[0][m] - p[0][:, None], middle[1][m] - p[1][:, None], u[0][:, j], u[1][:, j], far[:, j] / 2
+        aside, ahead = np.abs(ux * y - uy * x), np.abs(ux * x + uy * y - mid)
+        first = np.flatnonzero(np.diff(j, prepend=-1))
+        seen[:, j[first]] &= ~np.logical_or.reduceat((aside < buffer - 1e-9) & (ahead <= mid), first, axis=1)
+        i, k = np.nonzero((aside <= radius[m] + 1e-9) & (ahead <= mid + radius[m] + 1e-9) & seen[:, j])
+        bad = g.edge_gaps((*p[:, i], *spots[:, j[k]]), e[:, m[k]]) < buffer - 1e-12
+        seen[i[bad], j[k[bad]]] = False
+    return far, seen
+
+
 def _seen(buffer: float, reach: float, schema):
-    """What a group of sights() does: its points against its nodes, past its edges, some legs at a time."""
+    """What a group of sights() does: its points against its nodes, past its edges, neighbours and some nodes at a time."""
 
     def f(points: pa.Table, scene: pa.Table) -> pa.Table:
         at = scene["node"].is_valid().to_numpy()
         spots = np.stack([scene[c].to_numpy()[at] for c in ("ax", "ay")])
         e = np.stack([scene[c].to_numpy()[~at] for c in ("ax", "ay", "bx", "by")])
         p = np.stack([points[c].to_numpy() for c in ("lon", "lat")])
-        # edges as discs around their middles, close to the origin
-        middle, radius = (e[:2] + e[2:]) / 2 - spots[:, :1], np.hypot(*(e[2:] - e[:2])) / 2 + buffer
-        step, found = max(1, SIGHTS // (spots.shape[1] * (e.shape[1] + 1))), []
-        for low in range(0, p.shape[1], step):
-            d = spots[:, None, :] - p[:, low : low + step, None]
-            far = np.sqrt(d[0] ** 2 + d[1] ** 2)
-            i, j = np.nonzero(far <= reach)
-            far, u, here = far[i, j], d[:, i, j], p[:, low + i] - spots[:, :1]
-            u = u / np.where(far > 0, far, 1.0)
-            aside = np.abs(np.stack([u[0], -u[1], u[1] * here[0] - u[0] * here[1]], 1) @ np.stack([middle[1], middle[0], np.ones(e.shape[1])]))
-            ahead = np.abs(np.stack([u[0], u[1], -u[0] * here[0] - u[1] * here[1] - far / 2], 1) @ np.stack([middle[0], middle[1], np.ones(e.shape[1])]))
-            # a middle beside a leg and well within the buffer blocks it; the others that are close are looked at exactly
-            clear = ~((aside < buffer - 1e-9) & (ahead <= far[:, None] / 2)).any(1)
-            k, m = np.nonzero((aside[clear] <= radius + 1e-9) & (ahead[clear] <= far[clear, None] / 2 + radius + 1e-9))
-            k = np.flatnonzero(clear)[k]
-            gap = g.edge_gaps((*p[:, low + i[k]], *spots[:, j[k]]), e[:, m])
-            clear[k[gap < buffer - 1e-12]] = False
-            found.append((low + i[clear], j[clear], far[clear]))
-        i, j, far = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        step, found = max(1, SIGHTS // (e.shape[1] + 1)), [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        for block in _blocks(p) if p.shape[1] else []:
+            for low in range(0, spots.shape[1], step):
+                far, seen = _look(p[:, block], spots[:, low : low + step], e, buffer, reach)
+                i, j = np.nonzero(seen)
+                found.append((block[i], low + j, far[i, j]))
+        i, j, far = (np.concatenate(c) for c in zip(*found))
         columns = {c: points[c].take(pa.array(i)) for c in points.column_names} | {"node": scene["node"].drop_null().take(pa.array(j)), "far": pa.array(far), "olon": pa.array(spots[0][j]), "olat": pa.array(spots[1][j])}
         return pa.table({c: columns[c] for c in schema.names})
 
@@ -285,7 +327,7 @@ def plan(routes: DataFrame, zones: DataFrame, buffer: float, reach: float = 0.1)
     kept = found.select("route_id", "type", "slon", "slat", "elon", "elat", (F.col("_hit").isNull() | F.col("way").isNotNull()).alias("route_valid"), F.coalesce("way", F.array().cast("array<struct<lon: double, lat: double>>")).alias("way"))
     line = F.concat(F.array(place("slon", "slat")), "way", F.array(place("elon", "elat")))
     out = staged(kept.unionByName(free).select("route_id", "type", "route_valid", line.alias("line")))
-    for done in (legs, hit, nodes, edges, over, ways, around):
+    for done in (moved, legs, hit, nodes, edges, over, ways, around):
         discard(done)
     steps = F.zip_with(F.slice("line", 1, F.size("line") - 1), F.slice("line", 2, F.size("line") - 1), lambda a, b: F.sqrt(F.pow(b["lon"] - a["lon"], 2) + F.pow(b["lat"] - a["lat"], 2)))
     return out.select(F.col("route_id").cast("string").alias("route_id"), "type", F.size("line").alias("waypoints"), "route_valid", F.aggregate(steps, F.lit(0.0), lambda s, d: s + d).alias("length"), "line")
