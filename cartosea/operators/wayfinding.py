@@ -3,8 +3,8 @@
 A buffered zone is the set of places nearer than the buffer to it. Segments meet zones by cells: a segment walks the
 cells along its length, a zone lies in those of its box, and an exact distance decides. Ends inside buffered zones are
 moved out, clear legs are done; the others look for a shortest way over the visibility graph of the zones' pushed-out
-corners, relaxed round by round with a frontier for each route; what is still open tries ways around the box of all
-zones. No row holds more than one zone, and each round is written to the shared folder, its predecessor deleted.
+corners, relaxed round by round for all routes together; what is still open tries ways around the box of all zones. No
+row holds more than one zone, and each round is written to the shared folder, its predecessor deleted.
 """
 
 from __future__ import annotations
